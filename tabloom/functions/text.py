@@ -144,7 +144,7 @@ def tidy_multivalue(col: Column | str, mapping: Mapping[str, str] | None = None,
         parts = F.array_remove(parts, "nan")
         parts = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"[;,.]+$", ""))
         if standardize:
-            parts = F.transform(parts, standardize_token)
+            parts = F.transform(parts, lambda p: standardize_token(p))
     if mapping:
         parts = F.transform(parts, lambda p: map_lookup(p, mapping))
     joined = F.array_join(F.array_sort(F.array_distinct(parts)), sep)

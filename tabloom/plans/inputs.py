@@ -28,13 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def multivalue_cell(lines: DataFrame, key: str, value: str, sep: str = ";") -> DataFrame:
-    """(key, cell): the values of ``value`` per ``key``, sorted, repeats kept, joined by ``sep``."""
-    per = lines.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    packed = per.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_n").alias("n")))).alias("_vs"))
-    expanded = F.flatten(F.transform("_vs", lambda s: F.array_repeat(s["v"], s["n"].cast("int"))))
-    return packed.select(key, F.array_join(expanded, sep).alias("cell"))
+def multivalue_cells(lines: DataFrame, key: str, values: list[str], sep: str = ";") -> DataFrame:
+    """(key, one cell per value column): the values per ``key``, sorted, repeats kept.
+
+    Lines are pre-aggregated to (key, values..., n) with map-side combine, then
+    packed per key, so a hot key ships one row per distinct combination."""
+    per = lines.groupBy(key, *values).agg(F.count(F.lit(1)).alias("_n"))
+    packed = per.groupBy(key).agg(F.collect_list(F.struct(*values, "_n")).alias("_vs"))
+    cells = []
+    for v in values:
+        rep = F.flatten(F.transform("_vs", lambda s: F.array_repeat(s[v], s["_n"].cast("int"))))
+        cells.append(F.array_join(F.array_sort(rep), sep).alias(v))
+    return packed.select(key, *cells)
 
 
 def project_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +52,8 @@ def project_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
 
     lp = lineitem.join(part, lineitem.l_partkey == part.p_partkey)
-    types = multivalue_cell(lp, "l_orderkey", "p_type").withColumnRenamed("cell", "part_types")
-    brands = multivalue_cell(lp, "l_orderkey", "p_brand").withColumnRenamed("cell", "part_brands")
-    cells = types.join(brands, "l_orderkey", "full")
+    cells = (multivalue_cells(lp, "l_orderkey", ["p_type", "p_brand"])
+             .withColumnRenamed("p_type", "part_types").withColumnRenamed("p_brand", "part_brands"))
 
     k = F.col("o_orderkey")
     base = (orders.join(customer, orders.o_custkey == customer.c_custkey)

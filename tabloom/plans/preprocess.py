@@ -145,6 +145,9 @@ class Preprocessor:
         aggs += [F.count_if(is_missing(named, c)).alias(f"m{i}") for i, c in enumerate(cols)]
         aggs += [median_expr(q(c), self.approx_median).alias(f"md{i}") for i, c in enumerate(nums)]
         aggs += [F.count_if(F.contains(q(c), F.lit(";"))).alias(f"s{i}") for i, c in enumerate(txt)]
+        # HLL gate: cleaning can add one level (the fill word) and only merges
+        # others, so a column estimated far above the limit is never one-hot.
+        aggs += [F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(txt)]
         row = named.agg(*aggs).first()
         n = row["_rows"] or 1
         plan.input_columns = cols
@@ -154,15 +157,20 @@ class Preprocessor:
         semi = {c for i, c in enumerate(txt) if row[f"s{i}"] > 0}
         plan.multi_columns = [c for c in txt if c in semi and c not in plan.drop]
         plan.single_columns = [c for c in txt if c not in semi and c not in plan.drop]
+        gate = 2 * (self.max_cardinality + 1) + 16
+        candidates = [c for i, c in enumerate(txt) if c in plan.single_columns and row[f"d{i}"] <= gate]
         # job 2: distinct levels of multi (exploded) and single columns together
         cleaned = plan._clean(named)
         pairs = distinct_pairs(cleaned, plan.multi_columns, multi=True).unionByName(
-            distinct_pairs(cleaned, plan.single_columns))
-        counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-        small = counts.where(F.col("n") <= self.max_cardinality).select("column")
-        levels = (pairs.join(F.broadcast(small), "column").groupBy("column")
-                  .agg(F.array_sort(F.collect_list("value")).alias("levels")))
-        lv = {r["column"]: list(r["levels"]) for r in levels.collect()}
+            distinct_pairs(cleaned, candidates)).persist()
+        try:
+            counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+            small = [r["column"] for r in counts.where(F.col("n") <= self.max_cardinality).collect()]
+            levels = (pairs.where(F.col("column").isin(small)).groupBy("column")
+                      .agg(F.array_sort(F.collect_list("value")).alias("levels")))
+            lv = {r["column"]: list(r["levels"]) for r in levels.collect()} if small else {}
+        finally:
+            pairs.unpersist()
         plan.multi_levels = {c: lv[c] for c in plan.multi_columns if c in lv}
         plan.single_levels = {c: lv[c] for c in plan.single_columns if c in lv}
         return plan

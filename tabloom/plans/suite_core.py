@@ -12,6 +12,7 @@ from tabloom.plans.inputs import (PART_TYPES, PRIORITIES, PROJECT_SQL, RAW_HEADE
                                   STATUSES, project_frame, raw_project_frame, table, with_sql)
 from tabloom.plans.preprocess import Preprocessor, processing_report
 from tabloom.plans.registry import register, rounded
+from tabloom.session import materialize
 
 TARGET = "normalised_work_effort"
 
@@ -58,7 +59,8 @@ FROM base"""
 
 
 def preprocessed(spark, sf_dir):
-    raw = raw_project_frame(spark, sf_dir)
+    # the derived input is scanned by three fit jobs and the transform: cut lineage once
+    raw = materialize(raw_project_frame(spark, sf_dir))
     fitted = Preprocessor(TARGET).fit(raw)
     return raw, fitted.transform(raw), fitted
 

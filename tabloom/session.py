@@ -53,3 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Cut lineage before a multi-pass fit: a reliable ``checkpoint`` into the
+    shared checkpoint folder (survives executor loss; never localCheckpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
