@@ -36,6 +36,8 @@ def text_cols(df: DataFrame) -> list[str]:
 
 def _family(df: DataFrame, c: str) -> str:
     t = df.schema[c].dataType
+    if isinstance(t, INTEGRAL):
+        return "bigint"
     if isinstance(t, NumericType):
         return "double"
     if isinstance(t, BooleanType):
