@@ -222,3 +222,115 @@ def expand_multivalue(df: DataFrame, cols: Sequence[str], strategy: str = "top_k
             out = out.drop(col)
         mapping += [(col, i, n) for i, n in enumerate(names)]
     return out, spark.createDataFrame(mapping, "column string, position int, new_column string")
+
+
+# G11 -----------------------------------------------------------------------
+def expected_flag(col: str, kind: str, arg=None, sep: str = ";") -> Column:
+    """Recomputed value of a processed column from the original cell."""
+    p = parts(col, sep)
+    if kind == "binary":
+        return F.array_contains(p, F.lit(arg)).cast("int")
+    if kind == "other":
+        vals = F.array(*[F.lit(v) for v in arg]) if arg else F.array().cast("array<string>")
+        return F.exists(p, lambda x: ~F.array_contains(vals, x)).cast("int")
+    if kind == "count":
+        return F.size(p)
+    if kind == "unique_count":
+        return F.size(F.array_distinct(p))
+    if kind == "group":
+        return F.arrays_overlap(p, F.array(*[F.lit(v) for v in arg])).cast("int")
+    raise ValueError(kind)
+
+
+def validate_flags(df: DataFrame, col: str, checks: Sequence[tuple[str, str, object]], sep: str = ";") -> DataFrame:
+    """(new_column, kind, matches, total, match_rate): recomputed vs actual, one
+    aggregate over a frame holding both the original cell and the new columns."""
+    aggs = [F.count(F.lit(1)).alias("_t")]
+    for i, (name, kind, arg) in enumerate(checks):
+        aggs.append(F.count_if(expected_flag(col, kind, arg, sep) == q(name)).alias(f"m{i}"))
+    wide = df.agg(*aggs)
+    args = []
+    for i, (name, kind, _) in enumerate(checks):
+        args += [F.lit(name), F.lit(kind), F.col(f"m{i}")]
+    return wide.select("_t", F.stack(F.lit(len(checks)), *args).alias("new_column", "kind", "m")).select(
+        "new_column", "kind", F.col("m").cast("bigint").alias("matches"), F.col("_t").cast("bigint").alias("total"),
+        (F.col("m") * 100.0 / F.col("_t")).alias("match_rate"))
+
+
+def checks_for(col: str, names: Sequence[str], strategy: str, values: Sequence[str] = ()) -> list[tuple[str, str, object]]:
+    """Check list of a strategy's new columns (values carried as pairs, never parsed from names)."""
+    out = []
+    vals = list(values)
+    for n in names:
+        if n.endswith("_other") or n.endswith("_rare"):
+            out.append((n, "other", vals))
+        elif n.endswith("_unique_count"):
+            out.append((n, "unique_count", None))
+        elif n.endswith("_count"):
+            out.append((n, "count", None))
+    binaries = [n for n in names if not n.endswith(("_other", "_rare", "_count", "_frequency", "_most_common"))]
+    out += [(n, "binary", v) for n, v in zip(binaries, vals)]
+    return out
+
+
+# G12 -----------------------------------------------------------------------
+def validate_rows(df: DataFrame, col: str, new_cols: Sequence[str], key: str, n: int = 5, seed: int = 0,
+                  sep: str = ";") -> DataFrame:
+    """n rows in hash order of (key, seed): original, parsed list and the first 5 new columns."""
+    from tabloom.functions.hashing import mix32
+    h = mix32(q(key), seed)
+    return (df.select(q(key).alias("key"), h.alias("_h"), q(col).alias("original"),
+                      F.array_join(parts(col, sep), "|").alias("parsed"), *[q(c) for c in list(new_cols)[:5]])
+            .orderBy("_h", "key").limit(n).drop("_h"))
+
+
+# G13 -----------------------------------------------------------------------
+def validate_statistics(df: DataFrame, col: str, count_col: str | None, flag_cols: Sequence[str],
+                        sep: str = ";") -> DataFrame:
+    """One row: values per row mean/std (sample), processed count mean/std and
+    their correlation, number of flag columns holding values other than 0/1."""
+    k = F.size(parts(col, sep)).cast("double")
+    aggs = [F.avg(k).alias("orig_mean"), F.stddev_samp(k).alias("orig_std")]
+    if count_col:
+        c = q(count_col).cast("double")
+        aggs += [F.avg(c).alias("count_mean"), F.stddev_samp(c).alias("count_std"), F.corr(k, c).alias("count_corr")]
+    bad = [F.count_if(~q(f).isin(0, 1) & q(f).isNotNull()) for f in flag_cols]
+    nb = sum([F.when(b > 0, 1).otherwise(0) for b in bad], F.lit(0)) if bad else F.lit(0)
+    aggs.append(nb.cast("int").alias("non_binary_columns"))
+    return df.agg(*aggs)
+
+
+# G14 -----------------------------------------------------------------------
+def information_loss(df: DataFrame, col: str, captured: Sequence[str], other_col: str | None = None,
+                     sep: str = ";") -> DataFrame:
+    """One row: unique values, captured, capture rate, lost values (first 10 sorted), rows with 'other'."""
+    vals = value_counts(df, col, sep).where(F.col("value") != "nan").select("value")
+    cap = df.sparkSession.createDataFrame([(v,) for v in captured], "value string")
+    lost = vals.join(cap, "value", "left_anti")
+    total = vals.agg(F.count(F.lit(1)).alias("n_unique"))
+    got = vals.join(cap, "value", "left_semi").agg(F.count(F.lit(1)).alias("n_captured"))
+    lost10 = lost.orderBy("value").limit(10).agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("lost_values"))
+    out = total.crossJoin(got).crossJoin(lost10)
+    other = (df.agg(F.sum(q(other_col)).cast("bigint").alias("rows_with_other")) if other_col
+             else df.sparkSession.createDataFrame([(None,)], "rows_with_other bigint"))
+    return out.crossJoin(other).select(
+        F.col("n_unique").cast("bigint").alias("n_unique"), F.col("n_captured").cast("bigint").alias("n_captured"),
+        F.when(F.col("n_unique") > 0, F.col("n_captured") * 100.0 / F.col("n_unique")).otherwise(0.0).alias("capture_rate"),
+        F.coalesce(F.col("lost_values"), F.lit("")).alias("lost_values"), "rows_with_other")
+
+
+# G15 -----------------------------------------------------------------------
+def validation_summary(original: DataFrame, processed: DataFrame, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(column, n_new, n_missing, non_binary): one aggregate over the processed frame."""
+    have = set(processed.columns)
+    flag_like = [c for cols in mapping.values() for c in cols if c in have
+                 and not c.endswith(("_count", "_frequency", "_avg_frequency"))]
+    row = processed.agg(*[F.count_if(~q(c).isin(0, 1) & q(c).isNotNull()).alias(c) for c in flag_like]).first() \
+        if flag_like else None
+    out = []
+    for col, cols in mapping.items():
+        missing = [c for c in cols if c not in have]
+        nonbin = [c for c in cols if row is not None and c in flag_like and row[c] > 0]
+        out.append((col, len(cols), len(missing), len(nonbin), len(original.columns), len(processed.columns)))
+    return processed.sparkSession.createDataFrame(
+        out, "column string, n_new int, n_missing int, n_non_binary int, columns_before int, columns_after int")
