@@ -34,6 +34,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def round_cols(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Round only the named columns (noisy aggregates); exact values stay exact."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits[c]).alias(c) if c in digits else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
 def load_all() -> None:
     """Import every suite module so their queries register."""
     from tabloom.plans import (suite_core, suite_text, suite_profile, suite_multivalue,  # noqa: F401

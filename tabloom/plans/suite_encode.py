@@ -113,15 +113,18 @@ APP_FLAGS = ["app_other", "app_web", "app_mobile", "app_desktop"]
 
 
 def _cycle(key, values):
-    """Spark expr and SQL text choosing values[key % n] (None = null)."""
+    """Spark expr choosing values[key % n] (None = null)."""
     n = len(values)
     e = None
-    whens = []
     for i, v in enumerate(values):
-        lit = F.lit(v)
-        e = F.when(F.col(key) % n == i, lit) if e is None else e.when(F.col(key) % n == i, lit)
-        whens.append(f"WHEN {key} % {n} = {i} THEN {'NULL' if v is None else _lit(v)}")
-    return e, "CASE " + " ".join(whens) + " END"
+        e = F.when(F.col(key) % n == i, F.lit(v)) if e is None else e.when(F.col(key) % n == i, F.lit(v))
+    return e
+
+
+def _cycle_sql(key, values):
+    n = len(values)
+    return "CASE " + " ".join(f"WHEN {key} % {n} = {i} THEN {'NULL' if v is None else _lit(v)}"
+                              for i, v in enumerate(values)) + " END"
 
 
 FORM_VALUES = {
@@ -144,14 +147,14 @@ def form_frame(spark, sf_dir):
     cols = [k, F.col("order_year").alias("year_of_project"),
             F.when(k % 17 == 0, F.lit(None)).otherwise((k % 13).cast("int")).alias("max_team_size"),
             (F.col("effort") / 1000).alias("functional_size")]
-    cols += [_cycle("project_id", v)[0].alias(n) for n, v in FORM_VALUES.items()]
+    cols += [_cycle("project_id", v).alias(n) for n, v in FORM_VALUES.items()]
     return df.select(*cols)
 
 
 FORM_SQL = "form AS (SELECT project_id, order_year AS year_of_project, " \
            "CASE WHEN project_id % 17 = 0 THEN NULL ELSE CAST(project_id % 13 AS INTEGER) END AS max_team_size, " \
            "effort / 1000 AS functional_size, " + ", ".join(
-               f"{_cycle('project_id', v)[1]} AS {n}" for n, v in FORM_VALUES.items()) + " FROM proj)"
+               f"{_cycle_sql('project_id', v)} AS {n}" for n, v in FORM_VALUES.items()) + " FROM proj)"
 
 
 def _num_or_lit(v) -> str:

@@ -8,7 +8,7 @@ from tabloom.operators import correlation as C
 from tabloom.operators import missing as M
 from tabloom.operators import profile as P
 from tabloom.plans.inputs import PROJECT_SQL, project_frame, table, with_sql
-from tabloom.plans.registry import register, rounded
+from tabloom.plans.registry import register, round_cols, rounded
 from tabloom.session import materialize
 
 PCOLS = ["project_id", "effort", "acct_balance", "sparse_metric", "order_year", "priority", "segment", "status",
@@ -156,11 +156,12 @@ def e01_data_summary(spark, sf_dir):
 
 @register("e02_describe_numeric", with_sql(PROJECT_SQL) + "\n" + _union([
     f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean, "
-    f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, "
-    f"round(median({c}), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM proj"
+    f"round(stddev_samp({c}), 4) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 8) AS q25, "
+    f"round(median({c}), 8) AS median, round(quantile_cont({c}, 0.75), 8) AS q75, max({c}) AS max FROM proj"
     for c in NUMS]), headline=True)
 def e02_describe_numeric(spark, sf_dir):
-    return rounded(P.describe_numeric(project_frame(spark, sf_dir)), 4)
+    return round_cols(P.describe_numeric(project_frame(spark, sf_dir)),
+                      {"mean": 4, "std": 4, "q25": 8, "median": 8, "q75": 8})
 
 
 @register("e04_duplicate_rows", """
