@@ -226,3 +226,51 @@ def g16_expand_multivalue(spark, sf_dir):
     out, mapping = G.expand_multivalue(df, ["part_brands"], "top_k", k=3)
     names = [r["new_column"] for r in mapping.collect()]
     return _long(out, "project_id", names)
+
+
+# --- G08: TF-IDF + PCA over part names per order --------------------------------
+NAMES_SQL = """
+names AS (SELECT l.l_orderkey AS project_id, string_agg(p.p_name, ';' ORDER BY p.p_name) AS part_names
+          FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey)"""
+
+
+def names_frame(spark, sf_dir):
+    from tabloom.plans.inputs import multivalue_cells, table
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pt = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lp = li.join(pt, li.l_partkey == pt.p_partkey)
+    return multivalue_cells(lp, "l_orderkey", ["p_name"]).select(
+        F.col("l_orderkey").alias("project_id"), F.col("p_name").alias("part_names"))
+
+
+@register("g08_tfidf_weights", with_sql(NAMES_SQL, r"""
+docs AS (SELECT project_id, list_filter(regexp_split_to_array(lower(array_to_string(list_filter(regexp_split_to_array(
+           regexp_replace(part_names, '^\s+|\s+$', '', 'g'), '\s*;\s*'), lambda x: x <> ''), ' ')), '[^a-z0-9_]+'),
+           lambda x: length(x) >= 2) AS t
+         FROM names),
+nd AS (SELECT count(*) AS n FROM docs),
+ex AS (SELECT project_id, unnest(t) AS term FROM docs),
+st AS (SELECT term, count(*) AS tf, count(DISTINCT project_id) AS df FROM ex GROUP BY term),
+vocab AS (SELECT term, df FROM st ORDER BY tf DESC, term LIMIT 100),
+tfc AS (SELECT project_id, term, count(*) AS c FROM ex WHERE term IN (SELECT term FROM vocab) GROUP BY ALL),
+w AS (SELECT project_id, term, c * (ln((1 + n) / (1 + df)) + 1) AS w FROM tfc JOIN vocab USING (term), nd)""") + """
+SELECT project_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY project_id)), 6) AS weight FROM w""")
+def g08_tfidf_weights(spark, sf_dir):
+    """Non-zero L2-normalised tf-idf weights per order (long form)."""
+    from tabloom.operators.tfidf import fit_tfidf
+    df = materialize(names_frame(spark, sf_dir))
+    fitted = fit_tfidf(df, "part_names", n_components=3)
+    vocab = F.array(*[F.lit(v) for v in fitted.vocab])
+    w = fitted.with_weights(df, ["project_id"]).select("project_id", F.posexplode("_w").alias("i", "weight")) \
+        .where(F.col("weight") != 0)
+    return rounded(w.select("project_id", F.element_at(vocab, F.col("i") + 1).alias("term"), "weight"))
+
+
+@register("g08_tfidf_pca")
+def g08_tfidf_pca(spark, sf_dir):
+    """PCA components of the tf-idf vectors (rows-only; orthonormality and
+    variance order are tested)."""
+    from tabloom.operators.tfidf import fit_tfidf
+    df = materialize(names_frame(spark, sf_dir))
+    fitted = fit_tfidf(df, "part_names", n_components=5)
+    return fitted.transform(df, keep=["project_id"])
