@@ -383,3 +383,35 @@ def pred_frame(spark, sf_dir):
           + _pairs_sql(["pred_lr", "pred_ridge", "pred_gbr"]))
 def f06_prediction_correlations(spark, sf_dir):
     return rounded(C.correlations(pred_frame(spark, sf_dir), ["pred_lr", "pred_ridge", "pred_gbr"]))
+
+
+# --- E03: full analysis as one long table ----------------------------------------
+E03_NUM = ["project_id", "order_year", "acct_balance", "effort"]
+E03_TXT = ["priority"]
+
+
+def _e03_sql():
+    parts = []
+    for c in E03_NUM + E03_TXT:
+        parts.append(f"SELECT '{c}' AS \"column\", unnest(['n_null', 'null_pct', 'n_distinct']) AS metric, "
+                     f"round(unnest([CAST(count(*) - count({c}) AS DOUBLE), (count(*) - count({c})) * 100.0 / count(*), "
+                     f"CAST(count(DISTINCT {c}) AS DOUBLE)]), 4) AS value FROM proj")
+    for c in E03_NUM:
+        parts.append(f"SELECT '{c}', unnest(['count', 'mean', 'std', 'min', 'q25', 'median', 'q75', 'max']), "
+                     f"round(unnest([CAST(count({c}) AS DOUBLE), avg({c}), stddev_samp({c}), min({c}), "
+                     f"quantile_cont({c}, 0.25), median({c}), quantile_cont({c}, 0.75), max({c})]), 4) FROM proj")
+    parts.append("SELECT '__table__', unnest(['rows', 'columns']), unnest([CAST(count(*) AS DOUBLE), 5.0]) FROM proj")
+    return with_sql(PROJECT_SQL) + "\n" + _union(parts)
+
+
+@register("e03_analyze", _e03_sql())
+def e03_analyze(spark, sf_dir):
+    df = materialize(project_frame(spark, sf_dir).select(*E03_NUM, *E03_TXT))
+    return rounded(P.analyze(df), 4)
+
+
+@register("b14_drop_columns", with_sql(PROJECT_SQL) + """
+SELECT project_id, effort, acct_balance, order_year, segment, status, region, nation FROM proj""")
+def b14_drop_columns(spark, sf_dir):
+    from tabloom.operators.schema import drop_columns
+    return drop_columns(project_frame(spark, sf_dir), ["sparse_metric", "priority", "part_types", "part_brands"])

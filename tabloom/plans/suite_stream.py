@@ -110,3 +110,28 @@ FROM customer""")
 def a09_category_listing(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return A.category_listing(c, ["c_mktsegment", "c_name"], max_values=3)
+
+
+@register("a03_write_table", __import__("tabloom.plans.suite_core", fromlist=["PREPROCESS_SQL"]).PREPROCESS_SQL)
+def a03_write_table(spark, sf_dir):
+    """The processed table written as CSV (header) and read back with its schema."""
+    from tabloom.plans.suite_core import preprocessed
+    out = preprocessed(spark, sf_dir)[1]
+    path = _scratch(spark, "processed_csv")
+    A.write_table(out, path, fmt="csv")
+    return A.read_table(spark, path, fmt="csv", schema=out.schema)
+
+
+@register("b10_compare_saved_features", """
+SELECT * FROM (VALUES ('l_quantity', 'valid'), ('l_discount', 'extra'), ('l_tax', 'missing')) t(feature, status)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def b10_compare_saved_features(spark, sf_dir):
+    """Feature sets of two fitted forms of a model (ML pipeline vs one-pass OLS)."""
+    from tabloom.operators.schema import compare_features
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("label"), "l_quantity",
+                                                 "l_discount", "l_tax")
+    lr = MD.fit_model(li, "label", ["l_quantity", "l_discount"], "lr")
+    ol = MD.fit_model(li, "label", ["l_quantity", "l_tax"], "ols")
+    a = spark.createDataFrame([(f,) for f in lr.features], "feature string")
+    b = spark.createDataFrame([(f,) for f in ol.coefs], "feature string")
+    return compare_features(a, b)
