@@ -5,10 +5,11 @@ one row to the driver) followed by ``stack`` to long form. Fill operators are
 fitted: ``fit`` runs that one aggregate and keeps a small plan (columns to drop,
 fill values), ``transform`` is a single lazy ``select``.
 
-Medians: ``approx=False`` uses Spark's exact ``median`` (all distinct values of
-a column are held by its aggregation buffer: right for checks and for columns
-of bounded cardinality); ``approx=True`` uses ``percentile_approx`` with a
-bounded sketch, which is the setting for very large tables.
+Medians: ``median="exact"`` uses Spark's exact ``median`` (all distinct values
+of a column sit in one aggregation buffer: fine for bounded data);
+``"bounded"`` returns the same exact value with bounded memory through a few
+extra passes (``tabloom.operators.quantiles``), the setting for very large
+tables; ``"approx"`` uses a ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -104,18 +105,26 @@ class MissingHandler:
     with ``fill_value`` and numerics with the fitted median."""
 
     def __init__(self, threshold: float = 0.7, keep: Iterable[str] = (), fill_value: str = "missing",
-                 approx: bool = False):
-        self.threshold, self.keep, self.fill_value, self.approx = threshold, set(keep), fill_value, approx
+                 median: str = "exact"):
+        """``median``: "exact" (Spark exact median), "bounded" (same result,
+        bounded memory, a few extra passes) or "approx" (sketch)."""
+        self.threshold, self.keep, self.fill_value, self.median = threshold, set(keep), fill_value, median
 
     def fit(self, df: DataFrame) -> FittedMissing:
         cols, nums = df.columns, numeric_cols(df)
         aggs = [F.count(F.lit(1)).alias("_rows")]
         aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        aggs += [median_expr(q(c), self.approx).alias(f"md{i}") for i, c in enumerate(nums)]
+        if self.median != "bounded":
+            aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
         row = df.agg(*aggs).first()
         n = row["_rows"] or 1
         drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        fills = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None) for i, c in enumerate(nums)}
+        if self.median == "bounded":
+            from tabloom.operators.quantiles import exact_quantiles
+            med = exact_quantiles(df, nums, [0.5])
+            fills = {c: med[c][0] for c in nums}
+        else:
+            fills = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None) for i, c in enumerate(nums)}
         return FittedMissing(drop, self.fill_value, fills, text_cols(df))
 
 

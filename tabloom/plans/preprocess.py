@@ -126,12 +126,15 @@ class Preprocessor:
     def __init__(self, target: str | None = None, threshold: float = 0.7, keep: Iterable[str] | None = None,
                  max_cardinality: int = 10, mapping: Mapping[str, str] | None = None,
                  fill_value: str = "missing", preserve: Sequence[str] = (), null_token: str | None = None,
-                 approx_median: bool = False):
+                 median: str = "exact"):
         self.target, self.threshold = target, threshold
         self.keep = set(DEFAULT_KEEP if keep is None else keep)
         self.max_cardinality, self.mapping = max_cardinality, dict(mapping or {})
         self.fill_value, self.preserve, self.null_token = fill_value, list(preserve), null_token
-        self.approx_median = approx_median
+        # "exact": Spark's exact median (one buffer per column; bounded-size data)
+        # "bounded": exact result with bounded memory (tabloom.operators.quantiles)
+        # "approx": percentile_approx sketch
+        self.median = median
 
     def fit(self, df: DataFrame) -> FittedPreprocessor:
         plan = FittedPreprocessor(self.target, [], [], self.fill_value, {}, [], [], self.mapping, {}, {},
@@ -143,7 +146,8 @@ class Preprocessor:
         # job 1: one aggregate for missing counts, medians and ';' detection
         aggs = [F.count(F.lit(1)).alias("_rows")]
         aggs += [F.count_if(is_missing(named, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        aggs += [median_expr(q(c), self.approx_median).alias(f"md{i}") for i, c in enumerate(nums)]
+        if self.median in ("exact", "approx"):
+            aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
         aggs += [F.count_if(F.contains(q(c), F.lit(";"))).alias(f"s{i}") for i, c in enumerate(txt)]
         # HLL gate: cleaning can add one level (the fill word) and only merges
         # others, so a column estimated far above the limit is never one-hot.
@@ -152,8 +156,13 @@ class Preprocessor:
         n = row["_rows"] or 1
         plan.input_columns = cols
         plan.drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        plan.numeric_fill = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None)
-                             for i, c in enumerate(nums)}
+        if self.median == "bounded":
+            from tabloom.operators.quantiles import exact_quantiles
+            med = exact_quantiles(named, nums, [0.5])
+            plan.numeric_fill = {c: med[c][0] for c in nums}
+        else:
+            plan.numeric_fill = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None)
+                                 for i, c in enumerate(nums)}
         semi = {c for i, c in enumerate(txt) if row[f"s{i}"] > 0}
         plan.multi_columns = [c for c in txt if c in semi and c not in plan.drop]
         plan.single_columns = [c for c in txt if c not in semi and c not in plan.drop]
