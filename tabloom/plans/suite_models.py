@@ -356,10 +356,15 @@ def m10_bag(spark, sf_dir):
     return MD.bag_predict(df, models).select("line_id", "label", "prediction")
 
 
-@register("m11_finalize")
+@register("m11_finalize", with_sql(SCORED_SQL) + """
+SELECT line_id, round((SELECT regr_intercept(label, l_quantity) FROM scored)
+                      + (SELECT regr_slope(label, l_quantity) FROM scored) * l_quantity, 6) AS prediction
+FROM scored""")
 def m11_finalize(spark, sf_dir):
+    """Refit on all rows (Spark ML LinearRegression, normal equations) and score."""
     df = _train(spark, sf_dir)
-    return MD.finalize(df, "label", FEATURES, "lr").predict(df, "prediction").select("line_id", "prediction")
+    m = MD.finalize(df, "label", ["l_quantity"], "lr")
+    return rounded(m.predict(df, "prediction").select("line_id", "prediction"))
 
 
 def _saved_models(spark, sf_dir):
