@@ -126,12 +126,17 @@ def multivalue_topk(df: DataFrame, col: str, k: int = 20, sep: str = ";", values
 
 
 # G06 -----------------------------------------------------------------------
-def frequent_values(df: DataFrame, col: str, threshold: float = 0.05, sep: str = ";") -> list[str]:
+def frequent_values(df: DataFrame, col: str, threshold: float = 0.05, sep: str = ";",
+                    max_values: int = 10_000) -> list[str]:
     """Values with count >= floor(rows * threshold); rows include null cells."""
     n = df.count()
-    floor_n = int(n * threshold)
-    vc = value_counts(df, col, sep).where(F.col("n") >= floor_n).orderBy("value")
-    return [r["value"] for r in vc.collect()]
+    floor_n = max(int(n * threshold), 1)
+    vc = value_counts(df, col, sep).where(F.col("n") >= floor_n)
+    # the list becomes flag columns: refuse (do not truncate) an unbounded one
+    k = vc.count()
+    if k > max_values:
+        raise ValueError(f"{k} values reach the threshold in {col}; raise the threshold (max_values={max_values})")
+    return [r["value"] for r in vc.orderBy("value").collect()]
 
 
 def multivalue_frequent(df: DataFrame, col: str, threshold: float = 0.05, sep: str = ";",

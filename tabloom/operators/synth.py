@@ -148,8 +148,11 @@ class Copula:
 
 
 def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, grid_points: int = 101,
-               approx: bool = False, seed: int = 0) -> Copula:
-    """Marginals (one aggregate + one level count) and the score correlation."""
+               approx: bool = False, seed: int = 0, max_levels: int = 100_000) -> Copula:
+    """Marginals (one aggregate + one level count) and the score correlation.
+
+    Categorical level lists travel in the plan, so a column with more than
+    ``max_levels`` levels is refused (checked by a count before collecting)."""
     columns = [c for c in (columns or df.columns) if c != key]
     nums = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
     cats = [c for c in columns if c not in nums]
@@ -165,9 +168,17 @@ def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, gr
     if cats:
         long = df.select(*[q(c).cast("string").alias(c) for c in cats]).unpivot([], cats, "column", "value") \
             .where(F.col("value").isNotNull())
-        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).persist()
+        sizes = {r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+        too_many = {c: k for c, k in sizes.items() if k > max_levels}
+        if too_many:
+            counts.unpersist()
+            raise ValueError(f"categorical columns above max_levels={max_levels}: {too_many}; "
+                             "treat them as ids or pass them as numeric")
         by_col: dict[str, list[tuple[str, int]]] = {}
-        for r in counts.collect():
+        rows = counts.collect()          # bounded: <= max_levels per column
+        counts.unpersist()
+        for r in rows:
             by_col.setdefault(r["column"], []).append((r["value"], r["n"]))
         for c, vs in by_col.items():
             vs.sort()
