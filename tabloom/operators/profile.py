@@ -350,6 +350,12 @@ def target_summary(df: DataFrame, target: str, top: int = 10) -> DataFrame:
 
 
 # E20 / E03 -------------------------------------------------------------------
+def profile_table(df: DataFrame, n: int = 5) -> DataFrame:
+    """One row per column: type, nulls, distinct count, samples and, for
+    numeric columns, the describe statistics (E01 joined with E02)."""
+    return data_summary(df, n).join(describe_numeric(df), "column", "left")
+
+
 def profile(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
     from tabloom.operators.correlation import correlations
     from tabloom.operators.missing import missing_profile

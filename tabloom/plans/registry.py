@@ -44,4 +44,4 @@ def load_all() -> None:
     """Import every suite module so their queries register."""
     from tabloom.plans import (suite_core, suite_text, suite_profile, suite_multivalue,  # noqa: F401
                                suite_encode, suite_augment, suite_models, suite_synth, suite_stream,
-                               suite_plan)
+                               suite_plan, suite_profile2)
