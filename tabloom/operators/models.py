@@ -83,6 +83,29 @@ class MLScorer:
                 "params": params}
 
 
+@dataclass
+class KnnScorer:
+    """Exact k-nearest-neighbour mean of the training labels."""
+    name: str
+    train: DataFrame
+    features: list[str]
+    label: str
+    key: str
+    k: int = 5
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        from tabloom.operators.knn import knn_predict
+        cols = df.columns
+        res = knn_predict(self.train, df, self.features, self.label, self.key, self.k)
+        return res.select(*[q(c) for c in cols], F.col("prediction").alias(out))
+
+    def importance(self) -> list[tuple[str, float]]:
+        return [(f, 0.0) for f in self.features]
+
+    def to_json(self) -> dict:
+        return {"kind": "knn", "name": self.name, "features": self.features, "k": self.k}
+
+
 # M26 -----------------------------------------------------------------------
 def dummy(df: DataFrame, label: str, name: str = "dummy") -> LinearScorer:
     m = df.agg(F.avg(q(label))).first()[0]
@@ -153,6 +176,9 @@ def fit_model(df: DataFrame, label: str, features: Sequence[str], spec: str, par
         return dummy(df, label, name or spec)
     if spec == "ols":
         return ols(df, label, features, float((params or {}).get("l2", 0.0)), name or spec)
+    if spec == "knn":
+        p = dict(params or {})
+        return KnnScorer(name or spec, df, list(features), label, p.get("key", "line_id"), int(p.get("k", 5)))
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
@@ -166,8 +192,10 @@ finalize = fit_model
 # M02 -----------------------------------------------------------------------
 def cross_validate(df: DataFrame, label: str, features: Sequence[str], spec: str, k: int = 10,
                    params: Mapping | None = None, fold_col: str = "_fold", name: str | None = None,
-                   keep_oof: bool = False):
+                   keep_oof: bool = False, key: str | None = None):
     """Per-fold metrics (and optionally out-of-fold predictions) of one spec."""
+    if spec == "knn" and key:
+        params = {**(params or {}), "key": key}
     scores, oof = [], []
     for f in range(k):
         train = df.where(F.col(fold_col) != f)
@@ -201,7 +229,8 @@ def compare_models(df: DataFrame, label: str, features: Sequence[str], key: str,
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
     try:
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            parts = list(pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k)), specs))
+            parts = list(pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)),
+                                  specs))
     finally:
         data.unpersist()
     folds = parts[0]

@@ -53,3 +53,18 @@ def x07_plan_roundtrip(spark, sf_dir):
     path = f"{checkpoint_dir(spark)}/plans/preprocess-{uuid.uuid4().hex}"
     fitted.save(spark, path)
     return FittedPreprocessor.load(spark, path).transform(raw)
+
+
+@register("m25_knn_predict")
+def m25_knn_predict(spark, sf_dir):
+    """k-NN mean prediction for status-O lineitems from status-F lineitems
+    (exact; brute force on whole tables is quadratic, so it is tested against
+    brute force on fixtures)."""
+    from tabloom.operators.knn import knn_predict
+    from tabloom.plans.inputs import table
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), "l_linestatus", "l_quantity",
+        (F.col("l_discount") * 100).alias("discount_pct"), (F.col("l_extendedprice") / 1000).alias("label"))
+    train = li.where(F.col("l_linestatus") == "F")
+    test = li.where(F.col("l_linestatus") == "O").select("line_id", "l_quantity", "discount_pct")
+    return knn_predict(train, test, ["l_quantity", "discount_pct"], "label", "line_id", k=5)
