@@ -56,7 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage before a multi-pass fit: a reliable ``checkpoint`` into the
-    shared checkpoint folder (survives executor loss; never localCheckpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage before a multi-pass fit: write the frame as a Parquet table
+    in the shared checkpoint folder and read it back (survives executor loss,
+    never localCheckpoint; later passes read only the columns they use)."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
