@@ -5,8 +5,9 @@ Runs each headline query of the registry at ``$BENCH_SF_DIR`` (default
 {"metric": "headline_total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is forced with a ``noop`` write (the full plan runs, nothing is
-collected to the driver). One warm-up query runs first so JVM start-up and
-first code generation are not charged to the first query.
+collected to the driver). Steady state is measured: every headline query runs
+once, untimed, on the smallest tables ($BENCH_WARMUP_DIR, default sf0.001) so
+JVM start-up, JIT and first code generation are not charged to the timings.
 """
 
 from __future__ import annotations
@@ -30,7 +31,13 @@ def main() -> None:
     from tabloom.plans import registry
     registry.load_all()
     names = only or list(registry.HEADLINE)
-    # warm-up (not timed)
+    # warm-up (not timed): each headline query once on the smallest tables, so
+    # JIT/code generation is not charged to the measured run; no data or
+    # result of the measured scale is cached by this.
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir) and warm_dir != sf_dir:
+        for name in names:
+            registry.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     registry.QUERIES["b07_align_columns"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
