@@ -23,6 +23,25 @@ def x03_preserve(spark, sf_dir):
     return fitted.transform(raw)
 
 
+X05_SQL = PREPROCESS_SQL.replace(
+    "coalesce(acct_balance, (SELECT median(acct_balance) FROM proj)) AS acct_balance,",
+    "coalesce(acct_balance, (SELECT median(acct_balance) FROM proj)) AS acct_balance,\n"
+    "         coalesce(sparse_metric, (SELECT median(sparse_metric) FROM proj)) AS sparse_metric_k,", 1).replace(
+    "SELECT project_id, normalised_work_effort, acct_balance, order_year, nation, part_brands,",
+    "SELECT project_id, acct_balance, sparse_metric_k, order_year, nation, part_brands,", 1)
+
+
+@register("x05_prediction_preprocess", X05_SQL)
+def x05_prediction_preprocess(spark, sf_dir):
+    """Prediction-time settings (threshold 0.9, cardinality 20) then the
+    leak-word drop: the 90 %-missing column sits exactly at the threshold and
+    is kept (the test is strictly greater)."""
+    from tabloom.operators.schema import drop_by_keyword
+    raw = materialize(raw_project_frame(spark, sf_dir))
+    fitted = Preprocessor(TARGET, threshold=0.9, max_cardinality=20).fit(raw)
+    return drop_by_keyword(fitted.transform(raw))
+
+
 EXPECTED = ["acct_balance", "order_year", "order_priority_1_urgent", "market_segment_building", "region_asia",
             "part_types_promo", "team_size"]
 
