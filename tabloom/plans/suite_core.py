@@ -136,7 +136,7 @@ def b07_align_columns(spark, sf_dir):
 SELECT project_id, coalesce(CAST(effort AS DOUBLE), 0.0) AS effort,
        coalesce(acct_balance, 0.0) AS acct_balance,
        coalesce(TRY_CAST(status AS DOUBLE), 0.0) AS status,
-       0.0 AS team_size,
+       CAST(0.0 AS DOUBLE) AS team_size,
        coalesce(CAST(order_year AS DOUBLE), 0.0) AS order_year
 FROM proj""")
 def b08_numeric_vector(spark, sf_dir):

@@ -140,7 +140,7 @@ WHAT_IF_VALUES = [1.0, 10.0, 25.0, 50.0]
 
 
 @register("m16_what_if", with_sql(SCORED_SQL) + f"""
-SELECT line_id, CAST(s.step AS INTEGER) AS step, v.q AS l_quantity,
+SELECT line_id, CAST(s.step AS INTEGER) AS step, CAST(v.q AS DOUBLE) AS l_quantity,
        round(-2.0 + v.q * 1.2 + l_discount * -30.0 + l_tax * 20.0, 6) AS prediction
 FROM scored CROSS JOIN (SELECT unnest(range(4)) AS step) s
 JOIN (SELECT unnest(range(4)) AS step, unnest({WHAT_IF_VALUES}) AS q) v ON s.step = v.step""")
@@ -193,7 +193,7 @@ ex AS (SELECT o_orderkey, pos, c, o_totalprice / 100 * c AS pred FROM base CROSS
        (SELECT unnest(range(8)) AS pos, unnest([0.1, 0.2, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0]) AS c)),
 kept AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY pos) AS r,
                 count(*) OVER (PARTITION BY o_orderkey) AS n FROM ex WHERE pred >= 10 AND pred <= 5000)""") + """
-SELECT o_orderkey, c AS chosen_value, round(pred, 6) AS chosen_prediction, CAST(n AS INTEGER) AS n_valid
+SELECT o_orderkey, CAST(c AS DOUBLE) AS chosen_value, round(pred, 6) AS chosen_prediction, CAST(n AS INTEGER) AS n_valid
 FROM kept WHERE r = floor(n / 2) + 1""")
 def m18_pick_candidate(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(0.0).alias("target"))

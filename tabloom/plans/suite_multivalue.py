@@ -164,7 +164,7 @@ def _topk_processed(spark, sf_dir, k=5):
 
 
 @register("g11_validate_flags", with_sql(PROJECT_SQL) + """
-SELECT new_column, kind, CAST(count(*) AS BIGINT) AS matches, CAST(count(*) AS BIGINT) AS total, 100.0 AS match_rate
+SELECT new_column, kind, CAST(count(*) AS BIGINT) AS matches, CAST(count(*) AS BIGINT) AS total, CAST(100.0 AS DOUBLE) AS match_rate
 FROM (SELECT unnest(['part_brands_other', 'part_brands_count', 'part_brands_unique_count']) AS new_column,
              unnest(['other', 'count', 'unique_count']) AS kind FROM proj)
 GROUP BY new_column, kind""")
@@ -189,7 +189,7 @@ def g12_validate_rows(spark, sf_dir):
 @register("g13_validate_statistics", with_sql(PROJECT_SQL) + f"""
 SELECT round(avg(len({T.parts('part_brands')})), 6) AS orig_mean, round(stddev_samp(len({T.parts('part_brands')})), 6) AS orig_std,
        round(avg(len({T.parts('part_brands')})), 6) AS count_mean, round(stddev_samp(len({T.parts('part_brands')})), 6) AS count_std,
-       1.0 AS count_corr, 0 AS non_binary_columns FROM proj""")
+       CAST(1.0 AS DOUBLE) AS count_corr, 0 AS non_binary_columns FROM proj""")
 def g13_validate_statistics(spark, sf_dir):
     _, processed, vals, names = _topk_processed(spark, sf_dir)
     return rounded(G.validate_statistics(processed, "part_brands", "part_brands_count", names))

@@ -55,7 +55,7 @@ SELECT acct_balance, CAST(order_year AS DOUBLE) AS order_year,
        CAST({T.flag("seg = 'building'")} AS DOUBLE) AS market_segment_building,
        CAST({T.flag("reg = 'asia'")} AS DOUBLE) AS region_asia,
        CAST({T.flag(f"list_contains({T.parts('pt')}, 'promo')")} AS DOUBLE) AS part_types_promo,
-       0.0 AS team_size
+       CAST(0.0 AS DOUBLE) AS team_size
 FROM base""")
 def x06_prepare_for_model(spark, sf_dir):
     """Score-time preparation: fitted transform (no refit), leak-word drop,
