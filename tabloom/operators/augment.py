@@ -82,17 +82,21 @@ def semi_filter(df: DataFrame, other: DataFrame, col: str) -> DataFrame:
 
 
 # K04 -----------------------------------------------------------------------
-def category_coverage(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_before, n_after, new_values) with new values sorted and joined."""
+def category_coverage(before: DataFrame, after: DataFrame, cols: Sequence[str], max_listed: int = 50) -> DataFrame:
+    """(column, n_before, n_after, n_new, new_values): new values counted; the
+    first ``max_listed`` of them (sorted) listed."""
+    from tabloom.operators.profile import first_n_listing
     b = _pairs(before, cols).distinct()
     a = _pairs(after, cols).distinct()
     nb = b.groupBy("column").agg(F.count(F.lit(1)).alias("n_before"))
     na = a.groupBy("column").agg(F.count(F.lit(1)).alias("n_after"))
-    new = a.join(b, ["column", "value"], "left_anti").groupBy("column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("new_values"))
-    return (na.join(nb, "column", "full").join(new, "column", "left")
+    new_pairs = a.join(b, ["column", "value"], "left_anti")
+    nn = new_pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_new"))
+    listed = first_n_listing(new_pairs, max_listed, "; ", "new_values")
+    return (na.join(nb, "column", "full").join(nn, "column", "left").join(listed, "column", "left")
             .select("column", F.coalesce("n_before", F.lit(0)).cast("bigint").alias("n_before"),
                     F.coalesce("n_after", F.lit(0)).cast("bigint").alias("n_after"),
+                    F.coalesce("n_new", F.lit(0)).cast("bigint").alias("n_new"),
                     F.coalesce("new_values", F.lit("")).alias("new_values")))
 
 

@@ -83,22 +83,26 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
         "column", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct"))
 
 
+def first_n_listing(pairs: DataFrame, n: int, sep: str = ", ", name: str = "samples", salt: int = 64) -> DataFrame:
+    """(column, name): the n smallest values per column of distinct (column,
+    value) pairs, joined. Ranked within (column, hash bucket) first, then
+    within column, so no task orders all values of a large column."""
+    v = F.col("value")
+    b = pairs.withColumn("_b", F.pmod(F.hash(v), F.lit(salt)))
+    top1 = b.withColumn("_r", F.row_number().over(Window.partitionBy("column", "_b").orderBy(v))).where(F.col("_r") <= n)
+    top = top1.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy(v))).where(F.col("_r") <= n)
+    return top.groupBy("column").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(v)), lambda x: x.cast("string")), sep).alias(name))
+
+
 def first_values(df: DataFrame, cols: Sequence[str], n: int = 5, salt: int = 64) -> DataFrame:
     """(column, samples): the n smallest distinct values per column joined by ', '.
 
     Two-level top-n: within (column, hash bucket) then within column, so one
     task never orders more than a bucket of a column's distinct values."""
     res = None
-    for fam, pairs in distinct_pairs_typed(df, cols).items():
-        v = F.col("value")
-        b = pairs.withColumn("_b", F.pmod(F.hash(v), F.lit(salt)))
-        w1 = Window.partitionBy("column", "_b").orderBy(v)
-        top1 = b.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
-        w2 = Window.partitionBy("column").orderBy(v)
-        top = top1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n)
-        agg = top.groupBy("column").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(v)), lambda x: x.cast("string")), ", ")
-            .alias("samples"))
+    for pairs in distinct_pairs_typed(df, cols).values():
+        agg = first_n_listing(pairs, n, ", ", "samples", salt)
         res = agg if res is None else res.unionByName(agg)
     return res
 

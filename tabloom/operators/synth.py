@@ -233,8 +233,9 @@ def numeric_similarity(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -
                     (sim > 0.5).cast("int").alias("acceptable"))
 
 
-def category_overlap(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, overlap, n_real, n_synth, new_levels, missing_levels) from distinct pairs."""
+def category_overlap(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_listed: int = 50) -> DataFrame:
+    """(column, overlap, n_real, n_synth, new_levels, missing_levels) from distinct
+    pairs; level listings hold the first ``max_listed`` values (sorted)."""
     def pairs(df):
         return (df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
                 .where(F.col("value").isNotNull()).distinct())
@@ -242,10 +243,9 @@ def category_overlap(real: DataFrame, synth: DataFrame, cols: Sequence[str]) ->
     nr = r.groupBy("column").agg(F.count(F.lit(1)).alias("n_real"))
     ns = s.groupBy("column").agg(F.count(F.lit(1)).alias("n_synth"))
     common = r.join(s, ["column", "value"]).groupBy("column").agg(F.count(F.lit(1)).alias("n_common"))
-    new = s.join(r, ["column", "value"], "left_anti").groupBy("column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("new_levels"))
-    miss = r.join(s, ["column", "value"], "left_anti").groupBy("column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("missing_levels"))
+    from tabloom.operators.profile import first_n_listing
+    new = first_n_listing(s.join(r, ["column", "value"], "left_anti"), max_listed, "; ", "new_levels")
+    miss = first_n_listing(r.join(s, ["column", "value"], "left_anti"), max_listed, "; ", "missing_levels")
     names = real.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     out = names.join(nr, "column", "left").join(ns, "column", "left").join(common, "column", "left") \
         .join(new, "column", "left").join(miss, "column", "left")

@@ -80,10 +80,10 @@ def k03_added_rows(spark, sf_dir):
 enh AS (SELECT * FROM sample UNION ALL SELECT * FROM added),
 ep AS (SELECT "column", value FROM (UNPIVOT enh ON {", ".join(COLS)} INTO NAME "column" VALUE value))""") + """
 SELECT a."column", CAST(coalesce(b.n, 0) AS BIGINT) AS n_before, CAST(a.n AS BIGINT) AS n_after,
-       coalesce(nv.v, '') AS new_values
+       CAST(coalesce(nv.k, 0) AS BIGINT) AS n_new, coalesce(nv.v, '') AS new_values
 FROM (SELECT "column", count(DISTINCT value) AS n FROM ep GROUP BY 1) a
 LEFT JOIN (SELECT "column", count(DISTINCT value) AS n FROM sp GROUP BY 1) b USING ("column")
-LEFT JOIN (SELECT "column", array_to_string(list_sort(list(value)), '; ') AS v FROM
+LEFT JOIN (SELECT "column", count(*) AS k, array_to_string(list_sort(list(value))[1:50], '; ') AS v FROM
            (SELECT DISTINCT "column", value FROM ep EXCEPT SELECT DISTINCT "column", value FROM sp) GROUP BY 1) nv
   USING ("column")""")
 def k04_category_coverage(spark, sf_dir):

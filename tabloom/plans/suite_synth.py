@@ -54,8 +54,8 @@ def _overlap_sql(c):
     return (f"SELECT '{c}' AS \"column\", "
             f"CASE WHEN (SELECT count(*) FROM {r}) > 0 THEN (SELECT count(*) FROM {r} JOIN {s} USING (v)) / (SELECT count(*) FROM {r}) ELSE 1.0 END AS overlap, "
             f"(SELECT CAST(count(*) AS BIGINT) FROM {r}) AS n_real, (SELECT CAST(count(*) AS BIGINT) FROM {s}) AS n_synth, "
-            f"coalesce((SELECT array_to_string(list_sort(list(v)), '; ') FROM (SELECT v FROM {s} EXCEPT SELECT v FROM {r})), '') AS new_levels, "
-            f"coalesce((SELECT array_to_string(list_sort(list(v)), '; ') FROM (SELECT v FROM {r} EXCEPT SELECT v FROM {s})), '') AS missing_levels")
+            f"coalesce((SELECT array_to_string(list_sort(list(v))[1:50], '; ') FROM (SELECT v FROM {s} EXCEPT SELECT v FROM {r})), '') AS new_levels, "
+            f"coalesce((SELECT array_to_string(list_sort(list(v))[1:50], '; ') FROM (SELECT v FROM {r} EXCEPT SELECT v FROM {s})), '') AS missing_levels")
 
 
 @register("l05_category_overlap", with_sql(SIDES_SQL) + "\n" + "\nUNION ALL\n".join(_overlap_sql(c) for c in CAT))
