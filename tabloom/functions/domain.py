@@ -72,6 +72,12 @@ TEXT_DEFAULTS = {
 NUMERIC_DEFAULTS = {"year_of_project": 2024, "max_team_size": 8, "functional_size": 100}
 HOURS_PER_DAY, DAYS_PER_WEEK, WEEKS_PER_MONTH = 8, 5, 4.33
 LOW_WARNING, HIGH_WARNING = 10, 5000
+# Row-check messages (J05) and their limits.
+MSG_TEAM_NOT_POSITIVE = "Team size must be positive"
+MSG_TARGET_NOT_POSITIVE = "Target value is zero or negative"
+MSG_TARGET_HIGH = "Target value seems very high (>10)"
+MSG_TEAM_LARGE = "Very large team size (>50)"
+TARGET_HIGH, TEAM_LARGE = 10, 50
 
 
 def _c(col: Column | str) -> Column:
@@ -123,10 +129,10 @@ def validate_row_rules(df: DataFrame, required_numeric: Sequence[str], team: str
     errs = []
     for c in required_numeric:
         errs.append(F.when(F.col(c).isNull(), F.lit(f"missing: {c}")))
-    errs.append(F.when(F.col(team) <= 0, F.lit("Team size must be positive")))
-    warns = [F.when(F.col(target) <= 0, F.lit("Target value is zero or negative"))
-             .when(F.col(target) > 10, F.lit("Target value seems very high (>10)")),
-             F.when(F.col(team) > 50, F.lit("Very large team size (>50)"))]
+    errs.append(F.when(F.col(team) <= 0, F.lit(MSG_TEAM_NOT_POSITIVE)))
+    warns = [F.when(F.col(target) <= 0, F.lit(MSG_TARGET_NOT_POSITIVE))
+             .when(F.col(target) > TARGET_HIGH, F.lit(MSG_TARGET_HIGH)),
+             F.when(F.col(team) > TEAM_LARGE, F.lit(MSG_TEAM_LARGE))]
     e = F.filter(F.array(*errs), lambda x: x.isNotNull())
     w = F.filter(F.array(*warns), lambda x: x.isNotNull())
     return df.select("*", (F.size(e) == 0).alias("valid"), F.array_join(e, "; ").alias("errors"),

@@ -22,8 +22,13 @@ from tabloom.operators.missing import is_missing
 from tabloom.operators.schema import q
 
 INTEGRAL = (LongType, IntegerType, ShortType, ByteType)
-# Boolean-like spellings of the kind detector.
+# Boolean-like spellings of the kind detector (E13) and the
+# prepared-feature validation messages.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "1.0", "0.0", "yes", "no", "y", "n", "t", "f"]
+MSG_EMPTY = "DataFrame is empty"
+MSG_MISSING = "Found {n} missing values"
+MSG_INFINITE = "Found {n} infinite values"
+MSG_NON_NUMERIC = "Non-numeric columns found: {cols}"
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -320,19 +325,22 @@ def validate_table(df: DataFrame, target: str | None = None) -> DataFrame:
         (F.avg(q(target)) if has_t else F.lit(None)).cast("double").alias("target_mean"))
 
 
+def _msg(template: str, n: Column) -> Column:
+    head, tail = template.split("{n}")
+    return F.concat(F.lit(head), n.cast("string"), F.lit(tail))
+
+
 def validate_features_table(df: DataFrame) -> DataFrame:
     """Valid flag, warnings, errors and stats for a prepared feature frame."""
     v = validate_table(df)
     non_numeric = [c for c in df.columns if c not in numeric_cols(df)]
     warn = F.filter(F.array(
-        F.when(F.col("missing_total") > 0, F.concat(F.lit("Found "), F.col("missing_total").cast("string"),
-                                                    F.lit(" missing values"))),
-        F.lit(f"Non-numeric columns found: {non_numeric}") if non_numeric else F.lit(None).cast("string")),
+        F.when(F.col("missing_total") > 0, _msg(MSG_MISSING, F.col("missing_total"))),
+        F.lit(MSG_NON_NUMERIC.format(cols=non_numeric)) if non_numeric else F.lit(None).cast("string")),
         lambda x: x.isNotNull())
     err = F.filter(F.array(
-        F.when(F.col("rows") == 0, F.lit("DataFrame is empty")),
-        F.when(F.col("infinite_total") > 0, F.concat(F.lit("Found "), F.col("infinite_total").cast("string"),
-                                                     F.lit(" infinite values")))),
+        F.when(F.col("rows") == 0, F.lit(MSG_EMPTY)),
+        F.when(F.col("infinite_total") > 0, _msg(MSG_INFINITE, F.col("infinite_total")))),
         lambda x: x.isNotNull())
     return v.select(
         (F.size(err) == 0).alias("valid"), F.array_join(warn, " | ").alias("warnings"),
