@@ -5,11 +5,12 @@ one row to the driver) followed by ``stack`` to long form. Fill operators are
 fitted: ``fit`` runs that one aggregate and keeps a small plan (columns to drop,
 fill values), ``transform`` is a single lazy ``select``.
 
-Medians: ``median="exact"`` uses Spark's exact ``median`` (all distinct values
-of a column sit in one aggregation buffer: fine for bounded data);
-``"bounded"`` returns the same exact value with bounded memory through a few
-extra passes (``tabloom.operators.quantiles``), the setting for very large
-tables; ``"approx"`` uses a ``percentile_approx`` sketch.
+Medians (default ``median="auto"``, always exact): the fit aggregate also
+estimates each numeric column's distinct count (HLL); columns at most
+``EXACT_MEDIAN_MAX_DISTINCT`` get Spark's exact ``median`` (its buffer holds
+one entry per distinct value) in one follow-up aggregate, larger columns the
+bounded-memory algorithm of ``tabloom.operators.quantiles``. ``"exact"``,
+``"bounded"`` and ``"approx"`` (a ``percentile_approx`` sketch) force one way.
 """
 
 from __future__ import annotations
@@ -53,6 +54,28 @@ def median_expr(c: Column, approx: bool = False) -> Column:
     return F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
 
 
+EXACT_MEDIAN_MAX_DISTINCT = 100_000
+
+
+def fitted_medians(df: DataFrame, cols: Sequence[str], distinct_estimate: dict[str, int],
+                   limit: int = EXACT_MEDIAN_MAX_DISTINCT) -> dict[str, float | None]:
+    """Exact medians, memory-safe: Spark's exact ``median`` for columns whose
+    (HLL-estimated) distinct count is small (its buffer holds one entry per
+    distinct value), the bounded-memory algorithm for the rest. One aggregate
+    pass for the small ones; a few passes for the large ones."""
+    small = [c for c in cols if (distinct_estimate.get(c) or 0) <= limit]
+    large = [c for c in cols if c not in small]
+    out: dict[str, float | None] = {}
+    if small:
+        row = df.agg(*[F.median(q(c)).alias(f"m{i}") for i, c in enumerate(small)]).first()
+        out.update({c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else None) for i, c in enumerate(small)})
+    if large:
+        from tabloom.operators.quantiles import exact_quantiles
+        med = exact_quantiles(df, large, [0.5])
+        out.update({c: med[c][0] for c in large})
+    return out
+
+
 # D01 / D09 -------------------------------------------------------------------
 def missing_profile(df: DataFrame) -> DataFrame:
     """(column, n_missing, missing_frac) for every column, from one aggregate."""
@@ -105,24 +128,28 @@ class MissingHandler:
     with ``fill_value`` and numerics with the fitted median."""
 
     def __init__(self, threshold: float = 0.7, keep: Iterable[str] = (), fill_value: str = "missing",
-                 median: str = "exact"):
-        """``median``: "exact" (Spark exact median), "bounded" (same result,
-        bounded memory, a few extra passes) or "approx" (sketch)."""
+                 median: str = "auto"):
+        """``median``: "auto" (exact; Spark's median for low-cardinality columns,
+        the bounded-memory algorithm above EXACT_MEDIAN_MAX_DISTINCT), "exact"
+        (Spark's median for all), "bounded" (bounded algorithm for all) or
+        "approx" (sketch)."""
         self.threshold, self.keep, self.fill_value, self.median = threshold, set(keep), fill_value, median
 
     def fit(self, df: DataFrame) -> FittedMissing:
         cols, nums = df.columns, numeric_cols(df)
         aggs = [F.count(F.lit(1)).alias("_rows")]
         aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        if self.median != "bounded":
+        if self.median in ("exact", "approx"):
             aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
+        elif self.median == "auto":
+            aggs += [F.approx_count_distinct(q(c)).alias(f"hd{i}") for i, c in enumerate(nums)]
         row = df.agg(*aggs).first()
         n = row["_rows"] or 1
         drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
         if self.median == "bounded":
-            from tabloom.operators.quantiles import exact_quantiles
-            med = exact_quantiles(df, nums, [0.5])
-            fills = {c: med[c][0] for c in nums}
+            fills = fitted_medians(df, nums, {c: EXACT_MEDIAN_MAX_DISTINCT + 1 for c in nums})
+        elif self.median == "auto":
+            fills = fitted_medians(df, nums, {c: row[f"hd{i}"] for i, c in enumerate(nums)})
         else:
             fills = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None) for i, c in enumerate(nums)}
         return FittedMissing(drop, self.fill_value, fills, text_cols(df))

@@ -126,11 +126,13 @@ class Preprocessor:
     def __init__(self, target: str | None = None, threshold: float = 0.7, keep: Iterable[str] | None = None,
                  max_cardinality: int = 10, mapping: Mapping[str, str] | None = None,
                  fill_value: str = "missing", preserve: Sequence[str] = (), null_token: str | None = None,
-                 median: str = "exact"):
+                 median: str = "auto"):
         self.target, self.threshold = target, threshold
         self.keep = set(DEFAULT_KEEP if keep is None else keep)
         self.max_cardinality, self.mapping = max_cardinality, dict(mapping or {})
         self.fill_value, self.preserve, self.null_token = fill_value, list(preserve), null_token
+        # "auto": exact; Spark's median for columns estimated <= 100k distinct,
+        #         the bounded-memory algorithm for larger ones (safe at any size)
         # "exact": Spark's exact median (one buffer per column; bounded-size data)
         # "bounded": exact result with bounded memory (tabloom.operators.quantiles)
         # "approx": percentile_approx sketch
@@ -148,6 +150,8 @@ class Preprocessor:
         aggs += [F.count_if(is_missing(named, c)).alias(f"m{i}") for i, c in enumerate(cols)]
         if self.median in ("exact", "approx"):
             aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
+        elif self.median == "auto":
+            aggs += [F.approx_count_distinct(q(c)).alias(f"hd{i}") for i, c in enumerate(nums)]
         aggs += [F.count_if(F.contains(q(c), F.lit(";"))).alias(f"s{i}") for i, c in enumerate(txt)]
         # HLL gate: cleaning can add one level (the fill word) and only merges
         # others, so a column estimated far above the limit is never one-hot.
@@ -156,10 +160,11 @@ class Preprocessor:
         n = row["_rows"] or 1
         plan.input_columns = cols
         plan.drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        if self.median == "bounded":
-            from tabloom.operators.quantiles import exact_quantiles
-            med = exact_quantiles(named, nums, [0.5])
-            plan.numeric_fill = {c: med[c][0] for c in nums}
+        if self.median in ("bounded", "auto"):
+            from tabloom.operators.missing import EXACT_MEDIAN_MAX_DISTINCT, fitted_medians
+            est = ({c: EXACT_MEDIAN_MAX_DISTINCT + 1 for c in nums} if self.median == "bounded"
+                   else {c: row[f"hd{i}"] for i, c in enumerate(nums)})
+            plan.numeric_fill = fitted_medians(named, nums, est)
         else:
             plan.numeric_fill = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None)
                                  for i, c in enumerate(nums)}

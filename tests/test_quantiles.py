@@ -21,3 +21,11 @@ def test_missing_handler_bounded_median(spark):
     a = MissingHandler(median="bounded").fit(df).numeric_fill["x"]
     b = MissingHandler(median="exact").fit(df).numeric_fill["x"]
     assert a == b == 3.0
+
+
+def test_fitted_medians_both_paths_agree(spark):
+    from tabloom.operators.missing import fitted_medians
+    df = spark.range(3000).select((F.col("id") * 37 % 1001 / 3.0).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    small = fitted_medians(df, ["a", "b"], {"a": 1, "b": 1})            # Spark exact median
+    large = fitted_medians(df, ["a", "b"], {"a": 10**9, "b": 10**9})    # bounded-memory algorithm
+    assert small == large
