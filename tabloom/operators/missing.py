@@ -54,7 +54,7 @@ def median_expr(c: Column, approx: bool = False) -> Column:
     return F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
 
 
-EXACT_MEDIAN_MAX_DISTINCT = 100_000
+EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
 
 
 def fitted_medians(df: DataFrame, cols: Sequence[str], distinct_estimate: dict[str, int],

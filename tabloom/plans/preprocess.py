@@ -131,7 +131,7 @@ class Preprocessor:
         self.keep = set(DEFAULT_KEEP if keep is None else keep)
         self.max_cardinality, self.mapping = max_cardinality, dict(mapping or {})
         self.fill_value, self.preserve, self.null_token = fill_value, list(preserve), null_token
-        # "auto": exact; Spark's median for columns estimated <= 100k distinct,
+        # "auto": exact; Spark's median for columns estimated <= 1M distinct,
         #         the bounded-memory algorithm for larger ones (safe at any size)
         # "exact": Spark's exact median (one buffer per column; bounded-size data)
         # "bounded": exact result with bounded memory (tabloom.operators.quantiles)

@@ -42,7 +42,8 @@ SELECT project_id, effort, coalesce(acct_balance, (SELECT median(acct_balance) F
        order_year, {", ".join(f"coalesce({c}, 'missing') AS {c}" for c in TXT)}
 FROM proj""", headline=True)
 def d02_missing_handler(spark, sf_dir):
-    df = project_frame(spark, sf_dir)
+    # fit (two passes) + transform read the derived input three times: cut lineage once
+    df = materialize(project_frame(spark, sf_dir))
     return M.MissingHandler(threshold=0.7).fit(df).transform(df)
 
 
