@@ -129,17 +129,42 @@ def data_summary(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 # E02 -----------------------------------------------------------------------
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """(column, count, mean, std, min, q25, median, q75, max); std is the sample std."""
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
+                     approx: bool = False) -> DataFrame:
+    """(column, count, mean, std, min, q25, median, q75, max); std is the sample std.
+
+    Quartiles (interpolated, as pandas): ``method="auto"`` is exact and
+    memory-safe - columns whose HLL distinct estimate is at most
+    EXACT_MEDIAN_MAX_DISTINCT use Spark's exact ``percentile`` in the same
+    aggregate, larger ones the bounded-memory algorithm; "exact" uses
+    ``percentile`` for all; ``approx=True`` (or "approx") a sketch."""
+    from tabloom.operators.missing import EXACT_MEDIAN_MAX_DISTINCT
     cols = list(cols or numeric_cols(df))
+    method = "approx" if approx else method
+    large: list[str] = []
+    if method == "auto" and cols:
+        est = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        large = [c for i, c in enumerate(cols) if (est[f"d{i}"] or 0) > EXACT_MEDIAN_MAX_DISTINCT]
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-               else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+        if method == "approx":
+            pct = F.percentile_approx(x, QUARTILES, 10000)
+        elif c in large:
+            pct = F.lit(None).cast("array<double>")
+        else:
+            pct = F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES]))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), pct.alias(f"p{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
+    if large:
+        from tabloom.operators.quantiles import exact_quantiles
+        qs = exact_quantiles(df, large, QUARTILES)
+        repl = {f"p{cols.index(c)}": F.array(*[F.lit(v) for v in qs[c]]).cast("array<double>") for c in large}
+        wide = wide.select(*[repl[f].alias(f) if f in repl else F.col(f) for f in wide.columns])
     long = stack_wide(wide, cols, [("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"),
                                    ("p", "p"), ("hi", "max")])
     return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",

@@ -148,7 +148,7 @@ class Copula:
 
 
 def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, grid_points: int = 101,
-               approx: bool = False, seed: int = 0, max_levels: int = 100_000) -> Copula:
+               approx: bool = True, seed: int = 0, max_levels: int = 100_000) -> Copula:
     """Marginals (one aggregate + one level count) and the score correlation.
 
     Categorical level lists travel in the plan, so a column with more than

@@ -29,3 +29,13 @@ def test_fitted_medians_both_paths_agree(spark):
     small = fitted_medians(df, ["a", "b"], {"a": 1, "b": 1})            # Spark exact median
     large = fitted_medians(df, ["a", "b"], {"a": 10**9, "b": 10**9})    # bounded-memory algorithm
     assert small == large
+
+
+def test_describe_bounded_path_matches_exact(spark, monkeypatch):
+    import tabloom.operators.missing as M
+    from tabloom.operators.profile import describe_numeric
+    df = spark.range(2000).select((F.col("id") * 13 % 997 / 7.0).alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    exact = {r["column"]: tuple(r)[1:] for r in describe_numeric(df, method="exact").collect()}
+    monkeypatch.setattr(M, "EXACT_MEDIAN_MAX_DISTINCT", 0)        # force the bounded algorithm
+    bounded = {r["column"]: tuple(r)[1:] for r in describe_numeric(df, method="auto").collect()}
+    assert exact == bounded
