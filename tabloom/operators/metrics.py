@@ -79,12 +79,15 @@ def ensemble(cols: Sequence[str], floor: float | None = None) -> list[Column]:
 
 
 # M14 -----------------------------------------------------------------------
-def prediction_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def prediction_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """Per model: count, mean, std, min, max, median (``approx=True``: sketch
+    median, for prediction columns of unbounded cardinality)."""
     long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "model", "prediction")
+    med = F.percentile_approx("prediction", 0.5, 10000) if approx else F.median("prediction")
     return long.groupBy("model").agg(
         F.count("prediction").cast("bigint").alias("count"), F.avg("prediction").alias("mean"),
         F.stddev_samp("prediction").alias("std"), F.min("prediction").alias("min"),
-        F.max("prediction").alias("max"), F.median("prediction").alias("median"))
+        F.max("prediction").alias("max"), med.alias("median"))
 
 
 # M15 -----------------------------------------------------------------------

@@ -231,15 +231,18 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def column_stats(df: DataFrame, col: str) -> DataFrame:
-    x = q(col).cast("double")
-    return df.agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"),
-                  F.min(x).alias("min"), F.max(x).alias("max"))
+    """Mean, median, sample std, min, max beside a histogram (memory-safe exact median)."""
+    return describe_numeric(df, [col]).select("mean", "median", "std", "min", "max")
 
 
 # E10 -----------------------------------------------------------------------
-def box_stats(df: DataFrame, cat: str, num: str) -> DataFrame:
+def box_stats(df: DataFrame, cat: str, num: str, approx: bool = False) -> DataFrame:
+    """Five-number summary per category. Exact quartiles keep each group's
+    distinct values in one buffer; ``approx=True`` (a sketch) is the setting
+    for groups of unbounded cardinality."""
     x = q(num).cast("double")
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    p = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
+         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
     g = df.groupBy(q(cat).alias("category")).agg(
         F.count(x).alias("n"), F.min(x).alias("min"), p.alias("_p"), F.max(x).alias("max"))
     return g.select("category", F.col("n").cast("bigint").alias("n"), "min", F.col("_p")[0].alias("q25"),
