@@ -31,15 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def multivalue_cells(lines: DataFrame, key: str, values: list[str], sep: str = ";") -> DataFrame:
     """(key, one cell per value column): the values per ``key``, sorted, repeats kept.
 
-    Lines are pre-aggregated to (key, values..., n) with map-side combine, then
-    packed per key, so a hot key ships one row per distinct combination."""
+    Lines are pre-aggregated to (key, values..., n) with map-side combine, so a
+    hot key ships one row per distinct combination; each such row carries its
+    repeats as a string (``array_repeat`` + ``concat_ws``), and per key the
+    collected (value, repeats) structs are sorted and their strings joined.
+    Built-ins only (no lambdas), so the whole step stays in code generation."""
     per = lines.groupBy(key, *values).agg(F.count(F.lit(1)).alias("_n"))
-    packed = per.groupBy(key).agg(F.collect_list(F.struct(*values, "_n")).alias("_vs"))
-    cells = []
-    for v in values:
-        rep = F.flatten(F.transform("_vs", lambda s: F.array_repeat(s[v], s["_n"].cast("int"))))
-        cells.append(F.array_join(F.array_sort(rep), sep).alias(v))
-    return packed.select(key, *cells)
+    reps = [F.struct(F.col(v).alias("v"),
+                     F.concat_ws(sep, F.array_repeat(F.col(v), F.col("_n").cast("int"))).alias("r")).alias(f"_s{i}")
+            for i, v in enumerate(values)]
+    packed = per.select(key, *reps).groupBy(key).agg(
+        *[F.collect_list(f"_s{i}").alias(f"_l{i}") for i in range(len(values))])
+    return packed.select(key, *[F.array_join(F.array_sort(f"_l{i}")["r"], sep).alias(v) for i, v in enumerate(values)])
 
 
 def project_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
