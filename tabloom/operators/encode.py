@@ -45,14 +45,16 @@ def distinct_pairs(df: DataFrame, cols: Sequence[str], multi: bool = False) -> D
 def fit_levels(df: DataFrame, cols: Sequence[str], limit: int | None, multi: bool = False
                ) -> tuple[dict[str, int], dict[str, list[str]]]:
     """(distinct count per column, sorted levels of columns with count <= limit)."""
-    pairs = distinct_pairs(df, cols, multi)
-    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    small = counts if limit is None else counts.where(F.col("n") <= limit)
-    # ``small`` has at most one row per column of the schema: a bounded broadcast.
-    levels = (pairs.join(F.broadcast(small.select("column")), "column")
-              .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("levels")))
-    n = {r["column"]: r["n"] for r in counts.collect()}
-    lv = {r["column"]: list(r["levels"]) for r in levels.collect()}
+    pairs = distinct_pairs(df, cols, multi).persist()     # read by both collects below
+    try:
+        counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+        n = {r["column"]: r["n"] for r in counts.collect()}
+        small = [c for c in cols if limit is None or n.get(c, 0) <= limit]
+        levels = (pairs.where(F.col("column").isin(small)).groupBy("column")
+                  .agg(F.array_sort(F.collect_list("value")).alias("levels")))
+        lv = {r["column"]: list(r["levels"]) for r in levels.collect()} if small else {}
+    finally:
+        pairs.unpersist()
     return {c: n.get(c, 0) for c in cols}, lv
 
 
