@@ -65,3 +65,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _bpe_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, by shared chunks, and their decoded texts."""
+    from .bpe import counted, decode, encode
+    path = _bpe_file()
+    out = decode(counted(encode(table(spark, sf_dir, "documents"), path)), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_token_store")
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of all documents written as token files and read back by the index."""
+    from .token_store import read_tokens, write_tokens
+    index = write_tokens(table(spark, sf_dir, "documents"), _bpe_file(), end_id=0)
+    return read_tokens(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

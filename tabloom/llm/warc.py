@@ -181,7 +181,8 @@ def read_records(index: DataFrame, gap: int = 1 << 16, span: int = 8 << 20) -> D
     (null for a revisit; ``resolve`` points it to its response). Repeated index rows
     give repeated records.
     """
-    return (index.select("file", "offset", "length", "url").repartitionByRange("file", "offset")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # the index is small, what it names isn't
+    return (index.select("file", "offset", "length", "url").repartitionByRange(tasks, "file", "offset")
             .sortWithinPartitions("file", "offset").mapInArrow(_reader(gap, span), RECORD_SCHEMA))
 
 
