@@ -88,3 +88,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_tokens, write_tokens
     index = write_tokens(table(spark, sf_dir, "documents"), _bpe_file(), end_id=0)
     return read_tokens(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the rule ensemble learnt from ``labels``."""
+    from .quality import classify
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classify(table(spark, sf_dir, "documents"), labels, threshold=0.3)[0]
