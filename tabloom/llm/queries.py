@@ -96,3 +96,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return classify(table(spark, sf_dir, "documents"), labels, threshold=0.3)[0]
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the windows matched."""
+    from .decontaminate import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
