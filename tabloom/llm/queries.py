@@ -103,3 +103,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the windows matched."""
     from .decontaminate import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_chat")
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that imitates the template, formatted and read back."""
+    from .chat import conversation_digests, format_conversations
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return conversation_digests(format_conversations(rows, _bpe_file(), budget=1024, history=256))
