@@ -137,3 +137,11 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 largest integer inner products of every hundredth vector with all others."""
     from .topk import integer_vectors, top_k
     return top_k(integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op7_pseudo_likelihood")
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents under a network learnt from them."""
+    from .pseudo import fit, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs))
