@@ -64,22 +64,22 @@ def _token_counts(path: str):
 def fill_windows(turns: list[dict], system: dict | None, budget: int, history: int) -> list[dict]:
     """Windows over one block's turns (oldest first, repeated ones before fresh ones).
 
-    Each window holds the system turn, as many of the turns before its span as fit
-    into ``history`` and into what is left of the budget, and a span of fresh turns
-    cut by prefix sums. A turn that doesn't fit with the system turn stands alone
-    with it (over budget); turns are never split.
+    Each window holds the system turn, up to ``history`` tokens of the turns before
+    its span, and a span of fresh turns cut by prefix sums to what is left of the
+    budget. The first fresh turn comes before history; one that doesn't fit with
+    the system turn stands alone with it (over budget). Turns are never split.
     """
     ends = np.cumsum([0] + [t["tokens"] for t in turns])
-    first = next(i for i, t in enumerate(turns) if t["fresh"])
-    out, i = [], first
+    out, i = [], next(i for i, t in enumerate(turns) if t["fresh"])
     while i < len(turns):
         lead = [] if system is None or turns[i]["row"] == system["row"] else [system]
         room = budget - sum(t["tokens"] for t in lead)
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + room, side="right")) - 1)
-        spare = min(history, room - int(ends[j] - ends[i]))
         h = i
-        while h > 0 and ends[i] - ends[h - 1] <= spare and not (system and turns[h - 1]["row"] == system["row"]):
+        while h > 0 and ends[i] - ends[h - 1] <= history and not (system and turns[h - 1]["row"] == system["row"]):
             h -= 1
+        while h < i and ends[i + 1] - ends[h] > room:
+            h += 1
+        j = max(i + 1, int(np.searchsorted(ends, ends[h] + room, side="right")) - 1)
         out.append({"context": lead + turns[h:i], "fresh": turns[i:j]})
         i = j
     return out
@@ -114,10 +114,10 @@ def format_conversations(conversations: DataFrame, path: str, budget: int = 1024
 
     Turn tokens (of the formatted turn, by the BPE file at ``path``) are summed up
     along each conversation by distributed prefix sums. Every multiple of
-    ``budget`` begins a block of turns, and blocks are filled on their own
-    (``fill_windows``), so a conversation of any length is worked on by many
+    ``budget - history`` begins a block of turns, and blocks are filled on their
+    own (``fill_windows``), so a conversation of any length is worked on by many
     tasks. Each window repeats the first turn if its role is system, and at most
-    ``history`` (< budget) tokens of earlier turns. ``loss`` has the spans of
+    ``history`` (less than half the budget) tokens of earlier turns. ``loss`` has the spans of
     assistant texts (in characters of ``text``) that are new in the window:
     repeated ones are masked, so each target counts once.
 
@@ -127,8 +127,9 @@ def format_conversations(conversations: DataFrame, path: str, budget: int = 1024
     ties of a turn go by role and text, repeated rows are repeated turns, further
     columns are ignored, an empty table gives an empty result.
     """
-    if not 0 <= history < budget:
-        raise ValueError("history must be less than the budget")
+    stride = budget - history
+    if not 0 <= history < stride:
+        raise ValueError("history must be less than half the budget")
     tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turns = (conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                   F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -138,10 +139,10 @@ def format_conversations(conversations: DataFrame, path: str, budget: int = 1024
              .withColumn("run", F.shiftright("row", _RUN_BITS)))
     # rows ascend along a conversation, whichever of the range partitions it spans
     turns = stage(totals_before(stage(turns), ["conv_id"], "run", [F.col("row")], F.col("tokens"), "start"))
-    block = F.floor(F.col("start") / budget).cast("long")
+    block = F.floor(F.col("start") / stride).cast("long")
     fields = F.struct("row", "role", "text", "tokens", "fresh")
     fresh = turns.withColumn("block", block).withColumn("fresh", F.lit(True))
-    earlier = (turns.withColumn("block", F.floor((F.col("start") + history) / budget).cast("long"))
+    earlier = (turns.withColumn("block", F.floor((F.col("start") + history) / stride).cast("long"))
                .where(F.col("block") > block).withColumn("fresh", F.lit(False)))
     blocks = (fresh.unionByName(earlier).groupBy("conv_id", "block")
               .agg(F.collect_list(fields).alias("turns"), F.max("fresh").alias("any")).where("any").drop("any"))

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import HashSet64, Memo, stage, utf8
 
-#: Words that count as a unit when a number stands before them.
-UNITS = frozenset("""mm cm m km in ft yd mi miles mile inches inch feet foot meters metres meter metre kilometers
-kilometres g kg mg lb lbs oz t tons tonnes grams gram kilograms kilogram pounds pound ounces l ml liters litres gallons
-s sec secs seconds second min mins minutes minute h hr hrs hours hour days day weeks week months month years year
-percent dollars dollar euros euro cents cent usd eur gbp kmh mph hz khz mhz ghz kb mb gb tb w kw mw v a k c f""".split())
+#: Words that are a unit wherever they stand, and those that are one after a number.
+MEASURES = frozenset("""km cm mm kg mg ml lbs mph kmh hz khz mhz ghz kb mb gb tb kw mw usd eur gbp mile miles inch inches
+feet foot yard yards meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms
+pound pounds ounce ounces ton tons tonne tonnes liter liters litre litres gallon gallons second seconds minute minutes
+hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents""".split())
+UNITS = frozenset("m in ft yd mi g lb oz t l s sec secs min mins h hr hrs w v a k c f".split())
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
-_NUMBER, _END, _TITLE, _UNIT, _WORD = 1, 2, 3, 4, 5
+_NUMBER, _END, _TITLE, _UNIT, _WORD, _MEASURE = 1, 2, 3, 4, 5, 6
 _KIND_BITS = 3
 _PLACE = {_NUMBER: "<number>", _TITLE: "<name>", _UNIT: "<unit>"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +42,7 @@ class _Codes(Memo):
         else:
             low = token.lower()
             title = token[0].isupper() and token[1:] == low[1:] and len(token) > 1
-            code = _hash(low) | (_TITLE if title else _UNIT if low in UNITS else _WORD)
+            code = _hash(low) | (_MEASURE if low in MEASURES else _TITLE if title else _UNIT if low in UNITS else _WORD)
         self.make_room(1)
         self[token] = code
         return code
@@ -54,8 +55,8 @@ _HOLDER = {kind: np.uint64(_hash(name) | kind) for kind, name in _PLACE.items()}
 def template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, codes, typed) of a text: numbers, names and units become placeholders.
 
-    A number is a run of digits (with . or , inside); a unit is a listed word right
-    after a number; a name is a word with only its first letter a capital that
+    A number is a run of digits (with . or , inside); a unit is a listed word, the
+    short ones only right after a number; a name is a word with only its first letter a capital that
     does not begin a sentence or line (with ``names`` false: none is). Other words
     count in lower case; marks don't count. ``typed`` tells a word's placeholder.
     """
@@ -69,6 +70,7 @@ def template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.n
     kind, codes = kind[word], codes[word] & ~np.uint64(7)
     kind[(kind == _TITLE) & ((before == _END) | (not names))] = _WORD
     kind[(kind == _UNIT) & (before != _NUMBER)] = _WORD
+    kind[kind == _MEASURE] = _UNIT
     for k, holder in _HOLDER.items():
         codes[kind == k] = holder
     return [t for t, w in zip(tokens, word.tolist()) if w], codes, kind

@@ -110,3 +110,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     by_print = named.join(least, "root").select("fp", "component_id")
     return (rows.join(by_print, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, all columns as
+    they are. A doc_id names one document: rows that repeat it are copies, and one
+    of them stays. Rows without doc_id stay (nothing names them)."""
+    found = stage(near_duplicates(docs, shingle, max_distance).where("doc_id is not null").select("doc_id", "component_id"))
+    lost = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    again = stage(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"))
+    kept = docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
+    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
