@@ -87,10 +87,10 @@ class Encoder(dict):
         return [b"".join(map(look, self.split(t))) for t in texts]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, limit: int = 800_000) -> Encoder:
     """One encoder for each Python worker, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, limit)
 
 
 @lru_cache(maxsize=2)
@@ -183,6 +183,10 @@ def _with_shared(maybe, wanted: bool, then):
     return run
 
 
+#: Pieces that a worker of ``encode`` remembers: four workers of an executor may each hold so many.
+_MEMO = 300_000
+
+
 def _encode_whole(path: str, group: int = 4 << 20):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
@@ -193,7 +197,7 @@ def _encode_whole(path: str, group: int = 4 << 20):
             n = sum(1 for _ in same)
             some = batch.slice(at, n)
             at += n
-            ids = encoder(path).encode([x.as_py().decode() for x in some.column("text")])
+            ids = encoder(path, _MEMO).encode([x.as_py().decode() for x in some.column("text")])
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     return run
 
@@ -228,7 +232,7 @@ def _encode_chunks(path: str):
                 probes.append(chunk[seams[0]:seams[1]].decode())
                 cores.append(chunk[seams[1]:seams[-1]].decode())
             if rows:
-                ids = encoder(path).encode(probes + cores)
+                ids = encoder(path, _MEMO).encode(probes + cores)
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.array(ids[:len(rows)], pa.binary()), pa.array(ids[len(rows):], pa.binary())],
                     names=["k1", "k2", "head", "probe_end", "tail", "probe", "core"])
@@ -261,7 +265,7 @@ def join_chunks(text: bytes, known: dict[int, dict], encode) -> bytes:
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def encode(piece: bytes) -> bytes:
-            return encoder(path).encode([piece.decode()])[0]
+            return encoder(path, _MEMO).encode([piece.decode()])[0]
         for batch in batches:
             out = [join_chunks(x.as_py(), {c["pos"]: c for c in found.as_py() or []}, encode)
                    for x, found in zip(batch.column("text"), batch.column("found"))]
