@@ -11,7 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.quantiles import known, quantile_table
+from tabloom.operators.running import totals_before
 from tabloom.operators.schema import q
+from tabloom.session import materialize
 
 METRICS = ["MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE"]
 
@@ -80,14 +83,16 @@ def ensemble(cols: Sequence[str], floor: float | None = None) -> list[Column]:
 
 # M14 -----------------------------------------------------------------------
 def prediction_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Per model: count, mean, std, min, max, median (``approx=True``: sketch
-    median, for prediction columns of unbounded cardinality)."""
-    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "model", "prediction")
-    med = F.percentile_approx("prediction", 0.5, 10000) if approx else F.median("prediction")
-    return long.groupBy("model").agg(
+    """Per model: count, mean, std, min, max, exact median (``approx``: a sketch)."""
+    long = df.select(*[known(q(c)).alias(c) for c in cols]).unpivot([], list(cols), "model", "prediction")
+    sketch = [F.percentile_approx("prediction", 0.5, 10000).alias("median")] if approx else []
+    out = long.groupBy("model").agg(
         F.count("prediction").cast("bigint").alias("count"), F.avg("prediction").alias("mean"),
         F.stddev_samp("prediction").alias("std"), F.min("prediction").alias("min"),
-        F.max("prediction").alias("max"), med.alias("median"))
+        F.max("prediction").alias("max"), *sketch)
+    if approx:
+        return out
+    return out.join(quantile_table(df, cols, [0.5]).select(F.col("column").alias("model"), F.col("q0").alias("median")), "model", "left")
 
 
 # M15 -----------------------------------------------------------------------
@@ -135,10 +140,13 @@ def pick_candidate(df: DataFrame, key: str, candidates: Sequence[float], feature
 
 # M27 -----------------------------------------------------------------------
 def history_table(hist: DataFrame, ts: str = "timestamp", model: str = "model", hours: str = "prediction_hours") -> DataFrame:
-    """Numbered history per model (window per model, not global), hours and days."""
-    w = Window.partitionBy(model).orderBy(ts, hours)
-    return hist.select(F.row_number().over(w).alias("n"), ts, model, hours, (F.col(hours) / 8).alias("days"),
-                       *[c for c in hist.columns if c not in {ts, model, hours}])
+    """The whole history numbered 1..n by time (ties by model, hours, then the other
+    columns), with hours and days. Ranges of time are numbered side by side."""
+    rest = [c for c in hist.columns if c not in {ts, model, hours}]
+    order = [q(c) for c in (ts, model, hours, *rest)]
+    rows = materialize(hist.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    n = totals_before(rows, [], "__range", order, F.lit(1), "__before")
+    return n.select((F.col("__before") + 1).cast("int").alias("n"), ts, model, hours, (F.col(hours) / 8).alias("days"), *rest)
 
 
 def history_summary(hist: DataFrame, hours: str = "prediction_hours") -> DataFrame:
@@ -148,4 +156,4 @@ def history_summary(hist: DataFrame, hours: str = "prediction_hours") -> DataFra
 
 
 def history_last(hist: DataFrame, n: int = 3, ts: str = "timestamp") -> DataFrame:
-    return hist.orderBy(F.desc(ts)).limit(n)
+    return hist.orderBy(F.desc(ts), *[q(c) for c in hist.columns if c != ts]).limit(n)

@@ -5,12 +5,9 @@ one row to the driver) followed by ``stack`` to long form. Fill operators are
 fitted: ``fit`` runs that one aggregate and keeps a small plan (columns to drop,
 fill values), ``transform`` is a single lazy ``select``.
 
-Medians (default ``median="auto"``, always exact): the fit aggregate also
-estimates each numeric column's distinct count (HLL); columns at most
-``EXACT_MEDIAN_MAX_DISTINCT`` get Spark's exact ``median`` (its buffer holds
-one entry per distinct value) in one follow-up aggregate, larger columns the
-bounded-memory algorithm of ``tabloom.operators.quantiles``. ``"exact"``,
-``"bounded"`` and ``"approx"`` (a ``percentile_approx`` sketch) force one way.
+NaN is missing like null: no statistic sees it, and fills replace it. Medians are
+exact at every size (``tabloom.operators.quantiles``, one distributed pass for
+all columns); ``median="approx"`` takes a ``percentile_approx`` sketch instead.
 """
 
 from __future__ import annotations
@@ -22,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, DoubleType, FloatType
 
+from tabloom.operators.quantiles import exact_quantiles, known
 from tabloom.operators.schema import q
 
 
@@ -50,30 +48,19 @@ def long_form(wide: DataFrame, cols: Sequence[str], prefixes: Sequence[str], nam
     return wide.select(F.stack(F.lit(len(cols)), *args).alias("column", *names))
 
 
-def median_expr(c: Column, approx: bool = False) -> Column:
-    return F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)
+def value(df: DataFrame, c: str) -> Column:
+    """The column with NaN as null."""
+    return F.when(~F.isnan(q(c)), q(c)) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else q(c)
 
 
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
-
-
-def fitted_medians(df: DataFrame, cols: Sequence[str], distinct_estimate: dict[str, int],
-                   limit: int = EXACT_MEDIAN_MAX_DISTINCT) -> dict[str, float | None]:
-    """Exact medians, memory-safe: Spark's exact ``median`` for columns whose
-    (HLL-estimated) distinct count is small (its buffer holds one entry per
-    distinct value), the bounded-memory algorithm for the rest. One aggregate
-    pass for the small ones; a few passes for the large ones."""
-    small = [c for c in cols if (distinct_estimate.get(c) or 0) <= limit]
-    large = [c for c in cols if c not in small]
-    out: dict[str, float | None] = {}
-    if small:
-        row = df.agg(*[F.median(q(c)).alias(f"m{i}") for i, c in enumerate(small)]).first()
-        out.update({c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else None) for i, c in enumerate(small)})
-    if large:
-        from tabloom.operators.quantiles import exact_quantiles
-        med = exact_quantiles(df, large, [0.5])
-        out.update({c: med[c][0] for c in large})
-    return out
+def fitted_medians(df: DataFrame, cols: Sequence[str], median: str = "exact",
+                   values: dict[str, Column] | None = None) -> dict[str, float | None]:
+    """{column: median of its known values}, None if there is none."""
+    x = {c: known((values or {}).get(c, q(c))) for c in cols}
+    if median == "approx" and cols:
+        row = df.agg(*[F.percentile_approx(x[c], 0.5, 10000).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return {c: m[0] for c, m in exact_quantiles(df, cols, [0.5], x).items()}
 
 
 # D01 / D09 -------------------------------------------------------------------
@@ -112,7 +99,7 @@ class FittedMissing:
             if c in self.drop:
                 continue
             if c in self.numeric_fill and self.numeric_fill[c] is not None:
-                out.append(F.coalesce(q(c), F.lit(self.numeric_fill[c]).cast(df.schema[c].dataType)).alias(c))
+                out.append(F.coalesce(value(df, c), F.lit(self.numeric_fill[c]).cast(df.schema[c].dataType)).alias(c))
             elif isinstance(df.schema[c].dataType, StringType):
                 out.append(F.coalesce(q(c), F.lit(self.text_fill)).alias(c))
             else:
@@ -128,30 +115,17 @@ class MissingHandler:
     with ``fill_value`` and numerics with the fitted median."""
 
     def __init__(self, threshold: float = 0.7, keep: Iterable[str] = (), fill_value: str = "missing",
-                 median: str = "auto"):
-        """``median``: "auto" (exact; Spark's median for low-cardinality columns,
-        the bounded-memory algorithm above EXACT_MEDIAN_MAX_DISTINCT), "exact"
-        (Spark's median for all), "bounded" (bounded algorithm for all) or
-        "approx" (sketch)."""
+                 median: str = "exact"):
+        """``median``: "exact", or "approx" (a sketch)."""
         self.threshold, self.keep, self.fill_value, self.median = threshold, set(keep), fill_value, median
 
     def fit(self, df: DataFrame) -> FittedMissing:
-        cols, nums = df.columns, numeric_cols(df)
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        if self.median in ("exact", "approx"):
-            aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
-        elif self.median == "auto":
-            aggs += [F.approx_count_distinct(q(c)).alias(f"hd{i}") for i, c in enumerate(nums)]
-        row = df.agg(*aggs).first()
+        cols = df.columns
+        row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         n = row["_rows"] or 1
         drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        if self.median == "bounded":
-            fills = fitted_medians(df, nums, {c: EXACT_MEDIAN_MAX_DISTINCT + 1 for c in nums})
-        elif self.median == "auto":
-            fills = fitted_medians(df, nums, {c: row[f"hd{i}"] for i, c in enumerate(nums)})
-        else:
-            fills = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None) for i, c in enumerate(nums)}
+        fills = fitted_medians(df, [c for c in numeric_cols(df) if c not in drop], self.median)
         return FittedMissing(drop, self.fill_value, fills, text_cols(df))
 
 
@@ -176,7 +150,7 @@ class SimpleImputer:
         nums, txt = numeric_cols(df), text_cols(df)
         means = {}
         if nums:
-            row = df.agg(*[F.avg(q(c)).alias(f"a{i}") for i, c in enumerate(nums)]).first()
+            row = df.agg(*[F.avg(value(df, c)).alias(f"a{i}") for i, c in enumerate(nums)]).first()
             means = {c: row[f"a{i}"] for i, c in enumerate(nums)}
         modes = column_modes(df, txt)
         return FittedImpute(means, modes)
@@ -191,7 +165,7 @@ class FittedImpute:
         out = []
         for c in df.columns:
             if self.means.get(c) is not None:
-                out.append(F.coalesce(q(c), F.lit(self.means[c]).cast(df.schema[c].dataType)).alias(c))
+                out.append(F.coalesce(value(df, c), F.lit(self.means[c]).cast(df.schema[c].dataType)).alias(c))
             elif c in self.modes:
                 out.append(F.coalesce(q(c), F.lit(self.modes[c])).alias(c))
             else:
@@ -210,12 +184,11 @@ def clean_numeric(df: DataFrame, strategy: str = "mean", exclude: Iterable[str]
     exclude = set(exclude)
     nums = [c for c in numeric_cols(df) if c not in exclude]
     fin = {c: finite(q(c).cast("double")) for c in nums}
-    if strategy == "mean":
-        aggs = [F.avg(fin[c]).alias(f"s{i}") for i, c in enumerate(nums)]
+    if strategy == "mean" and nums:
+        row = df.agg(*[F.avg(fin[c]).alias(f"s{i}") for i, c in enumerate(nums)]).first()
+        stat = {c: row[f"s{i}"] for i, c in enumerate(nums)}
     else:
-        aggs = [median_expr(fin[c], approx).alias(f"s{i}") for i, c in enumerate(nums)]
-    row = df.agg(*aggs).first() if aggs else None
-    stat = {c: row[f"s{i}"] for i, c in enumerate(nums)} if row else {}
+        stat = fitted_medians(df, nums, "approx" if approx else "exact", fin)
     out = []
     for c in df.columns:
         if c in stat:
@@ -229,7 +202,7 @@ def clean_numeric(df: DataFrame, strategy: str = "mean", exclude: Iterable[str]
 
 # D08 -----------------------------------------------------------------------
 def zero_fill(df: DataFrame) -> DataFrame:
-    return df.select(*[F.coalesce(q(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
+    return df.select(*[F.coalesce(value(df, c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
                        if isinstance(df.schema[c].dataType, NumericType) else q(c) for c in df.columns])
 
 

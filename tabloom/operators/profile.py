@@ -19,6 +19,7 @@ from pyspark.sql.types import (ByteType, DoubleType, FloatType, IntegerType, Lon
                                ShortType, StringType, BooleanType)
 
 from tabloom.operators.missing import is_missing
+from tabloom.operators.quantiles import known, quantile_table
 from tabloom.operators.schema import q
 
 INTEGRAL = (LongType, IntegerType, ShortType, ByteType)
@@ -132,43 +133,26 @@ def data_summary(df: DataFrame, n: int = 5) -> DataFrame:
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-                     approx: bool = False) -> DataFrame:
-    """(column, count, mean, std, min, q25, median, q75, max); std is the sample std.
-
-    Quartiles (interpolated, as pandas): ``method="auto"`` is exact and
-    memory-safe - columns whose HLL distinct estimate is at most
-    EXACT_MEDIAN_MAX_DISTINCT use Spark's exact ``percentile`` in the same
-    aggregate, larger ones the bounded-memory algorithm; "exact" uses
-    ``percentile`` for all; ``approx=True`` (or "approx") a sketch."""
-    from tabloom.operators.missing import EXACT_MEDIAN_MAX_DISTINCT
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """(column, count, mean, std, min, q25, median, q75, max) of the known values (NaN
+    is missing); std is the sample std. Quartiles are exact and interpolated, as
+    pandas', at every size; ``approx`` takes a sketch instead."""
     cols = list(cols or numeric_cols(df))
-    method = "approx" if approx else method
-    large: list[str] = []
-    if method == "auto" and cols:
-        est = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        large = [c for i, c in enumerate(cols) if (est[f"d{i}"] or 0) > EXACT_MEDIAN_MAX_DISTINCT]
     aggs = []
     for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        if method == "approx":
-            pct = F.percentile_approx(x, QUARTILES, 10000)
-        elif c in large:
-            pct = F.lit(None).cast("array<double>")
-        else:
-            pct = F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES]))
+        x = known(q(c))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), pct.alias(f"p{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    if large:
-        from tabloom.operators.quantiles import exact_quantiles
-        qs = exact_quantiles(df, large, QUARTILES)
-        repl = {f"p{cols.index(c)}": F.array(*[F.lit(v) for v in qs[c]]).cast("array<double>") for c in large}
-        wide = wide.select(*[repl[f].alias(f) if f in repl else F.col(f) for f in wide.columns])
-    long = stack_wide(wide, cols, [("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"),
-                                   ("p", "p"), ("hi", "max")])
-    return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
-                       F.col("p")[0].alias("q25"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q75"), "max")
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if approx:
+            aggs.append(F.percentile_approx(x, QUARTILES, 10000).alias(f"p{i}"))
+    parts = [("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max")]
+    long = stack_wide(df.agg(*aggs), cols, parts + [("p", "p")] * approx)
+    if approx:
+        quarters = [F.col("p")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))]
+    else:
+        table = quantile_table(df, cols, QUARTILES).select("column", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+        long, quarters = long.join(table, "column", "left"), ["q25", "median", "q75"]
+    return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", *quarters, "max")
 
 
 # E04 -----------------------------------------------------------------------
@@ -237,16 +221,17 @@ def column_stats(df: DataFrame, col: str) -> DataFrame:
 
 # E10 -----------------------------------------------------------------------
 def box_stats(df: DataFrame, cat: str, num: str, approx: bool = False) -> DataFrame:
-    """Five-number summary per category. Exact quartiles keep each group's
-    distinct values in one buffer; ``approx=True`` (a sketch) is the setting
-    for groups of unbounded cardinality."""
-    x = q(num).cast("double")
-    p = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    g = df.groupBy(q(cat).alias("category")).agg(
-        F.count(x).alias("n"), F.min(x).alias("min"), p.alias("_p"), F.max(x).alias("max"))
-    return g.select("category", F.col("n").cast("bigint").alias("n"), "min", F.col("_p")[0].alias("q25"),
-                    F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q75"), "max")
+    """Five-number summary per category; quartiles are exact for groups of any
+    cardinality (``approx``: a sketch)."""
+    x = known(q(num))
+    p = [F.percentile_approx(x, QUARTILES, 10000).alias("_p")] if approx else []
+    g = df.groupBy(q(cat).alias("category")).agg(F.count(x).cast("bigint").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), *p)
+    if approx:
+        return g.select("category", "n", "min", F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q75"), "max")
+    quarters = (quantile_table(df, [num], QUARTILES, by=[cat])
+                .select(q(cat).alias("_cat"), F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75")))
+    return (g.join(quarters, F.col("category").eqNullSafe(F.col("_cat")), "left")
+            .select("category", "n", "min", "q25", "median", "q75", "max"))
 
 
 # E11 -----------------------------------------------------------------------

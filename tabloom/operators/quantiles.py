@@ -1,96 +1,65 @@
-"""Exact quantiles without holding a column in one aggregation buffer.
+"""Exact interpolated quantiles of any number of columns and groups, in bounded memory.
 
-Spark's exact ``percentile``/``median`` keep every distinct value of a group
-in one buffer; at 100 TB a continuous column does not fit. This computes the
-same interpolated quantile (what ``percentile``, pandas and DuckDB
-``quantile_cont`` give) with bounded memory, for many columns at once:
-
-* each needed order statistic has a value band [lo, hi] (initially the whole
-  column); one aggregate pass counts, for every open band, the rows below it
-  and inside it;
-* a band holding at most ``max_band`` rows is collected and the statistic is
-  read exactly; a larger band is narrowed by a ``percentile_approx`` sketch
-  restricted to it, with a rank margin larger than the sketch's error
-  (a failed check falls back to the previous band with a wider margin).
-
-Every pass is one aggregate over all open bands; at most ``max_band`` values
-of one band ever reach the driver.
+Spark's exact ``percentile``/``median`` keep every distinct value of a group in
+one buffer; at 100 TB a continuous column does not fit. Here the values of all
+columns are counted together (equal values are one row, combined before the
+shuffle), range-partitioned by (group, column, value) and numbered by distributed
+running totals; a quantile is read where its rank falls. One way for every size:
+ties, hot values and groups of any cardinality take the same path, the number of
+jobs does not depend on the number of columns, and only the quantiles themselves
+can reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.running import totals_before
 from tabloom.operators.schema import q
+from tabloom.session import materialize
 
 
-def _ranks(n: int, p: float) -> tuple[int, int, float]:
-    """0-based order statistics around p and the interpolation weight."""
-    pos = p * (n - 1)
-    lo = math.floor(pos)
-    return lo, min(lo + 1, n - 1), pos - lo
+def known(x: Column) -> Column:
+    """The value as double; NaN counts as missing, -0.0 as 0.0."""
+    d = x.cast("double")
+    return F.when(~F.isnan(d), d + F.lit(0.0))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
-                    accuracy: int = 10000, max_band: int = 200_000, max_rounds: int = 12
-                    ) -> dict[str, list[float | None]]:
-    cols = list(cols)
-    x = {c: q(c).cast("double") for c in cols}
-    row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    found: dict[tuple[str, int], float] = {}
-    band = {(c, r): (None, None) for c in cols if n[c] for p in probs for r in _ranks(n[c], p)[:2]}
-    prev = dict(band)
-    margin = {k: 2 for k in band}
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                   values: dict[str, Column] | None = None) -> DataFrame:
+    """(*by, column, q0, q1, ...): the quantiles ``probs`` of each column and group, as
+    pandas and DuckDB's ``quantile_cont`` give them. Columns or groups without a
+    known value have no row. ``values`` may give a column another expression."""
+    by, cols = list(by), list(cols)
+    x = {c: known((values or {}).get(c, q(c))) for c in cols}
+    each = F.array(*[F.struct(F.lit(c).alias("column"), x[c].alias("value")) for c in cols])
+    keys = [f"__by{i}" for i in range(len(by))]
+    counts = (df.select(*[q(b).alias(k) for b, k in zip(by, keys)], F.inline(each)).where(F.col("value").isNotNull())
+              .groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranked = materialize(counts.repartitionByRange(*keys, "column", "value").withColumn("block", F.spark_partition_id()))
+    keys.append("column")
+    at = totals_before(ranked, keys, "block", [F.col("value")], F.col("n"), "before", "total")
+    aggs = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("total") - 1)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.least(F.floor(place) + 1, F.col("total") - 1))):
+            holds = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+            aggs.append(F.max(F.when(holds, F.col("value"))).alias(f"{side}{i}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"w{i}"))
+    found = at.groupBy(*keys).agg(*aggs)
+    return found.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "column",
+                        *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}")
+                          for i in range(len(probs))])
 
-    def in_band(c, lo, hi):
-        return x[c].isNotNull() if lo is None else (x[c] >= lo) & (x[c] <= hi)
 
-    for _ in range(max_rounds):
-        todo = [k for k in band if k not in found]
-        if not todo:
-            break
-        st = df.agg(*[y for i, (c, r) in enumerate(todo) for y in (
-            F.count_if(in_band(c, *band[(c, r)])).alias(f"m{i}"),
-            (F.count_if(x[c] < band[(c, r)][0]) if band[(c, r)][0] is not None else F.lit(0)).alias(f"b{i}"))]).first()
-        narrow = []
-        for i, (c, r) in enumerate(todo):
-            m, b = st[f"m{i}"], st[f"b{i}"]
-            if not (b <= r < b + m):            # the sketch missed: back off with a wider margin
-                band[(c, r)] = prev[(c, r)]
-                margin[(c, r)] *= 4
-                continue
-            lo, hi = band[(c, r)]
-            if lo is not None and lo == hi:     # a single tied value holds the rank
-                found[(c, r)] = lo
-            elif m <= max_band:
-                vals = sorted(v[0] for v in df.where(in_band(c, lo, hi)).select(x[c]).collect())
-                found[(c, r)] = vals[r - b]
-            else:
-                narrow.append((c, r, m, b))
-        if narrow:
-            aggs = []
-            for j, (c, r, m, b) in enumerate(narrow):
-                k = r - b
-                err = margin[(c, r)] * (m // accuracy + 1)
-                ps = [max(0.0, (k - err) / m), min(1.0, (k + err) / m)]
-                aggs.append(F.percentile_approx(F.when(in_band(c, *band[(c, r)]), x[c]), ps, accuracy).alias(f"r{j}"))
-            st2 = df.agg(*aggs).first()
-            for j, (c, r, m, b) in enumerate(narrow):
-                prev[(c, r)] = band[(c, r)]
-                band[(c, r)] = (float(st2[f"r{j}"][0]), float(st2[f"r{j}"][1]))
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
+                    values: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
+    """The same for a fit: {column: [quantile, ...]} with None where nothing is known."""
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for c in cols:
-        if not n[c]:
-            continue
-        for k, p in enumerate(probs):
-            lo, hi, w = _ranks(n[c], p)
-            if (c, lo) not in found or (c, hi) not in found:
-                raise RuntimeError(f"quantile of {c} did not converge")
-            a, b = found[(c, lo)], found[(c, hi)]
-            out[c][k] = a + (b - a) * w if w else a
+    if cols:
+        for r in quantile_table(df, cols, probs, values=values).collect():       # a row a column
+            out[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]
     return out

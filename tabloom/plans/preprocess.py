@@ -23,13 +23,13 @@ import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tabloom.functions.text import clean_value, map_lookup, normalize_text, strip_ws, tidy_multivalue
 from tabloom.operators.encode import FittedOneHot, distinct_pairs
-from tabloom.operators.missing import is_missing, median_expr
+from tabloom.operators.missing import fitted_medians, is_missing, value
 from tabloom.operators.multivalue import FittedMultiHot
 from tabloom.operators.schema import fixed_names, q, standardize_columns
 
@@ -66,6 +66,10 @@ class FittedPreprocessor:
     def _names(self, df: DataFrame) -> DataFrame:
         return standardize_columns(normalize_text(df, self.null_token), self.target)
 
+    def _single(self, x: Column) -> Column:
+        """A single-value text column filled, cleaned and mapped."""
+        return map_lookup(F.lower(strip_ws(clean_value(F.coalesce(x, F.lit(self.text_fill))))), self.mapping)
+
     def _clean(self, df: DataFrame) -> DataFrame:
         """Names done -> drop/fill -> clean values -> tidy multi -> map single."""
         out = []
@@ -76,13 +80,14 @@ class FittedPreprocessor:
             t = df.schema[c].dataType
             x = q(c)
             if isinstance(t, StringType):
-                x = clean_value(F.coalesce(x, F.lit(self.text_fill)))
                 if c in multi:
-                    x = tidy_multivalue(x, self.mapping)
+                    x = tidy_multivalue(clean_value(F.coalesce(x, F.lit(self.text_fill))), self.mapping)
                 elif c in single:
-                    x = map_lookup(F.lower(strip_ws(x)), self.mapping)
+                    x = self._single(x)
+                else:
+                    x = clean_value(F.coalesce(x, F.lit(self.text_fill)))
             elif c in self.numeric_fill and self.numeric_fill[c] is not None:
-                x = F.coalesce(x, F.lit(self.numeric_fill[c]).cast(t))
+                x = F.coalesce(value(df, c), F.lit(self.numeric_fill[c]).cast(t))
             out.append(x.alias(c))
         return df.select(*out)
 
@@ -126,16 +131,12 @@ class Preprocessor:
     def __init__(self, target: str | None = None, threshold: float = 0.7, keep: Iterable[str] | None = None,
                  max_cardinality: int = 10, mapping: Mapping[str, str] | None = None,
                  fill_value: str = "missing", preserve: Sequence[str] = (), null_token: str | None = None,
-                 median: str = "auto"):
+                 median: str = "exact"):
         self.target, self.threshold = target, threshold
         self.keep = set(DEFAULT_KEEP if keep is None else keep)
         self.max_cardinality, self.mapping = max_cardinality, dict(mapping or {})
         self.fill_value, self.preserve, self.null_token = fill_value, list(preserve), null_token
-        # "auto": exact; Spark's median for columns estimated <= 1M distinct,
-        #         the bounded-memory algorithm for larger ones (safe at any size)
-        # "exact": Spark's exact median (one buffer per column; bounded-size data)
-        # "bounded": exact result with bounded memory (tabloom.operators.quantiles)
-        # "approx": percentile_approx sketch
+        # "exact" (tabloom.operators.quantiles) or "approx" (percentile_approx sketch)
         self.median = median
 
     def fit(self, df: DataFrame) -> FittedPreprocessor:
@@ -148,26 +149,15 @@ class Preprocessor:
         # job 1: one aggregate for missing counts, medians and ';' detection
         aggs = [F.count(F.lit(1)).alias("_rows")]
         aggs += [F.count_if(is_missing(named, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        if self.median in ("exact", "approx"):
-            aggs += [median_expr(q(c), self.median == "approx").alias(f"md{i}") for i, c in enumerate(nums)]
-        elif self.median == "auto":
-            aggs += [F.approx_count_distinct(q(c)).alias(f"hd{i}") for i, c in enumerate(nums)]
         aggs += [F.count_if(F.contains(q(c), F.lit(";"))).alias(f"s{i}") for i, c in enumerate(txt)]
-        # HLL gate: cleaning can add one level (the fill word) and only merges
-        # others, so a column estimated far above the limit is never one-hot.
-        aggs += [F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(txt)]
+        # distinct values after filling, cleaning and mapping, as one-hot will see them:
+        # a sketch far above the limit spares the exact count of a free-text column
+        aggs += [F.approx_count_distinct(plan._single(q(c))).alias(f"d{i}") for i, c in enumerate(txt)]
         row = named.agg(*aggs).first()
         n = row["_rows"] or 1
         plan.input_columns = cols
         plan.drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        if self.median in ("bounded", "auto"):
-            from tabloom.operators.missing import EXACT_MEDIAN_MAX_DISTINCT, fitted_medians
-            est = ({c: EXACT_MEDIAN_MAX_DISTINCT + 1 for c in nums} if self.median == "bounded"
-                   else {c: row[f"hd{i}"] for i, c in enumerate(nums)})
-            plan.numeric_fill = fitted_medians(named, nums, est)
-        else:
-            plan.numeric_fill = {c: (float(row[f"md{i}"]) if row[f"md{i}"] is not None else None)
-                                 for i, c in enumerate(nums)}
+        plan.numeric_fill = fitted_medians(named, [c for c in nums if c not in plan.drop], self.median)
         semi = {c for i, c in enumerate(txt) if row[f"s{i}"] > 0}
         plan.multi_columns = [c for c in txt if c in semi and c not in plan.drop]
         plan.single_columns = [c for c in txt if c not in semi and c not in plan.drop]
