@@ -111,21 +111,57 @@ def x08_output_columns(spark, sf_dir):
 
 
 # --- B: schema operators on the project frame ---------------------------------
-def _renamed_sql(namer) -> str:
-    cols = ", ".join(f'{c} AS "{namer(h)}"' for c, h in RAW_HEADERS.items())
+# The names that both naming contracts give the raw headers.
+CLEAN_HEADERS = {
+    'Project ID': 'project_id',
+    'Normalised Work Effort': 'normalised_work_effort',
+    ' Acct Balance': 'acct_balance',
+    'Sparse Metric (k)': 'sparse_metric_k',
+    'Order Year': 'order_year',
+    'Order Priority': 'order_priority',
+    'Market Segment': 'market_segment',
+    'Order Status': 'order_status',
+    'Region': 'region',
+    'Nation': 'nation',
+    'Part Types': 'part_types',
+    'Part Brands': 'part_brands',
+}
+
+
+def _renamed_sql(names) -> str:
+    cols = ", ".join(f'{c} AS "{names[h]}"' for c, h in RAW_HEADERS.items())
     return with_sql(PROJECT_SQL) + f"\nSELECT {cols} FROM proj"
 
 
-@register("b02_standardize_columns", _renamed_sql(S.standard_name))
+@register("b01_find_target", with_sql(PROJECT_SQL) + """
+SELECT project_id AS "Project ID", effort AS normalised_work_effort FROM proj""")
+def b01_find_target(spark, sf_dir):
+    """The target found under another spelling and selected under its own name."""
+    df = raw_project_frame(spark, sf_dir)
+    found, _ = S.find_target(df.columns, "normalised_work_effort")
+    return df.select(S.q("Project ID"), S.q(found).alias("normalised_work_effort"))
+
+
+@register("b02_standardize_columns", _renamed_sql(CLEAN_HEADERS))
 def b02_standardize_columns(spark, sf_dir):
     return S.standardize_columns(raw_project_frame(spark, sf_dir))
 
 
-@register("b05_clean_and_fix_columns", _renamed_sql(lambda h: S.fixed_names([S.strong_name(h)])[0]))
+@register("b05_clean_and_fix_columns", _renamed_sql(CLEAN_HEADERS))
 def b05_clean_and_fix_columns(spark, sf_dir):
     return S.fix_columns(S.clean_columns(raw_project_frame(spark, sf_dir)))
 
 
+@register("b06_drop_duplicate_columns", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""")
+def b06_drop_duplicate_columns(spark, sf_dir):
+    """A frame in which a join doubled the key keeps its first copy."""
+    o = table(spark, sf_dir, "orders")
+    doubled = o.select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("string").alias("o_orderstatus"), "o_totalprice",
+                       F.col("o_custkey").alias("o_orderkey"))
+    return S.drop_duplicate_columns(doubled)
+
+
 @register("b07_align_columns", with_sql(PROJECT_SQL) + """
 SELECT project_id, effort, 0 AS team_size, acct_balance FROM proj""")
 def b07_align_columns(spark, sf_dir):
