@@ -1,10 +1,10 @@
 """Correlation and collinearity.
 
-Pearson correlations of p columns are p(p-1)/2 ``corr`` aggregates evaluated in
-ONE pass (pairwise-complete rows, like pandas). VIF uses the Gramian X'X,
-also one aggregate of p(p+1)/2 sums; only the p x p matrix reaches the driver,
-where it is inverted with numpy. Near-singular Gramians raise instead of
-returning a silent number.
+Sums of products of all column pairs come from one pass: each task multiplies
+its Arrow batches as matrices and hands on one row per pair, which Spark adds up.
+Width costs matrix products, not generated code, so hundreds of columns work.
+Correlations use pairwise-complete rows, like pandas; Gramians complete rows.
+Only p x p matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -12,28 +12,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.quantiles import known
 from tabloom.operators.schema import q
 
+_MOMENTS = "i int, j int, n double, si double, sj double, sii double, sjj double, sij double"
+
+
+def _matrix(batch) -> np.ndarray:
+    """A batch as rows x columns of doubles, null as NaN."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+
+
+def _pair_moments(shift: list[float]):
+    def run(batches):
+        p = len(shift)
+        n, s, sq, prod = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = _matrix(batch) - shift
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            n += m.T @ m
+            s += x.T @ m                      # sums of column i over the rows that have column j
+            sq += (x * x).T @ m
+            prod += x.T @ x
+        i, j = np.triu_indices(p, 1)
+        parts = [n[i, j], s[i, j], s[j, i], sq[i, j], sq[j, i], prod[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, parts)],
+                                         names=[f.split()[0] for f in _MOMENTS.split(", ")])
+    return run
+
 
 # F01 / F06 -------------------------------------------------------------------
 def correlations(df: DataFrame, cols: Sequence[str], pairs_once: bool = False) -> DataFrame:
     """Long form (a, b, r) over all ordered pairs (or each unordered pair once)."""
     cols = list(cols)
-    idx = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not idx:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    wide = df.agg(*[F.corr(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r{i}_{j}")
-                    for i, j in idx])
-    args = []
-    for i, j in idx:
-        args += [F.lit(cols[i]), F.lit(cols[j]), F.col(f"r{i}_{j}")]
+    if len(cols) < 2:
+        long = df.sparkSession.createDataFrame([], "a string, b string, r double")
+    else:
+        values = df.select(*[known(q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+        means = values.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()     # sums about the mean keep their digits
+        sums = (values.mapInArrow(_pair_moments([m or 0.0 for m in means]), _MOMENTS)
+                .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")]))
+        n = F.when(F.col("n") > 0, F.col("n"))
+        var_i, var_j = F.col("sii") - F.col("si") * F.col("si") / n, F.col("sjj") - F.col("sj") * F.col("sj") / n
+        flat = (var_i <= F.col("sii") * 1e-13) | (var_j <= F.col("sjj") * 1e-13)
+        r = (F.when(flat, F.lit(float("nan")))
+             .otherwise((F.col("sij") - F.col("si") * F.col("sj") / n) / F.sqrt(var_i * var_j)))
+        names = F.array(*[F.lit(c) for c in cols])
+        long = sums.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(n.isNotNull(), r).alias("r"))
         if not pairs_once:
-            args += [F.lit(cols[j]), F.lit(cols[i]), F.col(f"r{i}_{j}")]
-    n = len(idx) * (1 if pairs_once else 2)
-    long = wide.select(F.stack(F.lit(n), *args).alias("a", "b", "r"))
+            long = long.unionByName(long.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
     if pairs_once:
         return long
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, r double")
@@ -59,31 +91,43 @@ def removal_candidates(high: DataFrame) -> DataFrame:
 
 
 # F05 -----------------------------------------------------------------------
-def gramian(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, int]:
-    """X'X over rows complete in ``cols`` (one aggregate) and the row count."""
-    cols = list(cols)
-    x = [q(c).cast("double") for c in cols]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    from tabloom.operators.missing import drop_incomplete
-    row = drop_incomplete(df, cols).agg(*aggs).first()
+def _products(batches):
+    total, n = None, 0
+    for batch in batches:
+        x = _matrix(batch)
+        x = x[np.isfinite(x).all(axis=1)]
+        total = x.T @ x if total is None else total + x.T @ x
+        n += len(x)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(total.ravel(), n)[None, :].tolist(), pa.list_(pa.float64()))], names=["sums"])
+
+
+def gramian(df: DataFrame, cols: Sequence[str | Column]) -> tuple[np.ndarray, int]:
+    """X'X over the rows in which all ``cols`` are finite, and the number of rows."""
     p = len(cols)
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    return g, row["_n"]
-
-
-def vif(df: DataFrame, cols: Sequence[str], flag_above: float = 10.0, cond_limit: float = 1e12) -> DataFrame:
-    """VIF_j = 1 / (1 - R_j^2) of column j on the others without intercept,
-    = (X'X)_jj * ((X'X)^-1)_jj. Needs more complete rows than columns."""
+    x = df.select(*[known(q(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = (x.mapInArrow(_products, "sums array<double>").select(F.posexplode("sums").alias("at", "value"))
+            .groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")["value"].to_numpy())
+    if not len(sums):
+        return np.zeros((p, p)), 0
+    return sums[:-1].reshape(p, p), int(sums[-1])
+
+
+def vif(df: DataFrame, cols: Sequence[str], flag_above: float = 10.0) -> DataFrame:
+    """VIF_j = 1 / (1 - R_j^2) of column j on the others without intercept. Columns are
+    scaled to length one first; those in an exact linear dependency (and columns of
+    zeros) get infinity, the others keep their value. Needs more complete rows than
+    columns."""
     cols = list(cols)
     g, n = gramian(df, cols)
     if n <= len(cols):
         raise ValueError(f"VIF needs more rows ({n}) than columns ({len(cols)})")
-    if np.linalg.cond(g) > cond_limit:
-        raise ValueError("Gramian is near-singular: an exact linear dependency among the columns")
-    inv = np.linalg.inv(g)
-    rows = [(c, float(g[i, i] * inv[i, i]), int(g[i, i] * inv[i, i] > flag_above)) for i, c in enumerate(cols)]
+    length = np.sqrt(np.diag(g))
+    unit = g / np.outer(np.where(length > 0, length, 1.0), np.where(length > 0, length, 1.0))
+    values, vectors = np.linalg.eigh(unit)
+    null = values <= len(cols) * 1e-13 * values.max()
+    dependent = (vectors[:, null] ** 2).sum(axis=1) > 1e-8
+    inverse = ((vectors[:, ~null] ** 2) / values[~null]).sum(axis=1)
+    found = np.where(dependent, np.inf, inverse)
+    rows = [(c, float(v), int(v > flag_above)) for c, v in zip(cols, found)]
     return df.sparkSession.createDataFrame(rows, "column string, vif double, high int")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import mix32, unit_uniform
+from tabloom.functions.hashing import mix32, unit_uniform, row_key
 from tabloom.operators.metrics import regression_metrics
 from tabloom.operators.schema import q
 
@@ -115,25 +115,14 @@ def dummy(df: DataFrame, label: str, name: str = "dummy") -> LinearScorer:
 # M24 -----------------------------------------------------------------------
 def ols(df: DataFrame, label: str, features: Sequence[str], l2: float = 0.0, name: str = "ols",
         fit_intercept: bool = True) -> LinearScorer:
-    """Least squares / ridge from ONE aggregate of X'X and X'y over rows
-    complete in label and features; a p x p solve on the driver. Ridge
-    penalises the coefficients, not the intercept."""
-    xs = [q(f).cast("double") for f in features]
-    if fit_intercept:
-        xs = [F.lit(1.0)] + xs
-    y = q(label).cast("double")
+    """Least squares / ridge from one pass of X'X and X'y over the rows whose label and
+    features are finite; a p x p solve on the driver. Ridge penalises the
+    coefficients, not the intercept."""
+    from tabloom.operators.correlation import gramian
+    xs = ([F.lit(1.0)] if fit_intercept else []) + [q(f) for f in features]
     p = len(xs)
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(xs[i] * y).alias(f"b{i}") for i in range(p)]
-    cond = y.isNotNull()
-    for f in features:
-        cond = cond & q(f).isNotNull()
-    row = df.where(cond).agg(*aggs).first()
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    b = np.array([row[f"b{i}"] or 0.0 for i in range(p)])
+    both, _ = gramian(df, [*xs, q(label)])
+    g, b = both[:p, :p], both[:p, p]
     if l2:
         pen = np.eye(p) * l2
         if fit_intercept:
@@ -218,7 +207,7 @@ def cross_validate(df: DataFrame, label: str, features: Sequence[str], spec: str
 
 
 def prepare_folds(df: DataFrame, key: str, k: int = 10, seed: int = 123, fold_col: str = "_fold") -> DataFrame:
-    return df.withColumn(fold_col, F.pmod(mix32(q(key), seed), F.lit(k)).cast("int"))
+    return df.withColumn(fold_col, F.pmod(mix32(row_key(df, key), seed), F.lit(k)).cast("int"))
 
 
 def compare_models(df: DataFrame, label: str, features: Sequence[str], key: str, specs: Sequence[str],

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tabloom.functions.hashing import unit_uniform
+from tabloom.operators.correlation import correlations
 from tabloom.operators.schema import q
 
 
@@ -193,13 +194,11 @@ def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, gr
     cop = Copula(grids, cat_m, list(columns), [], kinds)
     sc = cop.scores(df, key, seed)
     p = len(columns)
-    if p > 1:
-        row = sc.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in range(p) for j in range(i + 1, p)]).first()
     corr = np.eye(p)
-    for i in range(p):
-        for j in range(i + 1, p):
-            v = row[f"r{i}_{j}"]
-            corr[i, j] = corr[j, i] = 0.0 if v is None or np.isnan(v) else v
+    at = {c: i for i, c in enumerate(columns)}
+    for r in correlations(sc, columns, pairs_once=True).collect():
+        i, j = at[r["a"]], at[r["b"]]
+        corr[i, j] = corr[j, i] = 0.0 if r["r"] is None or np.isnan(r["r"]) else r["r"]
     w, _ = np.linalg.eigh(corr)
     if w.min() <= 1e-9:                       # diagonal lift to positive definite
         corr = corr + np.eye(p) * (1e-6 - w.min())
@@ -233,27 +232,29 @@ def numeric_similarity(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -
                     (sim > 0.5).cast("int").alias("acceptable"))
 
 
-def category_overlap(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_listed: int = 50) -> DataFrame:
-    """(column, overlap, n_real, n_synth, new_levels, missing_levels) from distinct
-    pairs; level listings hold the first ``max_listed`` values (sorted)."""
-    def pairs(df):
-        return (df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-                .where(F.col("value").isNotNull()).distinct())
-    r, s = pairs(real), pairs(synth)
+def _level_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return (df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+            .where(F.col("value").isNotNull()).distinct())
+
+
+def category_overlap(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, overlap, n_real, n_synth) from distinct (column, value) pairs."""
+    r, s = _level_pairs(real, cols), _level_pairs(synth, cols)
     nr = r.groupBy("column").agg(F.count(F.lit(1)).alias("n_real"))
     ns = s.groupBy("column").agg(F.count(F.lit(1)).alias("n_synth"))
     common = r.join(s, ["column", "value"]).groupBy("column").agg(F.count(F.lit(1)).alias("n_common"))
-    from tabloom.operators.profile import first_n_listing
-    new = first_n_listing(s.join(r, ["column", "value"], "left_anti"), max_listed, "; ", "new_levels")
-    miss = first_n_listing(r.join(s, ["column", "value"], "left_anti"), max_listed, "; ", "missing_levels")
     names = real.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    out = names.join(nr, "column", "left").join(ns, "column", "left").join(common, "column", "left") \
-        .join(new, "column", "left").join(miss, "column", "left")
+    out = names.join(nr, "column", "left").join(ns, "column", "left").join(common, "column", "left")
     n_real = F.coalesce("n_real", F.lit(0))
     return out.select("column", F.when(n_real > 0, F.coalesce("n_common", F.lit(0)) / n_real).otherwise(1.0).alias("overlap"),
-                      n_real.cast("bigint").alias("n_real"), F.coalesce("n_synth", F.lit(0)).cast("bigint").alias("n_synth"),
-                      F.coalesce("new_levels", F.lit("")).alias("new_levels"),
-                      F.coalesce("missing_levels", F.lit("")).alias("missing_levels"))
+                      n_real.cast("bigint").alias("n_real"), F.coalesce("n_synth", F.lit(0)).cast("bigint").alias("n_synth"))
+
+
+def level_differences(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, side, value): every level that only one side has, "new" or "missing"."""
+    r, s = _level_pairs(real, cols), _level_pairs(synth, cols)
+    return (s.join(r, ["column", "value"], "left_anti").select("column", F.lit("new").alias("side"), "value")
+            .unionByName(r.join(s, ["column", "value"], "left_anti").select("column", F.lit("missing").alias("side"), "value")))
 
 
 def schema_match(real: DataFrame, synth: DataFrame) -> DataFrame:
