@@ -9,8 +9,9 @@ DuckDB oracle uses ``mix32_sql``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 MASK32 = 0xFFFFFFFF
 MUL = 0x45D9F3B          # odd 27-bit multiplier of the classic 32-bit integer mix
@@ -21,6 +22,21 @@ def _seed_bits(seed: int) -> int:
     return (seed * GOLDEN) & MASK32
 
 
+def text_key(key: Column) -> Column:
+    """A long made from the text of any value, the same in every engine with md5."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def text_key_sql(expr: str) -> str:
+    return f"CAST('0x' || substr(md5({expr}), 1, 15) AS BIGINT)"
+
+
+def row_key(df: DataFrame, key: str) -> Column:
+    """The key column as a long: whole numbers as they are, other types by their text."""
+    c = F.col("`" + key.replace("`", "``") + "`")
+    return c.cast("long") if isinstance(df.schema[key].dataType, IntegralType) else text_key(c)
+
+
 def mix32(key: Column | str, seed: int = 0) -> Column:
     k = F.col(key) if isinstance(key, str) else key
     k = k.cast("long")

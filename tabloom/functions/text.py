@@ -8,6 +8,7 @@ to many columns in a single ``select``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -130,7 +131,7 @@ def clean_category(col: Column | str) -> Column:
 def split_parts(col: Column | str, sep: str = ";") -> Column:
     """null -> empty list, split, strip, drop empties (array<string>)."""
     c = _c(col)
-    parts = F.split(strip_ws(c), rf"\s*{sep}\s*")
+    parts = F.split(strip_ws(c), rf"\s*{re.escape(sep)}\s*")
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array_remove(parts, ""))
 
 

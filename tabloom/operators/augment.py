@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import mix32
+from tabloom.functions.hashing import mix32, row_key
 from tabloom.operators.schema import q
 
 
@@ -82,38 +82,34 @@ def semi_filter(df: DataFrame, other: DataFrame, col: str) -> DataFrame:
 
 
 # K04 -----------------------------------------------------------------------
-def category_coverage(before: DataFrame, after: DataFrame, cols: Sequence[str], max_listed: int = 50) -> DataFrame:
-    """(column, n_before, n_after, n_new, new_values): new values counted; the
-    first ``max_listed`` of them (sorted) listed."""
-    from tabloom.operators.profile import first_n_listing
-    b = _pairs(before, cols).distinct()
-    a = _pairs(after, cols).distinct()
-    nb = b.groupBy("column").agg(F.count(F.lit(1)).alias("n_before"))
-    na = a.groupBy("column").agg(F.count(F.lit(1)).alias("n_after"))
-    new_pairs = a.join(b, ["column", "value"], "left_anti")
-    nn = new_pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_new"))
-    listed = first_n_listing(new_pairs, max_listed, "; ", "new_values")
-    return (na.join(nb, "column", "full").join(nn, "column", "left").join(listed, "column", "left")
-            .select("column", F.coalesce("n_before", F.lit(0)).cast("bigint").alias("n_before"),
-                    F.coalesce("n_after", F.lit(0)).cast("bigint").alias("n_after"),
-                    F.coalesce("n_new", F.lit(0)).cast("bigint").alias("n_new"),
-                    F.coalesce("new_values", F.lit("")).alias("new_values")))
+def new_categories(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value): every category that only ``after`` has."""
+    return _pairs(after, cols).distinct().join(_pairs(before, cols).distinct(), ["column", "value"], "left_anti")
+
+
+def category_coverage(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n_before, n_after, n_new): distinct categories before, after and new."""
+    nb = _pairs(before, cols).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_before"))
+    na = _pairs(after, cols).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_after"))
+    nn = new_categories(before, after, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n_new"))
+    return (na.join(nb, "column", "full").join(nn, "column", "left")
+            .select("column", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("n_before", "n_after", "n_new")]))
 
 
 # K08 / K09 / K10 ---------------------------------------------------------------
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows with the smallest (hash, key): a bounded top-n, no global sort."""
-    return df.withColumn("_h", mix32(q(key), seed)).orderBy("_h", q(key)).limit(n).drop("_h")
+    return df.withColumn("_h", mix32(row_key(df, key), seed)).orderBy("_h", q(key)).limit(n).drop("_h")
 
 
 def split(df: DataFrame, fraction: float, key: str, seed: int = 123, name: str = "split") -> DataFrame:
     """Adds ``name`` = 'train' when pmod(hash, 10000) < fraction*10000, else 'holdout'."""
     cut = int(round(fraction * 10000))
-    return df.withColumn(name, F.when(F.pmod(mix32(q(key), seed), F.lit(10000)) < cut, "train").otherwise("holdout"))
+    return df.withColumn(name, F.when(F.pmod(mix32(row_key(df, key), seed), F.lit(10000)) < cut, "train").otherwise("holdout"))
 
 
 def folds(df: DataFrame, k: int, key: str, seed: int = 123, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, F.pmod(mix32(q(key), seed), F.lit(k)).cast("int"))
+    return df.withColumn(name, F.pmod(mix32(row_key(df, key), seed), F.lit(k)).cast("int"))
 
 
 # K11 -----------------------------------------------------------------------

@@ -7,10 +7,7 @@ per partition). Strategies are fitted: only bounded plans reach the driver
 (top-k list, frequent list bounded by 1/threshold, group map); per-row flags are
 ``array_contains``/``exists`` expressions in one ``select``.
 
-``avg_frequency`` (G07) needs every value's global count on each row. When the
-number of distinct values is within ``max_map_entries`` the counts travel as one
-broadcast map row (size checked first); above it, the exploded values are
-joined to the counts and re-aggregated per row key (a shuffle, AQE skew-join on).
+``avg_frequency`` (G07) joins the parts of each distinct cell to the counts.
 """
 
 from __future__ import annotations
@@ -23,8 +20,6 @@ from pyspark.sql import functions as F
 from tabloom.functions.text import split_parts
 from tabloom.operators.schema import q
 
-MAX_MAP_ENTRIES = 1_000_000
-
 
 def parts(col: str | Column, sep: str = ";") -> Column:
     return split_parts(q(col) if isinstance(col, str) else col, sep)
@@ -126,16 +121,11 @@ def multivalue_topk(df: DataFrame, col: str, k: int = 20, sep: str = ";", values
 
 
 # G06 -----------------------------------------------------------------------
-def frequent_values(df: DataFrame, col: str, threshold: float = 0.05, sep: str = ";",
-                    max_values: int = 10_000) -> list[str]:
-    """Values with count >= floor(rows * threshold); rows include null cells."""
+def frequent_values(df: DataFrame, col: str, threshold: float = 0.05, sep: str = ";") -> list[str]:
+    """Values with count >= floor(rows * threshold); rows include null cells. There are
+    at most (parts per row) / threshold of them."""
     n = df.count()
-    floor_n = max(int(n * threshold), 1)
-    vc = value_counts(df, col, sep).where(F.col("n") >= floor_n)
-    # the list becomes flag columns: refuse (do not truncate) an unbounded one
-    k = vc.count()
-    if k > max_values:
-        raise ValueError(f"{k} values reach the threshold in {col}; raise the threshold (max_values={max_values})")
+    vc = value_counts(df, col, sep).where(F.col("n") >= max(int(n * threshold), 1))
     return [r["value"] for r in vc.orderBy("value").collect()]
 
 
@@ -146,28 +136,24 @@ def multivalue_frequent(df: DataFrame, col: str, threshold: float = 0.05, sep: s
 
 
 # G07 -----------------------------------------------------------------------
-def multivalue_counts(df: DataFrame, col: str, sep: str = ";", key: str | None = None,
-                      max_map_entries: int = MAX_MAP_ENTRIES) -> DataFrame:
-    """Adds count, unique_count, has_most_common, avg_frequency for ``col``."""
+def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
+    """Adds count, unique_count, has_most_common, avg_frequency for ``col``.
+
+    Every part meets its global count in a join on the value; the mean is put
+    together per distinct cell text, so equal cells are worked out once, and
+    joined back to the rows. Neither join needs a key, and a hot value or cell is
+    one row on the counted side (AQE splits the other)."""
     vc = value_counts(df, col, sep)
-    stats = vc.agg(F.count(F.lit(1)).alias("n_distinct"),
-                   F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_common")).first()
+    top = vc.agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_common")).first()["most_common"]
     p = parts(col, sep)
     base = [F.size(p).alias(f"{col}_count"), F.size(F.array_distinct(p)).alias(f"{col}_unique_count")]
-    if stats["most_common"] is not None:
-        base.append(F.array_contains(p, F.lit(stats["most_common"])).cast("int").alias(f"{col}_has_most_common"))
-    if stats["n_distinct"] <= max_map_entries:
-        m = vc.agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("_freq"))
-        out = df.crossJoin(F.broadcast(m))
-        avg = F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda acc, x: acc + F.element_at("_freq", x))
-                     / F.size(p)).otherwise(F.lit(0.0))
-        return out.select(*[q(c) for c in df.columns], *base, avg.alias(f"{col}_avg_frequency"))
-    if key is None:
-        raise ValueError("more distinct values than max_map_entries: pass a row key for the join path")
-    ex = df.select(q(key).alias("_k"), F.explode(p).alias("value")).join(vc, "value")
-    per = ex.groupBy("_k").agg(F.avg("n").alias(f"{col}_avg_frequency"))
-    return (df.select("*", *base).join(per, q(key) == F.col("_k"), "left").drop("_k")
-            .fillna(0.0, subset=[f"{col}_avg_frequency"]))
+    if top is not None:
+        base.append(F.array_contains(p, F.lit(top)).cast("int").alias(f"{col}_has_most_common"))
+    cells = df.select(q(col).alias("_cell")).distinct()
+    mean = (cells.select("_cell", F.explode(parts(F.col("_cell"), sep)).alias("value")).join(vc, "value")
+            .groupBy("_cell").agg(F.avg("n").alias("_mean")))
+    return (df.join(mean, q(col) == F.col("_cell"), "left")
+            .select(*[q(c) for c in df.columns], *base, F.coalesce("_mean", F.lit(0.0)).alias(f"{col}_avg_frequency")))
 
 
 # G09 -----------------------------------------------------------------------

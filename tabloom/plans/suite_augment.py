@@ -78,18 +78,20 @@ def k03_added_rows(spark, sf_dir):
 
 @register("k04_category_coverage", with_sql(PROJECT_SQL, SETS_SQL, COVER_SQL, f"""
 enh AS (SELECT * FROM sample UNION ALL SELECT * FROM added),
-ep AS (SELECT "column", value FROM (UNPIVOT enh ON {", ".join(COLS)} INTO NAME "column" VALUE value))""") + """
+ep AS (SELECT "column", value FROM (UNPIVOT enh ON {", ".join(COLS)} INTO NAME "column" VALUE value)),
+nv AS (SELECT DISTINCT "column", value FROM ep EXCEPT SELECT DISTINCT "column", value FROM sp)""") + """
 SELECT a."column", CAST(coalesce(b.n, 0) AS BIGINT) AS n_before, CAST(a.n AS BIGINT) AS n_after,
-       CAST(coalesce(nv.k, 0) AS BIGINT) AS n_new, coalesce(nv.v, '') AS new_values
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_new, nv.value AS new_value
 FROM (SELECT "column", count(DISTINCT value) AS n FROM ep GROUP BY 1) a
 LEFT JOIN (SELECT "column", count(DISTINCT value) AS n FROM sp GROUP BY 1) b USING ("column")
-LEFT JOIN (SELECT "column", count(*) AS k, array_to_string(list_sort(list(value))[1:50], '; ') AS v FROM
-           (SELECT DISTINCT "column", value FROM ep EXCEPT SELECT DISTINCT "column", value FROM sp) GROUP BY 1) nv
-  USING ("column")""")
+LEFT JOIN (SELECT "column", count(*) AS n FROM nv GROUP BY 1) k USING ("column")
+LEFT JOIN nv USING ("column")""")
 def k04_category_coverage(spark, sf_dir):
+    """Category counts before and after, with a row for every new value."""
     sample, full = frames(spark, sf_dir)
     enhanced, _ = K.cover_categories(sample, full, COLS, "project_id", n=5, exclude=["status"], seed=42)
-    return K.category_coverage(sample, enhanced, COLS)
+    new = K.new_categories(sample, enhanced, COLS).withColumnRenamed("value", "new_value")
+    return K.category_coverage(sample, enhanced, COLS).join(new, "column", "left")
 
 
 @register("k05_enhance")

@@ -285,7 +285,7 @@ def _hist(spark, sf_dir):
 
 
 @register("m27_history_table", with_sql(HIST_SQL) + """
-SELECT CAST(row_number() OVER (PARTITION BY model ORDER BY timestamp, prediction_hours) AS INTEGER) AS n,
+SELECT CAST(row_number() OVER (ORDER BY timestamp, model, prediction_hours, team_size) AS INTEGER) AS n,
        timestamp, model, prediction_hours, prediction_hours / 8 AS days, team_size FROM hist""")
 def m27_history_table(spark, sf_dir):
     return M.history_table(_hist(spark, sf_dir))
@@ -299,7 +299,7 @@ def m27_history_summary(spark, sf_dir):
     return rounded(M.history_summary(_hist(spark, sf_dir)))
 
 
-@register("m27_history_last", with_sql(HIST_SQL) + "\nSELECT * FROM hist ORDER BY timestamp DESC LIMIT 3")
+@register("m27_history_last", with_sql(HIST_SQL) + "\nSELECT * FROM hist ORDER BY timestamp DESC, model, prediction_hours, team_size LIMIT 3")
 def m27_history_last(spark, sf_dir):
     return M.history_last(_hist(spark, sf_dir), 3)
 

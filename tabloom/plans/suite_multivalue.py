@@ -125,9 +125,9 @@ af AS (SELECT project_id, avg(vc.n) AS a FROM (SELECT project_id, unnest({T.part
 SELECT p.project_id, round(coalesce(af.a, 0.0), 6) AS part_types_avg_frequency
 FROM proj p LEFT JOIN af USING (project_id)""")
 def g07_multivalue_counts_join(spark, sf_dir):
-    """The join path of G07 (taken when distinct values exceed the broadcast bound)."""
+    """G07's mean of global counts alone."""
     df = project_frame(spark, sf_dir).select("project_id", "part_types")
-    out = G.multivalue_counts(df, "part_types", key="project_id", max_map_entries=0)
+    out = G.multivalue_counts(df, "part_types")
     return rounded(out.select("project_id", "part_types_avg_frequency"))
 
 

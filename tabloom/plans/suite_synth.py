@@ -53,15 +53,22 @@ def _overlap_sql(c):
     s = f"(SELECT DISTINCT {c} AS v FROM synth WHERE {c} IS NOT NULL)"
     return (f"SELECT '{c}' AS \"column\", "
             f"CASE WHEN (SELECT count(*) FROM {r}) > 0 THEN (SELECT count(*) FROM {r} JOIN {s} USING (v)) / (SELECT count(*) FROM {r}) ELSE 1.0 END AS overlap, "
-            f"(SELECT CAST(count(*) AS BIGINT) FROM {r}) AS n_real, (SELECT CAST(count(*) AS BIGINT) FROM {s}) AS n_synth, "
-            f"coalesce((SELECT array_to_string(list_sort(list(v))[1:50], '; ') FROM (SELECT v FROM {s} EXCEPT SELECT v FROM {r})), '') AS new_levels, "
-            f"coalesce((SELECT array_to_string(list_sort(list(v))[1:50], '; ') FROM (SELECT v FROM {r} EXCEPT SELECT v FROM {s})), '') AS missing_levels")
+            f"(SELECT CAST(count(*) AS BIGINT) FROM {r}) AS n_real, (SELECT CAST(count(*) AS BIGINT) FROM {s}) AS n_synth")
 
 
-@register("l05_category_overlap", with_sql(SIDES_SQL) + "\n" + "\nUNION ALL\n".join(_overlap_sql(c) for c in CAT))
+def _difference_sql(c):
+    r, s = f"(SELECT {c} AS v FROM real WHERE {c} IS NOT NULL)", f"(SELECT {c} AS v FROM synth WHERE {c} IS NOT NULL)"
+    return (f"SELECT '{c}' AS \"column\", 'new' AS side, v AS value FROM (SELECT * FROM {s} EXCEPT SELECT * FROM {r})\nUNION ALL\n"
+            f"SELECT '{c}', 'missing', v FROM (SELECT * FROM {r} EXCEPT SELECT * FROM {s})")
+
+
+@register("l05_category_overlap", with_sql(SIDES_SQL, "ov AS (" + "\nUNION ALL\n".join(_overlap_sql(c) for c in CAT) + ")",
+                                           "di AS (" + "\nUNION ALL\n".join(_difference_sql(c) for c in CAT) + ")") + """
+SELECT * FROM ov LEFT JOIN di USING ("column")""")
 def l05_category_overlap(spark, sf_dir):
+    """Overlap per column, with a row for every level that only one side has."""
     real, synth = sides(spark, sf_dir)
-    return rounded(L.category_overlap(real, synth, CAT))
+    return rounded(L.category_overlap(real, synth, CAT)).join(L.level_differences(real, synth, CAT), "column", "left")
 
 
 @register("l06_schema_match", with_sql(SIDES_SQL) + """

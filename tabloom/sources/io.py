@@ -77,11 +77,10 @@ def feature_lists(spark: SparkSession, models: Mapping[str, Sequence[str]]) -> D
 
 
 # A09 -----------------------------------------------------------------------
-def category_listing(df: DataFrame, cols: Sequence[str] | None = None, max_values: int = 50) -> DataFrame:
-    """(column, n_unique, values): distinct count and the first ``max_values``
-    sorted values of each text column (two-level salted top-n, no single task
-    sorts a whole column)."""
-    from tabloom.operators.profile import distinct_counts, first_values, text_cols
+def category_listing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, n_unique, value): every distinct value of each text column, a row each."""
+    from tabloom.operators.profile import distinct_counts, text_cols
     cols = list(cols or text_cols(df))
-    return distinct_counts(df, cols).join(first_values(df, cols, max_values), "column", "left").select(
-        "column", F.col("n_distinct").alias("n_unique"), F.coalesce("samples", F.lit("")).alias("values"))
+    pairs = (df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+             .where(F.col("value").isNotNull()).distinct())
+    return distinct_counts(df, cols).join(pairs, "column", "left").select("column", F.col("n_distinct").alias("n_unique"), "value")

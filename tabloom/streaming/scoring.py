@@ -70,3 +70,11 @@ def windowed_summary(stream: DataFrame, ts: str, model: str, value: str, window:
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "model", "n",
                     "mean", "min", "max"))
+
+
+def with_open_windows(finished: DataFrame, rows: DataFrame, ts: str, model: str, value: str, window: str = "1 hour") -> DataFrame:
+    """The finished windows of a stream's sink and, from the stored rows, those that the
+    watermark hasn't closed yet: only rows after the last finished window are read."""
+    last = finished.agg(F.max("window_end")).first()[0]
+    tail = rows if last is None else rows.where(F.col(ts) >= F.lit(last))
+    return finished.unionByName(windowed_summary(tail, ts, model, value, window))

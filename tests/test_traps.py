@@ -232,11 +232,62 @@ def test_vif_matches_uncentered_r2(spark):
     assert abs(v["x"] - expect) < 1e-9 and abs(v["z"] - expect) < 1e-9
 
 
-def test_vif_singular_raises(spark):
+def test_vif_of_dependent_and_badly_scaled_columns(spark):
     from tabloom.operators.correlation import vif
-    df = spark.range(10).select(F.col("id").cast("double").alias("x"), (2 * F.col("id")).cast("double").alias("y"))
-    with pytest.raises(ValueError):
-        vif(df, ["x", "y"])
+    df = spark.range(60).select(F.col("id").cast("double").alias("x"), (2 * F.col("id")).cast("double").alias("y"),
+                                (((F.col("id") * 7) % 11 + 1) * 1e5).alias("big"), (((F.col("id") * 5) % 13 + 1) * 1e-2).alias("small"))
+    v = {r["column"]: r for r in vif(df, ["x", "y", "big", "small"]).collect()}
+    assert v["x"]["vif"] == v["y"]["vif"] == math.inf and v["x"]["high"] == 1
+    alone = {r["column"]: r["vif"] for r in vif(df, ["x", "big", "small"]).collect()}
+    assert abs(v["big"]["vif"] - alone["big"]) < 1e-6 and abs(v["small"]["vif"] - alone["small"]) < 1e-6
+
+
+def test_wide_correlations(spark):
+    import numpy as np
+    import pandas as pd
+    from tabloom.operators.correlation import correlations
+    p = 60
+    x = np.random.default_rng(1).normal(size=(300, p)) * np.logspace(-3, 6, p) + 1e4
+    x[::7, 3], x[:, 5] = np.nan, 7.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(p)])
+    got = {(r["a"], r["b"]): r["r"] for r in correlations(spark.createDataFrame(pdf), list(pdf.columns), pairs_once=True).collect()}
+    want = pdf.corr()
+    assert len(got) == p * (p - 1) // 2
+    for (a, b), r in got.items():
+        assert (math.isnan(r) and math.isnan(want.loc[a, b])) or abs(r - want.loc[a, b]) < 1e-6, (a, b)
+
+
+def test_many_raw_spellings_of_few_levels_are_encoded(spark):
+    from tabloom.plans.preprocess import Preprocessor
+    rows = [(i, f"raw {i % 60}") for i in range(600)]
+    mapping = {f"raw {k}": f"level {k % 5}" for k in range(60)}
+    df = spark.createDataFrame(rows, "id long, kind string")
+    fitted = Preprocessor(mapping=mapping).fit(df)
+    assert sorted(fitted.single_levels["kind"]) == [f"level {k}" for k in range(5)]
+    assert sum(c.startswith("kind_") for c in fitted.transform(df).columns) == 5
+
+
+def test_nan_is_missing(spark):
+    from tabloom.operators.missing import MissingHandler, SimpleImputer
+    from tabloom.operators.profile import describe_numeric
+    from tabloom.plans.preprocess import Preprocessor
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,), (nan,), (nan,)], "x double")
+    for fitted in (MissingHandler(threshold=0.9).fit(df), SimpleImputer().fit(df), Preprocessor(threshold=0.9).fit(df)):
+        assert [r["x"] for r in fitted.transform(df).collect()] == [1.0, 2.0, 1.5, 1.5, 1.5]
+    d = describe_numeric(df).first()
+    assert (d["count"], d["mean"], d["median"], d["max"]) == (2, 1.5, 1.5, 2.0)
+
+
+def test_separator_and_text_keys(spark):
+    from tabloom.functions.text import split_parts
+    from tabloom.operators.augment import folds, split
+    one = spark.createDataFrame([("a|b", "k1"), ("c", None)], "v string, k string")
+    assert one.select(split_parts("v", "|").alias("p")).first()["p"] == ["a", "b"]
+    keys = spark.createDataFrame([(f"key {i}",) for i in range(1000)], "k string")
+    assert {r["fold"] for r in folds(keys, 5, "k").select("fold").distinct().collect()} == set(range(5))
+    n = split(keys, 0.3, "k").where("split = 'train'").count()
+    assert 200 < n < 400
 
 
 def test_copula_sample_passes_quality(spark):
