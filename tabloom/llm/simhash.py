@@ -82,11 +82,12 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
 
     A pair meets in a segment that differs in at most one bit, under the wildcard
     of that bit (under the first one, if the segment is equal): so once a segment.
+    Both sides name the same columns, so that one shuffle serves both.
     """
     v = _variants(prints, max_distance)
-    a, b = v.alias("a"), v.alias("b")
+    a, b = v.alias("a").hint("merge"), v.alias("b")       # an estimate doesn't see that rows were multiplied
     return (a.join(b, F.expr("a.part = b.part and a.slot = b.slot and a.fp < b.fp"
-                             " and (a.bit <> b.bit or a.pos = 0)"
+                             " and (a.bit <> b.bit or a.pos + b.pos = 0)"
                              f" and bit_count(a.fp ^ b.fp) <= {max_distance}"))
             .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
 
