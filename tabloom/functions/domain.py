@@ -70,6 +70,27 @@ TEXT_DEFAULTS = {
     "project_prf_currency_multiple": "Missing",
 }
 NUMERIC_DEFAULTS = {"year_of_project": 2024, "max_team_size": 8, "functional_size": 100}
+# Flag groups (H05): part of the group's name, input column, [(any of, none of, flag words)], default
+# flag words; words are tried in order. Other groups take the first flag with a word of FLAG_DEFAULTS.
+GROUP_RULES = [
+    ("application_group", "project_prf_application_type", [(["WEB", "BUSINESS"], [], ["business_application"])], ["nan", "missing"]),
+    ("clientserver_description", "tech_tf_architecture",
+     [(["MICRO", "WEB"], [], ["web"]), (["CLIENT"], [], ["client_server"])], ["nan", "missing"]),
+    ("development_type", "project_prf_development_type",
+     [(["NEW"], [], ["new_development"]), (["ENHANCEMENT"], [], ["enhancement"])], ["other", "nan"]),
+    ("development_platform", "tech_tf_development_platform", [(["CLOUD", "PC"], [], ["pc"]), (["MULTI"], [], ["multi"])], ["nan"]),
+    ("language_type", "tech_tf_language_type", [(["OBJECT", "3GL"], [], ["3gl"]), (["4GL"], [], ["4gl"])], ["nan"]),
+    ("relative_size", "project_prf_relative_size",
+     [(["MEDIUM"], [], ["m1", "m2"]), (["LARGE"], ["XL"], ["l"]), (["SMALL"], ["XS"], ["s"]), (["XL"], [], ["xl"]), (["XS"], [], ["xs"])],
+     ["nan"]),
+    ("architecture", "tech_tf_architecture",
+     [(["MICRO", "MULTI"], [], ["multi_tier"]), (["CLIENT"], [], ["client_server"])], ["nan", "stand_alone"]),
+    ("data_quality_rating", None, [], ["a"]),
+    ("organisation_type", "external_eef_organisation_type",
+     [(["LARGE", "ENTERPRISE"], [], ["computers", "software"]), (["BANKING"], [], ["banking"]), (["GOVERNMENT"], [], ["government"])],
+     ["nan", "other"]),
+]
+FLAG_DEFAULTS = ["nan", "no", "missing", "other"]
 HOURS_PER_DAY, DAYS_PER_WEEK, WEEKS_PER_MONTH = 8, 5, 4.33
 LOW_WARNING, HIGH_WARNING = 10, 5000
 # Row-check messages (J05) and their limits.

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tabloom.functions.text import map_lookup, split_parts, strip_ws
+from tabloom.functions.domain import FLAG_DEFAULTS, GROUP_RULES, keyword_code
 from tabloom.operators.schema import q
 
 # Fixed values (synthetic-data encoder of the reference): missing token and the
@@ -214,6 +215,37 @@ def activate_group(df: DataFrame, source: str, rules: Sequence[tuple[str, str]],
     return df.select("*", *[(chosen == F.lit(f)).cast("int").alias(f) for f in flags])
 
 
+def flag_with(flags: Sequence[str], words: Sequence[str]) -> str | None:
+    """The first flag that holds the first word that any flag holds."""
+    return next((f for w in words for f in flags if w in f.lower()), None)
+
+
+def activate_groups(df: DataFrame, flags: Sequence[str], rules=GROUP_RULES, defaults: Sequence[str] = FLAG_DEFAULTS) -> DataFrame:
+    """Add every flag as 0/1, one of each group (the name before the last underscore)
+    switched on by the group's rules over its raw input, all in one ``select``.
+
+    A rule's flag is looked up when the plan is made; each rule has any-of and
+    none-of words, a null or absent input counts as empty, and a rule whose flag the
+    group lacks switches nothing on. Groups without rules take a default flag, or
+    their first. Flags without an underscore belong to no group and stay off."""
+    groups: dict[str, list[str]] = {}
+    for f in flags:
+        groups.setdefault(f.rpartition("_")[0], []).append(f)
+    on: dict[str, Column] = {}
+    for base, members in groups.items():
+        found = next((r for r in rules if base and r[0] in base), None)
+        if found is not None:
+            _, source, cases, rest = found
+            raw = q(source) if source in df.columns else F.lit(None)
+            chosen = keyword_code(raw, [(any_of, none_of, flag_with(members, words)) for any_of, none_of, words in cases],
+                                  flag_with(members, rest))
+        else:
+            chosen = F.lit((flag_with(members, defaults) or members[0]) if base else None)
+        for f in members:
+            on[f] = F.coalesce(chosen.cast("string") == F.lit(f), F.lit(False)).cast("int")
+    return df.select("*", *[on[f].alias(f) for f in flags])
+
+
 # H06 / H07 -------------------------------------------------------------------
 @dataclass
 class FittedRange:

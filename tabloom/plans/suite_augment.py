@@ -98,15 +98,23 @@ def k04_category_coverage(spark, sf_dir):
 def k05_enhance(spark, sf_dir):
     """Whole enhancement flow: clean both sides with a plan fitted on the full
     table, top up the sample, encode with the same plan (rows-only check)."""
-    from tabloom.plans.preprocess import Preprocessor
+    return _enhanced(spark, sf_dir).encoded
+
+
+def _enhanced(spark, sf_dir):
+    from tabloom.plans.enhance import enhance
     from tabloom.plans.inputs import raw_project_frame
     from tabloom.session import materialize
     full = materialize(raw_project_frame(spark, sf_dir))
-    fitted = Preprocessor("normalised_work_effort").fit(full)
     sample = K.split(full, 0.02, "Project ID", seed=5).where(F.col("split") == "train").drop("split")
-    sample = sample.where(F.col("Market Segment") != " MACHINERY ")
-    enhanced, _ = K.cover_categories(sample, full, ["Market Segment", "Nation"], "Project ID", n=5, seed=42)
-    return fitted.transform(enhanced)
+    sample = sample.where(F.lower(F.trim(F.col("Market Segment"))) != "machinery")
+    return enhance(sample, full, ["market_segment", "nation"], "project_id", "normalised_work_effort", n=5, seed=42)
+
+
+@register("k05_enhance_coverage")
+def k05_enhance_coverage(spark, sf_dir):
+    """Categories of the sample before and after the top-up, on cleaned values."""
+    return _enhanced(spark, sf_dir).coverage
 
 
 @register("k07_semi_filter", with_sql(PROJECT_SQL, SETS_SQL) + """

@@ -184,6 +184,45 @@ def h05_activate_group(spark, sf_dir):
     return H.activate_group(df, "application_type", APP_RULES, APP_FLAGS, default="app_other")
 
 
+GROUP_FLAGS = ["project_prf_application_group_business_application", "project_prf_application_group_nan",
+               "project_prf_development_type_enhancement", "project_prf_development_type_new_development", "project_prf_development_type_other",
+               "project_prf_relative_size_l", "project_prf_relative_size_m1", "project_prf_relative_size_xl", "project_prf_relative_size_nan",
+               "external_eef_data_quality_rating_b", "external_eef_data_quality_rating_a", "tech_tf_web_yes", "tech_tf_web_no"]
+
+
+@register("h05_activate_groups", with_sql(PROJECT_SQL) + """
+, f AS (SELECT project_id,
+  upper(coalesce(CASE project_id % 4 WHEN 0 THEN 'Web shop' WHEN 1 THEN 'business system' WHEN 3 THEN region END, '')) AS app,
+  upper(coalesce(CASE project_id % 3 WHEN 0 THEN 'New one' WHEN 1 THEN 'Enhancement' ELSE segment END, '')) AS dev,
+  upper(coalesce(CASE project_id % 6 WHEN 0 THEN 'Large' WHEN 1 THEN 'XLarge' WHEN 2 THEN 'medium 1' WHEN 3 THEN 'XL' WHEN 4 THEN 'Small'
+                 ELSE priority END, '')) AS size FROM proj)
+SELECT project_id,
+  CAST(contains(app, 'WEB') OR contains(app, 'BUSINESS') AS INTEGER) AS project_prf_application_group_business_application,
+  CAST(NOT (contains(app, 'WEB') OR contains(app, 'BUSINESS')) AS INTEGER) AS project_prf_application_group_nan,
+  CAST(contains(dev, 'ENHANCEMENT') AND NOT contains(dev, 'NEW') AS INTEGER) AS project_prf_development_type_enhancement,
+  CAST(contains(dev, 'NEW') AS INTEGER) AS project_prf_development_type_new_development,
+  CAST(NOT contains(dev, 'NEW') AND NOT contains(dev, 'ENHANCEMENT') AS INTEGER) AS project_prf_development_type_other,
+  CAST(NOT contains(size, 'MEDIUM') AND ((contains(size, 'LARGE') AND NOT contains(size, 'XL'))
+       OR (contains(size, 'SMALL') AND NOT contains(size, 'XS'))) AS INTEGER) AS project_prf_relative_size_l,
+  CAST(contains(size, 'MEDIUM') AS INTEGER) AS project_prf_relative_size_m1,
+  CAST(contains(size, 'XL') AND NOT contains(size, 'MEDIUM') AS INTEGER) AS project_prf_relative_size_xl,
+  CAST(NOT (contains(size, 'MEDIUM') OR contains(size, 'LARGE') OR contains(size, 'SMALL') OR contains(size, 'XL') OR contains(size, 'XS')) AS INTEGER) AS project_prf_relative_size_nan,
+  CAST(1 AS INTEGER) AS external_eef_data_quality_rating_b, CAST(0 AS INTEGER) AS external_eef_data_quality_rating_a,
+  CAST(0 AS INTEGER) AS tech_tf_web_yes, CAST(1 AS INTEGER) AS tech_tf_web_no
+FROM f""")
+def h05_activate_groups(spark, sf_dir):
+    """One flag of each group switched on from raw inputs by the groups' rules. A rule's
+    word may stand anywhere in a flag's name, so "s" and "a" find the first flag."""
+    p = project_frame(spark, sf_dir)
+    k = F.col("project_id")
+    return H.activate_groups(p.select(
+        "project_id",
+        F.when(k % 4 == 0, "Web shop").when(k % 4 == 1, "business system").when(k % 4 == 3, F.col("region")).alias("project_prf_application_type"),
+        F.when(k % 3 == 0, "New one").when(k % 3 == 1, "Enhancement").otherwise(F.col("segment")).alias("project_prf_development_type"),
+        F.when(k % 6 == 0, "Large").when(k % 6 == 1, "XLarge").when(k % 6 == 2, "medium 1").when(k % 6 == 3, "XL").when(k % 6 == 4, "Small")
+        .otherwise(F.col("priority")).alias("project_prf_relative_size")), GROUP_FLAGS).select("project_id", *GROUP_FLAGS)
+
+
 RANGE_KINDS = {"effort": "continuous", "order_year": "discrete", "acct_balance": "continuous"}
 
 

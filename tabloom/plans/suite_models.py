@@ -324,35 +324,35 @@ def m01_prepare(spark, sf_dir):
 @register("m02_compare_models")
 def m02_compare_models(spark, sf_dir):
     folds_df, top = MD.compare_models(_train(spark, sf_dir), "label", FEATURES, "line_id",
-                                      ["lr", "ridge", "dt", "dummy", "ols"], k=3, sort="R2", n_select=3)
+                                      ["lr", "ridge", "dt", "dummy", "ols"], k=10, sort="R2", n_select=3)
     return folds_df
 
 
 @register("m03_fit_model")
 def m03_fit_model(spark, sf_dir):
     df = _train(spark, sf_dir)
-    m = MD.fit_model(df, "label", FEATURES, "gbr", {"maxIter": 10})
+    m = MD.fit_model(df, "label", FEATURES, "gbr")
     return m.predict(df, "prediction").select("line_id", "label", "prediction")
 
 
 @register("m04_tune")
 def m04_tune(spark, sf_dir):
     best, table_ = MD.tune(_train(spark, sf_dir), "label", FEATURES, "line_id", "dt",
-                           {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 20]}, n_iter=3, k=3)
+                           {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 20]}, n_iter=6, k=10)
     return table_
 
 
 @register("m09_stack")
 def m09_stack(spark, sf_dir):
     df = _train(spark, sf_dir)
-    bases, meta = MD.stack(df, "label", FEATURES, "line_id", ["lr", "dt"], k=3)
+    bases, meta = MD.stack(df, "label", FEATURES, "line_id", ["lr", "dt"], k=10)
     return MD.stack_predict(df, bases, meta).select("line_id", "label", "prediction")
 
 
 @register("m10_bag")
 def m10_bag(spark, sf_dir):
     df = _train(spark, sf_dir)
-    models = MD.bag(df, "label", FEATURES, "line_id", "dt", n=3)
+    models = MD.bag(df, "label", FEATURES, "line_id", "dt", n=10)
     return MD.bag_predict(df, models).select("line_id", "label", "prediction")
 
 
@@ -401,7 +401,7 @@ def m19_importance(spark, sf_dir):
 @register("m21_permutation_importance")
 def m21_permutation_importance(spark, sf_dir):
     df = _train(spark, sf_dir)
-    return MD.permutation_importance(df, MODEL_D, "label", FEATURES, "line_id", n=3)
+    return MD.permutation_importance(df, MODEL_D, "label", FEATURES, "line_id", n=10)
 
 
 @register("m28_registry_check")
