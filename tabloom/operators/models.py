@@ -415,31 +415,42 @@ def importance(spark, scorers: Sequence) -> DataFrame:
 
 
 # M21 -----------------------------------------------------------------------
-def permute_column(df: DataFrame, col: str, key: str, seed: int, buckets: int = 64) -> DataFrame:
-    """Shuffle ``col`` across rows: rows are split into hash buckets; inside a
-    bucket, the row ranked r by one hash order takes the value of the row
-    ranked r by another. A within-bucket permutation, no global sort."""
-    b = F.pmod(mix32(q(key), seed * 7919 + 1), F.lit(buckets))
-    base = df.withColumn("_b", b)
-    w1 = Window.partitionBy("_b").orderBy(mix32(q(key), seed), q(key))
-    w2 = Window.partitionBy("_b").orderBy(mix32(q(key), seed + 100003), q(key))
-    left = base.withColumn("_r", F.row_number().over(w1)).drop(col)
-    right = base.select("_b", F.row_number().over(w2).alias("_r"), q(col).alias(col))
-    return left.join(right, ["_b", "_r"]).drop("_b", "_r")
+ROWS_PER_BUCKET = 100_000          # rows ordered by one task of a permutation
+
+
+def paired_rows(df: DataFrame, cols: Sequence[str], key: str, seed: int) -> DataFrame:
+    """Every row with ``cols`` of another row beside it, as ``_perm_<col>``: rows fall into
+    hash buckets (as many as the row count asks for); in a bucket, the row ranked r by
+    one hash order meets the row ranked r by another. No global sort."""
+    buckets = max(1, df.count() // ROWS_PER_BUCKET)
+    k = row_key(df, key)
+    base = df.withColumn("_b", F.pmod(mix32(k, seed * 7919 + 1), F.lit(buckets)))
+    ranks = [F.row_number().over(Window.partitionBy("_b").orderBy(mix32(k, s), q(key))).alias("_r") for s in (seed, seed + 100003)]
+    right = base.select("_b", ranks[1], *[q(c).alias(f"_perm_{c}") for c in cols])
+    return base.select("*", ranks[0]).join(right, ["_b", "_r"]).drop("_b", "_r")
+
+
+def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
+    """``col`` shuffled across rows, within hash buckets."""
+    return paired_rows(df, [col], key, seed).withColumn(col, q(f"_perm_{col}")).drop(f"_perm_{col}")
 
 
 def permutation_importance(df: DataFrame, scorer, label: str, features: Sequence[str], key: str, n: int = 10,
                            metric: str = "R2", seed: int = 0) -> DataFrame:
-    """(feature, mean_drop, std_drop): metric drop when one feature is shuffled, n repeats."""
+    """(feature, mean_drop, std_drop): metric drop when one feature is shuffled, n repeats.
+    A repeat pairs the rows once and scores all features' shuffles side by side."""
     base = regression_metrics(scorer.predict(df, "_p"), label, "_p").first()[metric]
-    rows = []
-    for f in features:
-        drops = []
-        for r in range(n):
-            perm = permute_column(df, f, key, seed + r)
-            m = regression_metrics(scorer.predict(perm, "_p"), label, "_p").first()[metric]
-            drops.append(base - m)
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
+    drops: dict[str, list[float]] = {f: [] for f in features}
+    for r in range(n):
+        cur = paired_rows(df, features, key, seed + r)
+        for i, f in enumerate(features):
+            cur = scorer.predict(cur.withColumn("_own", q(f)).withColumn(f, q(f"_perm_{f}")), f"_p{i}")
+            cur = cur.withColumn(f, q("_own")).drop("_own")
+        each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("_p")) for i, f in enumerate(features)])
+        scored = cur.select(q(label), F.inline(each))
+        for row in regression_metrics(scored, label, "_p", ["feature"]).collect():
+            drops[row["feature"]].append(base - row[metric])
+    rows = [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, mean_drop double, std_drop double")
 
 
@@ -458,5 +469,32 @@ def linear_attribution(df: DataFrame, scorer: LinearScorer, key: str, means: Map
     return wide.unpivot([key], names, "feature", "value")
 
 
+def attribution_breakdown(df: DataFrame, scorer: LinearScorer, key: str, value) -> DataFrame:
+    """(feature, input, value) of one row, besides its mean prediction as feature
+    "(mean)": the values add up to the row's prediction."""
+    row = df.agg(*[F.avg(q(f)).alias(f) for f in scorer.coefs]).first()
+    means = {f: float(row[f]) for f in scorer.coefs}
+    one = df.where(q(key) == F.lit(value))
+    start = scorer.intercept + sum(c * means[f] for f, c in scorer.coefs.items())
+    parts = [F.struct(F.lit("(mean)").alias("feature"), F.lit(None).cast("double").alias("input"), F.lit(float(start)).alias("value"))]
+    for f, c in scorer.coefs.items():
+        x = F.coalesce(q(f).cast("double"), F.lit(0.0))
+        parts.append(F.struct(F.lit(f).alias("feature"), x.alias("input"), ((x - F.lit(means[f])) * F.lit(float(c))).alias("value")))
+    return one.select(F.inline(F.array(*parts)))
+
+
+def dependence_pairs(df: DataFrame, scorer: LinearScorer, key: str, top: int = 2) -> DataFrame:
+    """(key, feature, input, value) of the ``top`` features by mean absolute attribution:
+    the points of their dependence plots."""
+    row = df.agg(*[F.avg(q(f)).alias(f) for f in scorer.coefs]).first()
+    means = {f: float(row[f]) for f in scorer.coefs}
+    ranking = attribution_ranking(linear_attribution(df, scorer, key, means))
+    best = [r["feature"] for r in ranking.orderBy(F.desc("mean_abs"), "feature").limit(top).collect()]
+    points = [F.struct(F.lit(f).alias("feature"), q(f).cast("double").alias("input"),
+                       ((F.coalesce(q(f).cast("double"), F.lit(0.0)) - F.lit(means[f])) * F.lit(float(scorer.coefs[f]))).alias("value"))
+              for f in best]
+    return df.select(q(key), F.inline(F.array(*points)))
+
+
 def attribution_ranking(attr: DataFrame) -> DataFrame:
     return attr.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))

@@ -249,6 +249,28 @@ def m22_attribution_ranking(spark, sf_dir):
     return rounded(MD.attribution_ranking(MD.linear_attribution(scored(spark, sf_dir), MODEL_D, "line_id")))
 
 
+@register("m22_breakdown", with_sql(SCORED_SQL, "one AS (SELECT * FROM scored WHERE line_id = (SELECT min(line_id) FROM scored))") + """
+SELECT '(mean)' AS feature, CAST(NULL AS DOUBLE) AS input,
+       round(-2.0 + (SELECT avg(l_quantity) FROM scored) * 1.2 + (SELECT avg(l_discount) FROM scored) * -30.0
+             + (SELECT avg(l_tax) FROM scored) * 20.0, 6) AS value FROM one
+UNION ALL SELECT 'l_quantity', l_quantity, round((l_quantity - (SELECT avg(l_quantity) FROM scored)) * 1.2, 6) FROM one
+UNION ALL SELECT 'l_discount', l_discount, round((l_discount - (SELECT avg(l_discount) FROM scored)) * -30.0, 6) FROM one
+UNION ALL SELECT 'l_tax', l_tax, round((l_tax - (SELECT avg(l_tax) FROM scored)) * 20.0, 6) FROM one""")
+def m22_breakdown(spark, sf_dir):
+    """How one row's prediction comes about."""
+    df = scored(spark, sf_dir)
+    first = df.agg(F.min("line_id")).first()[0]
+    return rounded(MD.attribution_breakdown(df, MODEL_D, "line_id", first))
+
+
+@register("m22_dependence_pairs", with_sql(SCORED_SQL) + """
+SELECT line_id, 'l_quantity' AS feature, l_quantity AS input, round((l_quantity - (SELECT avg(l_quantity) FROM scored)) * 1.2, 6) AS value FROM scored
+UNION ALL SELECT line_id, 'l_discount', l_discount, round((l_discount - (SELECT avg(l_discount) FROM scored)) * -30.0, 6) FROM scored""")
+def m22_dependence_pairs(spark, sf_dir):
+    """Inputs and attributions of the two features that matter most."""
+    return rounded(MD.dependence_pairs(scored(spark, sf_dir), MODEL_D, "line_id", 2))
+
+
 @register("m23_residuals", with_sql(SCORED_SQL) + """
 SELECT line_id, label - pred_c AS residual, abs(label - pred_c) AS abs_error,
        CASE WHEN label <> 0 THEN (label - pred_c) / label END AS relative_error FROM scored""")
