@@ -180,6 +180,7 @@ def _with_shared(maybe, wanted: bool, then):
             kept = batch.filter(pa.array(hit == wanted))
             if len(kept):
                 yield from then(kept)
+        encoder.cache_clear()              # an idle worker holds no pieces
     return run
 
 
@@ -187,16 +188,18 @@ def _with_shared(maybe, wanted: bool, then):
 _MEMO = 300_000
 
 
-def _encode_whole(path: str, group: int = 4 << 20):
+def _groups(column, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of a binary column with about ``most`` bytes each."""
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], dtype=np.int64)
+    part = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(starts.tolist(), np.diff(starts, append=len(sizes)).tolist())
+
+
+def _encode_whole(path: str):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-        sizes = np.array([len(x.as_py()) for x in batch.column("text")])
-        part = (np.cumsum(sizes) // group).tolist()            # some MB of text at a time
-        at = 0
-        for _, same in groupby(part):
-            n = sum(1 for _ in same)
+        for at, n in _groups(batch.column("text")):
             some = batch.slice(at, n)
-            at += n
             ids = encoder(path, _MEMO).encode([x.as_py().decode() for x in some.column("text")])
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     return run
@@ -236,6 +239,7 @@ def _encode_chunks(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.array(ids[:len(rows)], pa.binary()), pa.array(ids[len(rows):], pa.binary())],
                     names=["k1", "k2", "head", "probe_end", "tail", "probe", "core"])
+        encoder.cache_clear()
     return run
 
 
@@ -267,9 +271,12 @@ def _assemble(path: str):
         def encode(piece: bytes) -> bytes:
             return encoder(path, _MEMO).encode([piece.decode()])[0]
         for batch in batches:
-            out = [join_chunks(x.as_py(), {c["pos"]: c for c in found.as_py() or []}, encode)
-                   for x, found in zip(batch.column("text"), batch.column("found"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            for at, n in _groups(batch.column("text")):
+                some = batch.slice(at, n)
+                out = [join_chunks(x.as_py(), {c["pos"]: c for c in found.as_py() or []}, encode)
+                       for x, found in zip(some.column("text"), some.column("found"))]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        encoder.cache_clear()
     return run
 
 
@@ -309,9 +316,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [decode_ids(x.as_py() or b"", path) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, "decoded"])
+            for at, n in _groups(batch.column("ids")):
+                some = batch.slice(at, n)
+                texts = [decode_ids(x.as_py() or b"", path) for x in some.column("ids")]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
     return run
 
 
