@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashSet64, stage, utf8
+from .common import HashSet64, hand_back, stage, utf8
 
 #: Between a character that is surely no white space and one that surely is, every
 #: byte-level pre-tokenizer of this kind ends a piece, whatever stands around.
@@ -166,7 +166,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(list(n.values()), pa.int64())], names=["k1", "k2", "n"])
 
 
-def _with_shared(maybe, wanted: bool, then):
+def _with_shared(maybe, wanted: bool, then, path: str):
     """Hand on only the documents that hold (or don't hold) a chunk that may be shared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +180,16 @@ def _with_shared(maybe, wanted: bool, then):
             kept = batch.filter(pa.array(hit == wanted))
             if len(kept):
                 yield from then(kept)
-        encoder.cache_clear()              # an idle worker holds no pieces
+        forget(path)
     return run
 
 
+def forget(path: str) -> None:
+    """At a task's end: an idle worker keeps the tokenizer, but no pieces."""
+    encoder(path, _MEMO).clear()
+    hand_back()
+
+
 #: Pieces that a worker of ``encode`` remembers: four workers of an executor may each hold so many.
 _MEMO = 300_000
 
@@ -239,7 +245,7 @@ def _encode_chunks(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.array(ids[:len(rows)], pa.binary()), pa.array(ids[len(rows):], pa.binary())],
                     names=["k1", "k2", "head", "probe_end", "tail", "probe", "core"])
-        encoder.cache_clear()
+        forget(path)
     return run
 
 
@@ -276,7 +282,7 @@ def _assemble(path: str):
                 out = [join_chunks(x.as_py(), {c["pos"]: c for c in found.as_py() or []}, encode)
                        for x, found in zip(some.column("text"), some.column("found"))]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-        encoder.cache_clear()
+        forget(path)
     return run
 
 
@@ -288,7 +294,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Texts are cut into chunks by a rolling hash. Chunks met twice or more in the
     table are encoded once, and documents that hold one are put together from them
     (``join_chunks``); text between them, and documents without any, is encoded
-    where it stands, so it never moves. A bit table of fixed size (16 MB) sorts
+    where it stands, so it never moves. A bit table of fixed size (8 MB) sorts
     documents that may hold a shared chunk from those that surely don't; the
     joins that follow are exact. Null and empty texts have no ids, repeated rows
     come back repeated, further columns are ignored, an empty table stays empty.
@@ -298,8 +304,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     shared = stage(texts.select("text").mapInArrow(_keys, "k1 long, k2 long, n long")
                    .groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 1").select("k1", "k2"))
     maybe = spark.sparkContext.broadcast(HashSet64.of(shared, "k1"))
-    alone = texts.mapInArrow(_with_shared(maybe, False, _encode_whole(path)), "doc_id long, ids binary")
-    joined = stage(texts.mapInArrow(_with_shared(maybe, True, lambda batch: [batch]), "doc_id long, text binary")
+    alone = texts.mapInArrow(_with_shared(maybe, False, _encode_whole(path), path), "doc_id long, ids binary")
+    joined = stage(texts.mapInArrow(_with_shared(maybe, True, lambda batch: [batch], path), "doc_id long, text binary")
                    .withColumn("row", F.monotonically_increasing_id()))
     chunks = (joined.select("text").mapInArrow(_chunk_texts, "k1 long, k2 long, chunk binary")
               .join(shared, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("chunk").alias("chunk")))
@@ -320,6 +326,7 @@ def _decode(path: str):
                 some = batch.slice(at, n)
                 texts = [decode_ids(x.as_py() or b"", path) for x in some.column("ids")]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        hand_back()
     return run
 
 

@@ -39,6 +39,18 @@ def shared_filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def hand_back() -> None:
+    """Return a Python worker's freed memory to the system, so that idle and reused
+    workers of an executor don't add up."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
 class Memo(dict):
     """A bounded memo: emptied when it is full, so a task's memory stays flat."""
 
@@ -54,8 +66,8 @@ class Memo(dict):
 class HashSet64:
     """A bit table of fixed size that tells whether a 64-bit hash may be in a set.
 
-    It answers "maybe" or "surely not"; its size never grows with the data (16 MB
-    at 27 bits), so it may be broadcast. A fuller table only answers "maybe" more
+    It answers "maybe" or "surely not"; its size never grows with the data (8 MB
+    at 26 bits), so it may be broadcast. A fuller table only answers "maybe" more
     often: whatever passes is settled by an exact join afterwards.
     """
 
@@ -63,7 +75,7 @@ class HashSet64:
         self.words, self.bits = words, bits
 
     @classmethod
-    def of(cls, df: DataFrame, col: str, bits: int = 27) -> "HashSet64":
+    def of(cls, df: DataFrame, col: str, bits: int = 26) -> "HashSet64":
         """Build from a long column: one bit_or aggregate, at most 2^(bits-6) rows back."""
         slot = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
         # 6 low bits choose the bit in a word, the others the word
