@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty
+from .common import Memo, stage, text_or_empty
 
 _ROWS = 1 << 14               # tokens whose logits are held at once
 
@@ -46,13 +47,45 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, count: int) -> list[str]:
-    """The ``count`` most frequent lower-cased words of all texts (ties by word)."""
-    counts = (docs.select(text_or_empty().alias("text")).mapInArrow(_word_counts, "word string, n long")
-              .groupBy("word").agg(F.sum("n").alias("n")))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every lower-cased word of all texts."""
+    return (docs.select(text_or_empty().alias("text")).mapInArrow(_word_counts, "word string, n long")
+            .groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent_words(counts: DataFrame, count: int) -> list[str]:
+    """The ``count`` most frequent words (ties by word)."""
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(count).collect()]
 
 
+class WithinClass:
+    """log P(word | its class) of every word, from the counts of the whole corpus.
+
+    A word of a class has n / (N + 1), n its count and N that of its class; a word
+    with an id of its own has 1. What is left, 1 / (N + 1), is for words that the
+    corpus lacks, spelled by even odds on 256 bytes and an end. ``counts`` stays a
+    table; the driver holds only the classes' counts and the words that make up at
+    least a ``head``-th of all tokens, which are at most ``head``.
+    """
+
+    def __init__(self, counts: DataFrame, frequent: list[str], classes: int, head: int):
+        rare = (counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")), "word", "left_anti")
+                .withColumn("class", F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(classes))))
+        total = np.zeros(len(frequent) + classes)
+        for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
+            total[len(frequent) + r["class"]] = r["n"]
+        self.log_total = np.log1p(total)
+        whole = int(counts.agg(F.sum("n")).first()[0] or 0)
+        top = rare.where(F.col("n") >= F.lit(whole / head)).select("word", "n").collect()
+        self.known = {r["word"]: float(np.log(r["n"])) for r in top} | dict.fromkeys(frequent, 0.0)
+        self.counts = counts
+
+
+def _log_count():
+    """log of a word's count, or of its spelling if the corpus lacks it."""
+    return F.coalesce(F.log("n"), -(F.octet_length("word") + 1) * F.lit(float(np.log(257))))
+
+
 class WindowNetwork:
     """Predicts a token from ``radius`` tokens on both sides; the token itself is masked.
 
@@ -112,8 +145,8 @@ class WindowNetwork:
         p /= n
         dh = (p @ w2.T) * (1 - h * h)
         dx = (dh @ w1.T).reshape(-1, self.width)
-        demb = np.zeros_like(emb)
-        np.add.at(demb, ctx.ravel(), dx)
+        cells = ctx.ravel()[:, None] * self.width + np.arange(self.width)
+        demb = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=emb.size).reshape(emb.shape).astype(emb.dtype)
         grads = [demb, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
         state["t"] = t = state.get("t", 0) + 1
         for i, g in enumerate(grads):
@@ -152,16 +185,19 @@ def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate:
 
 
 def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, every: int = 8, batch_size: int = 1024,
-        rate: float = 4e-3, **shape) -> tuple[list[str], int, dict, np.ndarray]:
-    """(frequent words, classes, shape, weights) learnt from all documents.
+        rate: float = 4e-3, head: int = 1 << 17, **shape) -> tuple[list[str], int, dict, np.ndarray, WithinClass]:
+    """(frequent words, classes, shape, weights, odds within the classes) learnt from
+    all documents.
 
     The corpus falls into ``rounds`` parts by the hash of the text. In each round
     every task trains a copy of the network on its rows of that part, at every
     ``every``-th position of each document, and the copies' weights are averaged by
     the positions they saw: what comes back has the network's size, not the data's.
+    The counts of all words, which grow with the corpus, stay a table.
     """
     sc = docs.sparkSession.sparkContext
-    frequent = frequent_words(docs, words)
+    counts = stage(word_counts(docs))
+    frequent = frequent_words(counts, words)
     weights = WindowNetwork(len(frequent) + classes, **shape).flat().astype(np.float64)
     shared = sc.broadcast(frequent)
     texts = docs.select(text_or_empty().alias("text"))
@@ -174,22 +210,29 @@ def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, e
         if len(mean):
             weights = weights.copy()
             weights[mean["at"].to_numpy()] = mean["value"].to_numpy()
-    return frequent, classes, shape, weights
+    return frequent, classes, shape, weights, WithinClass(counts, frequent, classes, head)
 
 
-def _scorer(words, classes, shape, weights):
+def _scorer(words, classes, shape, weights, known, log_total):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words.value, classes)
         net = WindowNetwork(vocabulary.size, **shape).load(weights.value)
 
         def score(some):
-            docs = [vocabulary.ids(x.as_py()) for x in some.column("text")]
+            texts = [x.as_py().lower().split() for x in some.column("text")]
+            docs = [np.fromiter(map(vocabulary.__getitem__, t), dtype=np.int32, count=len(t)) for t in texts]
             sizes = np.array([len(d) for d in docs], dtype=np.int64)
             ids = np.concatenate(docs)
-            logs = net.log_probs(np.concatenate([net.contexts(d) for d in docs]), ids)
+            logs = net.log_probs(np.concatenate([net.contexts(d) for d in docs]), ids) - log_total[ids]
+            tails = []
+            for t, end in zip(texts, np.cumsum(sizes).tolist()):
+                counted = np.fromiter(map(known.value.get, t, repeat(np.nan)), dtype=np.float64, count=len(t))
+                far = np.isnan(counted)
+                logs[end - len(t):end] += np.where(far, 0.0, counted)
+                tails.append([t[i] for i in np.flatnonzero(far).tolist()])
             ends = np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], np.cumsum(sizes)))]
-            return pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes), pa.array(np.diff(ends))],
-                                              names=["doc_id", "n_tokens", "log_likelihood"])
+            return pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes), pa.array(np.diff(ends)), pa.array(tails, pa.list_(pa.string()))],
+                                              names=["doc_id", "n_tokens", "near", "tail"])
         for batch in batches:
             for k in range(0, len(batch), 256):
                 yield score(batch.slice(k, 256))
@@ -200,12 +243,21 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob): the sum over a text's tokens
     of the log-probability of each given both sides, and its mean (null if no token).
 
+    A token's probability is that of its word or class by the network, times that of
+    the word within its class (``WithinClass``). Counts that tasks don't hold come by
+    a join on the word.
+
     Null and empty texts have no token and sum 0; repeated rows come back repeated;
     further columns are ignored; an empty table stays empty.
     """
     sc = docs.sparkSession.sparkContext
-    frequent, classes, shape, weights = model
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-            .mapInArrow(_scorer(sc.broadcast(frequent), classes, shape, sc.broadcast(weights)),
-                        "doc_id long, n_tokens long, log_likelihood double")
+    frequent, classes, shape, weights, within = model
+    near = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+                 .mapInArrow(_scorer(sc.broadcast(frequent), classes, shape, sc.broadcast(weights), sc.broadcast(within.known), within.log_total),
+                             "doc_id long, n_tokens long, near double, tail array<string>")
+                 .withColumn("row", F.monotonically_increasing_id()))
+    far = (near.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+           .join(within.counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * _log_count()).alias("far")))
+    total = F.col("near") + F.coalesce("far", F.lit(0.0))
+    return (near.join(far, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
             .withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -69,3 +70,34 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert all((r.n_tokens == 0) == (r.mean_log_prob is None) for r in got)
     assert sum(r.n_tokens == 0 for r in got) == 3
     assert P.score(no_docs, P.fit(no_docs)).count() == 0
+
+
+def test_every_word_has_its_own_probability(spark):
+    rng = random.Random(5)
+    rare = [f"{a}{b}ing" for a in "abcdefgh" for b in "klmno"] + ["x", "é", "größe", "weiße"]
+    texts = [" ".join(rng.choice(["the", "of"]) if rng.random() < 0.4 else rng.choice(rare[:1 + i % len(rare)]) for _ in range(60)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = P.fit(docs, words=2, classes=3)
+    asked = [(0, "the akin of"), (1, "the aking of"), (2, "the hoing of"), (3, "the qqqqing of"), (4, "x é größe weiße"), (4, "x é größe weiße"), (5, "")]
+    asked_docs = spark.createDataFrame(asked, "doc_id long, text string")
+    got = sorted(tuple(r) for r in P.score(asked_docs, model).select("doc_id", "n_tokens", "log_likelihood").collect())
+    # brute force: the network's share of the class and the word's share in it
+    vocabulary = P.Vocabulary(model[0], model[1])
+    net = P.WindowNetwork(vocabulary.size).load(model[3])
+    n = Counter(w for t in texts for w in t.split())
+    of = Counter()
+    for w, k in n.items():
+        of[vocabulary[w]] += k
+    for (doc, text), (_, size, value) in zip(asked, got):
+        ids, words = vocabulary.ids(text), text.split()
+        total = net.log_probs(net.contexts(ids), ids).sum()
+        for w, i in zip(words, ids.tolist()):
+            if w not in model[0]:
+                total += (np.log(n[w]) if w in n else -(len(w.encode()) + 1) * np.log(257)) - np.log(of[i] + 1)
+        assert size == len(words) and abs(total - value) < 1e-3
+    assert len({round(v, 6) for _, _, v in got}) == 6                   # junk with the same ending scores otherwise
+    # the same from the joined table as from the words that tasks hold
+    joined = (*model[:4], P.WithinClass(model[4].counts, model[0], model[1], head=1))
+    assert len(model[4].known) == len(n) and len(joined[4].known) == 2
+    again = sorted(tuple(r) for r in P.score(asked_docs, joined).select("doc_id", "n_tokens", "log_likelihood").collect())
+    assert np.allclose([r[2] for r in got], [r[2] for r in again])
