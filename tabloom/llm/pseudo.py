@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, stage, text_or_empty
 
-_ROWS = 1 << 14               # tokens whose logits are held at once
+_ROWS = 1 << 10               # tokens whose logits are held at once: they fit the cache
 
 
 class Vocabulary(Memo):
@@ -120,8 +120,11 @@ class WindowNetwork:
     def _forward(self, ctx: np.ndarray):
         emb, w1, b1, w2, b2 = self.params
         x = emb[ctx].reshape(len(ctx), -1)
-        h = np.tanh(x @ w1 + b1)
-        logits = h @ w2 + b2
+        h = x @ w1
+        h += b1
+        np.tanh(h, out=h)
+        logits = h @ w2
+        logits += b2
         logits -= logits.max(axis=1, keepdims=True)
         return x, h, logits
 
@@ -131,7 +134,8 @@ class WindowNetwork:
         for k in range(0, len(ids), _ROWS):
             logits = self._forward(ctx[k:k + _ROWS])[2]
             hit = logits[np.arange(len(logits)), ids[k:k + _ROWS]]
-            out[k:k + _ROWS] = hit - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
+            np.exp(logits, out=logits)
+            out[k:k + _ROWS] = hit - np.log(logits.sum(axis=1))
         return out
 
     def train(self, ctx: np.ndarray, ids: np.ndarray, state: dict, rate: float) -> None:
@@ -139,10 +143,9 @@ class WindowNetwork:
         emb, w1, _, w2, _ = self.params
         n = len(ids)
         x, h, logits = self._forward(ctx)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), ids] -= 1
-        p /= n
+        p = np.exp(logits, out=logits)
+        p *= 1 / (n * p.sum(axis=1, keepdims=True))
+        p[np.arange(n), ids] -= 1 / n
         dh = (p @ w2.T) * (1 - h * h)
         dx = (dh @ w1.T).reshape(-1, self.width)
         cells = ctx.ravel()[:, None] * self.width + np.arange(self.width)
@@ -164,7 +167,7 @@ def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate:
         for batch in batches:
             for x in batch.column("text"):
                 mine = vocabulary.ids(x.as_py())
-                pick = np.arange(len(mine) % every, len(mine), every)
+                pick = np.arange(len(mine) % min(every, max(1, len(mine))), len(mine), every)
                 ctx.append(net.contexts(mine)[pick])
                 ids.append(mine[pick])
                 held += len(pick)
@@ -184,14 +187,15 @@ def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate:
     return run
 
 
-def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, every: int = 8, batch_size: int = 1024,
+def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, every: int = 1, batch_size: int = 1024,
         rate: float = 4e-3, head: int = 1 << 17, **shape) -> tuple[list[str], int, dict, np.ndarray, WithinClass]:
     """(frequent words, classes, shape, weights, odds within the classes) learnt from
     all documents.
 
     The corpus falls into ``rounds`` parts by the hash of the text. In each round
-    every task trains a copy of the network on its rows of that part, at every
-    ``every``-th position of each document, and the copies' weights are averaged by
+    every task trains a copy of the network on its rows of that part, at all
+    positions of each document (or each ``every``-th, one at least), and the copies'
+    weights are averaged by
     the positions they saw: what comes back has the network's size, not the data's.
     The counts of all words, which grow with the corpus, stay a table.
     """

@@ -101,3 +101,29 @@ def test_every_word_has_its_own_probability(spark):
     assert len(model[4].known) == len(n) and len(joined[4].known) == 2
     again = sorted(tuple(r) for r in P.score(asked_docs, joined).select("doc_id", "n_tokens", "log_likelihood").collect())
     assert np.allclose([r[2] for r in got], [r[2] for r in again])
+
+
+def test_trains_on_every_position(spark, monkeypatch):
+    texts = ["a b c", "one", "w x y z q r s", " ".join(f"t{i}" for i in range(2500)), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocabulary = P.Vocabulary(["a", "one", "q"], 4)
+    trained = []
+    monkeypatch.setattr(P.WindowNetwork, "train", lambda self, ctx, ids, state, rate: trained.extend(ids.tolist()))
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    weights = P.WindowNetwork(vocabulary.size).flat()
+    batches = [b for b in docs.select("text").toArrow().to_batches()]
+    default = P.fit.__defaults__[P.fit.__code__.co_varnames[1:P.fit.__code__.co_argcount].index("every")]
+    run = P._trainer(Held(["a", "one", "q"]), 4, {}, Held(weights), default, 1024, 4e-3)
+    seen = sum(b.column("n")[0].as_py() for b in run(iter(batches)))
+    assert trained == [int(i) for t in texts for i in vocabulary.ids(t)] and seen == len(trained)
+    # every eighth position, and one at least
+    trained.clear()
+    list(P._trainer(Held(["a", "one", "q"]), 4, {}, Held(weights), 8, 1024, 4e-3)(iter(batches)))
+    assert len(trained) >= 2500 // 8 + 3 and trained[:3] == [int(vocabulary.ids(t)[0]) for t in texts[:3]]
+    # texts of a few words move the network
+    before, after = P.WindowNetwork(4 + 2).flat(), P.fit(spark.createDataFrame([(1, "u v w")], "doc_id long, text string"), words=2, classes=4)[3]
+    assert not np.allclose(before, after)
