@@ -22,6 +22,7 @@ UNITS = frozenset("m in ft yd mi g lb oz t l s sec secs min mins h hr hrs w v a
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _NUMBER, _END, _TITLE, _UNIT, _WORD, _MEASURE = 1, 2, 3, 4, 5, 6
 _KIND_BITS = 3
+_LITERAL = 2                  # the way of windows that are looked for as they stand; 0, 1: templates with, without names
 _PLACE = {_NUMBER: "<number>", _TITLE: "<name>", _UNIT: "<unit>"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,6 +77,14 @@ def template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.n
     return [t for t, w in zip(tokens, word.tolist()) if w], codes, kind
 
 
+def literal(words: list[str], kind: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The codes of a text's words as they stand, lower-cased, without placeholders."""
+    codes = codes.copy()
+    for i in np.flatnonzero(kind != _WORD).tolist():
+        codes[i] = _hash(words[i].lower())
+    return codes
+
+
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every window of ``size`` words."""
     n = len(codes) - size + 1
@@ -104,18 +113,21 @@ def _item_windows(size: int, least: int):
             rows = []
             for item, x in zip(batch.column("item_id").to_pylist(), batch.column("text")):
                 text = x.as_py().decode()
-                for names in (True, False):            # a copy all in capitals shows no names
+                for way, names in enumerate((True, False)):            # a copy all in capitals shows no names
                     words, codes, kind = template(text, names)
-                    if len(words) < least:
+                    if not words:
                         continue
                     w = min(size, len(words))
-                    good = _literals(kind, w)
-                    rows += [(int(h), w, item, i, len(good), _slots(words, kind, i, w))
+                    good = _literals(kind, w) & (len(words) >= least)
+                    rows += [(int(h), w, item, i, way, int(good.sum()), len(good), _slots(words, kind, i, w))
                              for i, h in enumerate(windows(codes, w).view(np.int64)) if good[i]]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            columns = zip(*rows) if rows else [[]] * 6
+                    if names:
+                        rows += [(int(h), -w, item, i, _LITERAL, 0, len(good), [])
+                                 for i, h in enumerate(windows(literal(words, kind, codes), w).view(np.int64)) if not good[i]]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+            columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                             names=["hash", "size", "item_id", "item_pos", "item_windows", "item_slots"])
+                                             names=["hash", "size", "item_id", "item_pos", "way", "way_windows", "item_windows", "item_slots"])
     return run
 
 
@@ -127,6 +139,10 @@ def _doc_windows(sizes: list[int], maybe):
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words, codes, kind = template(x.as_py().decode())
                 for size in sizes:
+                    if size < 0:                                        # once a document is enough
+                        h = np.unique(windows(literal(words, kind, codes), -size))
+                        rows += [(h, size, doc, 0, []) for h in h[maybe.value.maybe(h)].view(np.int64).tolist()]
+                        continue
                     h = windows(codes, size)
                     rows += [(int(h[i].view(np.int64)), size, doc, i, _slots(words, kind, i, size))
                              for i in np.flatnonzero(maybe.value.maybe(h)).tolist()]
@@ -144,10 +160,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     the whole item, if it is shorter) are hash-joined. Matches of a document and an
     item that lie on one alignment must fill their slots consistently: each value of
     the item stands for one value of the document and the other way round; an
-    alignment that doesn't is dropped. An item is held if at least ``share`` of its
-    windows match (``matched`` of ``of``). Items of fewer than ``least`` words, and
-    windows with more placeholders than words, can't be told from chance and are
-    not looked for.
+    alignment that doesn't is dropped. Windows with more placeholders than words, and
+    items of fewer than ``least`` words, can't be told from chance as templates: their
+    words are looked for as they stand, in any case, numbers included.
+
+    An item is held if at least ``share`` of all its windows match, or of those that
+    are looked for as templates (with names, or without); ``matched`` of ``of`` is
+    the larger of these shares.
 
     Null and empty texts and items match nothing; null ids never match; repeated
     documents give one row each pair of ids; further columns are ignored; empty
@@ -155,23 +174,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     """
     spark = docs.sparkSession
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text")).where("item_id is not null")
-                  .mapInArrow(_item_windows(size, least),
-                              "hash long, size int, item_id long, item_pos int, item_windows int, item_slots array<string>").distinct())
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())      # at most size - least + 1 of them
+                  .mapInArrow(_item_windows(size, least), "hash long, size int, item_id long, item_pos int, way int, way_windows int, "
+                              "item_windows int, item_slots array<string>").distinct())
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())      # at most 2 * size of them
     maybe = spark.sparkContext.broadcast(HashSet64.of(items, "hash"))
     hits = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).where("doc_id is not null")
             .mapInArrow(_doc_windows(sizes, maybe), "hash long, size int, doc_id long, doc_pos int, doc_slots array<string>"))
+    found = ["doc_id", "item_id", "item_pos", "way", "way_windows", "item_windows"]
     pairs = stage(hits.join(items, ["hash", "size"]).where(F.size("doc_slots") == F.size("item_slots"))
-                  .select("doc_id", "item_id", "item_pos", "item_windows", "doc_slots", "item_slots",
-                          (F.col("doc_pos") - F.col("item_pos")).alias("shift")))
+                  .select(*found, "doc_slots", "item_slots", (F.col("doc_pos") - F.col("item_pos")).alias("shift")))
     line = ["doc_id", "item_id", "shift"]
     filled = (pairs.where(F.size("item_slots") > 0)
               .select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
               .select(*line, F.col("s.item_slots").alias("theirs"), F.col("s.doc_slots").alias("ours")).distinct())
     torn = (filled.groupBy(*line, "theirs").agg(F.count("*").alias("n"), F.first("ours").alias("ours")).where("n > 1").select(*line)
             .unionByName(filled.groupBy(*line, "ours").agg(F.count("*").alias("n")).where("n > 1").select(*line)).distinct())
-    return (pairs.join(torn, line, "left_anti").select("doc_id", "item_id", "item_pos", "item_windows").distinct()
-            .groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("matched"), F.max("item_windows").alias("of"))
+    whole = pairs.join(torn, line, "left_anti").select(*found)
+    by_way = [f"max(case when way = {w} then {v} else 0 end) as {c}{w}" for w in (0, 1) for v, c in ((1, "hit"), ("way_windows", "of"))]
+    shares = [F.struct((F.col(m) / F.greatest(F.col(of), F.lit(1))).alias("part"), F.col(of).alias("of"), F.col(m).alias("matched"))
+              for m, of in (("matched", "item_windows"), ("matched0", "of0"), ("matched1", "of1"))]
+    return (whole.groupBy("doc_id", "item_id", "item_pos").agg(F.max("item_windows").alias("item_windows"), *map(F.expr, by_way))
+            .groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("item_windows").alias("item_windows"),
+                                              F.sum("hit0").alias("matched0"), F.max("of0").alias("of0"), F.sum("hit1").alias("matched1"), F.max("of1").alias("of1"))
+            .select("doc_id", "item_id", F.array_max(F.array(*shares)).alias("best"))
+            .select("doc_id", "item_id", F.col("best.matched").cast("int").alias("matched"), F.col("best.of").alias("of"))
             .where(F.col("matched") >= F.col("of") * F.lit(share)))
 
 

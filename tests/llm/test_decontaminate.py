@@ -80,3 +80,13 @@ def test_hot_passage(spark):
     docs = [(n, f"own words {n} " + (ITEMS[0][1] if n % 3 == 0 else "nothing to see in this one")) for n in range(900)]
     got = D.contaminated(*_run(spark, docs, ITEMS)).collect()
     assert {r.doc_id for r in got} == {n for n in range(900) if n % 3 == 0}
+
+
+def test_heavy_windows_and_short_items(spark):
+    items = [(1, "Add 12 kg, 3 kg, 45 kg and 7 kg."), (2, "Paris Rome 3"), (3, "please count these plain words one by one 4 5 6 7 8 9 10 11 12")]
+    docs = [(1, "He says: add 12 kg, 3 kg, 45 kg and 7 kg. Then rest."), (2, "add 12 kg, 3 kg, 46 kg and 8 kg."), (3, "from PARIS, rome 3 times"),
+            (4, "from Paris to Rome 3 times"), (5, "so please count these plain words one by one 4 5 6 7 8 9 10 11 12"),
+            (6, "so please count these plain words one by one 9 8 6 1 3 2 14 13 12")]
+    got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    assert got == {(1, 1): (3, 3), (3, 2): (1, 1), (5, 3): (10, 10), (6, 3): (5, 5)}
+    assert [r.doc_id for r in D.drop_contaminated(*_run(spark, docs, items)).orderBy("doc_id").collect()] == [2, 4]
