@@ -85,6 +85,14 @@ def literal(words: list[str], kind: np.ndarray, codes: np.ndarray) -> np.ndarray
     return codes
 
 
+def unnamed(words: list[str], codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, typed) of a template when no word is a name."""
+    codes = codes.copy()
+    for i in np.flatnonzero(kind == _TITLE).tolist():
+        codes[i] = _codes[words[i]] & ~7
+    return codes, np.where(kind == _TITLE, _WORD, kind)
+
+
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every window of ``size`` words."""
     n = len(codes) - size + 1
@@ -138,6 +146,8 @@ def _doc_windows(sizes: list[int], maybe):
             rows = []
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words, codes, kind = template(x.as_py().decode())
+                named = np.concatenate(([0], np.cumsum(kind == _TITLE)))
+                plain_codes, plain = unnamed(words, codes, kind)        # Title Case, and first words after a colon
                 for size in sizes:
                     if size < 0:                                        # once a document is enough
                         h = np.unique(windows(literal(words, kind, codes), -size))
@@ -146,6 +156,10 @@ def _doc_windows(sizes: list[int], maybe):
                     h = windows(codes, size)
                     rows += [(int(h[i].view(np.int64)), size, doc, i, _slots(words, kind, i, size))
                              for i in np.flatnonzero(maybe.value.maybe(h)).tolist()]
+                    if named[-1] and len(h):
+                        h = windows(plain_codes, size)
+                        rows += [(int(h[i].view(np.int64)), size, doc, i, _slots(words, plain, i, size))
+                                 for i in np.flatnonzero(maybe.value.maybe(h) & (named[size:] > named[:-size])).tolist()]
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
                                              names=["hash", "size", "doc_id", "doc_pos", "doc_slots"])
@@ -156,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     """(doc_id, item_id, matched, of): documents that hold a benchmark item, also with
     other numbers, names or units.
 
-    Both sides become typed templates (``template``); windows of ``size`` words (of
+    Both sides become typed templates (``template``), with names and without, so that
+    first words and Title Case match too; windows of ``size`` words (of
     the whole item, if it is shorter) are hash-joined. Matches of a document and an
     item that lie on one alignment must fill their slots consistently: each value of
     the item stands for one value of the document and the other way round; an

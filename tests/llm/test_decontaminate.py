@@ -90,3 +90,16 @@ def test_heavy_windows_and_short_items(spark):
     got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
     assert got == {(1, 1): (3, 3), (3, 2): (1, 1), (5, 3): (10, 10), (6, 3): (5, 5)}
     assert [r.doc_id for r in D.drop_contaminated(*_run(spark, docs, items)).orderBy("doc_id").collect()] == [2, 4]
+
+
+def test_copies_after_a_colon_and_in_title_case(spark):
+    items = [(1, "What is the capital of France?"), (2, ITEMS[0][1])]
+    docs = [(1, "Q: What is the capital of France? A: Paris"), (2, "so " + ITEMS[0][1].title()), (3, "Q: Who is the mayor of France?")]
+    got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    n = len(D.template(ITEMS[0][1])[0]) - 7
+    assert got == {(1, 1): (1, 1), (2, 2): (n, n)}
+    for _, text in docs + DOCS:
+        words, codes, kind = D.template(text or "")
+        theirs = D.template(text or "", names=False)
+        mine = D.unnamed(words, codes, kind)
+        assert mine[0].tolist() == theirs[1].tolist() and mine[1].tolist() == theirs[2].tolist()
