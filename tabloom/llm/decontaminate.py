@@ -174,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     first words and Title Case match too; windows of ``size`` words (of
     the whole item, if it is shorter) are hash-joined. Matches of a document and an
     item that lie on one alignment must fill their slots consistently: each value of
-    the item stands for one value of the document and the other way round; an
-    alignment that doesn't is dropped. Windows with more placeholders than words, and
+    the item stands for one value of the document; windows that hold a value for
+    which this fails are dropped. Windows with more placeholders than words, and
     items of fewer than ``least`` words, can't be told from chance as templates: their
     words are looked for as they stand, in any case, numbers included.
 
@@ -202,9 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     filled = (pairs.where(F.size("item_slots") > 0)
               .select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s"))
               .select(*line, F.col("s.item_slots").alias("theirs"), F.col("s.doc_slots").alias("ours")).distinct())
-    torn = (filled.groupBy(*line, "theirs").agg(F.count("*").alias("n"), F.first("ours").alias("ours")).where("n > 1").select(*line)
-            .unionByName(filled.groupBy(*line, "ours").agg(F.count("*").alias("n")).where("n > 1").select(*line)).distinct())
-    whole = pairs.join(torn, line, "left_anti").select(*found)
+    torn = (filled.groupBy(*line, "theirs").agg(F.count("*").alias("n")).where("n > 1")
+            .groupBy(*line).agg(F.collect_set("theirs").alias("torn")))
+    whole = (pairs.join(torn, line, "left")
+             .where(F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn")).select(*found))
     by_way = [f"max(case when way = {w} then {v} else 0 end) as {c}{w}" for w in (0, 1) for v, c in ((1, "hit"), ("way_windows", "of"))]
     shares = [F.struct((F.col(m) / F.greatest(F.col(of), F.lit(1))).alias("part"), F.col(of).alias("of"), F.col(m).alias("matched"))
               for m, of in (("matched", "item_windows"), ("matched0", "of0"), ("matched1", "of1"))]

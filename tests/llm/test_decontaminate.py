@@ -103,3 +103,14 @@ def test_copies_after_a_colon_and_in_title_case(spark):
         theirs = D.template(text or "", names=False)
         mine = D.unnamed(words, codes, kind)
         assert mine[0].tolist() == theirs[1].tolist() and mine[1].tolist() == theirs[2].tolist()
+
+
+def test_only_windows_with_a_torn_slot_are_dropped(spark):
+    items = [(1, "there were 12 birds on one side of the wide river and 40 birds on the other side"),
+             (2, "after 3 apples fell from the old tree in the garden behind our house the boys went home to eat and then 3 of them slept")]
+    docs = [(1, "there were 20 birds on one side of the wide river and 20 birds on the other side"),
+            (2, "after 4 apples fell from the old tree in the garden behind our house the boys went home to eat and then 5 of them slept")]
+    got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    words = D.template(items[1][1])[0]
+    free = sum("3" not in words[i:i + 8] for i in range(len(words) - 7))
+    assert got == {(1, 1): (11, 11), (2, 2): (free, len(words) - 7)}
