@@ -22,6 +22,14 @@ def utf8(col: str = "text") -> Column:
     return text_or_empty(col).cast("binary")
 
 
+def free_name(taken, base: str) -> str:
+    """``base``, with underscores before it until it isn't one of ``taken`` (any case)."""
+    lower = {c.lower() for c in taken}
+    while base.lower() in lower:
+        base = f"_{base}"
+    return base
+
+
 def new_folder(spark, name: str) -> str:
     """A fresh folder name below the shared folder that all executors see."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -145,3 +145,38 @@ def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pseudo import fit, score
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs))
+
+
+_MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS draw
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS most FROM s
+), p AS (
+  SELECT *, coalesce(sum(most) OVER earlier, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS weights_left,
+    1.5::DOUBLE * sum(source_size) OVER () AS everything
+  FROM w WINDOW earlier AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT max((everything - capped) / weights_left) AS level FROM p
+), g AS (
+  SELECT source, source_size, least(weight * level, most) AS target FROM w, t
+), r AS (
+  SELECT d.doc_id, d.size, d.draw, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < (rate - floor(rate)) * 4503599627370496 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
+@query("op13_source_mixing", _MIX_SQL)
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that a mix of 150% takes: weights 5, 2, 1, none over twice."""
+    from .mixing import mixture
+    out = mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
