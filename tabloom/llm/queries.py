@@ -225,3 +225,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their commonest neighbours at one edit, and where these lead."""
     from .spelling import spelling_variants
     return spelling_variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, damage=199, factor=5)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound embedding, shifted to integers and whitened to at most 16 components."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
