@@ -244,7 +244,7 @@ def _search(backward: bool):
     return run
 
 
-def near_words(words: DataFrame, block: int = 1 << 14) -> DataFrame:
+def near_words(words: DataFrame, block: int = 1 << 13) -> DataFrame:
     """(word, n_near, form_n, form) of (word, n): how many other words lie at exactly one
     inserted, deleted or replaced code point, and the commonest of them (ties: the
     smallest). A word may have several rows, each for a part of its near words;
@@ -268,7 +268,9 @@ def near_words(words: DataFrame, block: int = 1 << 14) -> DataFrame:
             return spark.createDataFrame([], _FOUND)
         bounds = sc.broadcast(([r["block"] for r in firsts], [r["first"] for r in firsts]))
         asked = blocks.select("words").mapInArrow(_route(bounds, backward, block), "to long, queries array<string>")
-        met = asked.join(blocks, F.col("to") == F.col("block")).select("block", "words", "counts", "queries")
+        tasks = -(-len(firsts) // 2)               # few bytes but much work: dealt by number of blocks, not by size
+        met = (asked.repartition(tasks, "to").join(blocks.repartition(tasks, "block"), F.col("to") == F.col("block"))
+               .select("block", "words", "counts", "queries"))
         part = met.mapInArrow(_search(backward), _FOUND)
         found = part if found is None else found.unionByName(part)
     return found
@@ -286,7 +288,7 @@ def follow(forms: DataFrame) -> DataFrame:
             return links.select("word", "root")
 
 
-def spelling_forms(words: DataFrame, factor: int = 5, block: int = 1 << 14) -> DataFrame:
+def spelling_forms(words: DataFrame, factor: int = 5, block: int = 1 << 13) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of (word, n), one row a word.
 
     ``form`` is the near word (see ``near_words``) with the largest n, ties to the
