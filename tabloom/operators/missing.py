@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, DoubleType, FloatType
 
+from tabloom.operators.counted import counted_values
 from tabloom.operators.quantiles import exact_quantiles, known
 from tabloom.operators.schema import q
 
@@ -120,12 +121,12 @@ class MissingHandler:
         self.threshold, self.keep, self.fill_value, self.median = threshold, set(keep), fill_value, median
 
     def fit(self, df: DataFrame) -> FittedMissing:
-        cols = df.columns
-        row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        n = row["_rows"] or 1
-        drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        fills = fitted_medians(df, [c for c in numeric_cols(df) if c not in drop], self.median)
+        nums, exact = numeric_cols(df), self.median == "exact"
+        counted = counted_values(df, presence=[c for c in df.columns if c not in nums or not exact])
+        n = counted.rows or 1
+        drop = [c for c, m in counted.missing.items() if m / n > self.threshold and c not in self.keep]
+        kept = [c for c in nums if c not in drop]
+        fills = {c: m[0] for c, m in counted.quantiles(kept, [0.5]).items()} if exact else fitted_medians(df, kept, self.median)
         return FittedMissing(drop, self.fill_value, fills, text_cols(df))
 
 

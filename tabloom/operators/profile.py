@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DoubleType, FloatType, IntegerType, LongType, NumericType,
                                ShortType, StringType, BooleanType)
 
+from tabloom.operators.counted import CountedValues, counted_values
 from tabloom.operators.missing import is_missing
 from tabloom.operators.quantiles import known, quantile_table
 from tabloom.operators.schema import q
@@ -116,17 +117,15 @@ def first_values(df: DataFrame, cols: Sequence[str], n: int = 5, salt: int = 64)
 # E01 -----------------------------------------------------------------------
 def data_summary(df: DataFrame, n: int = 5) -> DataFrame:
     """(column, data_type, n_null, null_pct, n_distinct, samples)."""
-    cols = df.columns
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"),
-                  *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    nulls = wide.select("_rows", F.stack(F.lit(len(cols)), *[x for i, c in enumerate(cols)
-                                                             for x in (F.lit(c), F.col(f"m{i}"))]).alias("column", "m"))
-    types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in cols],
-                                            "column string, data_type string")
-    return (types.join(nulls, "column").join(distinct_counts(df, cols), "column")
-            .join(first_values(df, cols, n), "column", "left")
-            .select("column", "data_type", F.col("m").cast("bigint").alias("n_null"),
-                    (F.col("m") * 100.0 / F.col("_rows")).alias("null_pct"), "n_distinct", "samples"))
+    return _summary(df, counted_values(df), n)
+
+
+def _summary(df: DataFrame, counted: CountedValues, n: int) -> DataFrame:
+    rows, missing, distinct = counted.rows, counted.missing, counted.distinct
+    known = df.sparkSession.createDataFrame(
+        [(c, df.schema[c].dataType.simpleString(), missing[c], missing[c] * 100.0 / rows if rows else None, distinct[c]) for c in df.columns],
+        "column string, data_type string, n_null bigint, null_pct double, n_distinct bigint")
+    return known.join(counted.first_values(n), "column", "left")
 
 
 # E02 -----------------------------------------------------------------------
@@ -138,23 +137,27 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
     is missing); std is the sample std. Quartiles are exact and interpolated, as
     pandas', at every size; ``approx`` takes a sketch instead."""
     cols = list(cols or numeric_cols(df))
+    if not approx:
+        return _described(df, counted_values(df, cols), cols)
     aggs = []
     for i, c in enumerate(cols):
         x = known(q(c))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(x, QUARTILES, 10000).alias(f"p{i}"))
-    parts = [("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max")]
-    long = stack_wide(df.agg(*aggs), cols, parts + [("p", "p")] * approx)
-    if approx:
-        quarters = [F.col("p")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))]
-    else:
-        table = quantile_table(df, cols, QUARTILES).select("column", *[F.col(f"q{i}").alias(n) for i, n in enumerate(("q25", "median", "q75"))])
-        long, quarters = long.join(table, "column", "left"), ["q25", "median", "q75"]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.percentile_approx(x, QUARTILES, 10000).alias(f"p{i}")]
+    parts = [("n", "count"), ("a", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max"), ("p", "p")]
+    long = stack_wide(df.agg(*aggs), cols, parts)
+    quarters = [F.col("p")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))]
     return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", *quarters, "max")
 
 
+_DESCRIBED = ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
+
+
+def _described(df: DataFrame, counted: CountedValues, cols: Sequence[str]) -> DataFrame:
+    rows = [(c, *[d[k] for k in _DESCRIBED]) for c, d in counted.describe(cols).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, " + ", ".join(f"{k} double" for k in _DESCRIBED[1:]))
+
+
 # E04 -----------------------------------------------------------------------
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: number of rows that repeat an earlier identical row."""

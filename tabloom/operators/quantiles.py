@@ -57,9 +57,10 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
                     values: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
-    """The same for a fit: {column: [quantile, ...]} with None where nothing is known."""
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if cols:
-        for r in quantile_table(df, cols, probs, values=values).collect():       # a row a column
-            out[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]
-    return out
+    """The same for a fit, from one counted table: {column: [quantile, ...]} with None
+    where nothing is known."""
+    from tabloom.operators.counted import counted_values
+    if not cols:
+        return {}
+    x = {c: known((values or {}).get(c, q(c))) for c in cols}
+    return counted_values(df, cols, x).quantiles(cols, probs)

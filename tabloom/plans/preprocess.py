@@ -5,12 +5,10 @@ columns + fill (D02-D04), clean values (C02), tidy multi-value cells (C05),
 map single values (C03), multi-hot (G03), one-hot (H01), fix names (B04),
 validate (E17).
 
-``fit`` runs a fixed number of Spark jobs whatever the width of the table:
-  1. one aggregate: missing counts of every column, medians of numerics and
-     ';' counts of text columns;
-  2. level discovery over (column, value) pairs of the partly transformed frame
-     (two small collects: counts per column, then the levels of columns within
-     the cardinality limit).
+``fit`` scans the frame once, whatever its width, for a table of counted values
+(``operators.counted``). From that come missing counts, ';' columns and exact
+medians; cleaning, tidying and mapping then run once a distinct value instead of
+once a row, and the levels of columns within the cardinality limit are collected.
 Everything learned (dropped columns, fills, levels) is kept, so training and
 scoring frames get one schema (T3/T4). ``transform`` is a single lazy chain of
 projections that Catalyst collapses into one ``Project``.
@@ -23,13 +21,14 @@ import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tabloom.functions.text import clean_value, map_lookup, normalize_text, strip_ws, tidy_multivalue
-from tabloom.operators.encode import FittedOneHot, distinct_pairs
-from tabloom.operators.missing import fitted_medians, is_missing, value
+from tabloom.functions.text import clean_value, map_lookup, normalize_text, split_parts, strip_ws, tidy_multivalue
+from tabloom.operators.counted import CountedValues, counted_values
+from tabloom.operators.encode import FittedOneHot
+from tabloom.operators.missing import fitted_medians, value
 from tabloom.operators.multivalue import FittedMultiHot
 from tabloom.operators.schema import fixed_names, q, standardize_columns
 
@@ -146,39 +145,39 @@ class Preprocessor:
         cols = named.columns
         nums = [f.name for f in named.schema.fields if isinstance(f.dataType, NumericType)]
         txt = [f.name for f in named.schema.fields if isinstance(f.dataType, StringType)]
-        # job 1: one aggregate for missing counts, medians and ';' detection
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        aggs += [F.count_if(is_missing(named, c)).alias(f"m{i}") for i, c in enumerate(cols)]
-        aggs += [F.count_if(F.contains(q(c), F.lit(";"))).alias(f"s{i}") for i, c in enumerate(txt)]
-        # distinct values after filling, cleaning and mapping, as one-hot will see them:
-        # a sketch far above the limit spares the exact count of a free-text column
-        aggs += [F.approx_count_distinct(plan._single(q(c))).alias(f"d{i}") for i, c in enumerate(txt)]
-        row = named.agg(*aggs).first()
-        n = row["_rows"] or 1
+        exact = self.median == "exact"
+        counted = counted_values(named, presence=[c for c in cols if c not in txt and not (exact and c in nums)])
+        n = counted.rows or 1
         plan.input_columns = cols
-        plan.drop = [c for i, c in enumerate(cols) if row[f"m{i}"] / n > self.threshold and c not in self.keep]
-        plan.numeric_fill = fitted_medians(named, [c for c in nums if c not in plan.drop], self.median)
-        semi = {c for i, c in enumerate(txt) if row[f"s{i}"] > 0}
+        plan.drop = [c for c, m in counted.missing.items() if m / n > self.threshold and c not in self.keep]
+        kept = [c for c in nums if c not in plan.drop]
+        plan.numeric_fill = ({c: m[0] for c, m in counted.quantiles(kept, [0.5]).items()} if exact
+                             else fitted_medians(named, kept, self.median))
+        semi = counted.with_semicolons()
         plan.multi_columns = [c for c in txt if c in semi and c not in plan.drop]
         plan.single_columns = [c for c in txt if c not in semi and c not in plan.drop]
-        gate = 2 * (self.max_cardinality + 1) + 16
-        candidates = [c for i, c in enumerate(txt) if c in plan.single_columns and row[f"d{i}"] <= gate]
-        # job 2: distinct levels of multi (exploded) and single columns together
-        cleaned = plan._clean(named)
-        pairs = distinct_pairs(cleaned, plan.multi_columns, multi=True).unionByName(
-            distinct_pairs(cleaned, candidates)).persist()
-        try:
-            counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-            small = [r["column"] for r in counts.where(F.col("n") <= self.max_cardinality).collect()]
-            levels = (pairs.where(F.col("column").isin(small)).groupBy("column")
-                      .agg(F.array_sort(F.collect_list("value")).alias("levels")))
-            lv = {r["column"]: list(r["levels"]) for r in levels.collect()} if small else {}
-        finally:
-            pairs.unpersist()
+        lv = self._levels(plan, counted)
         plan.multi_levels = {c: lv[c] for c in plan.multi_columns if c in lv}
         plan.single_levels = {c: lv[c] for c in plan.single_columns if c in lv}
         return plan
 
+    def _levels(self, plan: FittedPreprocessor, counted: CountedValues) -> dict[str, list[str]]:
+        """Sorted levels, as the encoders will see them, of the text columns that have at
+        most ``max_cardinality``. One level more than that is kept of a larger column,
+        in every task before the shuffle, so no task or driver holds all its values."""
+        one = F.array(plan._single(F.col("text")))
+        many = split_parts(tidy_multivalue(clean_value(F.coalesce(F.col("text"), F.lit(plan.text_fill))), plan.mapping))
+        parts = [counted.values(cols).select("column", F.explode(x).alias("value"))
+                 for cols, x in ((plan.single_columns, one), (plan.multi_columns, many)) if cols]
+        if not parts:
+            return {}
+        pairs = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        order = Window.partitionBy("column").orderBy("value")
+        few = (pairs.where(F.col("value").isNotNull()).distinct().withColumn("place", F.row_number().over(order))
+               .where(F.col("place") <= self.max_cardinality + 1))
+        found = few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("levels")).collect()
+        return {counted.names[r["column"]]: list(r["levels"]) for r in found if len(r["levels"]) <= self.max_cardinality}
+
 
 # X04 -----------------------------------------------------------------------
 def processing_report(before: DataFrame, after: DataFrame, target: str | None, steps: Sequence[str] = STEPS,

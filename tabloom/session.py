@@ -70,7 +70,7 @@ def materialize(df):
     ``release`` deletes an application's tables."""
     path = f"{_tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)      # known: no job to infer it
 
 
 def release(spark: SparkSession) -> None:
