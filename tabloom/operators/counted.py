@@ -106,6 +106,22 @@ class CountedValues:
               for r in ranked.select("column", "block", "value", F.explode(held).alias("rank")).collect()}
         return {c: [at[lo] + (at[hi] - at[lo]) * w for w, lo, hi in places[c]] or [None] * len(probs) for c in cols}
 
+    def traits(self, words: Sequence[str]) -> dict[str, tuple[bool, float | None]]:
+        """{column: (boolean-like, integer share)}: at most four known spellings, in any
+        case, and all of them in ``words``; the share of numbers within 1e-10 of an
+        integer (None without numbers)."""
+        spelling = F.lower("value")
+        x = F.coalesce(F.col("whole").cast("double"), F.col("number"))
+        near = F.when(F.abs(x - F.round(x)) < 1e-10, F.col("n")).otherwise(0)
+        rows = self.known_text().groupBy("column").agg(
+            F.count_if(~spelling.isin(list(words))).alias("others"),
+            F.size(F.collect_set(F.when(spelling.isin(list(words)), spelling))).alias("spellings"),
+            (F.sum(F.when(x.isNotNull(), near)) / F.sum(F.when(x.isNotNull(), F.col("n")))).alias("share")).collect()
+        out = {c: (False, None) for c in self.names}
+        for r in rows:
+            out[self.names[r["column"]]] = (r["others"] == 0 and r["spellings"] <= 4, r["share"])
+        return out
+
     # -- values of columns, as tables
     def _ids(self, cols: Collection[str]) -> list[int]:
         return [i for i, c in enumerate(self.names) if c in set(cols)]

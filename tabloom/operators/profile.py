@@ -252,47 +252,30 @@ def box_candidates(df: DataFrame, max_levels: int = 15, n_cats: int = 4) -> tupl
 
 # E12 / E13 / E14 ---------------------------------------------------------------
 def detect_kinds(df: DataFrame, threshold: int = 20, small: int = 5, ratio: float = 0.5) -> DataFrame:
-    """(column, kind): categorical / discrete / continuous, from one aggregate of
-    distinct counts, boolean-likeness and integer-likeness."""
-    cols = df.columns
-    dc = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        s = F.lower(q(c).cast("string"))
-        aggs.append(F.count(q(c)).alias(f"n{i}"))
-        # boolean-like: <= 4 distinct lower-cased texts, all in the word list
-        aggs.append(F.count_if(q(c).isNotNull() & ~s.isin(BOOLEAN_WORDS)).alias(f"bb{i}"))
-        present = [F.coalesce(F.max((s == F.lit(w)).cast("int")), F.lit(0)) for w in BOOLEAN_WORDS]
-        aggs.append(sum(present[1:], present[0]).alias(f"bs{i}"))
-        if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
-            x = q(c).cast("double")
-            aggs.append(F.avg((F.abs(x - F.round(x)) < 1e-10).cast("double")).alias(f"il{i}"))
-    row = df.agg(*aggs).first()
-    out = []
-    for i, c in enumerate(cols):
-        t = df.schema[c].dataType
-        nn = row[f"n{i}"]
-        boolean_like = row[f"bb{i}"] == 0 and row[f"bs{i}"] <= 4
-        nu = dc.get(c, 0)
-
-        def small_cat():
-            return nu <= small or (nu <= threshold and nn and nu / nn < ratio)
-        if isinstance(t, (StringType, BooleanType)):
-            kind = "categorical"
-        elif boolean_like and nn:
-            kind = "categorical"
-        elif isinstance(t, INTEGRAL):
-            kind = "categorical" if small_cat() else "discrete"
-        elif isinstance(t, (DoubleType, FloatType)):
-            il = row[f"il{i}"]
-            if il is not None and il > 0.8:
-                kind = "categorical" if small_cat() else "discrete"
-            else:
-                kind = "continuous"
+    """(column, kind): categorical / discrete / continuous, from distinct counts,
+    boolean-likeness and integer-likeness of the counted values."""
+    kinds, _ = _kinds(df, counted_values(df), threshold, small, ratio)
+    return df.sparkSession.createDataFrame(list(kinds.items()), "column string, kind string")
+
+
+def _kinds(df: DataFrame, counted: CountedValues, threshold: int = 20, small: int = 5, ratio: float = 0.5) -> tuple[dict[str, str], set[str]]:
+    """({column: kind}, boolean-like columns)."""
+    traits, distinct, missing = counted.traits(BOOLEAN_WORDS), counted.distinct, counted.missing
+    kinds, booleans = {}, set()
+    for c in df.columns:
+        t, known_rows = df.schema[c].dataType, counted.rows - missing[c]
+        boolean_like, integer_share = traits[c]
+        if boolean_like and known_rows:
+            booleans.add(c)
+        few = distinct[c] <= small or (distinct[c] <= threshold and known_rows and distinct[c] / known_rows < ratio)
+        whole = isinstance(t, INTEGRAL) or isinstance(t, (DoubleType, FloatType)) and integer_share is not None and integer_share > 0.8
+        if isinstance(t, (StringType, BooleanType)) or c in booleans:
+            kinds[c] = "categorical"
+        elif whole:
+            kinds[c] = "categorical" if few else "discrete"
         else:
-            kind = "continuous"
-        out.append((c, kind))
-    return df.sparkSession.createDataFrame(out, "column string, kind string")
+            kinds[c] = "continuous"
+    return kinds, booleans
 
 
 # E15 -----------------------------------------------------------------------
@@ -381,29 +364,69 @@ def target_summary(df: DataFrame, target: str, top: int = 10) -> DataFrame:
 def profile_table(df: DataFrame, n: int = 5) -> DataFrame:
     """One row per column: type, nulls, distinct count, samples and, for
     numeric columns, the describe statistics (E01 joined with E02)."""
-    return data_summary(df, n).join(describe_numeric(df), "column", "left")
+    counted = counted_values(df)
+    return _summary(df, counted, n).join(_described(df, counted, numeric_cols(df)), "column", "left")
 
 
 def profile(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+    """The parts of a report as tables of their own; one scan feeds all but the
+    correlations and the target."""
     from tabloom.operators.correlation import correlations
     from tabloom.operators.missing import missing_profile
-    out = {"missing": missing_profile(df), "summary": data_summary(df), "describe": describe_numeric(df),
-           "distinct": distinct_counts(df), "correlations": correlations(df, numeric_cols(df))}
+    counted = counted_values(df)
+    kinds, _ = _kinds(df, counted)
+    out = {"missing": missing_profile(df), "summary": _summary(df, counted, 5), "describe": _described(df, counted, numeric_cols(df)),
+           "distinct": df.sparkSession.createDataFrame(list(counted.distinct.items()), "column string, n_distinct bigint"),
+           "kinds": df.sparkSession.createDataFrame(list(kinds.items()), "column string, kind string"),
+           "top": counted.top_values(10), "correlations": correlations(df, numeric_cols(df))}
     if target:
         out["target"] = target_summary(df, target)
     return out
 
 
+_ANALYSIS = "column string, metric string, value double, detail string"
+
+
+def _analysis(df: DataFrame, counted: CountedValues) -> DataFrame:
+    kinds, booleans = _kinds(df, counted)
+    rows, missing, distinct = counted.rows, counted.missing, counted.distinct
+    out = [("__table__", "rows", float(rows), None), ("__table__", "columns", float(len(df.columns)), None)]
+    for c in df.columns:
+        out += [(c, "n_null", float(missing[c]), None), (c, "null_pct", missing[c] * 100.0 / rows if rows else None, None),
+                (c, "n_distinct", float(distinct[c]), None), (c, "recommended_kind", None, kinds[c])]
+    for c, d in counted.describe([c for c in numeric_cols(df) if c not in booleans]).items():
+        out += [(c, m, None if d[m] is None else float(d[m]), None) for m in _DESCRIBED]
+    table = df.sparkSession.createDataFrame(out, _ANALYSIS)
+    if booleans:
+        name = counted.name_of(F.col("column")).alias("column")
+        counts = (counted.known_text().where(F.col("column").isin(counted._ids(booleans)))
+                  .select(name, F.lit("value_count").alias("metric"), F.col("n").cast("double").alias("value"), F.col("value").alias("detail")))
+        most = counted.top_values(1, booleans).select("column", F.lit("most_common").alias("metric"), F.col("n").cast("double").alias("value"), F.col("value").alias("detail"))
+        table = table.unionByName(counts).unionByName(most)
+    return table
+
+
 def analyze(df: DataFrame) -> DataFrame:
-    """Shape, kinds, missing, distinct and numeric detail as one long table
-    (column, metric, value as double)."""
-    summ = data_summary(df).select("column", F.stack(
-        F.lit(3), F.lit("n_null"), F.col("n_null").cast("double"), F.lit("null_pct"), F.col("null_pct"),
-        F.lit("n_distinct"), F.col("n_distinct").cast("double")).alias("metric", "value"))
-    desc = describe_numeric(df).select("column", F.stack(
-        F.lit(8), *[x for m in ["count", "mean", "std", "min", "q25", "median", "q75", "max"]
-                    for x in (F.lit(m), F.col(m).cast("double"))]).alias("metric", "value"))
-    shape = df.agg(F.count(F.lit(1)).cast("double").alias("v")).select(
-        F.lit("__table__").alias("column"), F.stack(F.lit(2), F.lit("rows"), F.col("v"),
-                                                   F.lit("columns"), F.lit(float(len(df.columns)))).alias("metric", "value"))
-    return summ.unionByName(desc).unionByName(shape)
+    """Shape, missing, distinct, recommended kind, numeric detail and the value
+    counts of boolean-like columns as one long table (column, metric, value, detail)."""
+    return _analysis(df, counted_values(df))
+
+
+def profile_report(df: DataFrame, samples: int = 5, top: int = 5) -> DataFrame:
+    """The whole report as one long table (section, column, metric, value, detail):
+    analysis (E03), samples (E01), top values (E07) and correlations (F01)."""
+    from tabloom.operators.correlation import correlations
+    counted = counted_values(df)
+    none, blank = F.lit(None).cast("string"), F.lit(None).cast("double")
+    types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in df.columns], "column string, detail string")
+    parts = [_analysis(df, counted).select(F.lit("analysis").alias("section"), "*"),
+             types.select(F.lit("summary").alias("section"), "column", F.lit("data_type").alias("metric"), blank.alias("value"), "detail"),
+             counted.first_values(samples).select(F.lit("summary").alias("section"), "column", F.lit("samples").alias("metric"), blank.alias("value"), F.col("samples").alias("detail")),
+             counted.top_values(top).select(F.lit("top").alias("section"), "column", F.concat(F.lit("top_"), F.col("rank").cast("string")).alias("metric"),
+                                            F.col("n").cast("double").alias("value"), F.col("value").alias("detail")),
+             correlations(df, numeric_cols(df), pairs_once=True).select(F.lit("correlation").alias("section"), F.col("a").alias("column"),
+                                                                        F.col("b").alias("metric"), F.col("r").alias("value"), none.alias("detail"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -387,28 +387,54 @@ def f06_prediction_correlations(spark, sf_dir):
 
 
 # --- E03: full analysis as one long table ----------------------------------------
-E03_NUM = ["project_id", "order_year", "acct_balance", "effort"]
-E03_TXT = ["priority"]
+E03_NUM = ["project_id", "order_year", "acct_balance", "effort", "is_odd"]
+E03_TXT = ["priority", "urgent"]
+E03_FLAGS = ["is_odd", "urgent"]
+E03_SQL = """
+ana AS (SELECT project_id, order_year, acct_balance, effort, project_id % 2 AS is_odd, priority,
+               CASE WHEN priority = '1-URGENT' THEN 'Yes' WHEN priority IS NOT NULL THEN 'no' END AS urgent FROM proj)"""
 
 
-def _e03_sql():
+def analysis_frame(spark, sf_dir):
+    """Project columns and two boolean-like ones."""
+    urgent = F.when(F.col("priority") == "1-URGENT", "Yes").when(F.col("priority").isNotNull(), "no")
+    return materialize(project_frame(spark, sf_dir).select(
+        "project_id", "order_year", "acct_balance", "effort", (F.col("project_id") % 2).alias("is_odd"), "priority", urgent.alias("urgent")))
+
+
+def _kind_sql(c: str) -> str:
+    few = f"(count(DISTINCT {c}) <= 5 OR (count(DISTINCT {c}) <= 20 AND count(DISTINCT {c}) / count({c}) < 0.5))"
+    if c in E03_TXT + E03_FLAGS:
+        return "min('categorical')"
+    whole = "true" if c in ("project_id", "order_year") else f"avg(CAST(abs({c} - round({c})) < 1e-10 AS DOUBLE)) > 0.8"
+    return f"CASE WHEN NOT ({whole}) THEN 'continuous' WHEN {few} THEN 'categorical' ELSE 'discrete' END"
+
+
+def analysis_sql() -> str:
+    """(column, metric, value, detail) of the analysed columns."""
+    none = "CAST(NULL AS VARCHAR)"
     parts = []
     for c in E03_NUM + E03_TXT:
         parts.append(f"SELECT '{c}' AS \"column\", unnest(['n_null', 'null_pct', 'n_distinct']) AS metric, "
-                     f"round(unnest([CAST(count(*) - count({c}) AS DOUBLE), (count(*) - count({c})) * 100.0 / count(*), "
-                     f"CAST(count(DISTINCT {c}) AS DOUBLE)]), 4) AS value FROM proj")
+                     f"unnest([CAST(count(*) - count({c}) AS DOUBLE), (count(*) - count({c})) * 100.0 / count(*), "
+                     f"CAST(count(DISTINCT {c}) AS DOUBLE)]) AS value, {none} AS detail FROM ana")
+        parts.append(f"SELECT '{c}', 'recommended_kind', CAST(NULL AS DOUBLE), {_kind_sql(c)} FROM ana")
     for c in E03_NUM:
-        parts.append(f"SELECT '{c}', unnest(['count', 'mean', 'std', 'min', 'q25', 'median', 'q75', 'max']), "
-                     f"round(unnest([CAST(count({c}) AS DOUBLE), avg({c}), stddev_samp({c}), min({c}), "
-                     f"quantile_cont({c}, 0.25), median({c}), quantile_cont({c}, 0.75), max({c})]), 4) FROM proj")
-    parts.append("SELECT '__table__', unnest(['rows', 'columns']), unnest([CAST(count(*) AS DOUBLE), 5.0]) FROM proj")
-    return with_sql(PROJECT_SQL) + "\n" + _union(parts)
-
-
-@register("e03_analyze", _e03_sql())
+        if c not in E03_FLAGS:
+            parts.append(f"SELECT '{c}', unnest(['count', 'mean', 'std', 'min', 'q25', 'median', 'q75', 'max']), "
+                         f"unnest([CAST(count({c}) AS DOUBLE), avg({c}), stddev_samp({c}), min({c}), "
+                         f"quantile_cont({c}, 0.25), median({c}), quantile_cont({c}, 0.75), max({c})]), {none} FROM ana")
+    for c in E03_FLAGS:
+        counts = f"SELECT CAST({c} AS VARCHAR) AS v, CAST(count(*) AS DOUBLE) AS n FROM ana WHERE {c} IS NOT NULL GROUP BY 1"
+        parts.append(f"SELECT '{c}', 'value_count', n, v FROM ({counts})")
+        parts.append(f"SELECT '{c}', 'most_common', n, v FROM (SELECT * FROM ({counts}) ORDER BY n DESC, v LIMIT 1)")
+    parts.append(f"SELECT '__table__', unnest(['rows', 'columns']), unnest([CAST(count(*) AS DOUBLE), 7.0]), {none} FROM ana")
+    return _union(parts)
+
+
+@register("e03_analyze", with_sql(PROJECT_SQL, E03_SQL) + "\nSELECT \"column\", metric, round(value, 4) AS value, detail FROM (" + analysis_sql() + ")")
 def e03_analyze(spark, sf_dir):
-    df = materialize(project_frame(spark, sf_dir).select(*E03_NUM, *E03_TXT))
-    return rounded(P.analyze(df), 4)
+    return rounded(P.analyze(analysis_frame(spark, sf_dir)), 4)
 
 
 @register("b14_drop_columns", with_sql(PROJECT_SQL) + """
