@@ -1,10 +1,10 @@
 """Correlation and collinearity.
 
-Sums of products of all column pairs come from one pass: each task multiplies
-its Arrow batches as matrices and hands on one row per pair, which Spark adds up.
-Width costs matrix products, not generated code, so hundreds of columns work.
-Correlations use pairwise-complete rows, like pandas; Gramians complete rows.
-Only p x p matrices reach the driver.
+Sums of products of all column pairs are one Gramian: rows become vectors and each
+task adds up a packed triangle in the JVM, merged as a tree (Spark's ``RowMatrix``),
+so one matrix a task moves whatever the number of rows, and hundreds of columns need
+no generated code per pair. Correlations use pairwise-complete rows, like pandas;
+Gramians complete rows. Only p x p matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -12,64 +12,61 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.quantiles import known
 from tabloom.operators.schema import q
 
-_MOMENTS = "i int, j int, n double, si double, sj double, sii double, sjj double, sij double"
 
+def _products(df: DataFrame, xs: Sequence[Column]) -> np.ndarray:
+    """Sums over the rows of the products of all pairs of ``xs`` (never null)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(F.array(*xs)).alias("row")))
+    return RowMatrix(rows, 0, len(xs)).computeGramianMatrix().toArray()
 
-def _matrix(batch) -> np.ndarray:
-    """A batch as rows x columns of doubles, null as NaN."""
-    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
 
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, np.ndarray]:
+    """Over the rows in which both columns are known, for every pair (i, j): number n,
+    sum s of column i, sum sq of its squares, sum prod of products; values are taken
+    about the columns' means, so no digits cancel.
 
-def _pair_moments(shift: list[float]):
-    def run(batches):
-        p = len(shift)
-        n, s, sq, prod = (np.zeros((p, p)) for _ in range(4))
-        for batch in batches:
-            x = _matrix(batch) - shift
-            there = ~np.isnan(x)
-            x, m = np.where(there, x, 0.0), there.astype(np.float64)
-            n += m.T @ m
-            s += x.T @ m                      # sums of column i over the rows that have column j
-            sq += (x * x).T @ m
-            prod += x.T @ x
-        i, j = np.triu_indices(p, 1)
-        parts = [n[i, j], s[i, j], s[j, i], sq[i, j], sq[j, i], prod[i, j]]
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, parts)],
-                                         names=[f.split()[0] for f in _MOMENTS.split(", ")])
-    return run
+    Rows become (1, x); where columns have missing values, also their masks and all
+    squares, since only then do these sums depend on the other column.
+    """
+    p = len(cols)
+    values = df.select(*[known(q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+    seen = values.agg(F.count(F.lit(1)), *[F.avg(f"c{i}") for i in range(p)], *[F.count(f"c{i}") for i in range(p)]).first()
+    means, gaps = [m or 0.0 for m in seen[1:p + 1]], [i for i in range(p) if seen[p + 1 + i] < seen[0]]
+    x = [F.coalesce(F.col(f"c{i}") - F.lit(float(means[i])), F.lit(0.0)) for i in range(p)]
+    masks = [F.col(f"c{i}").isNotNull().cast("double") for i in gaps]
+    g = _products(values, [F.lit(1.0), *x, *masks, *([c * c for c in x] if gaps else [])])
+    there = np.zeros(p, dtype=int)                               # the row of a column's mask; 0: the ones
+    there[gaps] = 1 + p + np.arange(len(gaps))
+    own = np.arange(1, p + 1)
+    squares = g[np.ix_(1 + p + len(gaps) + np.arange(p), there)] if gaps else np.repeat(np.diag(g)[own][:, None], p, axis=1)
+    return {"n": g[np.ix_(there, there)], "s": g[np.ix_(own, there)], "sq": squares, "prod": g[np.ix_(own, own)]}
 
 
 # F01 / F06 -------------------------------------------------------------------
 def correlations(df: DataFrame, cols: Sequence[str], pairs_once: bool = False) -> DataFrame:
-    """Long form (a, b, r) over all ordered pairs (or each unordered pair once)."""
+    """Long form (a, b, r) over all ordered pairs (or each unordered pair once); NaN if
+    one side does not vary, null without a common row."""
     cols = list(cols)
-    if len(cols) < 2:
-        long = df.sparkSession.createDataFrame([], "a string, b string, r double")
-    else:
-        values = df.select(*[known(q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-        means = values.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()     # sums about the mean keep their digits
-        sums = (values.mapInArrow(_pair_moments([m or 0.0 for m in means]), _MOMENTS)
-                .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")]))
-        n = F.when(F.col("n") > 0, F.col("n"))
-        var_i, var_j = F.col("sii") - F.col("si") * F.col("si") / n, F.col("sjj") - F.col("sj") * F.col("sj") / n
-        flat = (var_i <= F.col("sii") * 1e-13) | (var_j <= F.col("sjj") * 1e-13)
-        r = (F.when(flat, F.lit(float("nan")))
-             .otherwise((F.col("sij") - F.col("si") * F.col("sj") / n) / F.sqrt(var_i * var_j)))
-        names = F.array(*[F.lit(c) for c in cols])
-        long = sums.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(n.isNotNull(), r).alias("r"))
-        if not pairs_once:
-            long = long.unionByName(long.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    if pairs_once:
-        return long
-    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "a string, b string, r double")
-    return long.unionByName(diag)
+    out = [] if pairs_once else [(c, c, 1.0) for c in cols]
+    if len(cols) > 1:
+        m = pair_moments(df, cols)
+        n = np.where(m["n"] > 0, m["n"], 1.0)
+        var_i = m["sq"] - m["s"] ** 2 / n
+        flat = (var_i <= m["sq"] * 1e-13) | (var_i <= m["sq"] * 1e-13).T
+        with np.errstate(all="ignore"):
+            r = np.where(flat, np.nan, (m["prod"] - m["s"] * m["s"].T / n) / np.sqrt(var_i * var_i.T))
+        for i, j in zip(*np.triu_indices(len(cols), 1)):
+            value = float(r[i, j]) if m["n"][i, j] > 0 else None
+            out += [(cols[i], cols[j], value)] + ([] if pairs_once else [(cols[j], cols[i], value)])
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double")
 
 
 # F02 -----------------------------------------------------------------------
@@ -91,26 +88,13 @@ def removal_candidates(high: DataFrame) -> DataFrame:
 
 
 # F05 -----------------------------------------------------------------------
-def _products(batches):
-    total, n = None, 0
-    for batch in batches:
-        x = _matrix(batch)
-        x = x[np.isfinite(x).all(axis=1)]
-        total = x.T @ x if total is None else total + x.T @ x
-        n += len(x)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(total.ravel(), n)[None, :].tolist(), pa.list_(pa.float64()))], names=["sums"])
-
-
 def gramian(df: DataFrame, cols: Sequence[str | Column]) -> tuple[np.ndarray, int]:
     """X'X over the rows in which all ``cols`` are finite, and the number of rows."""
     p = len(cols)
     x = df.select(*[known(q(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(cols)])
-    sums = (x.mapInArrow(_products, "sums array<double>").select(F.posexplode("sums").alias("at", "value"))
-            .groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")["value"].to_numpy())
-    if not len(sums):
-        return np.zeros((p, p)), 0
-    return sums[:-1].reshape(p, p), int(sums[-1])
+    finite = F.forall(F.array(*[F.col(f"c{i}") for i in range(p)]), lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))
+    g = _products(x.where(finite), [F.lit(1.0), *[F.col(f"c{i}") for i in range(p)]])
+    return g[1:, 1:], int(round(g[0, 0]))
 
 
 def vif(df: DataFrame, cols: Sequence[str], flag_above: float = 10.0) -> DataFrame:
