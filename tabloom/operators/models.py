@@ -167,7 +167,9 @@ def fit_model(df: DataFrame, label: str, features: Sequence[str], spec: str, par
         return ols(df, label, features, float((params or {}).get("l2", 0.0)), name or spec)
     if spec == "knn":
         p = dict(params or {})
-        return KnnScorer(name or spec, df, list(features), label, p.get("key", "line_id"), int(p.get("k", 5)))
+        if "key" not in p:
+            raise ValueError("knn needs the name of a key column: params={'key': ...}")
+        return KnnScorer(name or spec, df, list(features), label, p["key"], int(p.get("k", 5)))
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
@@ -179,31 +181,36 @@ finalize = fit_model
 
 
 # M02 -----------------------------------------------------------------------
+def fold_fits(df: DataFrame, label: str, features: Sequence[str], spec: str, k: int, params: Mapping | None = None,
+              fold_col: str = "_fold", name: str | None = None) -> list:
+    """The spec's k models, each fitted on the rows of all other folds."""
+    return [fit_model(df.where(F.col(fold_col) != f), label, features, spec, params, name) for f in range(k)]
+
+
+def out_of_fold(df: DataFrame, models: Mapping[str, Sequence], k: int, fold_col: str = "_fold") -> DataFrame:
+    """Every row with a column for each of ``models`` ({column: its k fold models}): the
+    prediction of the model that has not seen the row. The models of a fold are applied
+    to its rows one after the other, so nothing is joined."""
+    parts = []
+    for f in range(k):
+        part = df.where(F.col(fold_col) == f)
+        for out, fits in models.items():
+            part = fits[f].predict(part, out)
+        parts.append(part)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def cross_validate(df: DataFrame, label: str, features: Sequence[str], spec: str, k: int = 10,
-                   params: Mapping | None = None, fold_col: str = "_fold", name: str | None = None,
-                   keep_oof: bool = False, key: str | None = None):
-    """Per-fold metrics (and optionally out-of-fold predictions) of one spec."""
+                   params: Mapping | None = None, fold_col: str = "_fold", name: str | None = None, key: str | None = None) -> DataFrame:
+    """Per-fold metrics of one spec, all folds in one aggregate."""
     if spec == "knn" and key:
         params = {**(params or {}), "key": key}
-    scores, oof = [], []
-    for f in range(k):
-        train = df.where(F.col(fold_col) != f)
-        test = df.where(F.col(fold_col) == f)
-        m = fit_model(train, label, features, spec, params, name)
-        pred = m.predict(test, "_pred")
-        scores.append(regression_metrics(pred, label, "_pred").withColumn("fold", F.lit(f)))
-        if keep_oof:
-            oof.append(pred)
-    out = scores[0]
-    for s in scores[1:]:
-        out = out.unionByName(s)
-    out = out.withColumn("model", F.lit(name or spec))
-    if keep_oof:
-        o = oof[0]
-        for x in oof[1:]:
-            o = o.unionByName(x)
-        return out, o
-    return out
+    scored = out_of_fold(df, {"_pred": fold_fits(df, label, features, spec, k, params, fold_col, name)}, k, fold_col)
+    scores = regression_metrics(scored.withColumn("fold", F.col(fold_col)), label, "_pred", ["fold"])
+    return scores.withColumn("model", F.lit(name or spec))
 
 
 def prepare_folds(df: DataFrame, key: str, k: int = 10, seed: int = 123, fold_col: str = "_fold") -> DataFrame:
@@ -214,12 +221,16 @@ def compare_models(df: DataFrame, label: str, features: Sequence[str], key: str,
                    k: int = 10, sort: str = "R2", n_select: int = 3, seed: int = 123, threads: int = 4
                    ) -> tuple[DataFrame, DataFrame]:
     """(fold scores of all models, mean table sorted by ``sort`` with the top
-    ``n_select`` flagged). Folds by hash; the prepared table is persisted once."""
+    ``n_select`` flagged). Folds by hash; the prepared table is persisted once. All
+    linear specs together take two passes (``linear_cv``); the others are fitted per
+    fold, a few at a time."""
+    from tabloom.operators.linear_cv import LINEAR_SPECS, cross_validate_linear
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
+    linear, others = [s for s in specs if s in LINEAR_SPECS], [s for s in specs if s not in LINEAR_SPECS]
     try:
+        parts = [_materialized(cross_validate_linear(data, label, features, linear, k))] if linear else []
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            parts = list(pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)),
-                                  specs))
+            parts += pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)), others)
     finally:
         data.unpersist()
     folds = parts[0]
@@ -240,19 +251,21 @@ def _materialized(df: DataFrame) -> DataFrame:
 
 # M04 -----------------------------------------------------------------------
 def tune(df: DataFrame, label: str, features: Sequence[str], key: str, spec: str, grid: Mapping[str, Sequence],
-         n_iter: int = 10, metric: str = "R2", k: int = 5, seed: int = 123) -> tuple[dict, DataFrame]:
+         n_iter: int = 10, metric: str = "R2", k: int = 5, seed: int = 123, threads: int = 4) -> tuple[dict, DataFrame]:
     """Random search: n_iter parameter maps drawn (seeded) from the grid, each
-    scored by k-fold CV; returns (best params, table of all tried)."""
+    scored by k-fold CV, a few at a time; returns (best params, table of all tried)."""
     combos = [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())]
     rng = random.Random(seed)
     tried = combos if len(combos) <= n_iter else rng.sample(combos, n_iter)
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
-    rows = []
+
+    def trial(i: int, params: dict) -> tuple:
+        s = cross_validate(data, label, features, spec, k, params, name=f"{spec}_{i}")
+        r = s.agg(*[F.avg(m).alias(m) for m in ["MAE", "RMSE", "R2"]]).first()
+        return i, json.dumps(params, sort_keys=True), r["MAE"], r["RMSE"], r["R2"]
     try:
-        for i, params in enumerate(tried):
-            s = cross_validate(data, label, features, spec, k, params, name=f"{spec}_{i}")
-            r = s.agg(*[F.avg(m).alias(m) for m in ["MAE", "RMSE", "R2"]]).first()
-            rows.append((i, json.dumps(params, sort_keys=True), r["MAE"], r["RMSE"], r["R2"]))
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            rows = list(pool.map(trial, range(len(tried)), tried))
     finally:
         data.unpersist()
     table = df.sparkSession.createDataFrame(rows, "trial int, params string, MAE double, RMSE double, R2 double")
@@ -268,11 +281,7 @@ def stack(df: DataFrame, label: str, features: Sequence[str], key: str, specs: S
     models are then refitted on all rows."""
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
     try:
-        oof = None
-        for s in specs:
-            _, o = cross_validate(data, label, features, s, k, keep_oof=True)
-            o = o.select(q(key), q(label), F.col("_pred").alias(f"pred_{s}"))
-            oof = o if oof is None else oof.join(o.drop(label), key)
+        oof = out_of_fold(data, {f"pred_{s}": fold_fits(data, label, features, s, k) for s in specs}, k)
         meta = ols(oof, label, [f"pred_{s}" for s in specs], name="stack_meta")
         bases = [fit_model(data, label, features, s) for s in specs]
     finally:
@@ -305,9 +314,13 @@ def poisson_weight(key: Column, seed: int) -> Column:
 
 def bag(df: DataFrame, label: str, features: Sequence[str], key: str, spec: str, n: int = 10,
         seed: int = 123) -> list:
-    """n models on hashed Poisson(1) bootstrap weights (``weightCol``)."""
-    return [fit_model(df.withColumn("_w", poisson_weight(q(key), seed + i)), label, features, spec,
-                      name=f"{spec}_bag{i}", weight="_w") for i in range(n)]
+    """n models on hashed Poisson(1) bootstrap weights (``weightCol``); the source is
+    read once, for a persisted table with the weights of all bags."""
+    weighted = df.select(q(label), *[q(f) for f in features], *[poisson_weight(q(key), seed + i).alias(f"_w{i}") for i in range(n)]).persist()
+    try:
+        return [fit_model(weighted, label, features, spec, name=f"{spec}_bag{i}", weight=f"_w{i}") for i in range(n)]
+    finally:
+        weighted.unpersist()
 
 
 def bag_predict(df: DataFrame, models: Sequence, out: str = "prediction") -> DataFrame:

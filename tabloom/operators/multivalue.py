@@ -136,6 +136,11 @@ def multivalue_frequent(df: DataFrame, col: str, threshold: float = 0.05, sep: s
 
 
 # G07 -----------------------------------------------------------------------
+def most_common(df: DataFrame, col: str, sep: str = ";") -> str | None:
+    """The commonest part, ties to the smallest."""
+    return value_counts(df, col, sep).agg(F.min_by("value", F.struct(-F.col("n"), F.col("value")))).first()[0]
+
+
 def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
     """Adds count, unique_count, has_most_common, avg_frequency for ``col``.
 
@@ -143,8 +148,7 @@ def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
     together per distinct cell text, so equal cells are worked out once, and
     joined back to the rows. Neither join needs a key, and a hot value or cell is
     one row on the counted side (AQE splits the other)."""
-    vc = value_counts(df, col, sep)
-    top = vc.agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("most_common")).first()["most_common"]
+    vc, top = value_counts(df, col, sep), most_common(df, col, sep)
     p = parts(col, sep)
     base = [F.size(p).alias(f"{col}_count"), F.size(F.array_distinct(p)).alias(f"{col}_unique_count")]
     if top is not None:
@@ -181,38 +185,47 @@ def recommend_strategy(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
 
 # G16 -----------------------------------------------------------------------
 def expand_multivalue(df: DataFrame, cols: Sequence[str], strategy: str = "top_k",
-                      preserve: Sequence[str] = (), sep: str = ";", key: str | None = None, **kw
+                      preserve: Sequence[str] = (), sep: str = ";", **kw
                       ) -> tuple[DataFrame, DataFrame]:
-    """Apply one strategy to several columns; returns (frame, mapping DF(column, new_column))."""
+    """Apply one strategy to several columns; returns (frame, mapping), where the mapping
+    tells of each new column (column, position, new_column) what it holds: ``kind`` (see
+    ``expected_flag``; also "mean", a number that is no flag) and, for flags, the
+    ``captured`` values. Strategies: top_k (k), frequency_threshold (threshold),
+    hierarchical (hierarchy; without one the column is left as it is), count_features."""
     spark = df.sparkSession
-    mapping: list[tuple[str, int, str]] = []
+    mapping: list[tuple[str, int, str, str, list[str] | None]] = []
     out = df
     for col in cols:
         if col not in out.columns:
             continue
         if strategy == "top_k":
-            new_cols, names = multivalue_topk(df, col, kw.get("k", 20), sep)
+            vals = top_values(df, col, kw.get("k", 20), sep)
+            new_cols, names = multivalue_topk(df, col, sep=sep, values=vals)
+            kinds = [("binary", [v]) for v in vals] + [("other", vals)]
         elif strategy == "frequency_threshold":
-            new_cols, names = multivalue_frequent(df, col, kw.get("threshold", 0.05), sep)
+            vals = frequent_values(df, col, kw.get("threshold", 0.05), sep)
+            new_cols, names = multivalue_frequent(df, col, sep=sep, values=vals)
+            kinds = [("binary", [v]) for v in vals] + [("other", vals)]
         elif strategy == "hierarchical":
             h = kw.get("hierarchy") or {}
             if not h:
                 continue          # no map given: the column is left as it is
             new_cols = multivalue_groups(col, h, sep)
             names = [f"{col}_category_{c}".replace(" ", "_") for c in sorted(set(h.values()))]
+            kinds = [("group", sorted(v for v, c in h.items() if c == cat)) for cat in sorted(set(h.values()))]
         elif strategy == "count_features":
-            before = out.columns
-            out = multivalue_counts(out, col, sep, key=key)
+            before, most = out.columns, most_common(df, col, sep)
+            out, new_cols = multivalue_counts(out, col, sep), None
             names = [c for c in out.columns if c not in before]
-            new_cols = None
+            kinds = [("count", None), ("unique_count", None)] + ([("binary", [most])] if most is not None else []) + [("mean", None)]
         else:
             raise ValueError(f"unknown strategy {strategy}")
         if new_cols is not None:
             out = out.select("*", *new_cols)
         if col not in preserve:
             out = out.drop(col)
-        mapping += [(col, i, n) for i, n in enumerate(names)]
-    return out, spark.createDataFrame(mapping, "column string, position int, new_column string")
+        mapping += [(col, i, n, kind, held) for i, (n, (kind, held)) in enumerate(zip(names, kinds))]
+    return out, spark.createDataFrame(mapping, "column string, position int, new_column string, kind string, captured array<string>")
 
 
 # G11 -----------------------------------------------------------------------
@@ -220,7 +233,7 @@ def expected_flag(col: str, kind: str, arg=None, sep: str = ";") -> Column:
     """Recomputed value of a processed column from the original cell."""
     p = parts(col, sep)
     if kind == "binary":
-        return F.array_contains(p, F.lit(arg)).cast("int")
+        return F.array_contains(p, F.lit(arg if isinstance(arg, str) else arg[0])).cast("int")
     if kind == "other":
         vals = F.array(*[F.lit(v) for v in arg]) if arg else F.array().cast("array<string>")
         return F.exists(p, lambda x: ~F.array_contains(vals, x)).cast("int")
@@ -230,7 +243,7 @@ def expected_flag(col: str, kind: str, arg=None, sep: str = ";") -> Column:
         return F.size(F.array_distinct(p))
     if kind == "group":
         return F.arrays_overlap(p, F.array(*[F.lit(v) for v in arg])).cast("int")
-    raise ValueError(kind)
+    raise ValueError(f"no rule recomputes {kind}")
 
 
 def validate_flags(df: DataFrame, col: str, checks: Sequence[tuple[str, str, object]], sep: str = ";") -> DataFrame:
@@ -248,30 +261,23 @@ def validate_flags(df: DataFrame, col: str, checks: Sequence[tuple[str, str, obj
         (F.col("m") * 100.0 / F.col("_t")).alias("match_rate"))
 
 
-def checks_for(col: str, names: Sequence[str], strategy: str, values: Sequence[str] = ()) -> list[tuple[str, str, object]]:
-    """Check list of a strategy's new columns (values carried as pairs, never parsed from names)."""
-    out = []
-    vals = list(values)
-    for n in names:
-        if n.endswith("_other") or n.endswith("_rare"):
-            out.append((n, "other", vals))
-        elif n.endswith("_unique_count"):
-            out.append((n, "unique_count", None))
-        elif n.endswith("_count"):
-            out.append((n, "count", None))
-    binaries = [n for n in names if not n.endswith(("_other", "_rare", "_count", "_frequency", "_most_common"))]
-    out += [(n, "binary", v) for n, v in zip(binaries, vals)]
-    return out
+def checks_for(mapping: DataFrame, col: str) -> list[tuple[str, str, object]]:
+    """The check list of ``col``'s new columns, as the mapping of ``expand_multivalue``
+    tells them; means can't be recomputed from a cell and are left out."""
+    rows = mapping.where((F.col("column") == col) & (F.col("kind") != "mean")).orderBy("position").collect()
+    return [(r["new_column"], r["kind"], r["captured"]) for r in rows]
 
 
 # G12 -----------------------------------------------------------------------
 def validate_rows(df: DataFrame, col: str, new_cols: Sequence[str], key: str, n: int = 5, seed: int = 0,
                   sep: str = ";") -> DataFrame:
-    """n rows in hash order of (key, seed): original, parsed list and the first 5 new columns."""
+    """n rows in hash order of (key, seed): original, parsed list, all the new columns, and
+    how many of these flags are set."""
     from tabloom.functions.hashing import mix32
     h = mix32(q(key), seed)
+    hits = sum([F.coalesce((q(c) == 1).cast("int"), F.lit(0)) for c in new_cols], F.lit(0))
     return (df.select(q(key).alias("key"), h.alias("_h"), q(col).alias("original"),
-                      F.array_join(parts(col, sep), "|").alias("parsed"), *[q(c) for c in list(new_cols)[:5]])
+                      F.array_join(parts(col, sep), "|").alias("parsed"), *[q(c) for c in new_cols], hits.alias("n_set"))
             .orderBy("_h", "key").limit(n).drop("_h"))
 
 
@@ -311,17 +317,19 @@ def information_loss(df: DataFrame, col: str, captured: Sequence[str], other_col
 
 
 # G15 -----------------------------------------------------------------------
-def validation_summary(original: DataFrame, processed: DataFrame, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(column, n_new, n_missing, non_binary): one aggregate over the processed frame."""
+def validation_summary(original: DataFrame, processed: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(column, n_new, n_missing, n_non_binary, columns_before, columns_after) from the
+    mapping of ``expand_multivalue``: which of the new columns are there, and how many
+    of the flags among them (by kind) hold anything but 0 and 1; one aggregate."""
     have = set(processed.columns)
-    flag_like = [c for cols in mapping.values() for c in cols if c in have
-                 and not c.endswith(("_count", "_frequency", "_avg_frequency"))]
-    row = processed.agg(*[F.count_if(~q(c).isin(0, 1) & q(c).isNotNull()).alias(c) for c in flag_like]).first() \
-        if flag_like else None
-    out = []
-    for col, cols in mapping.items():
-        missing = [c for c in cols if c not in have]
-        nonbin = [c for c in cols if row is not None and c in flag_like and row[c] > 0]
-        out.append((col, len(cols), len(missing), len(nonbin), len(original.columns), len(processed.columns)))
+    new = mapping.orderBy("column", "position").collect()                # a row a new column
+    flags = [r["new_column"] for r in new if r["kind"] in ("binary", "other", "group") and r["new_column"] in have]
+    bad = processed.agg(*[F.count_if(~q(c).isin(0, 1) & q(c).isNotNull()).alias(f"b{i}") for i, c in enumerate(flags)]).first() if flags else []
+    wrong = {c for c, n in zip(flags, bad) if n}
+    by: dict[str, list[str]] = {}
+    for r in new:
+        by.setdefault(r["column"], []).append(r["new_column"])
+    out = [(col, len(cols), sum(c not in have for c in cols), sum(c in wrong for c in cols), len(original.columns), len(processed.columns))
+           for col, cols in by.items()]
     return processed.sparkSession.createDataFrame(
         out, "column string, n_new int, n_missing int, n_non_binary int, columns_before int, columns_after int")

@@ -223,11 +223,12 @@ def _importance_table(spark, sf_dir):
 imp AS (SELECT 'model_' || l_returnflag AS model, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
                unnest([abs(corr(l_quantity, label)), abs(corr(l_discount, label)), abs(corr(l_tax, label))]) AS importance
         FROM scored GROUP BY l_returnflag)""") + """
-SELECT feature, round(avg(importance), 6) AS mean_importance FROM imp GROUP BY feature
-ORDER BY mean_importance DESC, feature LIMIT 2""")
+SELECT feature, coalesce(round(max(importance) FILTER (model = 'model_A'), 6), 0) AS model_A, coalesce(round(max(importance) FILTER (model = 'model_N'), 6), 0) AS model_N,
+       coalesce(round(max(importance) FILTER (model = 'model_R'), 6), 0) AS model_R, round(avg(importance), 6) AS mean_importance
+FROM imp GROUP BY feature ORDER BY mean_importance DESC, feature LIMIT 10""")
 def m20_compare_importance(spark, sf_dir):
-    out = M.compare_importance(_importance_table(spark, sf_dir), n=2)
-    return rounded(out.select("feature", "mean_importance"))
+    """The whole pivot: a column for each model, the ten first features by mean."""
+    return rounded(M.compare_importance(_importance_table(spark, sf_dir), n=10))
 
 
 @register("m22_linear_attribution", with_sql(SCORED_SQL) + """
@@ -345,8 +346,9 @@ def m01_prepare(spark, sf_dir):
 
 @register("m02_compare_models")
 def m02_compare_models(spark, sf_dir):
+    """All eleven algorithms, ten folds."""
     folds_df, top = MD.compare_models(_train(spark, sf_dir), "label", FEATURES, "line_id",
-                                      ["lr", "ridge", "dt", "dummy", "ols"], k=10, sort="R2", n_select=3)
+                                      [*MD.ALGORITHMS, "ols", "dummy", "knn"], k=10, sort="R2", n_select=3)
     return folds_df
 
 
@@ -360,7 +362,7 @@ def m03_fit_model(spark, sf_dir):
 @register("m04_tune")
 def m04_tune(spark, sf_dir):
     best, table_ = MD.tune(_train(spark, sf_dir), "label", FEATURES, "line_id", "dt",
-                           {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 20]}, n_iter=6, k=10)
+                           {"maxDepth": [2, 3, 4, 5, 6], "minInstancesPerNode": [1, 5, 20, 50]}, n_iter=10, k=10)
     return table_
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import multivalue as G
 from tabloom.plans import sqltext as T
 from tabloom.plans.inputs import PART_TYPES, PROJECT_SQL, project_frame, with_sql
-from tabloom.plans.registry import register, rounded
+from tabloom.plans.registry import ORACLES, register, rounded
 from tabloom.session import materialize
 
 HIERARCHY = {"ECONOMY": "cheap", "SMALL": "cheap", "PROMO": "cheap", "LARGE": "big", "STANDARD": "regular",
@@ -163,27 +163,45 @@ def _topk_processed(spark, sf_dir, k=5):
     return df, processed, vals, names
 
 
-@register("g11_validate_flags", with_sql(PROJECT_SQL) + """
-SELECT new_column, kind, CAST(count(*) AS BIGINT) AS matches, CAST(count(*) AS BIGINT) AS total, CAST(100.0 AS DOUBLE) AS match_rate
-FROM (SELECT unnest(['part_brands_other', 'part_brands_count', 'part_brands_unique_count']) AS new_column,
-             unnest(['other', 'count', 'unique_count']) AS kind FROM proj)
-GROUP BY new_column, kind""")
-def g11_validate_flags(spark, sf_dir):
-    """Recomputed vs actual for the top-k 'other' flag and the count features
-    (binary flags are checked by name/value pairs in tests)."""
-    _, processed, vals, names = _topk_processed(spark, sf_dir)
-    checks = [("part_brands_other", "other", vals), ("part_brands_count", "count", None),
-              ("part_brands_unique_count", "unique_count", None)]
-    return rounded(G.validate_flags(processed, "part_brands", checks))
+def _expanded(spark, sf_dir, k=5):
+    """part_brands by top-k flags and count features, and the joint mapping."""
+    df = materialize(project_frame(spark, sf_dir).select("project_id", "part_brands", "part_types"))
+    flags, m1 = G.expand_multivalue(df, ["part_brands"], "top_k", preserve=["part_brands"], k=k)
+    out, m2 = G.expand_multivalue(flags, ["part_brands"], "count_features", preserve=["part_brands"])
+    return df, out, m1.unionByName(m2.withColumn("position", F.col("position") + 100))
+
 
+_TOP5 = "top AS (SELECT value FROM vc ORDER BY n DESC, value LIMIT 5)"
 
-@register("g12_validate_rows", with_sql(PROJECT_SQL) + f"""
-SELECT project_id AS key, part_brands AS original, array_to_string({T.parts('part_brands')}, '|') AS parsed
-FROM proj ORDER BY {__import__('tabloom.functions.hashing', fromlist=['mix32_sql']).mix32_sql('project_id', 7)}, project_id
-LIMIT 5""")
+
+@register("g11_validate_flags", with_sql(PROJECT_SQL, _vc_sql("part_brands"), _TOP5, f"""
+names AS (SELECT 'part_brands_top_' || {_safe_sql('value')} AS new_column, 'binary' AS kind FROM top
+          UNION ALL VALUES ('part_brands_other', 'other'), ('part_brands_count', 'count'), ('part_brands_unique_count', 'unique_count'),
+                           ('part_brands_has_most_common', 'binary'))""") + """
+SELECT new_column, kind, (SELECT CAST(count(*) AS BIGINT) FROM proj) AS matches, (SELECT CAST(count(*) AS BIGINT) FROM proj) AS total,
+       CAST(100.0 AS DOUBLE) AS match_rate FROM names""")
+def g11_validate_flags(spark, sf_dir):
+    """Every flag and count recomputed from the cells: binary, other and count kinds."""
+    _, processed, mapping = _expanded(spark, sf_dir)
+    return rounded(G.validate_flags(processed, "part_brands", G.checks_for(mapping, "part_brands")))
+
+
+@register("g12_validate_rows", with_sql(PROJECT_SQL, _vc_sql("part_brands"), _TOP5, f"""
+cells AS (SELECT project_id, part_brands, {T.parts('part_brands')} AS p FROM proj),
+hit AS (SELECT c.project_id, string_agg(CAST(list_contains(c.p, t.value) AS INTEGER), '|' ORDER BY t.value) AS flags,
+               sum(CAST(list_contains(c.p, t.value) AS INTEGER)) AS n FROM cells c CROSS JOIN top t GROUP BY c.project_id)""") + f"""
+SELECT c.project_id AS key, c.part_brands AS original, array_to_string(c.p, '|') AS parsed, hit.flags,
+       CAST(hit.n + (len(list_filter(c.p, lambda x: NOT list_contains(tops.tv, x))) > 0)::INTEGER AS INTEGER) AS n_set
+FROM cells c JOIN hit USING (project_id), (SELECT list(value) AS tv FROM top) tops
+ORDER BY {__import__('tabloom.functions.hashing', fromlist=['mix32_sql']).mix32_sql('c.project_id', 7)}, c.project_id LIMIT 5""")
 def g12_validate_rows(spark, sf_dir):
-    df = project_frame(spark, sf_dir)
-    return G.validate_rows(df, "part_brands", [], "project_id", n=5, seed=7)
+    """Sampled rows with their flags (as one text here, since flag names depend on the data)."""
+    df = materialize(project_frame(spark, sf_dir).select("project_id", "part_brands"))
+    processed, mapping = G.expand_multivalue(df, ["part_brands"], "top_k", preserve=["part_brands"], k=5)
+    new = [(r["kind"], r["captured"][0], r["new_column"]) for r in mapping.collect()]
+    flags = [c for kind, _, c in sorted(new) if kind == "binary"]
+    out = G.validate_rows(processed, "part_brands", [c for _, _, c in new], "project_id", n=5, seed=7)
+    return out.select("key", "original", "parsed", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in flags]).alias("flags"), "n_set")
 
 
 @register("g13_validate_statistics", with_sql(PROJECT_SQL) + f"""
@@ -213,9 +231,7 @@ def g14_information_loss(spark, sf_dir):
 SELECT 'part_brands' AS "column", 10 AS n_new, 0 AS n_missing, 0 AS n_non_binary, 3 AS columns_before,
        13 AS columns_after""")
 def g15_validation_summary(spark, sf_dir):
-    df, processed, vals, names = _topk_processed(spark, sf_dir)
-    mapping = {"part_brands": names + ["part_brands_count", "part_brands_unique_count", "part_brands_has_most_common",
-                                       "part_brands_avg_frequency"]}
+    df, processed, mapping = _expanded(spark, sf_dir)
     return G.validation_summary(df, processed, mapping)
 
 
@@ -228,6 +244,26 @@ def g16_expand_multivalue(spark, sf_dir):
     return _long(out, "project_id", names)
 
 
+@register("g16_expand_frequency", _long_flags_sql(
+    "part_brands", "chosen AS (SELECT value FROM vc WHERE n >= floor((SELECT count(*) FROM proj) * 0.16))", "freq_", "rare"))
+def g16_expand_frequency(spark, sf_dir):
+    df = project_frame(spark, sf_dir).select("project_id", "part_brands")
+    out, mapping = G.expand_multivalue(df, ["part_brands"], "frequency_threshold", threshold=0.16)
+    return _long(out, "project_id", [r["new_column"] for r in mapping.collect()])
+
+
+@register("g16_expand_hierarchical", ORACLES["g09_multivalue_groups"])
+def g16_expand_hierarchical(spark, sf_dir):
+    df = project_frame(spark, sf_dir).select("project_id", "part_types")
+    return G.expand_multivalue(df, ["part_types"], "hierarchical", hierarchy=HIERARCHY)[0]
+
+
+@register("g16_expand_count_features", ORACLES["g07_multivalue_counts"])
+def g16_expand_count_features(spark, sf_dir):
+    df = project_frame(spark, sf_dir).select("project_id", "part_types")
+    return rounded(G.expand_multivalue(df, ["part_types"], "count_features")[0])
+
+
 # --- G08: TF-IDF + PCA over part names per order --------------------------------
 NAMES_SQL = """
 names AS (SELECT l.l_orderkey AS project_id, string_agg(p.p_name, ';' ORDER BY p.p_name) AS part_names

@@ -114,10 +114,13 @@ def test_worked_effort_value(spark):
 
 def test_t10_t11_exact_suffix_and_pairs(spark):
     df = spark.createDataFrame([("a multi; b",), ("b",)], "c string")
-    checks = G.checks_for("c", ["c_top_a multi", "c_top_b", "c_other", "c_count", "c_unique_count"], "top_k",
-                          ["a multi", "b"])
-    kinds = {n: k for n, k, _ in checks}
-    assert kinds["c_unique_count"] == "unique_count" and kinds["c_count"] == "count"
+    out, mapping = G.expand_multivalue(df, ["c"], "count_features", preserve=["c"])
+    kinds = {n: k for n, k, _ in G.checks_for(mapping, "c")}
+    assert kinds == {"c_count": "count", "c_unique_count": "unique_count", "c_has_most_common": "binary"}
+    odd = spark.createDataFrame([("x_count; b",), ("b",)], "c string")          # a value that looks like another kind's name
+    out, mapping = G.expand_multivalue(odd, ["c"], "top_k", preserve=["c"])
+    assert G.checks_for(mapping, "c") == [("c_top_b", "binary", ["b"]), ("c_top_x_count", "binary", ["x_count"]), ("c_other", "other", ["b", "x_count"])]
+    assert G.validation_summary(odd, out, mapping).first()["n_non_binary"] == 0
     cols, names = G.multivalue_topk(df, "c", values=["a multi", "b"])
     out = df.select("c", *cols)
     res = {r["new_column"]: r["match_rate"] for r in G.validate_flags(out, "c", [
