@@ -18,19 +18,23 @@ def integer_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component x as double, as longs.
 
     Rows with a null id, a null or empty vector, or a null or non-finite component
-    take no part. Components must stay below 2^31 after scaling.
+    take no part. Components beyond a long count as the nearest long.
     """
     finite = F.forall("x", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)))
     return (table.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
             .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: c.cast("double")).alias("x"))
-            .where(finite).select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v")))
+            .where(finite).select("vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.least(c * F.lit(float(scale)), F.lit(float(2 ** 63 - 1024))), F.lit(-float(2 ** 63)))).cast("long")).alias("v")))
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products a @ b.T: in doubles where no sum can pass 2^53."""
-    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0 ** 53:
+    """Exact integer products a @ b.T: in doubles where no sum can pass 2^53, in longs
+    where none can pass 2^63, else as Python integers."""
+    top = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if top < 2.0 ** 53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if top < 2.0 ** 62:
+        return a @ b.T
+    return a.astype(object) @ b.astype(object).T
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -52,7 +56,7 @@ def _blocks(pivots, rows: int):
     def pack(dim, ids, vectors):
         v = np.array(vectors, dtype=np.int64).reshape(len(ids), dim)
         d = _distances(v.astype(np.float64), pivots.value[dim])
-        return (dim, np.array(ids, dtype=np.int64).tobytes(), v.tobytes(), (v * v).sum(axis=1).astype(np.int64).tobytes(), d.tobytes())
+        return (dim, np.array(ids, dtype=np.int64).tobytes(), v.tobytes(), (v.astype(np.float64) ** 2).sum(axis=1).tobytes(), d.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -74,7 +78,7 @@ def _blocks(pivots, rows: int):
     return run
 
 
-def search_block(qid: int, q: np.ndarray, q_norm: int, q_dist: np.ndarray, floor: int | None, k: int, ids: np.ndarray, x: np.ndarray,
+def search_block(qid: int, q: np.ndarray, q_norm: float, q_dist: np.ndarray, floor: int | None, k: int, ids: np.ndarray, x: np.ndarray,
                  norms: np.ndarray, dist: np.ndarray) -> list[tuple[int, int]]:
     """(vec_id, score) of the at most k best rows of a block, ties to smaller ids.
 
@@ -98,7 +102,8 @@ def search_block(qid: int, q: np.ndarray, q_norm: int, q_dist: np.ndarray, floor
             break
         some = order[at:at + step]
         best_ids, best = np.concatenate((best_ids, ids[some])), np.concatenate((best, _inner(x[some], q[None, :])[:, 0]))
-        top = np.lexsort((best_ids, -best))[:k]
+        top = (np.lexsort((best_ids, -best))[:k] if best.dtype != object else
+               sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[:k])
         best_ids, best = best_ids[top], best[top]
         at, step = at + step, 2 * step
     return list(zip(best_ids.tolist(), best.tolist()))
@@ -108,7 +113,7 @@ def _search(k: int, sample):
     def unpack(r, side):
         dim = r["dim"]
         v = np.frombuffer(r[f"{side}vectors"], dtype=np.int64).reshape(-1, dim)
-        return (np.frombuffer(r[f"{side}ids"], dtype=np.int64), v, np.frombuffer(r[f"{side}norms"], dtype=np.int64),
+        return (np.frombuffer(r[f"{side}ids"], dtype=np.int64), v, np.frombuffer(r[f"{side}norms"], dtype=np.float64),
                 np.frombuffer(r[f"{side}distances"], dtype=np.float64).reshape(len(v), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +129,10 @@ def _search(k: int, sample):
                 for i, qid in enumerate(q_ids.tolist()):
                     reached = np.sort(known[i][seen_ids != qid])
                     floor = int(reached[-k]) if len(reached) >= k else None
-                    out += [(qid, v, s) for v, s in search_block(qid, q[i], int(q_norms[i]), q_dist[i], floor, k, ids, x, norms, dist)]
+                    out += [(qid, v, s) for v, s in search_block(qid, q[i], float(q_norms[i]), q_dist[i], floor, k, ids, x, norms, dist)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.decimal128(38, 0)))],
+                                                     names=["query_id", "vec_id", "score"])
     return run
 
 
@@ -139,7 +145,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, s
     (the ``sample`` rows smallest by hash of each dimension): they only steer the
     order of work. Distances to them are computed once a row and kept in blocks;
     query blocks meet candidate blocks as a stated query set against all rows.
-    Vectors of different dimensions have no product and never meet. Queries with
+    Vectors of different dimensions have no product and never meet. Scores rank by
+    their exact value; one beyond a long is returned as the nearest long. Queries with
     the same id count once; fewer than k candidates give all; no vectors, no rows.
     """
     spark = vectors.sparkSession
@@ -154,7 +161,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 32, s
     candidates = stage(rows.mapInArrow(_blocks(pivot_rows, block), _BLOCK))
     asked = rows.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(_blocks(pivot_rows, query_block), _BLOCK)
     asked = stage(asked.select([F.col(c).alias(f"q_{c}") for c in asked.columns]))
-    found = candidates.crossJoin(asked).mapInArrow(_search(k, sc.broadcast(known)), "query_id long, vec_id long, score long")
+    found = candidates.crossJoin(asked).mapInArrow(_search(k, sc.broadcast(known)), "query_id long, vec_id long, score decimal(38,0)")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    long = F.greatest(F.least("score", F.lit(2 ** 63 - 1).cast("decimal(38,0)")), F.lit(-2 ** 63).cast("decimal(38,0)")).cast("long")
     return (found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", long.alias("score")))

@@ -48,3 +48,12 @@ def test_few_rows(spark):
     assert _run(spark, rows) == {(0, 1, 1, 0), (0, 2, 2, -1048576)}
     big = [(i, [_float(2.0 ** 15), _float(i)]) for i in range(20)]            # products beyond 2^53 stay exact
     assert _run(spark, big) == brute(big, 5, 10)
+
+
+def test_large_components(spark):
+    rows = [(0, [2097151.0] * 4), (1, [2097151.0] * 4), (2, [1.0] * 4)]
+    assert _run(spark, rows) == {(0, 1, 1, 2 ** 63 - 1), (0, 2, 2, 4 * 2097151 * 1024 * 1024)}
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([(2 ** 21, 5, -3), (2 ** 20, -7, 1), (-(2 ** 21), 2, 2), (2 ** 19, 1, 1), (3, 2, 1)])]
+    assert _run(spark, rows, every=1) == {(q, r, v, max(-2 ** 63, min(s, 2 ** 63 - 1))) for q, r, v, s in brute(rows, 1, 10)}
+    huge = {r[:3] for r in _run(spark, [(0, [3e38]), (1, [-3e38]), (2, [1.0])])}
+    assert huge == {(0, 1, 2), (0, 2, 1)}
