@@ -17,7 +17,7 @@ from .bpe import encoder
 from .common import stage
 
 _OPEN, _CLOSE = "###", "</turn>"
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]+|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)     # possessive: a damaged turn fails at once
 _ESCAPED = re.compile(r"\\(.)", re.S)
 WINDOW_SCHEMA = ("conv_id long, window long, text string, tokens long, over_budget boolean, context_turns int, "
                  "loss array<struct<begin:int,end:int>>")

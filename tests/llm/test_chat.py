@@ -60,3 +60,17 @@ def test_hot_conversation_spans_blocks(spark, bpe_file):
     rows = [(7, t, "assistant" if t % 2 else "user", f"hot {t}") for t in range(3000)] + [(100 + i, 0, "user", "u") for i in range(300)]
     windows = chat.format_conversations(_table(spark, rows), bpe_file, 64, 16)
     assert _digests(windows) == brute(rows)
+
+
+def test_damaged_windows_are_refused_at_once():
+    import time
+
+    import pytest
+
+    from tabloom.llm.chat import format_turn, parse
+    whole = format_turn("user", "a long enough text with many words in it " * 50)[0]
+    began = time.perf_counter()
+    for broken in (whole[:-3], whole[:200], whole.replace("</turn>", ""), "### role without end", whole + "x"):
+        with pytest.raises(ValueError):
+            parse(broken)
+    assert time.perf_counter() - began < 1
