@@ -49,7 +49,8 @@ class Encoder(dict):
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
         if kind.get("type") != "ByteLevel" or not kind.get("use_regex", True) or kind.get("add_prefix_space") \
-                or spec.get("normalizer") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+                or spec.get("normalizer") or any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])
+                                                 or _PLAIN.fullmatch(t["content"]) for t in spec["added_tokens"]):
             raise ValueError(f"{path}: only plain byte-level BPE is encoded here")
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
@@ -211,21 +212,32 @@ def _encode_whole(path: str):
     return run
 
 
-def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(r, i, a, b) for r, x in zip(batch.column("row").to_pylist(), batch.column("text"))
-                for i, (a, b, _) in enumerate(_chunks(x.as_py()))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["row", "pos", "k1", "k2"])
+def _maybe_shared(maybe, text: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(number, key, key, chunk) of the chunks that the bit table can't rule out."""
+    chunks = _chunks(text)
+    hit = maybe.value.maybe(np.array([a for a, _, _ in chunks], dtype=np.int64)) if chunks else ()
+    return [(i, *chunks[i]) for i in np.flatnonzero(hit).tolist()]
 
 
-def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every chunk once per batch, however often it stands there."""
-    for batch in batches:
-        found = {(a, b): c for x in batch.column("text") for a, b, c in _chunks(x.as_py())}
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
-                                              pa.array(list(found.values()), pa.binary())], names=["k1", "k2", "chunk"])
+def _layout(maybe):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, i, a, b) for r, x in zip(batch.column("row").to_pylist(), batch.column("text"))
+                    for i, a, b, _ in _maybe_shared(maybe, x.as_py())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["row", "pos", "k1", "k2"])
+    return run
+
+
+def _chunk_texts(maybe):
+    """Every chunk that may be shared, once per batch, however often it stands there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(a, b): c for x in batch.column("text") for _, a, b, c in _maybe_shared(maybe, x.as_py())}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
+                                                  pa.array(list(found.values()), pa.binary())], names=["k1", "k2", "chunk"])
+    return run
 
 
 def _encode_chunks(path: str):
@@ -307,11 +319,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     alone = texts.mapInArrow(_with_shared(maybe, False, _encode_whole(path), path), "doc_id long, ids binary")
     joined = stage(texts.mapInArrow(_with_shared(maybe, True, lambda batch: [batch], path), "doc_id long, text binary")
                    .withColumn("row", F.monotonically_increasing_id()))
-    chunks = (joined.select("text").mapInArrow(_chunk_texts, "k1 long, k2 long, chunk binary")
+    chunks = (joined.select("text").mapInArrow(_chunk_texts(maybe), "k1 long, k2 long, chunk binary")
               .join(shared, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("chunk").alias("chunk")))
     known = stage(chunks.mapInArrow(_encode_chunks(path), "k1 long, k2 long, head long, probe_end long, tail long, "
                                                           "probe binary, core binary"))
-    found = (joined.select("row", "text").mapInArrow(_layout, "row long, pos long, k1 long, k2 long")
+    found = (joined.select("row", "text").mapInArrow(_layout(maybe), "row long, pos long, k1 long, k2 long")
              .join(known, ["k1", "k2"])
              .groupBy("row").agg(F.collect_list(F.struct("pos", "head", "probe_end", "tail", "probe", "core")).alias("found")))
     together = (joined.join(found, "row", "left").select("doc_id", "text", "found")
