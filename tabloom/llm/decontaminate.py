@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashSet64, Memo, stage, utf8
+from .common import HashSet64, Memo, free_name, stage, utf8
 
 #: Words that are a unit wherever they stand, and those that are one after a number.
 MEASURES = frozenset("""km cm mm kg mg ml lbs mph kmh hz khz mhz ghz kb mb gb tb kw mw usd eur gbp mile miles inch inches
@@ -54,19 +54,27 @@ _HOLDER = {kind: np.uint64(_hash(name) | kind) for kind, name in _PLACE.items()}
 
 
 def template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, codes, typed) of a text: numbers, names and units become placeholders.
+    """(words, codes, typed) of a text: see ``_template``, without the places of marks."""
+    return _template(text, names)[:3]
+
+
+def _template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, codes, typed, cuts) of a text: numbers, names and units become placeholders.
 
     A number is a run of digits (with . or , inside); a unit is a listed word, the
     short ones only right after a number; a name is a word with only its first letter a capital that
     does not begin a sentence or line (with ``names`` false: none is). Other words
-    count in lower case; marks don't count. ``typed`` tells a word's placeholder.
+    count in lower case; marks don't count. ``typed`` tells a word's placeholder;
+    ``cuts`` are the numbers of words that stand before each end of a sentence or line,
+    the text's own begin and end among them.
     """
     tokens = _TOKEN.findall(text)
     if not tokens:
-        return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return [], np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
     codes = np.fromiter(map(_codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     kind = (codes & np.uint64(7)).astype(np.int64)
     word = kind != _END
+    cuts = np.unique(np.concatenate(([0], np.cumsum(word)[~word], [word.sum()])))
     before = np.concatenate(([_END], kind[:-1]))[word]
     kind, codes = kind[word], codes[word] & ~np.uint64(7)
     kind[(kind == _TITLE) & ((before == _END) | (not names))] = _WORD
@@ -74,7 +82,7 @@ def template(text: str, names: bool = True) -> tuple[list[str], np.ndarray, np.n
     kind[kind == _MEASURE] = _UNIT
     for k, holder in _HOLDER.items():
         codes[kind == k] = holder
-    return [t for t, w in zip(tokens, word.tolist()) if w], codes, kind
+    return [t for t, w in zip(tokens, word.tolist()) if w], codes, kind, cuts
 
 
 def literal(words: list[str], kind: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -115,6 +123,11 @@ def _literals(kind: np.ndarray, size: int) -> np.ndarray:
     return 2 * (plain[size:] - plain[:-size]) >= size
 
 
+def _whole_lines(h: np.ndarray, size: int, cuts: np.ndarray) -> np.ndarray:
+    """Those of the windows that begin and end where a sentence, line or text does."""
+    return h[np.intersect1d(cuts, cuts - size)] if len(h) else h
+
+
 def _item_windows(size: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,18 +152,19 @@ def _item_windows(size: int, least: int):
     return run
 
 
-def _doc_windows(sizes: list[int], maybe):
+def _doc_windows(sizes: list[int], maybe, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
         for batch in batches:
             rows = []
             for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                words, codes, kind = template(x.as_py().decode())
+                words, codes, kind, cuts = _template(x.as_py().decode())
                 named = np.concatenate(([0], np.cumsum(kind == _TITLE)))
                 plain_codes, plain = unnamed(words, codes, kind)        # Title Case, and first words after a colon
                 for size in sizes:
                     if size < 0:                                        # once a document is enough
-                        h = np.unique(windows(literal(words, kind, codes), -size))
+                        h = windows(literal(words, kind, codes), -size)
+                        h = np.unique(_whole_lines(h, -size, cuts) if -size < least else h)
                         rows += [(h, size, doc, 0, []) for h in h[maybe.value.maybe(h)].view(np.int64).tolist()]
                         continue
                     h = windows(codes, size)
@@ -177,11 +191,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     the item stands for one value of the document; windows that hold a value for
     which this fails are dropped. Windows with more placeholders than words, and
     items of fewer than ``least`` words, can't be told from chance as templates: their
-    words are looked for as they stand, in any case, numbers included.
+    words are looked for as they stand, in any case, numbers included; an item of
+    fewer than ``least`` words must also fill whole sentences or lines.
 
     An item is held if at least ``share`` of all its windows match, or of those that
-    are looked for as templates (with names, or without); ``matched`` of ``of`` is
-    the larger of these shares.
+    are looked for as templates (with names, or without) if these are at least
+    ``share`` of all; ``matched`` of ``of`` is the larger of these shares.
 
     Null and empty texts and items match nothing; null ids never match; repeated
     documents give one row each pair of ids; further columns are ignored; empty
@@ -194,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())      # at most 2 * size of them
     maybe = spark.sparkContext.broadcast(HashSet64.of(items, "hash"))
     hits = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).where("doc_id is not null")
-            .mapInArrow(_doc_windows(sizes, maybe), "hash long, size int, doc_id long, doc_pos int, doc_slots array<string>"))
+            .mapInArrow(_doc_windows(sizes, maybe, least), "hash long, size int, doc_id long, doc_pos int, doc_slots array<string>"))
     found = ["doc_id", "item_id", "item_pos", "way", "way_windows", "item_windows"]
     pairs = stage(hits.join(items, ["hash", "size"]).where(F.size("doc_slots") == F.size("item_slots"))
                   .select(*found, "doc_slots", "item_slots", (F.col("doc_pos") - F.col("item_pos")).alias("shift")))
@@ -207,7 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
     whole = (pairs.join(torn, line, "left")
              .where(F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn")).select(*found))
     by_way = [f"max(case when way = {w} then {v} else 0 end) as {c}{w}" for w in (0, 1) for v, c in ((1, "hit"), ("way_windows", "of"))]
-    shares = [F.struct((F.col(m) / F.greatest(F.col(of), F.lit(1))).alias("part"), F.col(of).alias("of"), F.col(m).alias("matched"))
+    enough = {of: F.col(of) >= F.col("item_windows") * F.lit(share) for of in ("item_windows", "of0", "of1")}
+    shares = [F.struct(F.when(enough[of], F.col(m) / F.greatest(F.col(of), F.lit(1))).alias("part"), F.col(of).alias("of"), F.col(m).alias("matched"))
               for m, of in (("matched", "item_windows"), ("matched0", "of0"), ("matched1", "of1"))]
     return (whole.groupBy("doc_id", "item_id", "item_pos").agg(F.max("item_windows").alias("item_windows"), *map(F.expr, by_way))
             .groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("item_windows").alias("item_windows"),
@@ -218,6 +234,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: fl
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are. Rows with
+    null ids or texts stay, repeated rows stay or go together, and an empty table of
+    either kind drops nothing."""
+    name = free_name(docs.columns, "contaminated_id")
     bad = stage(contaminated(docs, benchmark, **how).select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    return docs.join(bad.withColumnRenamed("doc_id", name), F.col("doc_id") == F.col(name), "left_anti")

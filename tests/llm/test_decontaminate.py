@@ -15,35 +15,57 @@ DOCS = [(1, COPY), (2, COPY.upper()), (3, OTHER), (4, "A clean text about market
 
 
 def brute(docs, items, size=8, share=0.5, least=5):
-    """The definition, pair by pair."""
+    """The definition, window by window and pair by pair; marks are kept as tokens here."""
+    def lower(words):
+        return [w.lower() for w in words]
+
+    def lines(text):
+        """Places between words where a sentence, line or text begins or ends."""
+        out, n = {0}, 0
+        for t in D._TOKEN.findall(text):
+            if t in ".!?\n":
+                out.add(n)
+            else:
+                n += 1
+        return out | {n}
+
     out = set()
     for item, text in items:
-        if item is None:
+        named = D.template(text or "")
+        if item is None or not named[0]:
             continue
+        n = min(size, len(named[0]))
+        windows = len(named[0]) - n + 1
         for doc, body in docs:
             if doc is None:
                 continue
-            matched, of = set(), 0
             dw, dc, dk = D.template(body or "")
-            for names in (True, False):
-                iw, ic, ik = D.template(text or "", names)
-                if len(iw) < least:
-                    continue
-                n = min(size, len(iw))
-                of = len(iw) - n + 1
-                lines = defaultdict(list)
-                for i in range(of):
-                    if 2 * sum(k == D._WORD for k in ik[i:i + n].tolist()) < n:
-                        continue
-                    for j in range(len(dw) - n + 1):
-                        if dc[j:j + n].tolist() == ic[i:i + n].tolist():
-                            lines[j - i].append((i, j))
-                for shift, pairs in lines.items():
-                    slots = {s for i, j in pairs for s in zip(D._slots(iw, ik, i, n), D._slots(dw, dk, j, n))}
-                    if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}):
-                        matched |= {i for i, _ in pairs}
-            if of and len(matched) >= share * of:
-                out.add((doc, item, len(matched), of))
+            forms = [(dc.tolist(), dk), (lambda c: (c[1].tolist(), c[2]))(D.template(body or "", False))]
+            hits, of = [], {}                       # (way, place in the item, shift, {theirs: ours})
+            for way in (0, 1):
+                iw, ic, ik = D.template(text, way == 0)
+                good = [i for i in range(windows) if len(iw) >= least and 2 * sum(k == D._WORD for k in ik[i:i + n].tolist()) >= n]
+                of[way] = len(good)
+                for i in good:
+                    for codes, kinds in forms:
+                        for j in range(len(dw) - n + 1):
+                            if codes[j:j + n] == ic[i:i + n].tolist():
+                                hits.append((way, i, j - i, list(zip(D._slots(iw, ik, i, n), D._slots(dw, kinds, j, n)))))
+                if way == 0:
+                    for i in set(range(windows)) - set(good):
+                        places = [j for j in range(len(dw) - n + 1) if lower(dw[j:j + n]) == lower(iw[i:i + n])]
+                        if len(iw) < least:
+                            places = [j for j in places if {j, j + n} <= lines(body)]
+                        hits += [(2, i, None, []) for _ in places[:1]]
+            values = defaultdict(set)
+            for way, i, shift, slots in hits:
+                for theirs, ours in slots:
+                    values[shift, theirs].add(ours)
+            kept = [(way, i) for way, i, shift, slots in hits if all(len(values[shift, t]) == 1 for t, _ in slots)]
+            found = [(len({i for _, i in kept}), windows)] + [(len({i for w, i in kept if w == way}), of[way]) for way in (0, 1) if of[way] >= share * windows]
+            best = max(found, key=lambda f: (f[0] / max(f[1], 1), f[1]))
+            if kept and best[0] >= share * best[1]:
+                out.add((doc, item, *best))
     return out
 
 
@@ -68,6 +90,32 @@ def test_inconsistent_slots_are_dropped(spark):
     assert [r.doc_id for r in got] == [1] and brute([same, torn], item) == {tuple(r) for r in got}
 
 
+def test_clean_documents_stay(spark):
+    numbers = " ".join(str(i) for i in range(11, 51))
+    items = [(1, "Yes."), (2, "The year"), (3, f"Add these numbers now: {numbers}")]
+    docs = [(1, "He nodded and said yes to the offer of the old man."), (2, "a quiet story about the year my uncle came home"),
+            (3, "add these numbers now: 5 6 7 8"), (4, "Did she come? Yes. She did."), (5, "2021\nthe year\n"), (6, f"so add these numbers now: {numbers} and stop")]
+    got = {tuple(r) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    assert got == brute(docs, items) and {(d, i) for d, i, *_ in got} == {(4, 1), (5, 2), (6, 3)}
+
+
+def test_random_texts_against_brute_force(spark):
+    import random
+    rng = random.Random(9)
+    pool = ["the", "old", "Anna", "Berlin", "12", "7", "km", "kg", "walks", "home", "in", ".", "and", "Yes", "m", "?"]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 4, 6, 9, 14, 20]))) for i in range(25)]
+    docs = []
+    for i in range(120):
+        words = rng.choice(items)[1].split()
+        if rng.random() < .6:
+            words = [rng.choice(["12", "7", "40"]) if w.isdigit() and rng.random() < .5 else rng.choice(["Anna", "Berlin"]) if w in ("Anna", "Berlin") else w for w in words]
+        body = " ".join(words)
+        docs.append((i, rng.choice(["", text(3) + " . ", text(5) + " "]) + (body.upper() if i % 7 == 0 else body.title() if i % 5 == 0 else body) + rng.choice(["", " . " + text(3), " " + text(4)])))
+    got = {tuple(r) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    assert got == brute(docs, items)
+
+
 def test_stage_and_empty_tables(spark):
     d, i = _run(spark, DOCS, ITEMS)
     kept = D.drop_contaminated(d, i)
@@ -84,11 +132,12 @@ def test_hot_passage(spark):
 
 def test_heavy_windows_and_short_items(spark):
     items = [(1, "Add 12 kg, 3 kg, 45 kg and 7 kg."), (2, "Paris Rome 3"), (3, "please count these plain words one by one 4 5 6 7 8 9 10 11 12")]
-    docs = [(1, "He says: add 12 kg, 3 kg, 45 kg and 7 kg. Then rest."), (2, "add 12 kg, 3 kg, 46 kg and 8 kg."), (3, "from PARIS, rome 3 times"),
+    docs = [(1, "He says: add 12 kg, 3 kg, 45 kg and 7 kg. Then rest."), (2, "add 12 kg, 3 kg, 46 kg and 8 kg."), (3, "Cities first.\nPARIS, rome 3\nand more"),
             (4, "from Paris to Rome 3 times"), (5, "so please count these plain words one by one 4 5 6 7 8 9 10 11 12"),
             (6, "so please count these plain words one by one 9 8 6 1 3 2 14 13 12")]
     got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
     assert got == {(1, 1): (3, 3), (3, 2): (1, 1), (5, 3): (10, 10), (6, 3): (5, 5)}
+    assert {(a, b, *v) for (a, b), v in got.items()} == brute(docs, items)
     assert [r.doc_id for r in D.drop_contaminated(*_run(spark, docs, items)).orderBy("doc_id").collect()] == [2, 4]
 
 
@@ -97,6 +146,7 @@ def test_copies_after_a_colon_and_in_title_case(spark):
     docs = [(1, "Q: What is the capital of France? A: Paris"), (2, "so " + ITEMS[0][1].title()), (3, "Q: Who is the mayor of France?")]
     got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
     n = len(D.template(ITEMS[0][1])[0]) - 7
+    assert {(a, b, *v) for (a, b), v in got.items()} == brute(docs, items)
     assert got == {(1, 1): (1, 1), (2, 2): (n, n)}
     for _, text in docs + DOCS:
         words, codes, kind = D.template(text or "")
@@ -111,6 +161,7 @@ def test_only_windows_with_a_torn_slot_are_dropped(spark):
     docs = [(1, "there were 20 birds on one side of the wide river and 20 birds on the other side"),
             (2, "after 4 apples fell from the old tree in the garden behind our house the boys went home to eat and then 5 of them slept")]
     got = {(r.doc_id, r.item_id): (r.matched, r.of) for r in D.contaminated(*_run(spark, docs, items)).collect()}
+    assert {(a, b, *v) for (a, b), v in got.items()} == brute(docs, items)
     words = D.template(items[1][1])[0]
     free = sum("3" not in words[i:i + 8] for i in range(len(words) - 7))
     assert got == {(1, 1): (11, 11), (2, 2): (free, len(words) - 7)}
