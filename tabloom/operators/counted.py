@@ -138,6 +138,26 @@ class CountedValues:
         value = F.coalesce(F.col("whole").cast("string"), F.col("number").cast("string"), F.col("text"))
         return self.table.select("column", "whole", "number", value.alias("value"), "n").where(F.col("value").isNotNull())
 
+    def numbered(self) -> DataFrame:
+        """(column, value as text, n, code, before, total): known values with their place
+        among the column's sorted values, from 0, and the rows that hold a smaller one.
+        Ranges are numbered apart and shifted by what stands before them."""
+        starts = []
+        for c, bs in self.blocks.items():
+            code, before, total = 0, 0, sum(b["n"] - b["missing"] for b in bs)
+            for b in bs:
+                starts.append((b["column"], b["block"], c, code, before, total))
+                code, before = code + b["distinct"], before + b["n"] - b["missing"]
+        first = self.table.sparkSession.createDataFrame(starts, "column int, block int, name string, code0 long, before0 long, total long")
+        value = F.coalesce(F.col("whole").cast("string"), F.col("number").cast("string"), F.col("text"))
+        order = Window.partitionBy("column", "block").orderBy(*_VALUE)
+        sofar = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return (self.table.withColumn("value", value).where(F.col("value").isNotNull())
+                .select("column", "block", "value", "n", (F.row_number().over(order) - 1).alias("code"), sofar.alias("before"))
+                .join(F.broadcast(first), ["column", "block"])                          # a row a column and range
+                .select(F.col("name").alias("column"), "value", "n", (F.col("code") + F.col("code0")).alias("code"),
+                        (F.col("before") + F.col("before0")).alias("before"), "total"))
+
     def first_values(self, n: int, sep: str = ", ") -> DataFrame:
         """(column, samples): the n smallest known values of each column, joined."""
         order = Window.partitionBy("column").orderBy("whole", "number", "value")     # limited in every task before the shuffle

@@ -23,6 +23,7 @@ from pyspark.sql.types import NumericType, StringType
 from tabloom.functions.text import map_lookup, split_parts, strip_ws
 from tabloom.functions.domain import FLAG_DEFAULTS, GROUP_RULES, keyword_code
 from tabloom.operators.schema import q
+from tabloom.session import materialize
 
 # Fixed values (synthetic-data encoder of the reference): missing token and the
 # continuous feature range.
@@ -135,42 +136,61 @@ class OneHot:
 # H03 -----------------------------------------------------------------------
 @dataclass
 class FittedLabels:
-    categories: dict[str, list[str]]
+    """``levels``: a written table (column, value, code), of any length. Codes number a
+    column's sorted levels from 0."""
+    columns: list[str]
+    levels: DataFrame
     token: str
 
+    def _of(self, c: str, value: str, code: str) -> DataFrame:
+        return self.levels.where(F.col("column") == c).select(F.col("value").alias(value), F.col("code").cast("int").alias(code))
+
     def codes(self, df: DataFrame) -> DataFrame:
-        """Label code per column = position in the sorted level list (0-based)."""
-        out = []
-        for c in df.columns:
-            if c in self.categories:
-                arr = F.array(*[F.lit(v) for v in self.categories[c]])
-                v = F.coalesce(q(c).cast("string"), F.lit(self.token))
-                out.append((F.array_position(arr, v) - 1).cast("int").alias(c))
-            else:
-                out.append(q(c))
-        return df.select(*out)
+        """Label code per column; -1 for a value that the fit has not seen."""
+        cur, names = df, list(df.columns)
+        for i, c in enumerate(c for c in names if c in self.columns):
+            cur = cur.join(self._of(c, f"_v{i}", f"_code{i}"), F.coalesce(q(c).cast("string"), F.lit(self.token)) == F.col(f"_v{i}"), "left")
+            cur = cur.select(*[F.coalesce(f"_code{i}", F.lit(-1)).alias(n) if n == c else q(n) for n in names])
+        return cur
+
+    def decode(self, df: DataFrame) -> DataFrame:
+        """Codes back to values; the token, and unknown codes, become null."""
+        cur, names = df, list(df.columns)
+        for i, c in enumerate(c for c in names if c in self.columns):
+            cur = cur.join(self._of(c, f"_v{i}", f"_code{i}"), q(c) == F.col(f"_code{i}"), "left")
+            cur = cur.select(*[F.when(F.col(f"_v{i}") != self.token, F.col(f"_v{i}")).alias(n) if n == c else q(n) for n in names])
+        return cur
+
+    @property
+    def categories(self) -> dict[str, list[str]]:
+        """{column: sorted levels}, for a column of flags each: as many as the output is wide."""
+        out: dict[str, list[str]] = {c: [] for c in self.columns}
+        for r in self.levels.orderBy("column", "code").collect():
+            out[r["column"]].append(r["value"])
+        return out
 
     def one_hot(self, df: DataFrame) -> DataFrame:
-        out = []
+        levels, out = self.categories, []
         for c in df.columns:
-            if c in self.categories:
+            if c in self.columns:
                 v = F.coalesce(q(c).cast("string"), F.lit(self.token))
-                out += [(v == F.lit(k)).cast("int").alias(f"{c}_{k}") for k in self.categories[c]]
+                out += [(v == F.lit(k)).cast("int").alias(f"{c}_{k}") for k in levels[c]]
             else:
                 out.append(q(c))
         return df.select(*out)
 
 
 class LabelEncoder:
-    """Sorted levels with the missing token as a level."""
+    """Sorted levels with the missing token as a level (H03), numbered where they lie:
+    a column may have any number of them."""
 
     def __init__(self, token: str = MISSING_TOKEN):
         self.token = token
 
     def fit(self, df: DataFrame, columns: Sequence[str]) -> FittedLabels:
+        from tabloom.operators.counted import counted_values
         filled = df.select(*[F.coalesce(q(c).cast("string"), F.lit(self.token)).alias(c) for c in columns])
-        _, levels = fit_levels(filled, columns, None)
-        return FittedLabels({c: levels.get(c, []) for c in columns}, self.token)
+        return FittedLabels(list(columns), materialize(counted_values(filled).numbered().select("column", "value", "code")), self.token)
 
 
 # H04 -----------------------------------------------------------------------

@@ -1,15 +1,15 @@
 """Synthetic tables and their similarity to real ones.
 
 Gaussian copula, Spark-first:
-- fit (L01): one aggregate gives every numeric column's quantile grid
-  (``grid_points`` percentiles; exact or approximate) and categorical level
-  counts come from (column, value) counts. Rows are mapped to normal scores
-  through these small, bounded marginals (no per-column global sort), and the
-  correlation of the scores is one ``corr`` aggregate. Only the grids, level
-  lists and the p x p matrix reach the driver.
+- fit (L01): one table of counted values gives every numeric column's exact quantile
+  grid (``grid_points`` of them) and, for categorical columns of any cardinality, a
+  written table (column, value, lo, hi) of the levels' cumulative shares. Rows are
+  mapped to normal scores through these marginals, categories by a join on their
+  value. Only the grids and the p x p matrix reach the driver.
 - sample (L02): ``spark.range(n)``; independent normals from hashed uniforms
   (deterministic by seed, no ``rand()``), correlated by the Cholesky factor as
-  column sums, mapped back through the marginals - all column expressions.
+  column sums, mapped back through the marginals: grids are column expressions,
+  categories an as-of join of the uniform with the cumulative shares.
 The normal CDF and its inverse are closed-form approximations (Abramowitz &
 Stegun 26.2.17 / 26.2.23, with one Newton step on the inverse).
 """
@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tabloom.functions.hashing import unit_uniform
+from tabloom.functions.hashing import row_key, unit_uniform
+from tabloom.operators.asof import last_at_or_before
 from tabloom.operators.correlation import correlations
+from tabloom.operators.counted import counted_values
 from tabloom.operators.schema import q
+from tabloom.session import materialize
 
 
 # ---------------------------------------------------------------------------
@@ -58,7 +61,8 @@ def norm_ppf(u: Column) -> Column:
 @dataclass
 class Copula:
     numeric: dict[str, list[float]]                   # column -> quantile grid (ascending)
-    categorical: dict[str, tuple[list[str], list[float]]]  # column -> (levels, cumulative shares)
+    categorical: list[str]
+    levels: DataFrame | None                          # (column, value, lo, hi): cumulative shares
     columns: list[str]
     corr: list[list[float]]
     kinds: dict[str, str]
@@ -69,39 +73,34 @@ class Copula:
         return F.array(*[F.lit(float(v)) for v in vals])
 
     def scores(self, df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-        """Normal scores of each row (ties of categories jittered by hash)."""
-        cur = df.select(q(key).alias("_key"), *[q(c).alias(f"_x{j}") for j, c in enumerate(self.columns)])
+        """Normal scores of each row (ties of categories spread by hash); null for a
+        missing value or a category that the fit has not seen."""
+        cur = df.select(row_key(df, key).alias("_key"), *[q(c).alias(f"_x{j}") for j, c in enumerate(self.columns)])
+        for j, c in enumerate(self.columns):
+            if c in self.categorical:
+                shares = self.levels.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("lo").alias(f"_lo{j}"), F.col("hi").alias(f"_hi{j}"))
+                cur = cur.join(shares, F.col(f"_x{j}").cast("string") == F.col("_value"), "left").drop("_value")
         stage = []
         for j, c in enumerate(self.columns):
-            x = F.col(f"_x{j}")
             if c in self.numeric:
                 k = len(self.numeric[c]) - 1
-                arr = self._arr(self.numeric[c])
-                stage.append(F.greatest(F.least(F.size(F.filter(arr, lambda v: v <= x.cast("double"))) - 1,
-                                                 F.lit(k - 1)), F.lit(0)).alias(f"_i{j}"))
-            else:
-                stage.append(F.array_position(F.array(*[F.lit(v) for v in self.categorical[c][0]]),
-                                              x.cast("string")).cast("int").alias(f"_i{j}"))
+                arr, x = self._arr(self.numeric[c]), F.col(f"_x{j}").cast("double")
+                stage.append(F.greatest(F.least(F.size(F.filter(arr, lambda v: v <= x)) - 1, F.lit(k - 1)), F.lit(0)).alias(f"_i{j}"))
         cur = cur.select("*", *stage)
         stage = []
         for j, c in enumerate(self.columns):
-            i = F.col(f"_i{j}")
             if c in self.numeric:
-                g = self.numeric[c]
-                k = len(g) - 1
-                arr = self._arr(g)
+                i, g = F.col(f"_i{j}"), self.numeric[c]
+                k, arr, x = len(g) - 1, self._arr(g), F.col(f"_x{j}").cast("double")
                 lo, hi = F.element_at(arr, i + 1), F.element_at(arr, i + 2)
-                x = F.col(f"_x{j}").cast("double")
                 frac = F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.5))
-                u = (i + F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0))) / k
+                u = F.when(x.isNotNull(), (i + F.least(F.greatest(frac, F.lit(0.0)), F.lit(1.0))) / k)
             else:
-                levels, cum = self.categorical[c]
-                hi_a, lo_a = self._arr(cum), self._arr([0.0] + cum[:-1])
-                lo = F.element_at(lo_a, i)
-                u = lo + (F.element_at(hi_a, i) - lo) * unit_uniform(F.col("_key"), seed + 1000 + j)
-            stage.append(F.least(F.greatest(u, F.lit(1e-6)), F.lit(1 - 1e-6)).alias(f"_u{j}"))
-        cur = cur.select(*stage)
-        return cur.select(*[norm_ppf(F.col(f"_u{j}")).alias(c) for j, c in enumerate(self.columns)])
+                lo, hi = F.col(f"_lo{j}"), F.col(f"_hi{j}")
+                u = lo + (hi - lo) * unit_uniform(F.col("_key"), seed + 1000 + j)
+            stage.append(F.when(u.isNotNull(), F.least(F.greatest(u, F.lit(1e-6)), F.lit(1 - 1e-6))).alias(f"_u{j}"))
+        cur = cur.select("_key", *stage)
+        return cur.select(F.col("_key").alias("row_key"), *[norm_ppf(F.col(f"_u{j}")).alias(c) for j, c in enumerate(self.columns)])
 
     # -- L02 ------------------------------------------------------------------
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
@@ -127,15 +126,11 @@ class Copula:
             if name in self.numeric:
                 k = len(self.numeric[name]) - 1
                 stage.append(F.least(F.floor(u * k), F.lit(k - 1)).cast("int").alias(f"_i{i}"))
-            else:
-                stage.append(F.least(F.size(F.filter(self._arr(self.categorical[name][1]), lambda h: h < u)) + 1,
-                                     F.lit(len(self.categorical[name][0]))).alias(f"_i{i}"))
         cur = cur.select("row_id", *[F.col(f"_u{i}") for i in range(p)], *stage)
         cols = []
         for i, name in enumerate(self.columns):
-            u, idx = F.col(f"_u{i}"), F.col(f"_i{i}")
             if name in self.numeric:
-                g = self.numeric[name]
+                u, idx, g = F.col(f"_u{i}"), F.col(f"_i{i}"), self.numeric[name]
                 k = len(g) - 1
                 arr = self._arr(g)
                 lo, hi = F.element_at(arr, idx + 1), F.element_at(arr, idx + 2)
@@ -143,56 +138,44 @@ class Copula:
                 if self.kinds.get(name) == "integer":
                     v = F.round(v).cast("long")
             else:
-                v = F.element_at(F.array(*[F.lit(x) for x in self.categorical[name][0]]), idx)
+                v = F.col(f"_v{i}")
             cols.append(v.alias(name))
+        if self.categorical:
+            cur = cur.join(self._drawn(cur), "row_id")
         return cur.select("row_id", *cols)
 
+    def _drawn(self, uniforms: DataFrame) -> DataFrame:
+        """(row_id, _v0, ...): the level of each categorical column that the row's uniform falls on."""
+        at = {c: i for i, c in enumerate(self.columns)}
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_u{at[c]}").alias("lo")) for c in self.categorical])
+        draws = uniforms.select("row_id", F.inline(each))
+        met = last_at_or_before(draws, self.levels.select("column", "lo", "value"), ["column"], "lo")
+        return met.groupBy("row_id").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_v{at[c]}") for c in self.categorical])
 
-def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, grid_points: int = 101,
-               approx: bool = True, seed: int = 0, max_levels: int = 100_000) -> Copula:
-    """Marginals (one aggregate + one level count) and the score correlation.
 
-    Categorical level lists travel in the plan, so a column with more than
-    ``max_levels`` levels is refused (checked by a count before collecting)."""
+def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, grid_points: int = 101,
+               approx: bool = False, seed: int = 0) -> Copula:
+    """Marginals from one counted table, and the score correlation (pairwise complete).
+    ``approx`` takes the grids from a sketch."""
     columns = [c for c in (columns or df.columns) if c != key]
     nums = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
     cats = [c for c in columns if c not in nums]
     probs = [i / (grid_points - 1) for i in range(grid_points)]
     grids: dict[str, list[float]] = {}
-    if nums:
-        aggs = [(F.percentile_approx(q(c).cast("double"), probs, 10000) if approx
-                 else F.percentile(q(c).cast("double"), F.array(*[F.lit(p) for p in probs]))).alias(f"g{i}")
-                for i, c in enumerate(nums)]
-        row = df.agg(*aggs).first()
-        grids = {c: [float(v) for v in row[f"g{i}"]] for i, c in enumerate(nums)}
-    cat_m: dict[str, tuple[list[str], list[float]]] = {}
-    if cats:
-        long = df.select(*[q(c).cast("string").alias(c) for c in cats]).unpivot([], cats, "column", "value") \
-            .where(F.col("value").isNotNull())
-        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).persist()
-        sizes = {r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-        too_many = {c: k for c, k in sizes.items() if k > max_levels}
-        if too_many:
-            counts.unpersist()
-            raise ValueError(f"categorical columns above max_levels={max_levels}: {too_many}; "
-                             "treat them as ids or pass them as numeric")
-        by_col: dict[str, list[tuple[str, int]]] = {}
-        rows = counts.collect()          # bounded: <= max_levels per column
-        counts.unpersist()
-        for r in rows:
-            by_col.setdefault(r["column"], []).append((r["value"], r["n"]))
-        for c, vs in by_col.items():
-            vs.sort()
-            tot = float(sum(n for _, n in vs))
-            cum, acc = [], 0.0
-            for _, n in vs:
-                acc += n
-                cum.append(acc / tot)
-            cat_m[c] = ([v for v, _ in vs], cum)
+    counted = counted_values(df, cats if approx else columns)
+    if approx and nums:
+        row = df.agg(*[F.percentile_approx(q(c).cast("double"), probs, 10000).alias(f"g{i}") for i, c in enumerate(nums)]).first()
+        grids = {c: [float(v) for v in row[f"g{i}"]] for i, c in enumerate(nums) if row[f"g{i}"]}
+    elif nums:
+        grids = {c: g for c, g in counted.quantiles(nums, probs).items() if g[0] is not None}
+    columns = [c for c in columns if c in grids or c in cats and counted.distinct[c]]      # a column without values has no marginal
+    cats = [c for c in cats if c in columns]
+    levels = materialize(counted.numbered().where(F.col("column").isin(cats)).select(
+        "column", "value", (F.col("before") / F.col("total")).alias("lo"), ((F.col("before") + F.col("n")) / F.col("total")).alias("hi"))) if cats else None
     kinds = {c: ("integer" if df.schema[c].dataType.typeName() in ("long", "integer", "short", "byte") else "float")
              for c in nums}
-    cop = Copula(grids, cat_m, list(columns), [], kinds)
-    sc = cop.scores(df, key, seed)
+    cop = Copula(grids, cats, levels, list(columns), [], kinds)
+    sc = materialize(cop.scores(df, key, seed))
     p = len(columns)
     corr = np.eye(p)
     at = {c: i for i, c in enumerate(columns)}
@@ -297,7 +280,7 @@ def column_catalog(df: DataFrame, overrides: Mapping[str, str] | None = None, ke
     return df.sparkSession.createDataFrame(rows, "column string, sdtype string")
 
 
-def synthesize(df: DataFrame, key: str, n: int = 10000, seed: int = 0, approx: bool = True) -> DataFrame:
+def synthesize(df: DataFrame, key: str, n: int = 10000, seed: int = 0, approx: bool = False) -> DataFrame:
     """Narrow types, fit the copula, sample ``n`` rows."""
     from tabloom.operators.schema import narrow_types
     narrowed = narrow_types(df)
