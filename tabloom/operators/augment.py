@@ -45,14 +45,13 @@ def missing_category_stats(sample: DataFrame, full: DataFrame, cols: Sequence[st
 
 
 # K02 / K03 / K07 ---------------------------------------------------------------
-def sample_per_group(cands: DataFrame, group: Sequence[str], n: int, seed: int, salt: int = 64) -> DataFrame:
-    """Up to n rows per group with the smallest (hash, key): two-level, skew-safe."""
-    h = mix32(F.col("_key"), seed)
-    c = cands.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(salt)))
-    w1 = Window.partitionBy(*group, "_b").orderBy("_h", "_key")
-    c = c.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
-    w2 = Window.partitionBy(*group).orderBy("_h", "_key")
-    return c.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_b", "_r")
+def sample_per_group(rows: DataFrame, group: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Up to n rows per group with the smallest (hash, key). Spark limits the ranking in
+    every task before the shuffle (WindowGroupLimit), so at most n rows a group and
+    task move, also of a group that holds a third of all rows."""
+    order = Window.partitionBy(*group).orderBy("_h", "_key")
+    return (rows.withColumn("_h", mix32(F.col("_key"), seed)).withColumn("_r", F.row_number().over(order))
+            .where(F.col("_r") <= n).drop("_r"))
 
 
 def cover_categories(sample: DataFrame, full: DataFrame, cols: Sequence[str], key: str, n: int = 5,
@@ -63,9 +62,9 @@ def cover_categories(sample: DataFrame, full: DataFrame, cols: Sequence[str], ke
     column would add a level the sample lacks are dropped (null allowed); the
     added rows are de-duplicated and appended to the sample."""
     cols = [c for c in cols if c not in set(exclude)]
-    missing = missing_categories(sample, full, cols)
-    cands = _pairs(full, cols, key).join(missing, ["column", "value"])
-    picked = sample_per_group(cands, ["column", "value"], n, seed).select("_key").distinct()
+    # first at most n rows of every value, then the values that the sample lacks: one scan of full
+    firsts = sample_per_group(_pairs(full, cols, key), ["column", "value"], n, seed)
+    picked = firsts.join(_pairs(sample, cols).distinct(), ["column", "value"], "left_anti").select("_key").distinct()
     rows = full.join(picked, q(key) == F.col("_key"), "left_semi")
     for ex in exclude:
         existing = sample.select(q(ex).alias("_v")).where(F.col("_v").isNotNull()).distinct()

@@ -39,7 +39,7 @@ def _cell(x: Column, inner: list[float]) -> Column:
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str,
-                k: int = 5, per_cell: int = 16, salt: int = 32, max_rounds: int = 20) -> DataFrame:
+                k: int = 5, per_cell: int = 16, salt: int = 32) -> DataFrame:
     """(test rows..., prediction): mean label of the k nearest training rows."""
     feats = list(features)
     d = len(feats)
@@ -73,7 +73,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     edges = [[-math.inf] + inner[j] + [math.inf] for j in range(d)]
     done = None
     r = 1
-    for _ in range(max_rounds):
+    while True:                        # the ring doubles until nothing is pending; the whole grid resolves all
         full = all(r >= ncell[j] - 1 for j in range(d))
         offs = F.sequence(F.lit(-r), F.lit(r))
         ex = pending

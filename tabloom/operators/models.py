@@ -367,6 +367,35 @@ def registry_check(registry: DataFrame, expected_features: Sequence[str]) -> Dat
                            F.size(feats).alias("n_features"), F.lit(len(expected_features)).alias("n_expected"))
 
 
+def model_files(spark, paths: Sequence[str]) -> DataFrame:
+    """(path, files, bytes, modified) of saved models, from the file listing alone (the
+    ``binaryFile`` source without its content, through Hadoop's file system)."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length", "modificationTime")
+    where = F.coalesce(*[F.when(F.contains("path", F.lit(f"{p.split(':', 1)[-1].rstrip('/')}/")), F.lit(p)) for p in paths])
+    return (listed.groupBy(where.alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
+                                                    F.max("modificationTime").alias("modified")))
+
+
+def check_models(spark, paths: Sequence[str], expected_features: Sequence[str]) -> DataFrame:
+    """A row a saved model: (path, name, status, loaded, n_features, n_expected, files,
+    bytes, modified). Status: ok, missing_features, or unreadable if it can't be loaded."""
+    rows = []
+    for p in paths:
+        try:
+            model = load_model(p)
+            have = list(model.coefs) if isinstance(model, LinearScorer) else list(model.features)
+            rows.append((p, model.name, "ok" if set(expected_features) <= set(have) else "missing_features", True, len(have)))
+        except Exception:                                            # whatever keeps it from being used is the finding
+            rows.append((p, None, "unreadable", False, None))
+    found = spark.createDataFrame(rows, "path string, name string, status string, loaded boolean, n_features int")
+    return (found.withColumn("n_expected", F.lit(len(expected_features))).join(model_files(spark, paths), "path", "left"))
+
+
+def model_summary(checked: DataFrame) -> DataFrame:
+    """(status, models, loaded, bytes) of a model check."""
+    return checked.groupBy("status").agg(F.count(F.lit(1)).alias("models"), F.count_if("loaded").alias("loaded"), F.sum("bytes").alias("bytes"))
+
+
 # M13 -----------------------------------------------------------------------
 def score_all(df: DataFrame, scorers: Sequence, floor: float | None = 0.1) -> DataFrame:
     """One column per model (floored), then ensemble mean and population std."""

@@ -430,5 +430,6 @@ def m21_permutation_importance(spark, sf_dir):
 
 @register("m28_registry_check")
 def m28_registry_check(spark, sf_dir):
-    paths = _saved_models(spark, sf_dir)
-    return MD.registry_check(MD.model_registry(spark, paths), FEATURES).groupBy("status").count()
+    """Each saved model with its status, features and files (sizes depend on the writer: only their presence)."""
+    checked = MD.check_models(spark, _saved_models(spark, sf_dir), FEATURES)
+    return checked.select("name", "status", "loaded", "n_features", "n_expected", (F.col("bytes") > 0).alias("has_files"))
