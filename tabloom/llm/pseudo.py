@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import _groups
 from .common import Memo, stage, text_or_empty
 
 _ROWS = 1 << 10               # tokens whose logits are held at once: they fit the cache
@@ -89,15 +91,20 @@ def _log_count():
 class WindowNetwork:
     """Predicts a token from ``radius`` tokens on both sides; the token itself is masked.
 
-    Embeddings of the context, one tanh layer, softmax over the vocabulary. Beyond a
-    text's ends stands a padding token.
+    Embeddings of the context, one tanh layer, then a softmax in two levels: over
+    ``groups`` of outcomes (outcome i is in group i mod groups), and over the members
+    of the token's own group, so a token costs two short softmaxes instead of one over
+    the vocabulary. Beyond a text's ends stands a padding token.
     """
 
-    def __init__(self, vocabulary: int, radius: int = 2, width: int = 16, hidden: int = 32, seed: int = 11):
+    def __init__(self, vocabulary: int, radius: int = 2, width: int = 16, hidden: int = 32, groups: int = 16, seed: int = 11):
         r = np.random.default_rng(seed)
-        self.v, self.radius, self.width = vocabulary, radius, width
-        self.params = [r.normal(0, 0.1, (vocabulary + 1, width)), r.normal(0, (2 * radius * width) ** -0.5, (2 * radius * width, hidden)),
-                       np.zeros(hidden), r.normal(0, hidden ** -0.5, (hidden, vocabulary)), np.zeros(vocabulary)]
+        self.v, self.radius, self.width, self.groups = vocabulary, radius, width, min(groups, max(vocabulary, 1))
+        members = -(-vocabulary // self.groups)
+        absent = np.arange(members)[None, :] * self.groups + np.arange(self.groups)[:, None] >= vocabulary
+        self.params = [r.normal(0, 0.1, (vocabulary + 1, width)), r.normal(0, (2 * radius * width) ** -0.5, (2 * radius * width, hidden)), np.zeros(hidden),
+                       r.normal(0, hidden ** -0.5, (hidden, self.groups)), np.zeros(self.groups),
+                       r.normal(0, hidden ** -0.5, (self.groups, hidden, members)), np.where(absent, -1e4, 0.0)]      # no odds for places without an outcome
         self.params = [p.astype(np.float32) for p in self.params]
 
     def flat(self) -> np.ndarray:
@@ -110,53 +117,96 @@ class WindowNetwork:
             at += p.size
         return self
 
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """One row of 2 * radius neighbours for each token of a text."""
-        pad = np.full(self.radius, self.v, dtype=np.int32)
-        line = np.concatenate((pad, ids, pad))
-        n = len(ids)
-        return np.stack([line[k:k + n] for k in range(2 * self.radius + 1) if k != self.radius], axis=1)
-
-    def _forward(self, ctx: np.ndarray):
-        emb, w1, b1, w2, b2 = self.params
+    def contexts(self, ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """One row of 2 * radius neighbours for each token of a text, or of texts of these
+        sizes one after the other."""
+        r, sizes = self.radius, np.array([len(ids)]) if sizes is None else sizes
+        at = np.arange(len(ids)) + r * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        line = np.full(len(ids) + r * (len(sizes) + 1), self.v, dtype=np.int32)         # paddings between the texts
+        line[at] = ids
+        return np.stack([line[at + k] for k in range(-r, r + 1) if k], axis=1)
+
+    def _hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        emb, w1, b1 = self.params[:3]
         x = emb[ctx].reshape(len(ctx), -1)
         h = x @ w1
         h += b1
-        np.tanh(h, out=h)
-        logits = h @ w2
-        logits += b2
-        logits -= logits.max(axis=1, keepdims=True)
-        return x, h, logits
+        return x, np.tanh(h, out=h)
+
+    def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the tokens by group, and (group, first, end) of each group in it."""
+        group = (ids % self.groups).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.groups)).tolist()
+        return order, [(g, first, end) for g, (first, end) in enumerate(zip([0, *ends], ends)) if end > first]
+
+    def _odds(self, h: np.ndarray, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all groups and of the own group's members, for rows in group order."""
+        wg, bg, wm, bm = self.params[3:]
+        members = np.empty((len(h), bm.shape[1]), dtype=h.dtype)
+        for g, first, end in spans:
+            np.dot(h[first:end], wm[g], out=members[first:end])
+            members[first:end] += bm[g]
+        logits = h @ wg
+        logits += bg
+        for z in (logits, members):
+            z -= z.max(axis=1, keepdims=True)
+        return logits, members
 
     def log_probs(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every token given both sides."""
         out = np.empty(len(ids))
         for k in range(0, len(ids), _ROWS):
-            logits = self._forward(ctx[k:k + _ROWS])[2]
-            hit = logits[np.arange(len(logits)), ids[k:k + _ROWS]]
-            np.exp(logits, out=logits)
-            out[k:k + _ROWS] = hit - np.log(logits.sum(axis=1))
+            some = ids[k:k + _ROWS]
+            order, spans = self._by_group(some)
+            logits, members = self._odds(self._hidden(ctx[k:k + _ROWS][order])[1], spans)
+            at = np.arange(len(some))
+            hit = logits[at, some[order] % self.groups] + members[at, some[order] // self.groups]
+            both = np.exp(logits, out=logits).sum(axis=1) * np.exp(members, out=members).sum(axis=1)
+            out[k + order] = hit - np.log(both)
         return out
 
     def train(self, ctx: np.ndarray, ids: np.ndarray, state: dict, rate: float) -> None:
         """One Adam step on the mean negative log-probability."""
-        emb, w1, _, w2, _ = self.params
-        n = len(ids)
-        x, h, logits = self._forward(ctx)
-        p = np.exp(logits, out=logits)
-        p *= 1 / (n * p.sum(axis=1, keepdims=True))
-        p[np.arange(n), ids] -= 1 / n
-        dh = (p @ w2.T) * (1 - h * h)
+        emb, w1, _, wg, _, wm, bm = self.params
+        order, spans = self._by_group(ids)
+        ctx, ids = ctx[order], ids[order]
+        n, at = len(ids), np.arange(len(ids))
+        x, h = self._hidden(ctx)
+        p, q = self._odds(h, spans)
+        for z, hit in ((p, ids % self.groups), (q, ids // self.groups)):
+            np.exp(z, out=z)
+            z *= 1 / (n * z.sum(axis=1, keepdims=True))
+            z[at, hit] -= 1 / n
+        dh, dwm, dbm = p @ wg.T, np.zeros_like(wm), np.zeros_like(bm)
+        for g, first, end in spans:
+            dh[first:end] += q[first:end] @ wm[g].T
+            np.dot(h[first:end].T, q[first:end], out=dwm[g])
+            dbm[g] = q[first:end].sum(axis=0)
+        dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, self.width)
-        cells = ctx.ravel()[:, None] * self.width + np.arange(self.width)
-        demb = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=emb.size).reshape(emb.shape).astype(emb.dtype)
-        grads = [demb, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
+        cells = ctx.ravel()
+        by_cell = np.argsort(cells.astype(np.uint16) if self.v < 1 << 16 else cells, kind="stable")
+        sorted_cells = cells[by_cell]
+        starts = np.flatnonzero(np.diff(sorted_cells, prepend=-1))
+        demb = np.zeros_like(emb)
+        demb[sorted_cells[starts]] = np.add.reduceat(dx[by_cell], starts, axis=0)
+        grad = np.concatenate([g.ravel() for g in (demb, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0), dwm, dbm)])
         state["t"] = t = state.get("t", 0) + 1
-        for i, g in enumerate(grads):
-            m, s = state.get(i, (np.zeros_like(g), np.zeros_like(g)))
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            state[i] = (m, s)
-            self.params[i] -= (rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)).astype(np.float32)
+        m, s = state.setdefault("m", np.zeros_like(grad)), state.setdefault("s", np.zeros_like(grad))
+        m *= 0.9
+        m += 0.1 * grad
+        grad *= grad
+        s *= 0.99
+        s += 0.01 * grad
+        step = np.sqrt(s * (1 / (1 - 0.99 ** t)))
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= rate / (1 - 0.9 ** t)
+        first = 0
+        for w in self.params:
+            w -= step[first:first + w.size].reshape(w.shape).astype(w.dtype, copy=False)
+            first += w.size
 
 
 def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate: float):
@@ -165,12 +215,16 @@ def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate:
         net, state, seen = WindowNetwork(vocabulary.size, **shape).load(weights.value), {}, 0
         ctx, ids, held = [], [], 0
         for batch in batches:
-            for x in batch.column("text"):
-                mine = vocabulary.ids(x.as_py())
-                pick = np.arange(len(mine) % min(every, max(1, len(mine))), len(mine), every)
-                ctx.append(net.contexts(mine)[pick])
-                ids.append(mine[pick])
-                held += len(pick)
+            for first, n in _groups(batch.column("text"), 1 << 18):
+                texts = [vocabulary.ids(x.as_py()) for x in batch.column("text").slice(first, n)]
+                sizes, mine = np.array([len(t) for t in texts]), np.concatenate(texts)
+                near = net.contexts(mine, sizes)
+                if every > 1:
+                    pick = np.concatenate([np.arange(s % min(every, max(1, s)), s, every) + end - s for s, end in zip(sizes, np.cumsum(sizes))])
+                    near, mine = near[pick], mine[pick]
+                ctx.append(near)
+                ids.append(mine)
+                held += len(mine)
                 if held >= batch_size:
                     all_ctx, all_ids = np.concatenate(ctx), np.concatenate(ids)
                     whole = held // batch_size * batch_size
@@ -217,29 +271,51 @@ def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, e
     return frequent, classes, shape, weights, WithinClass(counts, frequent, classes, head)
 
 
+class _Looked(dict):
+    """word -> place in ``ids`` and ``logs`` (its id, and log count or NaN): one look a token."""
+
+    def __init__(self, vocabulary: Vocabulary, known: dict):
+        super().__init__()
+        self.vocabulary, self.known = vocabulary, known
+        self.ids, self.logs = array("i"), array("d")
+
+    def __missing__(self, word: str) -> int:
+        place = len(self.ids)
+        self.ids.append(self.vocabulary[word])
+        self.logs.append(self.known.get(word, np.nan))
+        self[word] = place
+        return place
+
+    def places(self, texts: list[list[str]], total: int) -> np.ndarray:
+        if len(self) > 300_000:
+            self.clear()
+            self.ids, self.logs = array("i"), array("d")
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=total)
+
+
 def _scorer(words, classes, shape, weights, known, log_total):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words.value, classes)
         net = WindowNetwork(vocabulary.size, **shape).load(weights.value)
+        looked = _Looked(vocabulary, known.value)
 
         def score(some):
             texts = [x.as_py().lower().split() for x in some.column("text")]
-            docs = [np.fromiter(map(vocabulary.__getitem__, t), dtype=np.int32, count=len(t)) for t in texts]
-            sizes = np.array([len(d) for d in docs], dtype=np.int64)
-            ids = np.concatenate(docs)
-            logs = net.log_probs(np.concatenate([net.contexts(d) for d in docs]), ids) - log_total[ids]
-            tails = []
-            for t, end in zip(texts, np.cumsum(sizes).tolist()):
-                counted = np.fromiter(map(known.value.get, t, repeat(np.nan)), dtype=np.float64, count=len(t))
-                far = np.isnan(counted)
-                logs[end - len(t):end] += np.where(far, 0.0, counted)
-                tails.append([t[i] for i in np.flatnonzero(far).tolist()])
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            places = looked.places(texts, int(sizes.sum()))
+            ids, counted = np.array(looked.ids, dtype=np.int32)[places], np.array(looked.logs)[places]
+            far = np.isnan(counted)
+            logs = net.log_probs(net.contexts(ids, sizes), ids) - log_total[ids] + np.where(far, 0.0, counted)
+            tails, owner = [[] for _ in texts], np.repeat(np.arange(len(texts)), sizes)
+            start = np.cumsum(sizes) - sizes
+            for i, k in zip(np.flatnonzero(far).tolist(), owner[far].tolist()):
+                tails[k].append(texts[k][i - start[k]])
             ends = np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], np.cumsum(sizes)))]
             return pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes), pa.array(np.diff(ends)), pa.array(tails, pa.list_(pa.string()))],
                                               names=["doc_id", "n_tokens", "near", "tail"])
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                yield score(batch.slice(k, 256))
+            for first, n in _groups(batch.column("text"), 1 << 20):            # by bytes, however long the texts
+                yield score(batch.slice(first, n))
     return run
 
 

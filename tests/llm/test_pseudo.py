@@ -34,25 +34,29 @@ def test_learns_both_sides(spark):
     # the sum of conditionals, token by token
     net = P.WindowNetwork(vocabulary.size).load(model[3])
     d = ids[3]
-    emb, w1, b1, w2, b2 = net.params
+    emb, w1, b1, wg, bg, wm, bm = net.params
     total = 0.0
     for t in range(len(d)):
         near = [d[t + o] if 0 <= t + o < len(d) else vocabulary.size for o in (-2, -1, 1, 2)]
-        z = np.tanh(np.concatenate([emb[j] for j in near]) @ w1 + b1) @ w2 + b2
-        total += z[d[t]] - np.log(np.exp(z.astype(np.float64)).sum())
+        h = np.tanh(np.concatenate([emb[j] for j in near]) @ w1 + b1)
+        g = d[t] % net.groups
+        for z, hit in ((h @ wg + bg, g), (h @ wm[g] + bm[g], d[t] // net.groups)):
+            total += z[hit] - np.log(np.exp(z.astype(np.float64)).sum())
     assert abs(total - got[3].log_likelihood) < 1e-2
 
 
 def test_gradient():
-    net = P.WindowNetwork(7, radius=1, width=3, hidden=4)
+    net = P.WindowNetwork(7, radius=1, width=3, hidden=4, groups=3)
     net.params = [p.astype(np.float64) for p in net.params]
     ids = np.array([1, 2, 3, 1, 0, 6])
     ctx = net.contexts(ids)
     before = [p.copy() for p in net.params]
     state = {}
     net.train(ctx, ids, state, 0.0)
+    first = 0
     for i, p in enumerate(before):
-        grad = state[i][0] / 0.1
+        grad = (state["m"][first:first + p.size] / 0.1).reshape(p.shape)
+        first += p.size
         for at in [(0,) * p.ndim, tuple(s - 1 for s in p.shape), tuple(s // 2 for s in p.shape)]:
             step = 1e-6
             net.params[i][at] += step
@@ -63,6 +67,13 @@ def test_gradient():
             assert abs((up - down) / (2 * step) - grad[at]) < 1e-5
 
 
+def test_outcomes_are_a_distribution():
+    for v in (1, 5, 16, 37, 256):
+        net = P.WindowNetwork(v)
+        ctx = np.repeat(net.contexts(np.zeros(3, dtype=np.int32))[1:2], v, axis=0)
+        assert abs(np.exp(net.log_probs(ctx, np.arange(v))).sum() - 1) < 1e-5
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = P.fit(odd_docs)
     got = P.score(odd_docs, model).collect()
