@@ -36,7 +36,8 @@ def test_columns_by_kind_and_counts(spark):
 def test_profile_bundle(spark):
     df = spark.createDataFrame([(1, 2.0, "x"), (2, None, "y"), (3, 4.0, None)], "k long, v double, t string")
     out = profile(df, target="v")
-    assert set(out) == {"missing", "summary", "describe", "distinct", "correlations", "target"}
+    assert set(out) == {"missing", "summary", "describe", "distinct", "kinds", "top", "correlations", "target"}
+    assert {r["column"]: r["kind"] for r in out["kinds"].collect()} == {"k": "categorical", "v": "categorical", "t": "categorical"}
     miss = {r["column"]: r["n_missing"] for r in out["missing"].collect()}
     assert miss == {"k": 0, "v": 1, "t": 1}
 
