@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import free_name, stage, text_or_empty
 
 #: Marks whose share of the text is a statistic each.
 _MARKS = {"bangs": "!", "pipes": "|", "breaks": "\n"}
@@ -149,6 +149,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> tupl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, all columns as they are."""
-    model = classify(docs, labels, threshold)[1]
-    return with_statistics(docs).where(model.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose score is at least ``threshold``, all columns as they are.
+
+    The statistics are worked out once and written beside the rows; the fit and the
+    filter read them there. Null and empty texts are scored like any other, repeated
+    rows are all kept or all dropped, null ids never teach, an empty table gives an
+    empty one, and other columns may have any name.
+    """
+    name = free_name(docs.columns, "__stats")
+    rows = stage(with_statistics(docs, name))
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("__stats")), labels.where(~held_out()))
+    return rows.where(model.score(name) >= threshold).drop(name)

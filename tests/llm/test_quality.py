@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 import zlib
 
 from pyspark.sql import functions as F
@@ -49,6 +51,42 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.3 for r in got)
 
 
+def _plain(text):
+    """The statistics in Python, one by one."""
+    from math import log1p
+    words, lines, n = re.split(r"[ \t\n\x0b\f\r]+", text.strip(" ")), text.split("\n"), max(len(text), 1)
+
+    def chars(test):
+        return sum(map(test, text)) / n
+    return {"log_words": log1p(len(words)), "word_length": len(text) / len(words), "distinct_words": len(set(words)) / len(words),
+            "repeated_words": sum(a == b for a, b in zip(words, words[1:])) / len(words), "distinct_lines": len(set(lines)) / len(lines),
+            "line_length": log1p(len(text) / len(lines)), "capitals": chars(lambda c: unicodedata.category(c) == "Lu"),
+            "letters": chars(lambda c: unicodedata.category(c)[0] == "L"), "digits": chars(lambda c: c in "0123456789"),
+            "junk": chars(lambda c: c in "&#$%*"), "bangs": chars(lambda c: c == "!"), "pipes": chars(lambda c: c == "|"), "breaks": chars(lambda c: c == "\n")}
+
+
+def test_statistics_against_python(spark):
+    texts = ["", " ", "one", "a a a b b", "Ab CD\n\nAb CD\n\n9 | 10!! &#", "\u00c9t\u00e9 \u00dcber \u4e2d\u6587 \u0663 \u01c5", "no no\tno \n no", "x" * 100_000, "w \n" * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in Q.with_statistics(rows).collect():
+        want = _plain(r.text)
+        assert list(r["__stats"].asDict()) == list(want) == Q.STATISTICS
+        for name, value in want.items():
+            assert abs(r["__stats"][name] - value) < 1e-12, (r.text[:20], name, r["__stats"][name], value)
+
+
+def test_keep_good_with_clashing_names(spark):
+    rows, labels = _corpus(200)
+    docs = spark.createDataFrame([(*r[:2], 1, 2) for r in rows] + [(None, None, 1, 2), (0, rows[0][1], 1, 2)],
+                                 "doc_id long, text string, __stats int, `___STATS` int")
+    lab = spark.createDataFrame(labels, "doc_id long, label int")
+    kept = Q.keep_good(docs, lab)
+    assert kept.columns == docs.columns
+    want = [r.doc_id for r in Q.classify(docs, lab)[0].where("predicted = 1").collect()]
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect()) and 0 < len(want) < 202
+    assert Q.keep_good(docs.where("false"), lab).collect() == []
+
+
 def test_one_class_and_no_rows(spark):
     rows, labels = _corpus(40)
     docs = spark.createDataFrame(rows, CLASH)
