@@ -2,9 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tabloom.operators.knn import knn_predict
+from tabloom.operators.knn import axis_borders, knn_predict
 
 
 def brute(train, test, k):
@@ -40,3 +39,38 @@ def test_knn_fewer_rows_than_k(spark):
     te = spark.createDataFrame([(9, 0.2)], "tid long, a double")
     r = knn_predict(tr, te, ["a"], "y", "key", k=5).first()
     assert r["prediction"] == 2.0
+
+
+def test_borders_are_numbered_without_gaps(spark):
+    rows = [(float(i % 7), float(i)) for i in range(200)] + [(100.0, float(1000 + i)) for i in range(100)]
+    got = axis_borders(spark.createDataFrame(rows, "_x0 double, _x1 double"), ["_x0", "_x1"], 10).orderBy("axis", "cell").collect()
+    for axis in (0, 1):
+        cells = [(r["cell"], r["from"]) for r in got if r["axis"] == axis]
+        assert [c for c, _ in cells] == list(range(len(cells))) and [f for _, f in cells] == sorted({f for _, f in cells})
+        assert cells[0][1] == min(row[axis] for row in rows) and len(cells) <= 10
+    assert sum(r["axis"] == 1 for r in got) == 10            # no ties: ten even runs
+
+
+def test_knn_ties_across_cell_borders_go_to_the_smaller_key(spark):
+    # every test point has neighbours at equal distances on both sides, in other cells, with all key orders
+    train = [((37 * i) % 64, float(i), float(i)) for i in range(64)]
+    test = [(100 + i, i + 0.5) for i in range(63)] + [(200 + i, float(i)) for i in range(64)]
+    got = knn_predict(spark.createDataFrame(train, "key long, a double, y double"), spark.createDataFrame(test, "tid long, a double"),
+                      ["a"], "y", "key", k=3, per_cell=1).collect()
+    want = {t: float(np.mean([y for _, _, y in sorted((abs(x - v), kk, y) for kk, v, y in train)[:3]])) for t, x in test}
+    assert {r["tid"]: r["prediction"] for r in got} == want
+
+
+def test_knn_missing_and_infinite_values(spark):
+    nan, inf = float("nan"), float("inf")
+    train = [(1, 0.0, 0.0, 1.0), (2, 1.0, 1.0, 3.0), (3, None, 0.0, 99.0), (4, 0.0, nan, 99.0), (5, inf, 0.0, 99.0), (6, 0.0, 0.0, None)]
+    test = [(1, 0.1, 0.1, "x"), (2, None, 0.0, "x"), (3, nan, 0.0, "x"), (4, -inf, 0.0, "x"), (1, 0.1, 0.1, "x")]
+    tr = spark.createDataFrame(train, "key long, a double, b double, y double")
+    te = spark.createDataFrame(test, "tid long, a double, b double, prediction_key string")
+    got = knn_predict(tr, te, ["a", "b"], "y", "key", k=1)
+    assert got.columns == [*te.columns, "prediction"]
+    assert sorted((r["tid"], r["prediction"]) for r in got.where("prediction is not null").collect()) == [(1, 1.0), (1, 1.0)]
+    assert got.count() == 5
+    assert knn_predict(tr, te.where("false"), ["a", "b"], "y", "key", k=1).count() == 0
+    with pytest.raises(ValueError, match="empty training set"):
+        knn_predict(tr.where("key = 3"), te, ["a", "b"], "y", "key")
