@@ -3,9 +3,11 @@
 - Each row's text is its parts joined by spaces; tokens are lower-cased words
   of two or more word characters.
 - Vocabulary: the ``max_features`` terms of largest total count (count desc,
-  term asc), from one exploded ``groupBy``; only those terms reach the driver.
+  term asc); one exploded ``groupBy`` counts terms and the rows that hold them,
+  only the chosen terms reach the driver.
 - Weights: raw count x smooth idf ln((1 + n) / (1 + df)) + 1, then L2-normalised
-  per row; an array<double> column built by array expressions (no UDF).
+  per row; a sparse array of (i, x), i the place in the vocabulary, from the row's
+  sorted tokens (runs of equal tokens), so the work grows with a cell's tokens.
 - PCA: centred, from the covariance. The Gramian is summed as a *sparse*
   distributed aggregate: each row emits only its non-zero (i, j, x_i * x_j)
   pairs (a cell holds a handful of terms), grouped by (i, j) with map-side
@@ -15,6 +17,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,51 +46,57 @@ class FittedTfidf:
     col: str
     sep: str = ";"
 
-    def weights(self) -> Column:
-        """L2-normalised tf-idf vector (array<double>, vocabulary order).
-
-        One ``aggregate`` over the row's tokens counts every vocabulary term,
-        so the tokens are produced once per row (a lambda that referenced a
-        tokens column would be re-evaluated per term after projection
-        collapsing); the ``finish`` step weights and normalises."""
-        p = len(self.vocab)
-        vocab = F.array(*[F.lit(t) for t in self.vocab])
-        idf = F.array(*[F.lit(float(v)) for v in self.idf])
-        zeros = F.array_repeat(F.lit(0.0), p)
-
-        def merge(acc, x):
-            return F.transform(acc, lambda c, i: c + F.when(F.element_at(vocab, i + 1) == x, 1.0).otherwise(0.0))
-
-        def finish(acc):
-            raw = F.zip_with(acc, idf, lambda a, b: a * b)
-            norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-            return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
-        return F.aggregate(tokens(self.col, self.sep), zeros, merge, finish)
-
     def with_weights(self, df: DataFrame, keep: list[str], out: str = "_w") -> DataFrame:
-        return df.select(*[q(c) for c in keep], self.weights().alias(out))
+        """The kept columns and ``out``: the L2-normalised tf-idf weights of the row as an
+        array of (i, x) in vocabulary order, without zeros; empty for null and empty cells
+        and for those that hold no term of the vocabulary."""
+        vocab = F.array(*[F.lit(t) for t in self.vocab]).cast("array<string>")
+        idf = F.array(*[F.lit(float(v)) for v in self.idf]).cast("array<double>")
+        hits = F.filter(F.transform(tokens(self.col, self.sep), lambda t: F.array_position(vocab, t)), lambda p: p > 0)
+        cols = [q(c) for c in keep]
+        runs = _runs(df, cols, F.array_sort(hits))
+        weighted = F.transform(_counts(), lambda e: F.struct((e["of"] - 1).cast("int").alias("i"),
+                                                            (e["n"] * F.get(idf, (e["of"] - 1).cast("int"))).alias("x")))
+        raw = runs.select(*cols, _once(weighted, "_raw"))
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+        return raw.select(*cols, F.transform("_raw", lambda e: F.struct(e["i"].alias("i"), (e["x"] / norm).alias("x"))).alias(out))
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         keep = keep if keep is not None else [c for c in df.columns if c != self.col]
-        staged = self.with_weights(df, keep)
-        mean = F.array(*[F.lit(float(v)) for v in self.mean])
-        cen = staged.select(*[q(c) for c in keep], F.zip_with(F.col("_w"), mean, lambda a, b: a - b).alias("_c"))
+        staged = self.with_weights(df, keep).select(*[q(c) for c in keep], _once(F.col("_w"), "_w"))
         comps = []
         for i, comp in enumerate(self.components):
-            carr = F.array(*[F.lit(float(v)) for v in comp])
-            dot = F.aggregate(F.zip_with(F.col("_c"), carr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+            loadings = F.array(*[F.lit(float(v)) for v in comp])
+            centre = float(np.dot(self.mean, comp))
+            dot = F.aggregate("_w", F.lit(-centre), lambda acc, e: acc + e["x"] * F.get(loadings, e["i"]))
             comps.append(dot.alias(f"{self.col}_tfidf_comp_{i + 1}"))
-        return cen.select(*[q(c) for c in keep], *comps)
+        return staged.select(*[q(c) for c in keep], *comps)
+
+
+def _once(value: Column, name: str) -> Column:
+    """The value as a column that later expressions read instead of working it out again."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _runs(df: DataFrame, cols: Sequence[Column], ordered: Column) -> DataFrame:
+    """The columns with _h, a sorted array (null counts as empty), and _s, where its runs begin."""
+    held = df.select(*cols, _once(ordered, "_h"))
+    places = F.when(F.size("_h") > 0, F.sequence(F.lit(0), F.size("_h") - 1))
+    starts = F.filter(places, lambda p: (p == 0) | (F.get(F.col("_h"), p) != F.get(F.col("_h"), p - 1)))
+    return held.select(*cols, "_h", _once(F.coalesce(starts, F.array().cast("array<int>")), "_s"))
+
+
+def _counts() -> Column:
+    """(of, n) for each run of _h: its value and its length."""
+    return F.transform("_s", lambda s, k: F.struct(F.get(F.col("_h"), s).alias("of"),
+                                                  (F.coalesce(F.get(F.col("_s"), k + 1), F.size("_h")) - s).alias("n")))
 
 
 def fit_tfidf(df: DataFrame, col: str, n_components: int = 10, max_features: int = 100, sep: str = ";"
               ) -> FittedTfidf:
     n = df.count()
-    # term frequency and document frequency, each from one explode of the tokens
-    tf = df.select(F.explode(tokens(col, sep)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = df.select(F.explode(F.array_distinct(tokens(col, sep))).alias("term")).groupBy("term") \
-        .agg(F.count(F.lit(1)).alias("df"))
-    stats = tf.join(dfreq, "term")
+    runs = _runs(df, [], F.array_sort(tokens(col, sep))).select(F.inline(_counts()))
+    stats = runs.groupBy(F.col("of").alias("term")).agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.desc("tf"), "term").limit(max_features).collect()
     vocab = sorted(r["term"] for r in top)
     dfs = {r["term"]: r["df"] for r in top}
@@ -97,10 +106,7 @@ def fit_tfidf(df: DataFrame, col: str, n_components: int = 10, max_features: int
     # one pass for the row count, the column sums and the sparse Gramian: every
     # row's non-zero entries plus a sentinel (i = -1, x = 1) are paired.
     w = plan.with_weights(df, [])
-    idx = F.sequence(F.lit(0), F.lit(p - 1))
-    nz = w.select(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("x"))),
-                           F.filter(F.arrays_zip(idx.alias("i"), F.col("_w").alias("x")), lambda e: e["x"] != 0))
-                  .alias("_nz"))
+    nz = w.select(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("x"))), F.col("_w")).alias("_nz"))
     pairs = (nz.select(F.explode("_nz").alias("a"), "_nz").select("a", F.explode("_nz").alias("b"))
              .where(F.col("a.i") <= F.col("b.i"))
              .groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"))

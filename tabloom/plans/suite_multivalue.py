@@ -297,15 +297,13 @@ def g08_tfidf_weights(spark, sf_dir):
     df = materialize(names_frame(spark, sf_dir))
     fitted = fit_tfidf(df, "part_names", n_components=3)
     vocab = F.array(*[F.lit(v) for v in fitted.vocab])
-    w = fitted.with_weights(df, ["project_id"]).select("project_id", F.posexplode("_w").alias("i", "weight")) \
-        .where(F.col("weight") != 0)
+    w = fitted.with_weights(df, ["project_id"]).select("project_id", F.inline("_w")).withColumnRenamed("x", "weight")
     return rounded(w.select("project_id", F.element_at(vocab, F.col("i") + 1).alias("term"), "weight"))
 
 
 @register("g08_tfidf_pca")
 def g08_tfidf_pca(spark, sf_dir):
-    """PCA components of the tf-idf vectors (rows-only; orthonormality and
-    variance order are tested)."""
+    """PCA components of the tf-idf vectors (rows-only; tested against numpy)."""
     from tabloom.operators.tfidf import fit_tfidf
     df = materialize(names_frame(spark, sf_dir))
     fitted = fit_tfidf(df, "part_names", n_components=5)
