@@ -151,12 +151,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> tupl
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, all columns as they are.
 
-    The statistics are worked out once and written beside the rows; the fit and the
-    filter read them there. Null and empty texts are scored like any other, repeated
-    rows are all kept or all dropped, null ids never teach, an empty table gives an
-    empty one, and other columns may have any name.
+    Null and empty texts are scored like any other, repeated rows are all kept or all
+    dropped, null ids never teach, an empty table gives an empty one, and other columns
+    may have any name. The filter works the statistics out a second time instead of
+    reading them beside staged rows, which would write every text once more and takes
+    more of an executor's memory.
     """
     name = free_name(docs.columns, "__stats")
-    rows = stage(with_statistics(docs, name))
-    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("__stats")), labels.where(~held_out()))
-    return rows.where(model.score(name) >= threshold).drop(name)
+    model = classify(docs, labels, threshold)[1]
+    return with_statistics(docs, name).where(model.score(name) >= threshold).drop(name)
