@@ -154,8 +154,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     Null and empty texts are scored like any other, repeated rows are all kept or all
     dropped, null ids never teach, an empty table gives an empty one, and other columns
     may have any name. The filter works the statistics out a second time instead of
-    reading them beside staged rows, which would write every text once more and takes
-    more of an executor's memory.
+    reading them beside staged rows, which would write every text once more.
     """
     name = free_name(docs.columns, "__stats")
     model = classify(docs, labels, threshold)[1]
