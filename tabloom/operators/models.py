@@ -4,7 +4,8 @@ Two kinds of scorer share one interface, ``predict(df, out) -> df``:
 - ``LinearScorer``: coefficients as a column expression (M24 one-pass least
   squares, M26 mean model, literal-coefficient models). Stays in codegen.
 - ``MLScorer``: a Spark ML ``PipelineModel`` (VectorAssembler + regressor);
-  lr/ridge/lasso/elastic net/huber -> LinearRegression, dt, rf, gbr (GBT).
+  lr/ridge/lasso/elastic net/huber -> LinearRegression, dt, rf, gbr (GBT);
+  dt and gbr are fitted on summed rows (``operators.cells``).
 
 Cross-validation assigns folds by hash (K10), persists only the prepared
 training table and fits the models of a comparison from a small driver thread
@@ -170,6 +171,9 @@ def fit_model(df: DataFrame, label: str, features: Sequence[str], spec: str, par
         if "key" not in p:
             raise ValueError("knn needs the name of a key column: params={'key': ...}")
         return KnnScorer(name or spec, df, list(features), label, p["key"], int(p.get("k", 5)))
+    from tabloom.operators.cells import fit_on_cells, fits_cells
+    if not weight and fits_cells(df, features, spec, params):
+        return fit_on_cells(df, label, features, spec, params, name)
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
@@ -222,13 +226,17 @@ def compare_models(df: DataFrame, label: str, features: Sequence[str], key: str,
                    ) -> tuple[DataFrame, DataFrame]:
     """(fold scores of all models, mean table sorted by ``sort`` with the top
     ``n_select`` flagged). Folds by hash; the prepared table is persisted once. All
-    linear specs together take two passes (``linear_cv``); the others are fitted per
-    fold, a few at a time."""
+    linear specs together take two passes (``linear_cv``), all trees of summed rows three
+    (``cells``); the others are fitted per fold, a few at a time."""
+    from tabloom.operators.cells import cross_validate_cells, fits_cells
     from tabloom.operators.linear_cv import LINEAR_SPECS, cross_validate_linear
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
-    linear, others = [s for s in specs if s in LINEAR_SPECS], [s for s in specs if s not in LINEAR_SPECS]
+    linear, trees = [s for s in specs if s in LINEAR_SPECS], [s for s in specs if fits_cells(data, features, s)]
+    others = [s for s in specs if s not in linear and s not in trees]
     try:
         parts = [_materialized(cross_validate_linear(data, label, features, linear, k))] if linear else []
+        if trees:
+            parts.append(_materialized(cross_validate_cells(data, label, features, {s: (s, None) for s in trees}, k, threads=threads)))
         with ThreadPoolExecutor(max_workers=threads) as pool:
             parts += pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)), others)
     finally:
@@ -253,19 +261,31 @@ def _materialized(df: DataFrame) -> DataFrame:
 def tune(df: DataFrame, label: str, features: Sequence[str], key: str, spec: str, grid: Mapping[str, Sequence],
          n_iter: int = 10, metric: str = "R2", k: int = 5, seed: int = 123, threads: int = 4) -> tuple[dict, DataFrame]:
     """Random search: n_iter parameter maps drawn (seeded) from the grid, each
-    scored by k-fold CV, a few at a time; returns (best params, table of all tried)."""
+    scored by k-fold CV, a few at a time (trees on summed rows all at once, ``cells``);
+    returns (best params, table of all tried)."""
+    from tabloom.operators.cells import cross_validate_cells, fits_cells
     combos = [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())]
     rng = random.Random(seed)
     tried = combos if len(combos) <= n_iter else rng.sample(combos, n_iter)
-    data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
+    folds = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed)
+    cells = all(fits_cells(df, features, spec, p) for p in tried)
+    data = folds if cells else folds.persist()
 
     def trial(i: int, params: dict) -> tuple:
         s = cross_validate(data, label, features, spec, k, params, name=f"{spec}_{i}")
         r = s.agg(*[F.avg(m).alias(m) for m in ["MAE", "RMSE", "R2"]]).first()
         return i, json.dumps(params, sort_keys=True), r["MAE"], r["RMSE"], r["R2"]
+    def from_cells() -> list[tuple]:
+        scores = cross_validate_cells(data, label, features, {str(i): (spec, p) for i, p in enumerate(tried)}, k, threads=threads)
+        found = {r["model"]: r for r in scores.groupBy("model").agg(*[F.avg(m).alias(m) for m in ["MAE", "RMSE", "R2"]]).collect()}
+        none = dict.fromkeys(["MAE", "RMSE", "R2"])
+        return [(i, json.dumps(p, sort_keys=True), *[found.get(str(i), none)[m] for m in none]) for i, p in enumerate(tried)]
     try:
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            rows = list(pool.map(trial, range(len(tried)), tried))
+        if cells:
+            rows = from_cells()
+        else:
+            with ThreadPoolExecutor(max_workers=threads) as pool:
+                rows = list(pool.map(trial, range(len(tried)), tried))
     finally:
         data.unpersist()
     table = df.sparkSession.createDataFrame(rows, "trial int, params string, MAE double, RMSE double, R2 double")
