@@ -480,16 +480,27 @@ def importance(spark, scorers: Sequence) -> DataFrame:
 ROWS_PER_BUCKET = 100_000          # rows ordered by one task of a permutation
 
 
-def paired_rows(df: DataFrame, cols: Sequence[str], key: str, seed: int) -> DataFrame:
-    """Every row with ``cols`` of another row beside it, as ``_perm_<col>``: rows fall into
-    hash buckets (as many as the row count asks for); in a bucket, the row ranked r by
-    one hash order meets the row ranked r by another. No global sort."""
+def paired_repeats(df: DataFrame, cols: Sequence[str], key: str, seeds: Sequence[int]) -> DataFrame:
+    """Every row once a seed, with its place among the seeds as ``_repeat`` and ``cols`` of
+    another row beside it as ``_perm_<col>``. Rows fall into hash buckets (as many as the
+    row count asks for) by the only shuffle; in a bucket, for each seed, the row ranked r
+    by one hash order meets the row ranked r by another, next to it in the order of ranks.
+    A partition holds about a bucket, so repeats are sorted in memory. No global sort."""
     buckets = max(1, df.count() // ROWS_PER_BUCKET)
     k = row_key(df, key)
-    base = df.withColumn("_b", F.pmod(mix32(k, seed * 7919 + 1), F.lit(buckets)))
-    ranks = [F.row_number().over(Window.partitionBy("_b").orderBy(mix32(k, s), q(key))).alias("_r") for s in (seed, seed + 100003)]
-    right = base.select("_b", ranks[1], *[q(c).alias(f"_perm_{c}") for c in cols])
-    return base.select("*", ranks[0]).join(right, ["_b", "_r"]).drop("_b", "_r")
+    placed = df.where(k.isNotNull()).withColumn("_b", F.pmod(mix32(k, seeds[0] * 7919 + 1), F.lit(buckets))).repartition(buckets, "_b")
+    turns = [F.struct(F.lit(i).alias("_repeat"), F.lit(taken).alias("_taken"), mix32(k, s + (100003 if taken else 0)).alias("_h"))
+             for i, s in enumerate(seeds) for taken in (False, True)]
+    one_order = Window.partitionBy("_b", "_repeat", "_taken").orderBy("_h", q(key))
+    rows = placed.select("*", F.inline(F.array(*turns))).withColumn("_r", F.row_number().over(one_order))
+    by_rank = Window.partitionBy("_b", "_repeat").orderBy("_r", "_taken")
+    met = [F.lead(q(c)).over(by_rank).alias(f"_perm_{c}") for c in cols]
+    return rows.select("*", *met).where(~F.col("_taken")).drop("_b", "_taken", "_h", "_r")
+
+
+def paired_rows(df: DataFrame, cols: Sequence[str], key: str, seed: int) -> DataFrame:
+    """Every row with ``cols`` of another row beside it, as ``_perm_<col>`` (``paired_repeats``)."""
+    return paired_repeats(df, cols, key, [seed]).drop("_repeat")
 
 
 def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
@@ -500,18 +511,18 @@ def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
 def permutation_importance(df: DataFrame, scorer, label: str, features: Sequence[str], key: str, n: int = 10,
                            metric: str = "R2", seed: int = 0) -> DataFrame:
     """(feature, mean_drop, std_drop): metric drop when one feature is shuffled, n repeats.
-    A repeat pairs the rows once and scores all features' shuffles side by side."""
+    The rows are shuffled once; all repeats pair them inside their buckets and score all
+    features' shuffles side by side."""
     base = regression_metrics(scorer.predict(df, "_p"), label, "_p").first()[metric]
     drops: dict[str, list[float]] = {f: [] for f in features}
-    for r in range(n):
-        cur = paired_rows(df, features, key, seed + r)
-        for i, f in enumerate(features):
-            cur = scorer.predict(cur.withColumn("_own", q(f)).withColumn(f, q(f"_perm_{f}")), f"_p{i}")
-            cur = cur.withColumn(f, q("_own")).drop("_own")
-        each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("_p")) for i, f in enumerate(features)])
-        scored = cur.select(q(label), F.inline(each))
-        for row in regression_metrics(scored, label, "_p", ["feature"]).collect():
-            drops[row["feature"]].append(base - row[metric])
+    cur = paired_repeats(df, features, key, range(seed, seed + n))
+    for i, f in enumerate(features):
+        cur = scorer.predict(cur.withColumn("_own", q(f)).withColumn(f, q(f"_perm_{f}")), f"_p{i}")
+        cur = cur.withColumn(f, q("_own")).drop("_own")
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("_p")) for i, f in enumerate(features)])
+    scored = cur.select(q(label), "_repeat", F.inline(each))
+    for row in regression_metrics(scored, label, "_p", ["_repeat", "feature"]).orderBy("_repeat").collect():
+        drops[row["feature"]].append(base - row[metric])
     rows = [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, mean_drop double, std_drop double")
 
