@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.text import split_parts
 from tabloom.operators.schema import q
+from tabloom.session import materialize
 
 
 def parts(col: str | Column, sep: str = ";") -> Column:
@@ -138,7 +139,11 @@ def multivalue_frequent(df: DataFrame, col: str, threshold: float = 0.05, sep: s
 # G07 -----------------------------------------------------------------------
 def most_common(df: DataFrame, col: str, sep: str = ";") -> str | None:
     """The commonest part, ties to the smallest."""
-    return value_counts(df, col, sep).agg(F.min_by("value", F.struct(-F.col("n"), F.col("value")))).first()[0]
+    return _commonest(value_counts(df, col, sep))
+
+
+def _commonest(counts: DataFrame) -> str | None:
+    return counts.agg(F.min_by("value", F.struct(-F.col("n"), F.col("value")))).first()[0]
 
 
 def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
@@ -148,7 +153,13 @@ def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
     together per distinct cell text, so equal cells are worked out once, and
     joined back to the rows. Neither join needs a key, and a hot value or cell is
     one row on the counted side (AQE splits the other)."""
-    vc, top = value_counts(df, col, sep), most_common(df, col, sep)
+    return _with_counts(df, col, sep)[0]
+
+
+def _with_counts(df: DataFrame, col: str, sep: str) -> tuple[DataFrame, str | None]:
+    """The frame of ``multivalue_counts`` and the commonest part; the parts are counted once."""
+    vc = materialize(value_counts(df, col, sep))
+    top = _commonest(vc)
     p = parts(col, sep)
     base = [F.size(p).alias(f"{col}_count"), F.size(F.array_distinct(p)).alias(f"{col}_unique_count")]
     if top is not None:
@@ -157,7 +168,7 @@ def multivalue_counts(df: DataFrame, col: str, sep: str = ";") -> DataFrame:
     mean = (cells.select("_cell", F.explode(parts(F.col("_cell"), sep)).alias("value")).join(vc, "value")
             .groupBy("_cell").agg(F.avg("n").alias("_mean")))
     return (df.join(mean, q(col) == F.col("_cell"), "left")
-            .select(*[q(c) for c in df.columns], *base, F.coalesce("_mean", F.lit(0.0)).alias(f"{col}_avg_frequency")))
+            .select(*[q(c) for c in df.columns], *base, F.coalesce("_mean", F.lit(0.0)).alias(f"{col}_avg_frequency"))), top
 
 
 # G09 -----------------------------------------------------------------------
@@ -214,8 +225,8 @@ def expand_multivalue(df: DataFrame, cols: Sequence[str], strategy: str = "top_k
             names = [f"{col}_category_{c}".replace(" ", "_") for c in sorted(set(h.values()))]
             kinds = [("group", sorted(v for v, c in h.items() if c == cat)) for cat in sorted(set(h.values()))]
         elif strategy == "count_features":
-            before, most = out.columns, most_common(df, col, sep)
-            out, new_cols = multivalue_counts(out, col, sep), None
+            before, new_cols = out.columns, None
+            out, most = _with_counts(out, col, sep)
             names = [c for c in out.columns if c not in before]
             kinds = [("count", None), ("unique_count", None)] + ([("binary", [most])] if most is not None else []) + [("mean", None)]
         else:

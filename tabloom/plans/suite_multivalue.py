@@ -260,7 +260,7 @@ def g16_expand_hierarchical(spark, sf_dir):
 
 @register("g16_expand_count_features", ORACLES["g07_multivalue_counts"])
 def g16_expand_count_features(spark, sf_dir):
-    df = project_frame(spark, sf_dir).select("project_id", "part_types")
+    df = materialize(project_frame(spark, sf_dir).select("project_id", "part_types"))
     return rounded(G.expand_multivalue(df, ["part_types"], "count_features")[0])
 
 
