@@ -6,12 +6,10 @@
   term asc); one exploded ``groupBy`` counts terms and the rows that hold them,
   only the chosen terms reach the driver.
 - Weights: raw count x smooth idf ln((1 + n) / (1 + df)) + 1, then L2-normalised
-  per row; a sparse array of (i, x), i the place in the vocabulary, from the row's
-  sorted tokens (runs of equal tokens), so the work grows with a cell's tokens.
-- PCA: centred, from the covariance. The Gramian is summed as a *sparse*
-  distributed aggregate: each row emits only its non-zero (i, j, x_i * x_j)
-  pairs (a cell holds a handful of terms), grouped by (i, j) with map-side
-  combine; the p x p result (p <= max_features) is decomposed on the driver.
+  per row; a sparse vector, or array of (i, x), i the place in the vocabulary, by
+  Spark ML's CountVectorizer, so the work grows with a cell's tokens.
+- PCA: centred, from the covariance. The Gramian is summed inside the tasks from
+  the sparse rows (``RowMatrix``), so no pair of terms becomes a row; the p x p result (p <= max_features) is decomposed on the driver.
   Each component's largest-magnitude loading is made positive.
 """
 
@@ -21,6 +19,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +51,20 @@ class FittedTfidf:
         """The kept columns and ``out``: the L2-normalised tf-idf weights of the row as an
         array of (i, x) in vocabulary order, without zeros; empty for null and empty cells
         and for those that hold no term of the vocabulary."""
-        vocab = F.array(*[F.lit(t) for t in self.vocab]).cast("array<string>")
-        idf = F.array(*[F.lit(float(v)) for v in self.idf]).cast("array<double>")
-        hits = F.filter(F.transform(tokens(self.col, self.sep), lambda t: F.array_position(vocab, t)), lambda p: p > 0)
         cols = [q(c) for c in keep]
-        runs = _runs(df, cols, F.array_sort(hits))
-        weighted = F.transform(_counts(), lambda e: F.struct((e["of"] - 1).cast("int").alias("i"),
-                                                            (e["n"] * F.get(idf, (e["of"] - 1).cast("int"))).alias("x")))
-        raw = runs.select(*cols, _once(weighted, "_raw"))
-        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
-        return raw.select(*cols, F.transform("_raw", lambda e: F.struct(e["i"].alias("i"), (e["x"] / norm).alias("x"))).alias(out))
+        if not self.vocab:
+            return df.select(*cols, F.array().cast("array<struct<i:int,x:double>>").alias(out))
+        sparse = F.unwrap_udt(F.col("_w"))
+        pair = lambda i, x: F.struct(i.alias("i"), x.alias("x"))
+        return self.with_vectors(df, cols).select(*cols, F.zip_with(sparse["indices"], sparse["values"], pair).alias(out))
+
+    def with_vectors(self, df: DataFrame, cols: Sequence[Column]) -> DataFrame:
+        """The columns and ``_w``: the same weights as a sparse vector; terms are looked up in a
+        hash table of the vocabulary."""
+        words = df.select(*cols, F.coalesce(tokens(self.col, self.sep), F.array().cast("array<string>")).alias("_tokens"))
+        counted = CountVectorizerModel.from_vocabulary(self.vocab, inputCol="_tokens", outputCol="_tf").transform(words)
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_x").transform(counted)
+        return Normalizer(p=2.0, inputCol="_x", outputCol="_w").transform(weighted).drop("_tokens", "_tf", "_x")
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         keep = keep if keep is not None else [c for c in df.columns if c != self.col]
@@ -103,24 +108,16 @@ def fit_tfidf(df: DataFrame, col: str, n_components: int = 10, max_features: int
     idf = [float(np.log((1 + n) / (1 + dfs[t])) + 1) for t in vocab]
     plan = FittedTfidf(vocab, idf, [], [], [], col, sep)
     p = len(vocab)
-    # one pass for the row count, the column sums and the sparse Gramian: every
-    # row's non-zero entries plus a sentinel (i = -1, x = 1) are paired.
-    w = plan.with_weights(df, [])
-    nz = w.select(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("x"))), F.col("_w")).alias("_nz"))
-    pairs = (nz.select(F.explode("_nz").alias("a"), "_nz").select("a", F.explode("_nz").alias("b"))
-             .where(F.col("a.i") <= F.col("b.i"))
-             .groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-             .agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g")))
-    g = np.zeros((p, p))
-    sums = np.zeros(p)
-    for r in pairs.collect():
-        i, j = r["i"], r["j"]
-        if i == -1 and j == -1:
-            continue
-        if i == -1:
-            sums[j] = r["g"]
-        else:
-            g[i, j] = g[j, i] = r["g"]
+    # one pass for the column sums and the Gramian: sparse rows of (1, weights).
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    whole = np.zeros((p + 1, p + 1))
+    if p:
+        rows = plan.with_vectors(df, [F.array(F.lit(1.0)).alias("_one")])
+        rows = rows.select(array_to_vector("_one").alias("_one"), "_w")
+        rows = VectorAssembler(inputCols=["_one", "_w"], outputCol="_row").transform(rows).select("_row")
+        whole = RowMatrix(MLUtils.convertVectorColumnsFromML(rows), 0, p + 1).computeGramianMatrix().toArray()
+    g, sums = whole[1:, 1:], whole[0, 1:]
     mean = sums / n
     cov = (g - n * np.outer(mean, mean)) / max(n - 1, 1)
     vals, vecs = np.linalg.eigh(cov)
