@@ -9,7 +9,7 @@ Gaussian copula, Spark-first:
 - sample (L02): ``spark.range(n)``; independent normals from hashed uniforms
   (deterministic by seed, no ``rand()``), correlated by the Cholesky factor as
   column sums, mapped back through the marginals: grids are column expressions,
-  categories an as-of join of the uniform with the cumulative shares.
+  categories a join of the uniform's slot with the levels whose shares touch it.
 The normal CDF and its inverse are closed-form approximations (Abramowitz &
 Stegun 26.2.17 / 26.2.23, with one Newton step on the inverse).
 """
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tabloom.functions.hashing import row_key, unit_uniform
-from tabloom.operators.asof import last_at_or_before
 from tabloom.operators.correlation import correlations
 from tabloom.operators.counted import counted_values
 from tabloom.operators.schema import q
 from tabloom.session import materialize
 
 
+SLOTS = 65536                      # parts of (0, 1) by which levels are looked up, at most
+
 # ---------------------------------------------------------------------------
 # Normal CDF / inverse as column expressions
 # ---------------------------------------------------------------------------
@@ -141,16 +142,26 @@ class Copula:
                 v = F.col(f"_v{i}")
             cols.append(v.alias(name))
         if self.categorical:
-            cur = cur.join(self._drawn(cur), "row_id")
+            cur = self._drawn(cur)
         return cur.select("row_id", *cols)
 
     def _drawn(self, uniforms: DataFrame) -> DataFrame:
-        """(row_id, _v0, ...): the level of each categorical column that the row's uniform falls on."""
-        at = {c: i for i, c in enumerate(self.columns)}
-        each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_u{at[c]}").alias("lo")) for c in self.categorical])
-        draws = uniforms.select("row_id", F.inline(each))
-        met = last_at_or_before(draws, self.levels.select("column", "lo", "value"), ["column"], "lo")
-        return met.groupBy("row_id").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_v{at[c]}") for c in self.categorical])
+        """The rows with _v0, ...: the level of each categorical column that the row's uniform
+        falls on. (0, 1) is cut into slots, many if there are many levels; a level stands
+        in every slot that its share touches, so a row meets the few levels of its slot in an
+        equi-join and takes the one whose share holds it (there always is one; a left join,
+        since an inner one would work the uniforms out again to filter them). Rows fall evenly on the slots,
+        however uneven the shares."""
+        slots = max(SLOTS // 16, min(self.levels.count(), SLOTS))
+        place = lambda x: F.floor(x * F.lit(slots))
+        spans = self.levels.select("column", "value", "lo", "hi", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi")))).alias("_slot"))
+        for i, c in enumerate(self.columns):
+            if c in self.categorical:
+                of = spans.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), "lo", "hi", "_slot")
+                u = F.col(f"_u{i}")
+                uniforms = (uniforms.join(of, (place(u) == F.col("_slot")) & (F.col("lo") <= u) & (u < F.col("hi")), "left")
+                            .drop("lo", "hi", "_slot"))
+        return uniforms
 
 
 def fit_copula(df: DataFrame, key: str, columns: Sequence[str] | None = None, grid_points: int = 101,
