@@ -9,6 +9,8 @@ A feature keeps its values while there are about ``VALUES`` of them at most; oth
 cut at ``bins`` quantiles, as the tree would cut them itself. So the cells are bounded by
 the bins and not by the rows. Boosted trees of squared error are sums of trees on
 residuals, whose cell means are the mean label less the prediction: the same holds.
+A tree of a random forest sees every row as often as a Poisson draw says; summed with
+these draws, a cell is a row again, so a forest is fitted from the bags' sums.
 """
 
 from __future__ import annotations
@@ -113,23 +115,92 @@ def fit_on_cells(df: DataFrame, label: str, features: Sequence[str], spec: str,
     return fit_tree(materialize(training_cells(cell_table(df, label, binning), binning, label)), binning, label, spec, params, name)
 
 
+@dataclass
+class FoldCells:
+    """The rows of a cross-validation summed by (fold, cell)."""
+    df: DataFrame
+    label: str
+    fold_col: str
+    binning: Binning
+    cells: DataFrame
+
+    def much_fewer(self, times: int) -> bool:
+        """Whether there are fewer cells, all folds together, than a ``times``-th of the rows."""
+        n = self.cells.where(F.col(self.fold_col).isNotNull()).groupBy(*[q(x) for x in self.binning.inputs]).agg(F.sum(_N).alias(_N))
+        size = n.agg(F.count(F.lit(1)).alias("cells"), F.sum(_N).alias("rows")).first()
+        return size["cells"] * times < (size["rows"] or 0)
+
+
+def fold_cells(df: DataFrame, label: str, features: Sequence[str], bins: int = 32, fold_col: str = "_fold") -> FoldCells:
+    binning = fit_binning(df, features, bins)
+    return FoldCells(df, label, fold_col, binning, materialize(cell_table(df, label, binning, [fold_col])))
+
+
+# -- forests
+FOREST = {"numTrees": 20, "seed": 123}         # of models.ALGORITHMS
+
+
+@dataclass
+class Forest:
+    """The mean of trees, each fitted on its own bag of rows."""
+    name: str
+    trees: list
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        names = [f"_tree_{i}" for i in range(len(self.trees))]
+        cur = df
+        for t, n in zip(self.trees, names):
+            cur = t.predict(cur, n)
+        return cur.withColumn(out, sum([F.col(n) for n in names], F.lit(0.0)) / float(len(names))).drop(*names)
+
+
+def bag_table(df: DataFrame, label: str, binning: Binning, key: str, by: Sequence[str], trees: int, seed: int) -> DataFrame:
+    """(*by, inputs, n and label sum of every tree's bag): each row counts as often in a
+    tree's bag as a Poisson(1) draw by its key says. One pass for all trees."""
+    from tabloom.functions.hashing import row_key
+    from tabloom.operators.models import poisson_weight
+    k, y = row_key(df, key), F.coalesce(q(label).cast("double"), F.lit(float("nan")))
+    rows = binning.apply(df, [*[q(c) for c in by], y.alias("_y"), *[poisson_weight(k, seed + i).alias(f"_w{i}") for i in range(trees)]])
+    sums = [x for i in range(trees) for x in (F.sum(f"_w{i}").alias(f"_n{i}"), F.sum(F.when(F.col(f"_w{i}") > 0, F.col(f"_w{i}") * F.col("_y")).otherwise(0.0)).alias(f"_s{i}"))]
+    return rows.groupBy(*by, *[q(x) for x in binning.inputs]).agg(*sums)
+
+
+def forest_fits(made: FoldCells, key: str, k: int, pool, name: str = "rf", trees: int = FOREST["numTrees"], seed: int = FOREST["seed"]) -> list[Forest]:
+    """A forest for each fold, on the rows of all others, as Spark's grows it (Poisson bags,
+    a third of the features at a node), from one pass over the rows."""
+    bags = materialize(bag_table(made.df, made.label, made.binning, key, [made.fold_col], trees, seed))
+    inputs, sums = [q(x) for x in made.binning.inputs], [f"_{x}{i}" for i in range(trees) for x in "ns"]
+    training = list(pool.map(lambda f: materialize(bags.where(F.col(made.fold_col) != f).groupBy(*inputs).agg(*[F.sum(c).alias(c) for c in sums]).coalesce(1)), range(k)))
+
+    def tree(todo: tuple[int, int]):
+        f, i = todo
+        n = F.col(f"_n{i}")
+        bag = training[f].where(n > 0).select(*inputs, n.alias(_N), (F.col(f"_s{i}") / n).alias(made.label))
+        return fit_tree(bag, made.binning, made.label, "rf", {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "onethird", "seed": seed + i},
+                        f"{name}_{i}", binned=True)
+    fits = list(pool.map(tree, [(f, i) for f in range(k) for i in range(trees)]))
+    return [Forest(name, fits[f * trees:(f + 1) * trees]) for f in range(k)]
+
+
 def cross_validate_cells(df: DataFrame, label: str, features: Sequence[str], trials: Mapping[str, tuple[str, Mapping | None]], k: int,
-                         fold_col: str = "_fold", threads: int = 4) -> DataFrame:
+                         fold_col: str = "_fold", threads: int = 4, made: FoldCells | None = None, key: str | None = None) -> DataFrame:
     """Fold scores of any number of trials ({model: (spec, params)}) from two passes over
-    the rows for the cells of all folds and one for the scores: every cell is predicted
-    by the models that have not seen its fold, and each row meets its cell's predictions."""
+    the rows for the cells of all folds (``made``, if given) and one for the scores: every
+    cell is predicted by the models that have not seen its fold, and each row meets its
+    cell's predictions. A forest (rf) takes a pass of its own and needs the rows' ``key``."""
     from concurrent.futures import ThreadPoolExecutor
 
     from tabloom.operators.metrics import regression_metrics
     from tabloom.operators.models import out_of_fold
-    binning = fit_binning(df, features, max([int((p or {}).get("maxBins", 32)) for _, p in trials.values()]))
-    cells = materialize(cell_table(df, label, binning, [fold_col]))
-    todo = [(m, f) for m in trials for f in range(k)]
+    made = made or fold_cells(df, label, features, max([int((p or {}).get("maxBins", 32)) for _, p in trials.values()]), fold_col)
+    binning, cells = made.binning, made.cells
+    todo = [(m, f) for m in trials for f in range(k) if trials[m][0] != "rf"]
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        training = list(pool.map(lambda f: materialize(training_cells(cells.where(F.col(fold_col) != f), binning, label)), range(k)))
+        training = list(pool.map(lambda f: materialize(training_cells(cells.where(F.col(fold_col) != f), binning, label)), range(k))) if todo else []
         fits = list(pool.map(lambda t: fit_tree(training[t[1]], binning, label, *trials[t[0]], name=t[0], binned=True), todo))
+        grown = {m: forest_fits(made, key, k, pool, m) for m in trials if trials[m][0] == "rf"}
     names = [f"_pred_{i}" for i in range(len(trials))]
-    by_trial = {n: fits[i * k:(i + 1) * k] for i, n in enumerate(names)}
+    by_trial = {n: grown.get(m) or [x for x, (of, _) in zip(fits, todo) if of == m] for n, m in zip(names, trials)}
     points = cells.select(fold_col, *[q(x) for x in binning.inputs])
     predicted = materialize(out_of_fold(points, by_trial, k, fold_col).select(
         F.col(fold_col).alias("_at_fold"), *[q(x).alias(f"_at_{i}") for i, x in enumerate(binning.inputs)], *names))

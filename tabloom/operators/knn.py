@@ -152,3 +152,31 @@ def knn_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
         r *= 2
     out = test.select("*", *[x.alias(p) for x, p in zip(xs, qk)])
     return out.join(done, qk, "left").drop(*qk)
+
+
+def knn_folds(df: DataFrame, features: Sequence[str], label: str, key: str, fold_col: str, n_folds: int, k: int = 5, threads: int = 4) -> DataFrame:
+    """(fold, <label>, _pred): every row of folds 0 to ``n_folds`` - 1 with the prediction
+    of ``knn_predict`` from the rows of all other folds."""
+    from concurrent.futures import ThreadPoolExecutor
+    coords = [f"_f{j}" for j in range(len(features))]
+    rows = df.select(F.col(fold_col).alias("fold"), q(label), q(key).alias("_key"), *[q(f).cast("double").alias(c) for f, c in zip(features, coords)])
+    usable = F.lit(True)
+    for c in coords:
+        usable = usable & _finite(F.col(c))
+    smallest = Window.partitionBy("fold", *coords).orderBy("_key")            # limited in every task before the shuffle
+    kept = materialize(rows.where(usable & q(label).isNotNull()).withColumn("_r", F.row_number().over(smallest))
+                       .where(F.col("_r") <= k).select("fold", "_key", *coords, q(label).cast("double").alias("_y")))
+    asked = materialize(rows.where(usable).select("fold", *coords).distinct())
+
+    def one(f: int) -> DataFrame:
+        found = knn_predict(kept.where(F.col("fold") != f), asked.where(F.col("fold") == f), coords, "_y", "_key", k)
+        return materialize(found.select(F.col("fold").alias("_at_fold"), *[F.col(c).alias(f"_at{c}") for c in coords], F.col("prediction").alias("_pred")))
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        parts = list(pool.map(one, range(n_folds)))
+    predicted = parts[0]
+    for p in parts[1:]:
+        predicted = predicted.unionByName(p)
+    same = F.col("fold") == F.col("_at_fold")
+    for c in coords:
+        same = same & (F.col(c) == F.col(f"_at{c}"))
+    return rows.where(F.col("fold").between(0, n_folds - 1)).join(predicted, same, "left").select("fold", q(label), "_pred")

@@ -227,18 +227,37 @@ def compare_models(df: DataFrame, label: str, features: Sequence[str], key: str,
     """(fold scores of all models, mean table sorted by ``sort`` with the top
     ``n_select`` flagged). Folds by hash; the prepared table is persisted once. All
     linear specs together take two passes (``linear_cv``), all trees of summed rows three
-    (``cells``); the others are fitted per fold, a few at a time."""
-    from tabloom.operators.cells import cross_validate_cells, fits_cells
+    (``cells``) and a forest one more, if the cells are far fewer than the rows; k-NN takes
+    three (``knn_folds``); the others are fitted per fold, a few at a time."""
+    from tabloom.operators.cells import FOREST, cross_validate_cells, fits_cells, fold_cells
+    from tabloom.operators.knn import knn_folds
     from tabloom.operators.linear_cv import LINEAR_SPECS, cross_validate_linear
     data = prepare_folds(df.select(q(key), q(label), *[q(f) for f in features]), key, k, seed).persist()
     linear, trees = [s for s in specs if s in LINEAR_SPECS], [s for s in specs if fits_cells(data, features, s)]
-    others = [s for s in specs if s not in linear and s not in trees]
-    try:
-        parts = [_materialized(cross_validate_linear(data, label, features, linear, k))] if linear else []
-        if trees:
-            parts.append(_materialized(cross_validate_cells(data, label, features, {s: (s, None) for s in trees}, k, threads=threads)))
+    made = fold_cells(data, label, features) if trees else None
+    if made and "rf" in specs and made.much_fewer(2 * FOREST["numTrees"]):            # a cell holds two sums a tree
+        trees.append("rf")
+    others = [s for s in specs if s not in linear and s not in trees and s != "knn"]
+
+    def from_sums() -> list[DataFrame]:
+        return [_materialized(cross_validate_linear(data, label, features, linear, k))] if linear else []
+
+    def from_cells() -> list[DataFrame]:
+        return [_materialized(cross_validate_cells(data, label, features, {s: (s, None) for s in trees}, k, threads=threads, made=made, key=key))] if trees else []
+
+    def from_neighbours() -> list[DataFrame]:
+        if "knn" not in specs:
+            return []
+        near = knn_folds(data, features, label, key, "_fold", k, threads=threads)
+        return [_materialized(regression_metrics(near, label, "_pred", ["fold"]).withColumn("model", F.lit("knn")))]
+
+    def from_rows() -> list[DataFrame]:
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            parts += pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)), others)
+            return list(pool.map(lambda s: _materialized(cross_validate(data, label, features, s, k, key=key)), others))
+    try:
+        with ThreadPoolExecutor() as groups:             # most of their jobs are small: they fill each other's gaps
+            started = [groups.submit(g) for g in (from_sums, from_cells, from_neighbours, from_rows)]
+            parts = [p for g in started for p in g.result()]
     finally:
         data.unpersist()
     folds = parts[0]

@@ -1,6 +1,7 @@
 """Trees on summed rows against the same trees on the rows."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.ml import Pipeline
@@ -75,3 +76,21 @@ def test_missing_feature_is_refused(rows):
     for a in (F.col("a"), F.col("a") + F.col("id") / 1000):            # kept and cut
         with pytest.raises(Exception, match="NaN"):
             MD.fit_model(rows.withColumn("a", F.when(F.col("id") != 3, a)), "y", ["a", "b"], "dt")
+
+
+def test_forest_is_fitted_on_bags_of_rows(rows):
+    """Bags' sums are those of the rows as often as each was drawn; the forest learns from them."""
+    data = MD.prepare_folds(rows, "id", 3)
+    made = C.fold_cells(data, "y", ["a", "b"])
+    bags = C.bag_table(data, "y", made.binning, "id", ["_fold"], 2, 123)
+    drawn = data.withColumn("w", MD.poisson_weight(F.col("id"), 124)).groupBy("_fold", "a", "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"))
+    both = bags.join(drawn, ["_fold", "a", "b"]).collect()
+    assert len(both) == made.cells.count()
+    for r in both:
+        assert r["_n1"] == r["n"] and r["_s1"] == pytest.approx(r["s"])
+    assert made.much_fewer(4) and not made.much_fewer(1500)
+    with ThreadPoolExecutor(4) as pool:
+        forests = C.forest_fits(made, "id", 2, pool, trees=4)
+    assert [len(f.trees) for f in forests] == [4, 4]
+    fold = data.where(F.col("_fold") == 1)
+    assert regression_metrics(forests[1].predict(fold, "p"), "y", "p").first()["R2"] > 0.9

@@ -1,7 +1,10 @@
 """M25 exact k-NN against brute force on small fixtures (duplicates, ties, skew)."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators.knn import axis_borders, knn_predict
 
@@ -74,3 +77,25 @@ def test_knn_missing_and_infinite_values(spark):
     assert knn_predict(tr, te.where("false"), ["a", "b"], "y", "key", k=1).count() == 0
     with pytest.raises(ValueError, match="empty training set"):
         knn_predict(tr.where("key = 3"), te, ["a", "b"], "y", "key")
+
+
+def test_folds_together(spark, monkeypatch):
+    """Every row gets the mean of its k nearest rows of other folds, from a search that sees k rows of a coordinate and fold at most."""
+    from tabloom.operators import knn
+    rng = random.Random(8)
+    rows = [(i, i % 2 if i % 50 else None, float(rng.randint(0, 3)) if i % 3 else 1.0, float(rng.randint(0, 2)), None if i % 41 == 0 else float(rng.randint(0, 9)))
+            for i in range(200)]
+    rows += [(1000, 0, None, 1.0, 5.0), (1001, 1, float("nan"), 1.0, 5.0), (1002, 1, 1.0, float("inf"), 5.0), (1003, 1, 9.5, 9.5, 5.0)]
+    df = spark.createDataFrame(rows, "id long, f int, x double, y double, label double")
+    known = [r for r in rows if r[2] is not None and np.isfinite(r[2]) and np.isfinite(r[3])]
+    want = [(r[1], r[4], None) for r in rows if r[1] is not None and r not in known]
+    for f in (0, 1):
+        here = [r for r in known if r[1] == f]
+        near = brute([(r[0], r[2:4], r[4]) for r in known if r[1] == 1 - f and r[4] is not None], [(r[0], r[2:4]) for r in here], 5)
+        want += [(f, r[4], round(near[r[0]], 9)) for r in here]
+    most, plain = [], knn.knn_predict
+    monkeypatch.setattr(knn, "knn_predict", lambda train, *rest: most.append(
+        train.groupBy("_f0", "_f1", "fold").count().agg(F.max("count")).first()[0]) or plain(train, *rest))
+    got = [(r["fold"], r["label"], None if r["_pred"] is None else round(r["_pred"], 9)) for r in knn.knn_folds(df, ["x", "y"], "label", "id", "f", 2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert most == [5, 5]
