@@ -447,6 +447,18 @@ def score_all(df: DataFrame, scorers: Sequence, floor: float | None = 0.1) -> Da
     return cur.select("*", *ensemble([f"pred_{s.name}" for s in scorers]))
 
 
+def scores_side_by_side(df: DataFrame, scorers: Sequence, label: str) -> dict:
+    """{name: its ``regression_metrics`` row} of all scorers, from one pass over the rows."""
+    cur = df
+    for i, s in enumerate(scorers):
+        cur = s.predict(cur, f"_p{i}")
+    each = F.array(*[F.struct(F.lit(i).alias("_model"), F.col(f"_p{i}").alias("_p")) for i in range(len(scorers))])
+    rows = regression_metrics(cur.select(q(label), F.inline(each)), label, "_p", ["_model"]).collect()
+    found = {scorers[r["_model"]].name: r for r in rows}
+    none = dict.fromkeys(["n", "MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE"])            # no rows: no scores
+    return {s.name: found.get(s.name, none) for s in scorers}
+
+
 # M16 / M17 -------------------------------------------------------------------
 def what_if(df: DataFrame, param: str, values: Sequence[float], scorer, out: str = "prediction") -> DataFrame:
     """Vary ``param`` over a fixed list for every base row: rows multiply by the

@@ -396,12 +396,12 @@ def _saved_models(spark, sf_dir):
     import uuid
     root = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
     df = _train(spark, sf_dir)
+    fitted = [MD.fit_model(df, "label", FEATURES, spec) for spec in ("lr", "dt", "ols")]
+    scores = MD.scores_side_by_side(df, fitted, "label")
     paths = []
-    for rank, spec in enumerate(["lr", "dt", "ols"], 1):
-        m = MD.fit_model(df, "label", FEATURES, spec)
-        r = M.regression_metrics(m.predict(df, "_p"), "label", "_p").first()
-        MD.save_model(m, f"{root}/{spec}", rank, {"R2": r["R2"], "RMSE": r["RMSE"]})
-        paths.append(f"{root}/{spec}")
+    for rank, m in enumerate(fitted, 1):
+        MD.save_model(m, f"{root}/{m.name}", rank, {"R2": scores[m.name]["R2"], "RMSE": scores[m.name]["RMSE"]})
+        paths.append(f"{root}/{m.name}")
     return paths
 
 

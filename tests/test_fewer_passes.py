@@ -52,3 +52,14 @@ def test_gramian_makes_no_rows_of_pairs(spark):
     w = fit_tfidf(df, "cell", n_components=2).with_vectors(df, [F.col("k")])
     assert "Generate" not in w._jdf.queryExecution().executedPlan().toString()
     assert [r["_w"].numNonzeros() for r in w.orderBy("k").collect()] == [2, 0, 2]
+
+
+def test_saved_models_are_scored_in_one_pass(spark):
+    from tabloom.operators.metrics import regression_metrics
+    df = spark.createDataFrame([(float(i), 2.0 * i + i % 3) for i in range(40)], "x double, y double")
+    models = [MD.LinearScorer("a", {"x": 2.0}, 0.5), MD.LinearScorer("b", {"x": 1.0}, 3.0)]
+    got = MD.scores_side_by_side(df, models, "y")
+    for m in models:
+        want = regression_metrics(m.predict(df, "_p"), "y", "_p").first()
+        assert got[m.name]["n"] == 40 and abs(got[m.name]["R2"] - want["R2"]) < 1e-12 and abs(got[m.name]["RMSE"] - want["RMSE"]) < 1e-12
+    assert MD.scores_side_by_side(df.limit(0), models, "y")["a"]["R2"] is None
