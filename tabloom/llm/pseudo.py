@@ -25,15 +25,22 @@ class Vocabulary(Memo):
 
     def __init__(self, words: list[str], classes: int):
         super().__init__(500_000)
-        self.words, self.classes = {w: i for i, w in enumerate(words)}, classes
+        self.words, self.classes, self.endings = {w: i for i, w in enumerate(words)}, classes, Memo(500_000)
         self.size = len(words) + classes
 
-    def __missing__(self, word: str) -> int:
+    def id_of(self, word: str) -> int:
         found = self.words.get(word)
         if found is None:
-            found = len(self.words) + zlib.crc32(word[-2:].encode()) % self.classes
-        self.make_room(1)
-        self[word] = found
+            found = self.endings.get(word[-2:])
+            if found is None:
+                self.endings.make_room(1)
+                found = self.endings[word[-2:]] = len(self.words) + zlib.crc32(word[-2:].encode()) % self.classes
+        return found
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = self.id_of(word)
         return found
 
     def ids(self, text: str) -> np.ndarray:
@@ -150,7 +157,7 @@ class WindowNetwork:
         logits = h @ wg
         logits += bg
         for z in (logits, members):
-            z -= z.max(axis=1, keepdims=True)
+            z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]            # along short rows it is slow
         return logits, members
 
     def log_probs(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -281,7 +288,7 @@ class _Looked(dict):
 
     def __missing__(self, word: str) -> int:
         place = len(self.ids)
-        self.ids.append(self.vocabulary[word])
+        self.ids.append(self.vocabulary.id_of(word))
         self.logs.append(self.known.get(word, np.nan))
         self[word] = place
         return place
@@ -336,8 +343,8 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
                  .mapInArrow(_scorer(sc.broadcast(frequent), classes, shape, sc.broadcast(weights), sc.broadcast(within.known), within.log_total),
                              "doc_id long, n_tokens long, near double, tail array<string>")
                  .withColumn("row", F.monotonically_increasing_id()))
-    far = (near.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-           .join(within.counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * _log_count()).alias("far")))
+    far = (near.select("row", F.explode("tail").alias("word")).join(within.counts, "word", "left")         # none is frequent in the corpus
+           .groupBy("row").agg(F.sum(_log_count()).alias("far")))
     total = F.col("near") + F.coalesce("far", F.lit(0.0))
     return (near.join(far, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
             .withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))))

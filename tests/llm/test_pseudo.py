@@ -138,3 +138,16 @@ def test_trains_on_every_position(spark, monkeypatch):
     # texts of a few words move the network
     before, after = P.WindowNetwork(4 + 2).flat(), P.fit(spark.createDataFrame([(1, "u v w")], "doc_id long, text string"), words=2, classes=4)[3]
     assert not np.allclose(before, after)
+
+
+def test_tails_meet_their_counts_without_a_shuffle_of_their_own(spark):
+    docs = spark.createDataFrame([(i, f"the w{i}x w{i}x of w{i % 7}y") for i in range(60)], "doc_id long, text string")
+    model = P.fit(docs, words=2, classes=3, head=1)
+    got = P.score(docs, model)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert all(r["n_tokens"] == 5 and np.isfinite(r["log_likelihood"]) for r in got.collect())
+    # classes are looked up by ending, and the same as by hash
+    vocabulary = P.Vocabulary(["the"], 64)
+    for w in ("the", "king", "ring", "x", "g", "größe"):
+        assert vocabulary[w] == vocabulary.id_of(w) == (0 if w == "the" else 1 + P.zlib.crc32(w[-2:].encode()) % 64)
+    assert vocabulary["king"] == vocabulary["ring"] and len(vocabulary.endings) == 4
