@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _groups
 from .common import Memo, stage, text_or_empty
 
+_BLANKS = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")      # that str.split knows beside ASCII's
 _ROWS = 1 << 10               # tokens whose logits are held at once: they fit the cache
+_SAFE = 40                    # exp of logits within it, and products of two sums of such, are normal floats
+
+
+def _plain(text: str) -> str | None:
+    """The lower-cased text with ASCII blanks only, and none at its ends; None without words."""
+    text = text.lower().strip()
+    return (" ".join(text.split()) if _BLANKS.search(text) else text) or None
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, lower-cased and split as Python does: how many a text has,
+    the place of each in the distinct words, and those. No string is made for a word;
+    what follows works once a distinct word."""
+    split = pc.ascii_split_whitespace(pa.array([_plain(x) for x in texts.to_pylist()], pa.string()))
+    coded = split.flatten().dictionary_encode()
+    return pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64), coded.indices.to_numpy(), coded.dictionary
+
+
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word stands in ``among``; -1 if it doesn't."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
 
 
 class Vocabulary(Memo):
@@ -26,17 +47,25 @@ class Vocabulary(Memo):
     def __init__(self, words: list[str], classes: int):
         super().__init__(500_000)
         self.words, self.classes, self.endings = {w: i for i, w in enumerate(words)}, classes, Memo(500_000)
-        self.size = len(words) + classes
+        self.size, self.own = len(words) + classes, pa.array(words, pa.string())
 
-    def id_of(self, word: str) -> int:
-        found = self.words.get(word)
+    def _class_of(self, ending: str) -> int:
+        found = self.endings.get(ending)
         if found is None:
-            found = self.endings.get(word[-2:])
-            if found is None:
-                self.endings.make_room(1)
-                found = self.endings[word[-2:]] = len(self.words) + zlib.crc32(word[-2:].encode()) % self.classes
+            self.endings.make_room(1)
+            found = self.endings[ending] = len(self.words) + zlib.crc32(ending.encode()) % self.classes
         return found
 
+    def id_of(self, word: str) -> int:
+        found = self.words.get(word)
+        return self._class_of(word[-2:]) if found is None else found
+
+    def ids_of(self, words: pa.Array) -> np.ndarray:
+        """The ids of many words; their classes are looked up once a distinct ending."""
+        found, endings = _places(words, self.own), pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+        classes = np.fromiter(map(self._class_of, endings.dictionary.to_pylist()), dtype=np.int32, count=len(endings.dictionary))
+        return np.where(found >= 0, found, classes[endings.indices.to_numpy()])
+
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
@@ -50,10 +79,9 @@ class Vocabulary(Memo):
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = Counter()
-        for x in batch.column("text"):
-            n.update(x.as_py().lower().split())
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+        for first, n in _groups(batch.column("text"), 1 << 22):
+            _, at, words = _words(batch.column("text").slice(first, n))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)), pa.int64())], names=["word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -95,6 +123,11 @@ def _log_count():
     return F.coalesce(F.log("n"), -(F.octet_length("word") + 1) * F.lit(float(np.log(257))))
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """The sum of each row: along short rows a product with ones is the quicker way."""
+    return rows @ np.ones(rows.shape[1], rows.dtype)
+
+
 class WindowNetwork:
     """Predicts a token from ``radius`` tokens on both sides; the token itself is masked.
 
@@ -135,10 +168,15 @@ class WindowNetwork:
 
     def _hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         emb, w1, b1 = self.params[:3]
-        x = emb[ctx].reshape(len(ctx), -1)
-        h = x @ w1
-        h += b1
-        return x, np.tanh(h, out=h)
+        x = emb.take(ctx, axis=0).reshape(len(ctx), -1)
+        h = x @ (2 * w1)                       # tanh(z) = 1 - 2 / (exp(2z) + 1)
+        h += 2 * b1
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.divide(-2, h, out=h)
+        h += 1
+        return x, h
 
     def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Order of the tokens by group, and (group, first, end) of each group in it."""
@@ -153,11 +191,12 @@ class WindowNetwork:
         members = np.empty((len(h), bm.shape[1]), dtype=h.dtype)
         for g, first, end in spans:
             np.dot(h[first:end], wm[g], out=members[first:end])
-            members[first:end] += bm[g]
+        members += np.repeat(bm[[g for g, _, _ in spans]], [end - first for _, first, end in spans], axis=0)
         logits = h @ wg
         logits += bg
-        for z in (logits, members):
-            z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]            # along short rows it is slow
+        for z, w, b in ((logits, wg, bg), (members, wm, np.where(bm < -1e3, 0.0, bm))):
+            if (np.abs(w).sum(axis=-2) + np.abs(b)).max() > _SAFE:             # |h| <= 1: beyond it no logit lies
+                z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]            # along short rows it is slow
         return logits, members
 
     def log_probs(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -166,10 +205,11 @@ class WindowNetwork:
         for k in range(0, len(ids), _ROWS):
             some = ids[k:k + _ROWS]
             order, spans = self._by_group(some)
-            logits, members = self._odds(self._hidden(ctx[k:k + _ROWS][order])[1], spans)
+            logits, members = self._odds(self._hidden(ctx[k:k + _ROWS].take(order, axis=0))[1], spans)
             at = np.arange(len(some))
-            hit = logits[at, some[order] % self.groups] + members[at, some[order] // self.groups]
-            both = np.exp(logits, out=logits).sum(axis=1) * np.exp(members, out=members).sum(axis=1)
+            some = some[order]
+            hit = logits.take(at * logits.shape[1] + some % self.groups) + members.take(at * members.shape[1] + some // self.groups)
+            both = _sums(np.exp(logits, out=logits)) * _sums(np.exp(members, out=members))
             out[k + order] = hit - np.log(both)
         return out
 
@@ -177,28 +217,30 @@ class WindowNetwork:
         """One Adam step on the mean negative log-probability."""
         emb, w1, _, wg, _, wm, bm = self.params
         order, spans = self._by_group(ids)
-        ctx, ids = ctx[order], ids[order]
+        ctx, ids = ctx.take(order, axis=0), ids[order]
         n, at = len(ids), np.arange(len(ids))
         x, h = self._hidden(ctx)
         p, q = self._odds(h, spans)
         for z, hit in ((p, ids % self.groups), (q, ids // self.groups)):
             np.exp(z, out=z)
-            z *= 1 / (n * z.sum(axis=1, keepdims=True))
-            z[at, hit] -= 1 / n
-        dh, dwm, dbm = p @ wg.T, np.zeros_like(wm), np.zeros_like(bm)
+            z *= (1 / (n * _sums(z)))[:, None]
+            z.reshape(-1)[at * z.shape[1] + hit] -= 1 / n
+        dwm, dbm, back = np.zeros_like(wm), np.zeros_like(bm), np.ascontiguousarray(wm.transpose(0, 2, 1))
+        dh = np.empty_like(h)
         for g, first, end in spans:
-            dh[first:end] += q[first:end] @ wm[g].T
+            np.dot(q[first:end], back[g], out=dh[first:end])
             np.dot(h[first:end].T, q[first:end], out=dwm[g])
-            dbm[g] = q[first:end].sum(axis=0)
+        dbm[[g for g, _, _ in spans]] = np.add.reduceat(q, [first for _, first, _ in spans], axis=0)
+        dh += p @ wg.T
         dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, self.width)
         cells = ctx.ravel()
         by_cell = np.argsort(cells.astype(np.uint16) if self.v < 1 << 16 else cells, kind="stable")
         sorted_cells = cells[by_cell]
-        starts = np.flatnonzero(np.diff(sorted_cells, prepend=-1))
+        starts = np.concatenate(([0], np.flatnonzero(sorted_cells[1:] != sorted_cells[:-1]) + 1))
         demb = np.zeros_like(emb)
-        demb[sorted_cells[starts]] = np.add.reduceat(dx[by_cell], starts, axis=0)
-        grad = np.concatenate([g.ravel() for g in (demb, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0), dwm, dbm)])
+        demb[sorted_cells[starts]] = np.add.reduceat(dx.take(by_cell, axis=0), starts, axis=0)
+        grad = np.concatenate([g.ravel() for g in (demb, x.T @ dh, _sums(dh.T), h.T @ p, _sums(p.T), dwm, dbm)])
         state["t"] = t = state.get("t", 0) + 1
         m, s = state.setdefault("m", np.zeros_like(grad)), state.setdefault("s", np.zeros_like(grad))
         m *= 0.9
@@ -222,9 +264,9 @@ def _trainer(words, classes, shape, weights, every: int, batch_size: int, rate:
         net, state, seen = WindowNetwork(vocabulary.size, **shape).load(weights.value), {}, 0
         ctx, ids, held = [], [], 0
         for batch in batches:
-            for first, n in _groups(batch.column("text"), 1 << 18):
-                texts = [vocabulary.ids(x.as_py()) for x in batch.column("text").slice(first, n)]
-                sizes, mine = np.array([len(t) for t in texts]), np.concatenate(texts)
+            for first, n in _groups(batch.column("text"), 1 << 20):
+                sizes, at, distinct = _words(batch.column("text").slice(first, n))
+                mine = vocabulary.ids_of(distinct)[at]
                 near = net.contexts(mine, sizes)
                 if every > 1:
                     pick = np.concatenate([np.arange(s % min(every, max(1, s)), s, every) + end - s for s, end in zip(sizes, np.cumsum(sizes))])
@@ -278,50 +320,24 @@ def fit(docs: DataFrame, words: int = 192, classes: int = 64, rounds: int = 4, e
     return frequent, classes, shape, weights, WithinClass(counts, frequent, classes, head)
 
 
-class _Looked(dict):
-    """word -> place in ``ids`` and ``logs`` (its id, and log count or NaN): one look a token."""
-
-    def __init__(self, vocabulary: Vocabulary, known: dict):
-        super().__init__()
-        self.vocabulary, self.known = vocabulary, known
-        self.ids, self.logs = array("i"), array("d")
-
-    def __missing__(self, word: str) -> int:
-        place = len(self.ids)
-        self.ids.append(self.vocabulary.id_of(word))
-        self.logs.append(self.known.get(word, np.nan))
-        self[word] = place
-        return place
-
-    def places(self, texts: list[list[str]], total: int) -> np.ndarray:
-        if len(self) > 300_000:
-            self.clear()
-            self.ids, self.logs = array("i"), array("d")
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=total)
-
-
 def _scorer(words, classes, shape, weights, known, log_total):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words.value, classes)
         net = WindowNetwork(vocabulary.size, **shape).load(weights.value)
-        looked = _Looked(vocabulary, known.value)
+        held, logs_held = pa.array(list(known.value), pa.string()), np.array([*known.value.values(), np.nan])
 
         def score(some):
-            texts = [x.as_py().lower().split() for x in some.column("text")]
-            sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            places = looked.places(texts, int(sizes.sum()))
-            ids, counted = np.array(looked.ids, dtype=np.int32)[places], np.array(looked.logs)[places]
+            sizes, at, distinct = _words(some.column("text"))
+            ids, counted = vocabulary.ids_of(distinct)[at], logs_held[_places(distinct, held)][at]          # -1: the NaN at the end
             far = np.isnan(counted)
             logs = net.log_probs(net.contexts(ids, sizes), ids) - log_total[ids] + np.where(far, 0.0, counted)
-            tails, owner = [[] for _ in texts], np.repeat(np.arange(len(texts)), sizes)
-            start = np.cumsum(sizes) - sizes
-            for i, k in zip(np.flatnonzero(far).tolist(), owner[far].tolist()):
-                tails[k].append(texts[k][i - start[k]])
+            tails = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[far], minlength=len(sizes)))))
             ends = np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], np.cumsum(sizes)))]
-            return pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes), pa.array(np.diff(ends)), pa.array(tails, pa.list_(pa.string()))],
+            return pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sizes), pa.array(np.diff(ends)),
+                                               pa.ListArray.from_arrays(pa.array(tails, pa.int32()), distinct.take(pa.array(at[far])))],
                                               names=["doc_id", "n_tokens", "near", "tail"])
         for batch in batches:
-            for first, n in _groups(batch.column("text"), 1 << 20):            # by bytes, however long the texts
+            for first, n in _groups(batch.column("text"), 1 << 21):            # by bytes, however long the texts
                 yield score(batch.slice(first, n))
     return run
 

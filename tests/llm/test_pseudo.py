@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tabloom.llm import pseudo as P
 
@@ -151,3 +152,53 @@ def test_tails_meet_their_counts_without_a_shuffle_of_their_own(spark):
     for w in ("the", "king", "ring", "x", "g", "größe"):
         assert vocabulary[w] == vocabulary.id_of(w) == (0 if w == "the" else 1 + P.zlib.crc32(w[-2:].encode()) % 64)
     assert vocabulary["king"] == vocabulary["ring"] and len(vocabulary.endings) == 4
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_words_are_those_of_python():
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(0x3100)) if c.isspace()] + list("aB é ßÇİΣσ\u200b\x00") + ["ab", "word"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(5000)] + ["", " ", "  x"]
+    sizes, at, distinct = P._words(pa.array(texts))
+    wanted = [t.lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in wanted]
+    assert distinct.take(pa.array(at)).to_pylist() == [w for ws in wanted for w in ws]
+    vocabulary = P.Vocabulary(["ab", "a", "é"], 5)
+    assert vocabulary.ids_of(distinct).tolist() == [vocabulary.id_of(w) for w in distinct.to_pylist()]
+    assert len(P._words(pa.array(["", " "]))[2]) == len(vocabulary.ids_of(pa.array([], pa.string()))) == 0
+
+
+def test_no_lookup_for_each_word(monkeypatch):
+    texts = pa.array(["the king of the ring", "", "x größe the ring"])
+    vocabulary = P.Vocabulary(["the"], 4)
+    ids = [vocabulary.id_of(w) for t in texts.to_pylist() for w in t.split()]
+
+    def never(self, word):
+        raise AssertionError(word)
+
+    for name in ("id_of", "__missing__"):
+        monkeypatch.setattr(P.Vocabulary, name, never)
+    weights = P.WindowNetwork(vocabulary.size).flat()
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], names=["doc_id", "text"])
+    seen = list(P._trainer(_Held(["the"]), 4, {}, _Held(weights), 1, 4, 4e-3)(iter([rows])))
+    assert seen[0].column("n").to_pylist() == [9]
+    known = {"the": 0.0, "ring": float(np.log(2))}
+    got = list(P._scorer(_Held(["the"]), 4, {}, _Held(weights), _Held(known), np.zeros(vocabulary.size))(iter([rows])))[0].to_pylist()
+    net = P.WindowNetwork(vocabulary.size)
+    for row, own, words in zip(got, (ids[:5], [], ids[5:]), (["king", "of"], [], ["x", "größe"])):
+        own = np.array(own, dtype=np.int32)
+        assert row["n_tokens"] == len(own) and row["tail"] == words
+        expected = net.log_probs(net.contexts(own), own).sum() + (np.log(2) if len(own) else 0)
+        assert abs(row["near"] - expected) < 1e-5
+
+
+def test_large_logits_stay_finite():
+    net = P.WindowNetwork(37)
+    net.params = [p * (1 if i == 6 else 300) for i, p in enumerate(net.params)]
+    ctx = np.repeat(net.contexts(np.zeros(3, dtype=np.int32))[1:2], 37, axis=0)
+    found = net.log_probs(ctx, np.arange(37))
+    assert np.isfinite(found).all() and abs(np.exp(found).sum() - 1) < 1e-5
