@@ -136,15 +136,16 @@ def split_parts(col: Column | str, sep: str = ";") -> Column:
 
 
 def tidy_multivalue(col: Column | str, mapping: Mapping[str, str] | None = None,
-                    strict: bool = False, standardize: bool = False, sep: str = "; ") -> Column:
+                    strict: bool = False, standardize: bool = False, sep: str = "; ", lowered: bool = False) -> Column:
     """Split on ';', strip, lower, drop empties, map, dedupe, sort, join '; '.
 
     ``strict`` (C06): also drops ``nan`` parts, collapses inner whitespace,
     trims trailing ``;,.``, and turns ``''``/``'nan'``/no parts into null.
     ``standardize`` applies the C07 token rules to each part (strict only).
+    ``lowered``: the column holds no upper case.
     """
     c = _c(col)
-    parts = split_parts(F.lower(c))
+    parts = split_parts(c if lowered else F.lower(c))
     if strict:
         parts = F.array_remove(parts, "nan")
         parts = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"[;,.]+$", ""))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tabloom.functions.text import clean_value, map_lookup, normalize_text, split_parts, strip_ws, tidy_multivalue
+from tabloom.functions.text import clean_value, map_lookup, normalize_text, split_parts, tidy_multivalue
 from tabloom.operators.counted import CountedValues, counted_values
 from tabloom.operators.encode import FittedOneHot
 from tabloom.operators.missing import fitted_medians, value
@@ -65,9 +65,20 @@ class FittedPreprocessor:
     def _names(self, df: DataFrame) -> DataFrame:
         return standardize_columns(normalize_text(df, self.null_token), self.target)
 
+    def _filled(self, x: Column) -> Column:
+        """A text column after ``_names`` filled and cleaned. Lower and stripped it is
+        already, so only the fill value (a constant) and a null token go through all of it."""
+        if self.null_token is not None:
+            return clean_value(F.coalesce(x, F.lit(self.text_fill)))
+        return F.coalesce(F.replace(x, F.lit("-"), F.lit("_")), clean_value(F.lit(self.text_fill)))
+
     def _single(self, x: Column) -> Column:
         """A single-value text column filled, cleaned and mapped."""
-        return map_lookup(F.lower(strip_ws(clean_value(F.coalesce(x, F.lit(self.text_fill))))), self.mapping)
+        return map_lookup(self._filled(x), self.mapping)
+
+    def _multi(self, x: Column) -> Column:
+        """A multi-value text column filled, cleaned, tidied and mapped."""
+        return tidy_multivalue(self._filled(x), self.mapping, lowered=True)
 
     def _clean(self, df: DataFrame) -> DataFrame:
         """Names done -> drop/fill -> clean values -> tidy multi -> map single."""
@@ -80,11 +91,11 @@ class FittedPreprocessor:
             x = q(c)
             if isinstance(t, StringType):
                 if c in multi:
-                    x = tidy_multivalue(clean_value(F.coalesce(x, F.lit(self.text_fill))), self.mapping)
+                    x = self._multi(x)
                 elif c in single:
                     x = self._single(x)
                 else:
-                    x = clean_value(F.coalesce(x, F.lit(self.text_fill)))
+                    x = self._filled(x)
             elif c in self.numeric_fill and self.numeric_fill[c] is not None:
                 x = F.coalesce(value(df, c), F.lit(self.numeric_fill[c]).cast(t))
             out.append(x.alias(c))
@@ -166,7 +177,7 @@ class Preprocessor:
         most ``max_cardinality``. One level more than that is kept of a larger column,
         in every task before the shuffle, so no task or driver holds all its values."""
         one = F.array(plan._single(F.col("text")))
-        many = split_parts(tidy_multivalue(clean_value(F.coalesce(F.col("text"), F.lit(plan.text_fill))), plan.mapping))
+        many = split_parts(plan._multi(F.col("text")))
         parts = [counted.values(cols).select("column", F.explode(x).alias("value"))
                  for cols, x in ((plan.single_columns, one), (plan.multi_columns, many)) if cols]
         if not parts:

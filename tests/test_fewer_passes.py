@@ -63,3 +63,18 @@ def test_saved_models_are_scored_in_one_pass(spark):
         want = regression_metrics(m.predict(df, "_p"), "y", "_p").first()
         assert got[m.name]["n"] == 40 and abs(got[m.name]["R2"] - want["R2"]) < 1e-12 and abs(got[m.name]["RMSE"] - want["RMSE"]) < 1e-12
     assert MD.scores_side_by_side(df.limit(0), models, "y")["a"]["R2"] is None
+
+
+def test_normalised_columns_are_not_normalised_again(spark):
+    """Names done, text is lower and stripped: the cleaning of a value replaces only."""
+    from tabloom.plans.preprocess import Preprocessor
+    df = spark.createDataFrame([(1, " A-b ", "X-1; y ;x-1"), (2, None, None), (3, "c\t", "Y")], "id int, kind string, many string")
+    fitted = Preprocessor(fill_value=" Not-Given ").fit(df)
+    assert fitted.single_levels == {"kind": ["a_b", "c", "not_given"]} and fitted.multi_levels == {"many": ["not_given", "x_1", "y"]}
+    out = fitted.transform(df)
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 0, 1, 1, 1, 0, 0), (2, 1, 0, 0, 0, 0, 1), (3, 0, 0, 1, 0, 1, 0)]
+    cleaned = fitted._clean(fitted._names(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaned.count("lower(") == 2
+    # a null token may be anything, so it is cleaned whole
+    token = Preprocessor(null_token=" N-A").fit(df)
+    assert token.single_levels == {"kind": ["a_b", "c", "n_a"]}
