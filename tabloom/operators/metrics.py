@@ -20,21 +20,25 @@ METRICS = ["MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE"]
 
 
 # M05 -----------------------------------------------------------------------
+def metric_columns(label: str, pred: str) -> dict[str, Column]:
+    """{metric: its aggregate}, for ``regression_metrics`` or to score several predictions of
+    the rows side by side."""
+    y, p = q(label).cast("double"), q(pred).cast("double")
+    e = p - y
+    n, var = F.count(F.lit(1)), F.var_pop(y)
+    return {"n": n.cast("bigint"), "MAE": F.avg(F.abs(e)), "MSE": F.avg(e * e), "RMSE": F.sqrt(F.avg(e * e)),
+            "R2": F.when(var > 0, 1 - F.sum(e * e) / (n * var)),
+            "RMSLE": F.sqrt(F.avg(F.pow(F.log1p(F.abs(p)) - F.log1p(F.abs(y)), 2))),
+            "MAPE": F.avg(F.when(y != 0, F.abs(e) / F.abs(y)))}
+
+
 def regression_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """MAE, MSE, RMSE, R2, RMSLE, MAPE (per group).
 
     R2 = 1 - SSE / (n * var_pop(y)) (stable variance aggregate). RMSLE is taken
     on log1p(|x|) so negative predictions do not fail; MAPE skips zero targets."""
-    y, p = q(label).cast("double"), q(pred).cast("double")
-    e = p - y
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("MAE"), F.avg(e * e).alias("MSE"),
-            F.sum(e * e).alias("_sse"), F.var_pop(y).alias("_var"),
-            F.sqrt(F.avg(F.pow(F.log1p(F.abs(p)) - F.log1p(F.abs(y)), 2))).alias("RMSLE"),
-            F.avg(F.when(y != 0, F.abs(e) / F.abs(y))).alias("MAPE")]
-    g = df.groupBy(*[q(c) for c in by]).agg(*aggs) if by else df.agg(*aggs)
-    r2 = F.when(F.col("_var") > 0, 1 - F.col("_sse") / (F.col("n") * F.col("_var")))
-    return g.select(*[q(c) for c in by], F.col("n").cast("bigint").alias("n"), "MAE", "MSE",
-                    F.sqrt("MSE").alias("RMSE"), r2.alias("R2"), "RMSLE", "MAPE")
+    aggs = [c.alias(m) for m, c in metric_columns(label, pred).items()]
+    return df.groupBy(*[q(c) for c in by]).agg(*aggs) if by else df.agg(*aggs)
 
 
 # M06 -----------------------------------------------------------------------

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import mix32, unit_uniform, row_key
-from tabloom.operators.metrics import regression_metrics
+from tabloom.operators.metrics import metric_columns, regression_metrics
 from tabloom.operators.schema import q
 
 
@@ -509,17 +509,43 @@ def importance(spark, scorers: Sequence) -> DataFrame:
 
 # M21 -----------------------------------------------------------------------
 ROWS_PER_BUCKET = 100_000          # rows ordered by one task of a permutation
+HELD = 5                           # as many times that number of rows a task holds as one array; more are sorted on disk
 
 
 def paired_repeats(df: DataFrame, cols: Sequence[str], key: str, seeds: Sequence[int]) -> DataFrame:
     """Every row once a seed, with its place among the seeds as ``_repeat`` and ``cols`` of
     another row beside it as ``_perm_<col>``. Rows fall into hash buckets (as many as the
     row count asks for) by the only shuffle; in a bucket, for each seed, the row ranked r
-    by one hash order meets the row ranked r by another, next to it in the order of ranks.
-    A partition holds about a bucket, so repeats are sorted in memory. No global sort."""
+    by one hash order meets the row ranked r by another. No global sort.
+
+    A bucket is sorted by key once and held as an array. A hash order of it is a sorted
+    array of longs, the hash above and the row's place below, so no repeat moves rows.
+    If a key held by very many rows makes a bucket too large for that, windows rank the rows."""
     buckets = max(1, df.count() // ROWS_PER_BUCKET)
     k = row_key(df, key)
-    placed = df.where(k.isNotNull()).withColumn("_b", F.pmod(mix32(k, seeds[0] * 7919 + 1), F.lit(buckets))).repartition(buckets, "_b")
+    placed = df.where(k.isNotNull()).withColumn("_b", F.pmod(mix32(k, seeds[0] * 7919 + 1), F.lit(buckets)))
+    largest = placed.groupBy("_b").count().agg(F.max("count")).first()[0] or 0
+    placed = placed.repartition(buckets, "_b")
+    if largest > HELD * ROWS_PER_BUCKET:
+        return _paired_by_windows(placed, k, cols, key, seeds)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))               # in the partition
+    placed = placed.sortWithinPartitions("_b", q(key)).select("*", F.coalesce(k, F.lit(0)).alias("_k"), place.alias("_at"))
+    orders = [F.shiftleft(mix32("_k", s + x), 31).bitwiseOR(F.col("_at")).alias(f"_{i}_{x}") for i, s in enumerate(seeds) for x in (0, 100003)]
+    rows = placed.select("_b", "_at", F.struct(*[q(c) for c in df.columns]).alias("_row"), F.struct(*orders).alias("_order"))
+    held = rows.groupBy("_b").agg(F.min("_at").alias("_first"), F.collect_list("_row").alias("_rows"), F.collect_list("_order").alias("_orders"))
+    turns = [F.struct(F.lit(i).alias("_repeat"), *[F.sort_array(F.col("_orders")[f"_{i}_{x}"]).alias(n) for x, n in ((0, "_own"), (100003, "_other"))])
+             for i in range(len(seeds))]
+    ranks = held.select("_first", "_rows", F.inline(F.array(*turns))).select("_first", "_rows", "_repeat", "_other", F.posexplode("_own").alias("_r", "_own"))
+
+    def at(ranked: Column) -> Column:
+        return F.get("_rows", (ranked.bitwiseAND(F.lit(2**31 - 1)) - F.col("_first")).cast("int"))
+    own, other = at(F.col("_own")), at(F.get("_other", F.col("_r")))
+    return ranks.select(*[own[c].alias(c) for c in df.columns], "_repeat", *[other[c].alias(f"_perm_{c}") for c in cols])
+
+
+def _paired_by_windows(placed: DataFrame, k: Column, cols: Sequence[str], key: str, seeds: Sequence[int]) -> DataFrame:
+    """``paired_repeats`` of placed rows: a row comes once a seed and order, is ranked, and
+    those of one rank stand next to each other. Repeats are sorted, on disk if need be."""
     turns = [F.struct(F.lit(i).alias("_repeat"), F.lit(taken).alias("_taken"), mix32(k, s + (100003 if taken else 0)).alias("_h"))
              for i, s in enumerate(seeds) for taken in (False, True)]
     one_order = Window.partitionBy("_b", "_repeat", "_taken").orderBy("_h", q(key))
@@ -543,17 +569,15 @@ def permutation_importance(df: DataFrame, scorer, label: str, features: Sequence
                            metric: str = "R2", seed: int = 0) -> DataFrame:
     """(feature, mean_drop, std_drop): metric drop when one feature is shuffled, n repeats.
     The rows are shuffled once; all repeats pair them inside their buckets and score all
-    features' shuffles side by side."""
-    base = regression_metrics(scorer.predict(df, "_p"), label, "_p").first()[metric]
-    drops: dict[str, list[float]] = {f: [] for f in features}
+    features' shuffles side by side, by the one metric."""
+    base = regression_metrics(scorer.predict(df, "_p"), label, "_p").select(metric).first()[metric]
     cur = paired_repeats(df, features, key, range(seed, seed + n))
     for i, f in enumerate(features):
         cur = scorer.predict(cur.withColumn("_own", q(f)).withColumn(f, q(f"_perm_{f}")), f"_p{i}")
         cur = cur.withColumn(f, q("_own")).drop("_own")
-    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p{i}").alias("_p")) for i, f in enumerate(features)])
-    scored = cur.select(q(label), "_repeat", F.inline(each))
-    for row in regression_metrics(scored, label, "_p", ["_repeat", "feature"]).orderBy("_repeat").collect():
-        drops[row["feature"]].append(base - row[metric])
+    scores = cur.groupBy("_repeat").agg(*[metric_columns(label, f"_p{i}")[metric].alias(f"_m{i}") for i in range(len(features))])
+    repeats = scores.orderBy("_repeat").collect()
+    drops = {f: [base - r[f"_m{i}"] for r in repeats] for i, f in enumerate(features)}
     rows = [(f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, mean_drop double, std_drop double")
 

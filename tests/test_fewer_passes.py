@@ -24,6 +24,46 @@ def test_repeats_share_one_shuffle(spark, monkeypatch):
         assert sorted(r["_perm_v"] for r in rows if r["_repeat"] == i) == [float(i * i) for i in range(300)]
 
 
+def test_repeats_are_ranked_without_sorting_them(spark, monkeypatch):
+    """Equal hashes go by the key, rows without a key drop out, and a bucket that is too large for an array has the same pairs."""
+    keys = list(range(40)) + [(1 << 32) | (i ^ 1) for i in range(40)]           # mix32 folds a key: each hash occurs twice
+    data = [(k, None if i % 7 == 0 else float(i), f"t{i}") for i, k in enumerate(keys)] + [(None, -1.0, "none")]
+    df = spark.createDataFrame(data, "k long, `a.b` double, t string")
+    plan = MD.paired_repeats(df, ["a.b", "t"], "k", [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1
+
+    def pairs():
+        rows = MD.paired_repeats(df, ["a.b", "t"], "k", [1, 2]).collect()
+        assert len(rows) == 160 and {tuple(r[:3]) for r in rows} == set(data[:-1])
+        return {(r["_repeat"], r["k"]): (r["_perm_a.b"], r["_perm_t"]) for r in rows}
+    held = pairs()
+    by_key = {d[0]: d[1:] for d in data}
+    for i, s in enumerate([1, 2]):
+        one, other = [[r["k"] for r in df.where("k IS NOT NULL").orderBy(mix32("k", x), "k").collect()] for x in (s, s + 100003)]
+        assert all(held[i, a] == by_key[b] for a, b in zip(one, other))
+    monkeypatch.setattr(MD, "HELD", 0)
+    assert pairs() == held
+    text = df.select(F.concat(F.lit("x"), "k").alias("k"), "t")
+    windows = MD.paired_repeats(text, ["t"], "k", [3]).collect()
+    monkeypatch.undo()
+    assert sorted(windows) == sorted(MD.paired_repeats(text, ["t"], "k", [3]).collect()) and len(windows) == 80
+    assert MD.paired_repeats(df.limit(0), ["t"], "k", [3]).count() == 0
+
+
+def test_permutation_scores_the_named_metric_of_every_repeat(spark):
+    from tabloom.operators.metrics import regression_metrics
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 3), 2.0 * (i % 5) + i % 3) for i in range(60)], "k long, a double, b double, y double")
+    model = MD.LinearScorer("m", {"a": 2.0, "b": 0.5}, 0.1)
+    for metric in ("R2", "RMSE", "MAE"):
+        base = regression_metrics(model.predict(df, "_p"), "y", "_p").first()[metric]
+        got = {r["feature"]: r for r in MD.permutation_importance(df, model, "y", ["a", "b"], "k", n=3, metric=metric, seed=4).collect()}
+        for f in ("a", "b"):
+            drops = [base - regression_metrics(model.predict(MD.permute_column(df, f, "k", s), "_p"), "y", "_p").first()[metric] for s in (4, 5, 6)]
+            mean = sum(drops) / 3
+            assert abs(got[f]["mean_drop"] - mean) < 1e-12
+            assert abs(got[f]["std_drop"] - (sum((d - mean) ** 2 for d in drops) / 3) ** 0.5) < 1e-12
+
+
 def test_levels_are_drawn_without_sorting_the_draws(spark, monkeypatch):
     values = ["a"] * 700 + [f"v{i:03}" for i in range(300)]
     df = spark.createDataFrame([(i, v, float(i % 7)) for i, v in enumerate(values)], "id long, c string, x double")
