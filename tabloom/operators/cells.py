@@ -68,8 +68,13 @@ class Binning:
 def fit_binning(df: DataFrame, features: Sequence[str], bins: int = 32) -> Binning:
     xs = {f: q(f).cast("double") for f in features}
     known = {f: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for f, x in xs.items()}
-    few = df.agg(*[F.approx_count_distinct(x, 0.01).alias(f"n{i}") for i, x in enumerate(xs.values())]).first()
-    many = [f for i, f in enumerate(features) if few[i] > max(VALUES, bins)]
+    most = max(VALUES, bins)
+
+    def counts(of: Sequence[str], error: float) -> dict[str, int]:
+        return dict(zip(of, df.agg(*[F.approx_count_distinct(xs[f], error).alias(f"n{i}") for i, f in enumerate(of)]).first()))
+    found = counts(features, 0.05)                 # the precise estimate costs ten times as much: only if it may be needed
+    found.update(counts(near, 0.01) if (near := [f for f in features if most / 2 < found[f] <= most * 2]) else {})
+    many = [f for f in features if found[f] > most]
     if not many:
         return Binning(list(features), {})
     probs = [i / bins for i in range(1, bins)]
@@ -154,15 +159,31 @@ class Forest:
         return cur.withColumn(out, sum([F.col(n) for n in names], F.lit(0.0)) / float(len(names))).drop(*names)
 
 
-def bag_table(df: DataFrame, label: str, binning: Binning, key: str, by: Sequence[str], trees: int, seed: int) -> DataFrame:
-    """(*by, inputs, n and label sum of every tree's bag): each row counts as often in a
-    tree's bag as a Poisson(1) draw by its key says. One pass for all trees."""
-    from tabloom.functions.hashing import row_key
-    from tabloom.operators.models import poisson_weight
-    k, y = row_key(df, key), F.coalesce(q(label).cast("double"), F.lit(float("nan")))
-    rows = binning.apply(df, [*[q(c) for c in by], y.alias("_y"), *[poisson_weight(k, seed + i).alias(f"_w{i}") for i in range(trees)]])
-    sums = [x for i in range(trees) for x in (F.sum(f"_w{i}").alias(f"_n{i}"), F.sum(F.when(F.col(f"_w{i}") > 0, F.col(f"_w{i}") * F.col("_y")).otherwise(0.0)).alias(f"_s{i}"))]
-    return rows.groupBy(*by, *[q(x) for x in binning.inputs]).agg(*sums)
+def bag_table(df: DataFrame, label: str, binning: Binning, key: str | Column, by: Sequence[str], trees: int, seed: int) -> DataFrame:
+    """(*by, inputs, n and label sum of every tree's bag, label sum of all rows): each row
+    counts as often in a tree's bag as a Poisson(1) draw by its key says. One pass for all."""
+    from tabloom.functions.hashing import row_key, unit_uniform
+    from tabloom.operators.models import poisson_draw
+    k, y = key if isinstance(key, Column) else row_key(df, key), F.coalesce(q(label).cast("double"), F.lit(float("nan")))
+    rows = binning.apply(df, [*[q(c) for c in by], y.alias("_y"), *[unit_uniform(k, seed + i).alias(f"_u{i}") for i in range(trees)]])
+    draws = [poisson_draw(F.col(f"_u{i}")) for i in range(trees)]          # in the sums, whose code Spark splits: as columns, one method that is not compiled
+    sums = [x for i, w in enumerate(draws) for x in (F.sum(w).alias(f"_n{i}"), F.sum(F.when(w > 0, w * F.col("_y")).otherwise(0.0)).alias(f"_s{i}"))]
+    return rows.groupBy(*by, *[q(x) for x in binning.inputs]).agg(*sums, F.sum("_y").alias(_SUM))
+
+
+def fit_bags(df: DataFrame, label: str, features: Sequence[str], key: Column, spec: str, names: Sequence[str], seed: int, threads: int = 4) -> list:
+    """A scorer for each of ``names``, fitted on its own bag of rows. As on rows, a cell that
+    a bag leaves out stays in it without weight, and a missing label is refused in any cell."""
+    from concurrent.futures import ThreadPoolExecutor
+    binning = fit_binning(df, features)
+    bags = materialize(bag_table(df, label, binning, key, [], len(names), seed))
+
+    def one(i: int):
+        n = F.col(f"_n{i}")
+        mean = F.when(F.isnan(_SUM), float("nan")).when(n > 0, F.col(f"_s{i}") / n).otherwise(0.0)
+        return fit_tree(bags.select(*[q(x) for x in binning.inputs], n.alias(_N), mean.alias(label)), binning, label, spec, name=names[i])
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(one, range(len(names))))
 
 
 def forest_fits(made: FoldCells, key: str, k: int, pool, name: str = "rf", trees: int = FOREST["numTrees"], seed: int = FOREST["seed"]) -> list[Forest]:

@@ -338,8 +338,12 @@ def stack_predict(df: DataFrame, bases, meta: LinearScorer, out: str = "predicti
 # M10 -----------------------------------------------------------------------
 def poisson_weight(key: Column, seed: int) -> Column:
     """Bootstrap weight ~ Poisson(1) from a hashed uniform (inverse CDF)."""
+    return poisson_draw(unit_uniform(key, seed))
+
+
+def poisson_draw(u: Column) -> Column:
+    """Poisson(1) of a uniform number, best a column: it is compared up to ten times."""
     import math
-    u = unit_uniform(key, seed)
     cdf, acc, term = [], 0.0, math.exp(-1)
     for i in range(10):
         acc += term
@@ -353,20 +357,46 @@ def poisson_weight(key: Column, seed: int) -> Column:
 
 def bag(df: DataFrame, label: str, features: Sequence[str], key: str, spec: str, n: int = 10,
         seed: int = 123) -> list:
-    """n models on hashed Poisson(1) bootstrap weights (``weightCol``); the source is
-    read once, for a persisted table with the weights of all bags."""
+    """n models on hashed Poisson(1) bootstrap weights (``weightCol``). The source is read
+    for one table with the weights of all bags: summed by cell, if the spec needs no more
+    (``cells``), else row by row and persisted."""
+    from tabloom.operators.cells import fit_bags, fits_cells
+    names = [f"{spec}_bag{i}" for i in range(n)]
+    if fits_cells(df, features, spec):
+        return fit_bags(df, label, features, q(key), spec, names, seed)
     weighted = df.select(q(label), *[q(f) for f in features], *[poisson_weight(q(key), seed + i).alias(f"_w{i}") for i in range(n)]).persist()
     try:
-        return [fit_model(weighted, label, features, spec, name=f"{spec}_bag{i}", weight=f"_w{i}") for i in range(n)]
+        return [fit_model(weighted, label, features, spec, name=names[i], weight=f"_w{i}") for i in range(n)]
     finally:
         weighted.unpersist()
 
 
+def _stage_params(stage) -> tuple:
+    return type(stage), {p.name: v for p, v in stage.extractParamMap().items()}
+
+
+def _alike_but_last(models: Sequence) -> bool:
+    """Whether the scorers are pipelines that make the same vector for their last stage."""
+    if not models or not all(isinstance(m, MLScorer) and hasattr(m.model.stages[-1], "predictionCol") for m in models):
+        return False
+    first, *others = [[_stage_params(s) for s in m.model.stages[:-1]] for m in models]
+    return all(o == first for o in others)
+
+
 def bag_predict(df: DataFrame, models: Sequence, out: str = "prediction") -> DataFrame:
+    """The mean prediction of the models. The vector that they all read is made once a row."""
     cur = df
-    for m in models:
-        cur = m.predict(cur, f"_p_{m.name}")
     cols = [f"_p_{m.name}" for m in models]
+    if _alike_but_last(models):
+        for stage in models[0].model.stages[:-1]:
+            cur = stage.transform(cur)
+        for m, c in zip(models, cols):
+            last = m.model.stages[-1]
+            cur = last.transform(cur, {last.predictionCol: c})
+        cur = cur.select(*[q(c) for c in df.columns], *[q(c) for c in cols])
+    else:
+        for m, c in zip(models, cols):
+            cur = m.predict(cur, c)
     return cur.withColumn(out, sum([F.col(c) for c in cols], F.lit(0.0)) / float(len(cols))).drop(*cols)
 
 

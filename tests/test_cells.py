@@ -94,3 +94,49 @@ def test_forest_is_fitted_on_bags_of_rows(rows):
     assert [len(f.trees) for f in forests] == [4, 4]
     fold = data.where(F.col("_fold") == 1)
     assert regression_metrics(forests[1].predict(fold, "p"), "y", "p").first()["R2"] > 0.9
+
+
+def _bag_on_rows(df, n, seed=123):
+    drawn = df.select("y", "a", "b", *[MD.poisson_weight(F.col("id"), seed + i).alias(f"_w{i}") for i in range(n)])
+    return [MD.fit_model(drawn, "y", ["a", "b"], "dt", name=f"dt_bag{i}", weight=f"_w{i}") for i in range(n)]
+
+
+def _one_by_one(df, models):
+    for m in models:
+        df = m.predict(df, f"_p_{m.name}")
+    return df.withColumn("prediction", sum([F.col(f"_p_{m.name}") for m in models], F.lit(0.0)) / float(len(models)))
+
+
+def test_bags_are_fitted_on_cells(rows, monkeypatch):
+    sizes, fit = [], C.fit_tree
+    monkeypatch.setattr(C, "fit_tree", lambda train, *a, **k: (sizes.append(train.count()), fit(train, *a, **k))[1])
+    df = rows.unionByName(rows.limit(3).withColumn("id", F.lit(None).cast("long")))                # without a key: ten times in every bag
+    models = MD.bag(df, "y", ["a", "b"], "id", "dt", n=3)
+    assert len(sizes) == 3 and max(sizes) <= 40 * 3
+    want = [r["prediction"] for r in _one_by_one(df, _bag_on_rows(df, 3)).orderBy("id", "y").collect()]
+    got = MD.bag_predict(df, models)
+    assert got.columns == [*df.columns, "prediction"]
+    assert [r["prediction"] for r in got.orderBy("id", "y").collect()] == pytest.approx(want, abs=1e-9)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("struct(a") == 1                # one vector a row
+
+
+def test_bag_refuses_a_missing_label_that_it_does_not_draw(rows):
+    lost = rows.where(MD.poisson_weight(F.col("id"), 123) == 0).limit(1)
+    df = rows.join(lost.select("id"), "id", "left_anti").unionByName(lost.withColumn("y", F.lit(None).cast("double")))
+    for fits in (lambda: _bag_on_rows(df, 1), lambda: MD.bag(df, "y", ["a", "b"], "id", "dt", n=1)):
+        with pytest.raises(Exception, match="Labels MUST NOT be Null or NaN"):
+            fits()
+
+
+def test_bag_of_cut_features_and_of_other_models(rows):
+    df = rows.withColumn("a", F.when(F.col("id") > 5, F.col("a") + F.col("id") / 1000)).fillna(0.5, ["a"])
+    for spec, n in (("dt", 2), ("lr", 2), ("ols", 1)):
+        models = MD.bag(df, "y", ["a", "b"], "id", spec, n=n) if spec != "ols" else [MD.ols(df, "y", ["a", "b"])]
+        gone = df.withColumn("a", F.when(F.col("id") % 9 > 0, F.col("a")))                         # a missing value is scored, too
+        want, got = [[r["prediction"] for r in x.orderBy("id").collect()] for x in (_one_by_one(gone, models), MD.bag_predict(gone, models))]
+        assert [repr(w) for w in want] == [repr(g) for g in got]
+
+
+def test_binning_is_exact_near_its_limit(spark):
+    df = spark.range(3000).select(*[(F.col("id") % n).cast("double").alias(f"v{n}") for n in (7, 95, 106, 400)])
+    assert set(C.fit_binning(df, df.columns).cuts) == {"v106", "v400"}
